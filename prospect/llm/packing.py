@@ -55,11 +55,23 @@ class Encoder:
         self.slow, self.fast, self.check = Tokenizer.from_file(path), None, check
         self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
         if ranks:
-            import tiktoken
-
-            with open(ranks, "rb") as f:
-                known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
+            self.fast = self._ranks(ranks)
+
+    @classmethod
+    def of_ranks(cls, ranks: str) -> Encoder:
+        """Ids by the ranks alone: a special token's string is ordinary text."""
+        out = cls.__new__(cls)
+        out.special, out.check, out.slow = [], 0, None
+        out.fast = cls._ranks(ranks)
+        return out
+
+    @staticmethod
+    def _ranks(path: str):
+        import tiktoken
+
+        with open(path, "rb") as f:
+            known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
         text = text.encode("utf-8", "replace").decode() if not text.isascii() else text
