@@ -117,7 +117,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             leave: dict[int, int] = {}
             for s in reversed(starts):
                 leave[s] = leave.get(follow[s], follow[s])
-            yield pa.RecordBatch.from_arrays([pa.array([file] * len(starts)), pa.array([at // size if size else 0] * len(starts), pa.int64()), pa.array([at] * len(starts), pa.int64()), *(pa.array(x, pa.int64()) for x in (starts, [follow[s] for s in starts], [leave[s] for s in starts]))], ["file", "block", "from", "start", "next", "leaves"])
+            yield pa.RecordBatch.from_arrays([pa.array([file] * len(starts), pa.string()), pa.array([at // size if size else 0] * len(starts), pa.int64()), pa.array([at] * len(starts), pa.int64()), *(pa.array(x, pa.int64()) for x in (starts, [follow[s] for s in starts], [leave[s] for s in starts]))], ["file", "block", "from", "start", "next", "leaves"])
 
 
 def boundaries(files: DataFrame, block: int = BLOCK) -> DataFrame:
