@@ -1,10 +1,445 @@
-"""The registered queries and the SQL that gives the same rows."""
+"""The registered queries, each over its whole tables, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from prospect.functions.discretise import Fixed, Frequency, Interval, Ranges, Uniform, bin_counts, entropy
+from prospect.functions.predicates import Attribute, Equals, Kind, Negate, Predicate, Prediciser, Ranged
+from prospect.operators import alignment, graphs, ingest, kernels, language, scores, search
+from prospect.sources.tables import embeddings_view, lineitem_view, orders_view, read, trade_edges
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def keep(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            SQL[name or f.__name__] = sql
+        return f
+
+    return keep
+
+
+# the orders view: predicates 0-2 status, 3-7 priority, 8-10 months from a number on
+
+_STATUS, _PRIORITY, _MONTHS = ("F", "O", "P"), ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"), (4, 7, 10)
+ORDER_PREDICATES: list[Predicate] = [
+    *(Equals(Attribute("o_orderstatus", Kind.CATEGORICAL, position=1), category=v) for v in _STATUS),
+    *(Equals(Attribute("o_orderpriority", Kind.CATEGORICAL, position=2), category=v) for v in _PRIORITY),
+    *(Ranged(Attribute("month", Kind.NUMERICAL, position=3), interval=Interval(float(m), None, name=f"from {m}")) for m in _MONTHS),
+]
+_TESTS = [*(f"st = '{v}'" for v in _STATUS), *(f"pr = '{v}'" for v in _PRIORITY), *(f"mo >= {m}" for m in _MONTHS)]
+_O = """o AS (SELECT o_orderkey AS k, o_orderstatus AS st, o_orderpriority AS pr, c_mktsegment AS sg, r_name AS rn, month(o_orderdate) AS mo, c_acctbal AS ab, o_totalprice AS y, o_totalprice >= 250000 AS t
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+_P = _O + ", p AS (" + " UNION ALL ".join(f"SELECT k, y, t, {i} AS pid FROM o WHERE {c}" for i, c in enumerate(_TESTS)) + "), tot AS (SELECT count(*) AS n, avg(y) AS mu, count(*) FILTER (t) AS nt FROM o)"
+#: Conjunctions of up to three predicates with their rows.
+_C1 = "SELECT [pid] AS c, k, y, t FROM p"
+_C2 = "SELECT [a.pid, b.pid] AS c, a.k, a.y, a.t FROM p a JOIN p b ON a.k = b.k AND a.pid < b.pid"
+_C3 = "SELECT [a.pid, b.pid, d.pid] AS c, a.k, a.y, a.t FROM p a JOIN p b ON a.k = b.k AND a.pid < b.pid JOIN p d ON a.k = d.k AND b.pid < d.pid"
+_C0 = "SELECT CAST([] AS INTEGER[]) AS c, k, y, t FROM o"
+
+
+def _scored(levels: list[str], value: str) -> str:
+    return f"WITH {_P}, c AS ({' UNION ALL '.join(levels)}), s AS (SELECT c, count(*) AS m, sum(y) AS sy, sum(greatest(y - mu, 0)) AS gain, count(*) FILTER (t) AS hit, any_value(n) AS n, any_value(mu) AS mu, any_value(nt) AS nt FROM c, tot GROUP BY c) SELECT array_to_string(c, ',') AS indices, m AS n, round({value}, 6) AS score FROM s"
+
+
+def _top(levels: list[str], value: str, k: int) -> str:
+    return f"WITH r AS (SELECT *, row_number() OVER (ORDER BY score DESC, depth, c) AS rank FROM (SELECT *, string_split(indices, ',') AS parts, CASE WHEN indices = '' THEN 0 ELSE len(string_split(indices, ',')) END AS depth, CASE WHEN indices = '' THEN CAST([] AS INTEGER[]) ELSE CAST(string_split(indices, ',') AS INTEGER[]) END AS c FROM ({_scored(levels, value)}))) SELECT CAST(rank AS INTEGER) AS rank, indices, n, score FROM r WHERE rank <= {k}"
+
+
+def _shift(a: float, b: float) -> str:
+    return f"pow(m / n, {a}) * pow(greatest(sy / m - mu, 0), {b})"
+
+
+def _every(spark: SparkSession, sf_dir: str, measure: scores.Score, depths: tuple[int, ...]) -> DataFrame:
+    """Scores of all conjunctions of the depths that have rows."""
+    from itertools import combinations
+
+    df = orders_view(spark, sf_dir)
+    totals = scores.Totals.of(df, measure.target)
+    parts = measure.parts(totals)
+    table = language.compress(df, ORDER_PREDICATES, parts)
+    sets = [c for d in depths for c in combinations(range(len(ORDER_PREDICATES)), d)]
+    rated = language.score(table, sets, len(ORDER_PREDICATES), {k: how for k, (_, how) in parts.items()})
+    names = spark.createDataFrame([(i, ",".join(map(str, c))) for i, c in enumerate(sets)], "cid long, indices string")
+    return rated.join(F.broadcast(names), "cid").select("indices", "n", F.round(measure.value(totals), 6).alias("score"))
+
+
+def _best(spark: SparkSession, sf_dir: str, measure: scores.Score, bound: scores.Score, k: int, depth: int, **how) -> DataFrame:
+    found = search.search(orders_view(spark, sf_dir), ORDER_PREDICATES, measure, bound, k, depth, **how)
+    return spark.createDataFrame([(i + 1, ",".join(map(str, f.indices)), f.n, round(f.score, 6)) for i, f in enumerate(found.best)], "rank int, indices string, n long, score double")
+
+
+@query(_scored([_C1], "m / n"))
+def predicate_coverage(spark, sf_dir):
+    return _every(spark, sf_dir, scores.Coverage(), (1,))
+
+
+@query(_scored([_C1], "hit / (m + nt - hit)"))
+def jaccard_depth1(spark, sf_dir):
+    return _every(spark, sf_dir, scores.Jaccard("pricey"), (1,))
+
+
+@query(_scored([_C2], "hit / (m + nt - hit)"))
+def jaccard_depth2(spark, sf_dir):
+    return _every(spark, sf_dir, scores.Jaccard("pricey"), (2,))
+
+
+@query(_scored([_C1, _C2], "hit / nt"))
+def jaccard_bound(spark, sf_dir):
+    return _every(spark, sf_dir, scores.JaccardBound("pricey"), (1, 2))
+
+
+@query(_scored([_C1], _shift(1.0, 1.0)))
+def mean_shift_depth1(spark, sf_dir):
+    return _every(spark, sf_dir, scores.MeanShift("o_totalprice"), (1,))
+
+
+@query(_scored([_C1, _C2], _shift(0.5, 1.0)))
+def coverage_exponent_half(spark, sf_dir):
+    return _every(spark, sf_dir, scores.MeanShift("o_totalprice", 0.5), (1, 2))
+
+
+@query(_scored([_C1, _C2], _shift(1.0, 0.5)))
+def coverage_exponent_two(spark, sf_dir):
+    return _every(spark, sf_dir, scores.MeanShift("o_totalprice", 2.0), (1, 2))
+
+
+@query(_scored([_C1, _C2], "gain / n"))
+def mean_shift_bound_closed(spark, sf_dir):
+    return _every(spark, sf_dir, scores.MeanShiftBound("o_totalprice"), (1, 2))
+
+
+@query(_scored([_C1, _C2], "pow((m / n) * pow(hit / (m + nt - hit), 2), 1.0 / 3)"))
+def geometric_mean_score(spark, sf_dir):
+    return _every(spark, sf_dir, scores.Geometric("pricey", (scores.Coverage(), scores.Jaccard("pricey")), (1.0, 2.0)), (1, 2))
+
+
+@query(_top([_C0, _C1, _C2], _shift(1.0, 1.0), 5))
+def mean_shift_depth2_topk(spark, sf_dir):
+    return _best(spark, sf_dir, scores.MeanShift("o_totalprice"), scores.MeanShiftBound("o_totalprice"), 5, 2)
+
+
+@query(_top([_C0, _C1, _C2, _C3], _shift(1.0, 1.0), 5))
+def topk_search_depth3(spark, sf_dir):
+    return _best(spark, sf_dir, scores.MeanShift("o_totalprice"), scores.MeanShiftBound("o_totalprice"), 5, 3)
+
+
+@query(_top([_C0, _C1, _C2, _C3], "hit / (m + nt - hit)", 5))
+def topk_jaccard_depth3(spark, sf_dir):
+    return _best(spark, sf_dir, scores.Jaccard("pricey"), scores.JaccardBound("pricey"), 5, 3)
+
+
+@query()
+def approx_search(spark, sf_dir):
+    return _best(spark, sf_dir, scores.MeanShift("o_totalprice"), scores.MeanShiftBound("o_totalprice"), 5, 3, factor=0.5)
+
+
+@query(
+    f"WITH {_P}, c AS ({_C1}), r AS (SELECT c[1] AS pid, sum(y) OVER w AS s, row_number() OVER w AS m FROM c WINDOW w AS (PARTITION BY c ORDER BY y DESC, k ROWS UNBOUNDED PRECEDING)) SELECT pid, round(max(sqrt(m / n) * greatest(s / m - mu, 0)), 6) AS bound FROM r, tot GROUP BY pid"
+)
+def mean_shift_bound_sorted(spark, sf_dir):
+    df = orders_view(spark, sf_dir)
+    totals = scores.Totals.of(df, "o_totalprice")
+    held = F.filter(F.array(*(F.when(p.column(), F.lit(i)) for i, p in enumerate(ORDER_PREDICATES))), lambda x: x.isNotNull())
+    members = df.select("o_totalprice", F.explode(held).alias("pid"))
+    return scores.sorted_bound(members, "pid", "o_totalprice", totals, 0.5).select("pid", F.round("bound", 6).alias("bound"))
+
+
+_SIGNATURE = ", ".join(f"({c}) AS b{i}" for i, c in enumerate(_TESTS))
+
+
+@query(
+    f"WITH {_O}, tot AS (SELECT count(*) AS n, avg(y) AS mu FROM o), g AS (SELECT {', '.join(f'b{i}' for i in range(len(_TESTS)))}, sum(y - mu) AS shift FROM (SELECT y, {_SIGNATURE} FROM o), tot GROUP BY ALL), m AS ("
+    + " UNION ALL ".join(f"SELECT {i} AS pid, shift FROM g WHERE b{i}" for i in range(len(_TESTS)))
+    + ") SELECT pid, round(sum(greatest(shift, 0)) / any_value(n), 6) AS bound FROM m, tot GROUP BY pid"
+)
+def grouped_bound(spark, sf_dir):
+    df = orders_view(spark, sf_dir)
+    totals = scores.Totals.of(df, "o_totalprice")
+    table = language.compress(df, ORDER_PREDICATES, scores.MeanShift("o_totalprice").parts(totals))
+    on = F.filter(F.array(*(F.when(F.get("words", F.lit(0)).bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(i)) for i in range(len(ORDER_PREDICATES)))), lambda x: x.isNotNull())
+    return scores.grouped_bound(table.select("shift", F.explode(on).alias("pid")), "pid", totals).select("pid", F.round("bound", 6).alias("bound"))
+
+
+@query(
+    f"WITH {_P}, pairs AS (SELECT a.pid AS a, b.pid AS b, count(*) AS c FROM p a JOIN p b ON a.k = b.k GROUP BY ALL), own AS (SELECT a, c AS n FROM pairs WHERE a = b) SELECT x.a, y.a AS b, round(coalesce(c, 0) / (x.n + y.n - coalesce(c, 0)), 6) AS k FROM own x CROSS JOIN own y LEFT JOIN pairs ON pairs.a = x.a AND pairs.b = y.a"
+)
+def predicate_jaccard_kernel(spark, sf_dir):
+    table = language.compress(orders_view(spark, sf_dir), ORDER_PREDICATES, {})
+    on = F.filter(F.array(*(F.when(F.get("words", F.lit(0)).bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(i)) for i in range(len(ORDER_PREDICATES)))), lambda x: x.isNotNull())
+    return alignment.jaccard(table.select("n", on.alias("on"))).select("a", "b", F.round("k", 6).alias("k"))
+
+
+# predicates made from columns
+
+
+@query("SELECT l_returnflag AS category, count(*) AS n, (SELECT count(*) FROM lineitem) - count(*) AS n_negated FROM lineitem GROUP BY l_returnflag")
+def negated_predicates(spark, sf_dir):
+    df = lineitem_view(spark, sf_dir)
+    found = Prediciser(Frequency(3), Negate.CATEGORICAL).predicates(df, [Attribute("l_returnflag", Kind.CATEGORICAL)])
+    row = df.agg(*(F.count_if(p.column()).alias(str(i)) for i, p in enumerate(found))).first()
+    count = {(p.category, p.negated): row[str(i)] for i, p in enumerate(found)}
+    return spark.createDataFrame([(c, n, count[(c, True)]) for (c, negated), n in count.items() if not negated], "category string, n long, n_negated long")
+
+
+def _ranges(spark, sf_dir, ranges: Ranges) -> DataFrame:
+    made = Fixed(3, ranges, given=(("c_acctbal", (0.0, 3000.0, 6000.0)),))
+    found = Prediciser(made, Negate.NONE).predicates(df := orders_view(spark, sf_dir), [Attribute("c_acctbal", Kind.NUMERICAL)])
+    row = df.agg(*(F.count_if(p.column()).alias(str(i)) for i, p in enumerate(found))).first()
+    return spark.createDataFrame([(i, row[str(i)]) for i in range(len(found))], "pid int, n long")
+
+
+@query(f"WITH {_O} SELECT 0 AS pid, count(*) FILTER (ab >= 0) AS n FROM o UNION ALL SELECT 1, count(*) FILTER (ab >= 3000) FROM o UNION ALL SELECT 2, count(*) FILTER (ab >= 6000) FROM o")
+def range_predicates_slabs(spark, sf_dir):
+    return _ranges(spark, sf_dir, Ranges.SLABS_POSITIVE)
+
+
+@query(f"WITH {_O} SELECT 0 AS pid, count(*) FILTER (ab < 0) AS n FROM o UNION ALL SELECT 1, count(*) FILTER (ab >= 0 AND ab < 3000) FROM o UNION ALL SELECT 2, count(*) FILTER (ab >= 3000 AND ab < 6000) FROM o UNION ALL SELECT 3, count(*) FILTER (ab >= 6000) FROM o")
+def range_predicates_intervals(spark, sf_dir):
+    return _ranges(spark, sf_dir, Ranges.INTERVALS)
+
+
+@query("SELECT CAST(i AS INTEGER) AS i, cut FROM (SELECT unnest(quantile_disc(c_acctbal, [0.25, 0.5, 0.75])) AS cut, unnest([0, 1, 2]) AS i FROM customer)")
+def frequency_cuts(spark, sf_dir):
+    cuts = Frequency(3).cuts(read(spark, sf_dir, "customer"), ["c_acctbal"])["c_acctbal"]
+    return spark.createDataFrame(list(enumerate(cuts)), "i int, cut double")
+
+
+@query("SELECT CAST(i AS INTEGER) AS i, round(lo + (hi - lo) * (i + 1) / 4, 6) AS cut FROM (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer), range(3) AS r(i)")
+def uniform_cuts(spark, sf_dir):
+    cuts = Uniform(3).cuts(read(spark, sf_dir, "customer"), ["c_acctbal"])["c_acctbal"]
+    return spark.createDataFrame([(i, round(c, 6)) for i, c in enumerate(cuts)], "i int, cut double")
+
+
+@query("WITH b AS (SELECT (c_acctbal >= 0)::INT + (c_acctbal >= 3000)::INT + (c_acctbal >= 6000)::INT AS bin, count(*) AS n FROM customer GROUP BY 1) SELECT round(-sum(n / t * ln(n / t)), 6) AS entropy FROM b, (SELECT count(*) AS t FROM customer)")
+def bin_entropy(spark, sf_dir):
+    rows = bin_counts(read(spark, sf_dir, "customer"), "c_acctbal", [0.0, 3000.0, 6000.0]).collect()  # a row for each bin
+    return spark.createDataFrame([(round(entropy([r["n"] for r in rows]), 6),)], "entropy double")
+
+
+@query("SELECT c_custkey, " + ", ".join(f"c_mktsegment = '{v}' AS {v}" for v in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) + " FROM customer")
+def onehot_attributes(spark, sf_dir):
+    return ingest.one_hot(read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"])
+
+
+# closed sets of line items: predicates 0-2 return flag, 3-4 line status, 5-7 quantity from a number on
+
+ITEM_PREDICATES: list[Predicate] = [
+    *(Equals(Attribute("l_returnflag", Kind.CATEGORICAL, position=0), category=v) for v in ("A", "N", "R")),
+    *(Equals(Attribute("l_linestatus", Kind.CATEGORICAL, position=1), category=v) for v in ("F", "O")),
+    *(Ranged(Attribute("l_quantity", Kind.NUMERICAL, position=2), interval=Interval(q, None, name=f"from {q:g}")) for q in (10.0, 25.0, 40.0)),
+]
+_ITEM_TESTS = [*(f"l_returnflag = '{v}'" for v in "ANR"), *(f"l_linestatus = '{v}'" for v in "FO"), *(f"l_quantity >= {q}" for q in (10, 25, 40))]
+_ITEMS = "i AS (SELECT " + ", ".join(f"({c}) AS b{j}" for j, c in enumerate(_ITEM_TESTS)) + " FROM lineitem)"
+
+
+@query(
+    f"WITH {_ITEMS} SELECT * FROM (" + " UNION ALL ".join(f"SELECT {a} AS pid, count(*) AS n, concat_ws(',', " + ", ".join(f"CASE WHEN bool_and(b{b}) THEN '{b}' END" for b in range(len(_ITEM_TESTS))) + f") AS closure FROM i WHERE b{a}" for a in range(len(_ITEM_TESTS))) + ")"
+)
+def closure_of_predicate(spark, sf_dir):
+    table = language.compress(lineitem_view(spark, sf_dir), ITEM_PREDICATES, {})
+    found = language.closures(table, [(i,) for i in range(len(ITEM_PREDICATES))], len(ITEM_PREDICATES))
+    return spark.createDataFrame([(i, n, ",".join(map(str, c))) for i, (n, c) in enumerate(found)], "pid int, n long, closure string")
+
+
+@query(f"WITH {_ITEMS} SELECT a, b FROM (" + " UNION ALL ".join(f"SELECT {a} AS a, {b} AS b FROM i HAVING count(*) FILTER (b{a}) > 0 AND count(*) FILTER (b{a} AND b{b}) = count(*) FILTER (b{a})" for a in range(len(_ITEM_TESTS)) for b in range(len(_ITEM_TESTS)) if a != b) + ")")
+def predicate_subset_pairs(spark, sf_dir):
+    return language.supersets(language.compress(lineitem_view(spark, sf_dir), ITEM_PREDICATES, {}), len(ITEM_PREDICATES))
+
+
+@query(
+    f"WITH {_ITEMS}, c AS (SELECT [x FOR x IN ["
+    + ", ".join(f"CASE WHEN m // {1 << j} % 2 = 1 THEN {j} END" for j in range(len(_ITEM_TESTS)))
+    + f"] IF x IS NOT NULL] AS c, m FROM range({1 << len(_ITEM_TESTS)}) AS r(m)), g AS (SELECT "
+    + " + ".join(f"b{j}::INT * {1 << j}" for j in range(len(_ITEM_TESTS)))
+    + " AS w, count(*) AS n FROM i GROUP BY 1), s AS (SELECT c.m, sum(n) AS n, bit_and(w::BIGINT) AS closure FROM c JOIN g ON (w::BIGINT & m) = m GROUP BY c.m) SELECT DISTINCT concat_ws(',', "
+    + ", ".join(f"CASE WHEN closure // {1 << j} % 2 = 1 THEN '{j}' END" for j in range(len(_ITEM_TESTS)))
+    + ") AS closed, CAST(n AS BIGINT) AS n FROM s"
+)
+def closed_search(spark, sf_dir):
+    found = search.search(lineitem_view(spark, sf_dir), ITEM_PREDICATES, scores.Coverage(), scores.Constant(), 1 << len(ITEM_PREDICATES), len(ITEM_PREDICATES), closed=True)
+    return spark.createDataFrame([(",".join(map(str, f.indices)), f.n) for f in found.best], "closed string, n long")
+
+
+@query()
+def minimal_description(spark, sf_dir):
+    n = len(ITEM_PREDICATES)
+    table = language.compress(lineitem_view(spark, sf_dir), ITEM_PREDICATES, {}).persist()
+    rows = [(i, ",".join(map(str, c)), language.needed_end(table, c, n), ",".join(map(str, language.minimal_description(table, c, n)))) for i, (_, c) in enumerate(language.closures(table, [(i,) for i in range(n)], n))]
+    return spark.createDataFrame(rows, "pid int, closure string, needed_end int, minimal string")
+
+
+# vector targets and kernels
+
+_E = "e AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"
+_DIST = "list_sum([(a.x[d] - b.x[d]) * (a.x[d] - b.x[d]) FOR d IN range(1, len(a.x) + 1)])"
+_RBF = f"exp(-({_DIST}) / 2)"
+
+
+@query(f"WITH {_E} SELECT vec_id, round(list_sum([abs(v) FOR v IN x]), 6) AS norm1, round(sqrt(list_sum([v * v FOR v IN x])), 6) AS norm2, round(list_max([abs(v) FOR v IN x]), 6) AS norm_max FROM e")
+def target_norms(spark, sf_dir):
+    return embeddings_view(spark, sf_dir).select("vec_id", *(F.round(kernels.norm("embedding", p), 6).alias(n) for p, n in ((1.0, "norm1"), (2.0, "norm2"), (float("inf"), "norm_max"))))
+
+
+@query(f"WITH {_E} SELECT a.vec_id AS i, b.vec_id AS j, round(list_inner_product(a.x, b.x), 6) AS k FROM e a JOIN e b ON a.vec_id <= b.vec_id")
+def linear_gram(spark, sf_dir):
+    return kernels.gram(embeddings_view(spark, sf_dir), "vec_id", "embedding", kernels.linear()).select("i", "j", F.round("k", 6).alias("k"))
+
+
+@query(f"WITH {_E} SELECT a.vec_id AS i, b.vec_id AS j, round({_RBF}, 6) AS k FROM e a JOIN e b ON a.vec_id <= b.vec_id")
+def rbf_gram(spark, sf_dir):
+    return kernels.gram(embeddings_view(spark, sf_dir), "vec_id", "embedding", kernels.rbf(1.0)).select("i", "j", F.round("k", 6).alias("k"))
+
+
+@query(f"WITH {_E} SELECT a.vec_id AS i, b.vec_id AS j, round(list_inner_product(a.x, b.x) / sqrt(list_inner_product(a.x, a.x) * list_inner_product(b.x, b.x)), 6) AS k FROM e a JOIN e b ON a.vec_id <= b.vec_id")
+def kernel_normalise(spark, sf_dir):
+    return alignment.normalised(kernels.gram(embeddings_view(spark, sf_dir), "vec_id", "embedding", kernels.linear())).select("i", "j", F.round("k", 6).alias("k"))
+
+
+@query(f"WITH {_E}, g AS (SELECT list_inner_product(a.x, b.x) AS k, {_RBF} AS l FROM e a CROSS JOIN e b) SELECT round(sum(k * l) / sqrt(sum(k * k) * sum(l * l)), 6) AS alignment FROM g")
+def kernel_alignment(spark, sf_dir):
+    e = embeddings_view(spark, sf_dir)
+    a, b = kernels.gram(e, "vec_id", "embedding", kernels.linear()), kernels.gram(e, "vec_id", "embedding", kernels.rbf(1.0))
+    return alignment.alignment(a, b).select(F.round("alignment", 6).alias("alignment"))
+
+
+_SUMS = f"WITH {_E}, s AS (SELECT a.label AS ga, b.label AS gb, sum({_RBF}) AS s FROM e a CROSS JOIN e b GROUP BY ALL), z AS (SELECT label AS g, count(*) AS n FROM e GROUP BY label), own AS (SELECT ga AS g, sum(s) AS m FROM s GROUP BY ga)"
+
+
+@query(_SUMS + " SELECT ga, gb, round(s / (a.n * b.n), 6) AS k FROM s JOIN z a ON a.g = ga JOIN z b ON b.g = gb")
+def mean_map_kernel(spark, sf_dir):
+    e = embeddings_view(spark, sf_dir)
+    sizes = e.groupBy(F.col("label").alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    return alignment.mean_map(kernels.group_sums(e, "vec_id", "embedding", "label", kernels.rbf(1.0)), sizes).select("ga", "gb", F.round("k", 6).alias("k"))
+
+
+@query(_SUMS + " SELECT ga, gb, round(s / (a.m + b.m - s), 6) AS k FROM s JOIN own a ON a.g = ga JOIN own b ON b.g = gb")
+def tanimoto_kernel(spark, sf_dir):
+    e = embeddings_view(spark, sf_dir)
+    return alignment.tanimoto(kernels.group_sums(e, "vec_id", "embedding", "label", kernels.rbf(1.0))).select("ga", "gb", F.round("k", 6).alias("k"))
+
+
+def _mmd_sql(kernel: str, f: str) -> str:
+    return f"WITH {_E}, s AS (SELECT a.label AS ga, b.label AS gb, sum({kernel}) AS s FROM e a CROSS JOIN e b GROUP BY ALL), z AS (SELECT label AS g, count(*) AS m FROM e GROUP BY label), n AS (SELECT count(*) AS n FROM e), t AS (SELECT sum(s) AS t FROM s), c AS (SELECT ga, sum(s) AS c, sum(s) FILTER (ga = gb) AS o FROM s GROUP BY ga) SELECT ga AS label, m AS n_rows, round((o - 2 * (m / n) * c + (m / n) * (m / n) * t) / ({f}), 6) AS score FROM c JOIN z ON g = ga, n, t"
+
+
+def _mmd(spark, sf_dir, kernel: dict, anomaly: bool) -> DataFrame:
+    return kernels.mean_deviation(embeddings_view(spark, sf_dir), "vec_id", "embedding", "label", kernel, anomaly=anomaly).select("label", F.col("n").alias("n_rows"), F.round("score", 6).alias("score"))
+
+
+@query(_mmd_sql("list_inner_product(a.x, b.x)", "m * (n - m) / n"))
+def mmd_linear_contrastive(spark, sf_dir):
+    return _mmd(spark, sf_dir, kernels.linear(), False)
+
+
+@query(_mmd_sql("list_inner_product(a.x, b.x)", "m"))
+def mmd_linear_anomaly(spark, sf_dir):
+    return _mmd(spark, sf_dir, kernels.linear(), True)
+
+
+@query(_mmd_sql(_RBF, "m * (n - m) / n"))
+def mmd_rbf_contrastive(spark, sf_dir):
+    return _mmd(spark, sf_dir, kernels.rbf(1.0), False)
+
+
+# ingest
+
+
+_PARTS = "SELECT k.c_custkey, c_acctbal, n_orders FROM (SELECT c_custkey, c_acctbal FROM customer) AS k {how} JOIN (SELECT o_custkey AS c_custkey, count(*) AS n_orders FROM orders GROUP BY o_custkey) AS p USING (c_custkey)"
+
+
+def _parts(spark, sf_dir, how: str) -> DataFrame:
+    a = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    b = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n_orders"))
+    return ingest.assemble([a, b], "c_custkey", how)
+
+
+for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("outer", "FULL JOIN")):
+    query(_PARTS.replace("{how} JOIN", _sql).replace("k.c_custkey", "c_custkey"), f"part_assembly_{_how}")(lambda spark, sf_dir, how=_how: _parts(spark, sf_dir, how))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def incremental_keys(spark, sf_dir):
+    new = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return ingest.missing(new, read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+_SERIES = "s AS (SELECT user_id, list(value ORDER BY ts, value) AS v, count(*) AS length FROM events GROUP BY user_id)"
+
+
+def _series(spark, sf_dir) -> DataFrame:
+    return ingest.series(read(spark, sf_dir, "events"), "user_id", "ts", "value")
+
+
+@query(f"WITH {_SERIES} SELECT user_id, CAST(length AS INTEGER) AS length, round(v[1], 6) AS first, round(v[len(v)], 6) AS last FROM s")
+def series_collect(spark, sf_dir):
+    return _series(spark, sf_dir).select("user_id", "length", F.round(F.get("values", F.lit(0)), 6).alias("first"), F.round(F.element_at("values", -1), 6).alias("last"))
+
+
+@query(f"WITH {_SERIES}, c AS (SELECT length, count(*) AS c FROM s GROUP BY length) SELECT user_id, CAST(length AS INTEGER) AS length FROM s WHERE length = (SELECT length FROM c ORDER BY c DESC, length LIMIT 1)")
+def modal_length(spark, sf_dir):
+    return ingest.of_modal_length(_series(spark, sf_dir)).select("user_id", "length")
+
+
+@query("SELECT user_id, count(*) FILTER (event_type = 'click') AS n_click, count(*) AS n, round(avg(value), 6) AS mean_value, max(value) AS max_value FROM events GROUP BY user_id")
+def group_rollup(spark, sf_dir):
+    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("n_click"), F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean_value"), F.max("value").alias("max_value"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(CASE WHEN l_discount <> 0 THEN log10(l_discount) END, 6) AS log_discount FROM lineitem")
+def log_null_zero(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(ingest.log10("l_discount"), 6).alias("log_discount"))
+
+
+@query("SELECT o_orderkey, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS days FROM orders")
+def days_since(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select("o_orderkey", ingest.days_since("o_orderdate", "1992-01-01").alias("days"))
+
+
+# the trade graph between nations
+
+_G = "g AS (SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL), f AS (SELECT CAST(n_nationkey AS BIGINT) AS vid, r_name AS feature FROM nation JOIN region ON n_regionkey = r_regionkey)"
+
+
+def _features(spark, sf_dir) -> DataFrame:
+    n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    return n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_nationkey").cast("long").alias("vid"), F.col("r_name").alias("feature"))
+
+
+@query(f"WITH {_G} SELECT src, dst, n FROM g WHERE src IN (SELECT vid FROM f WHERE feature = 'ASIA') AND dst IN (SELECT vid FROM f WHERE feature = 'ASIA')")
+def induced_edges(spark, sf_dir):
+    return graphs.induced(trade_edges(spark, sf_dir), _features(spark, sf_dir).where("feature = 'ASIA'")).select("src", "dst", "n")
+
+
+@query(f"WITH {_G}, v AS (SELECT feature, count(*) AS n_vertices FROM f GROUP BY feature), m AS (SELECT a.feature, count(*) AS n_edges FROM g JOIN f a ON a.vid = src JOIN f b ON b.vid = dst AND a.feature = b.feature GROUP BY a.feature) SELECT feature, n_vertices, coalesce(n_edges, 0) AS n_edges, round(coalesce(n_edges, 0) / n_vertices, 6) AS density FROM v LEFT JOIN m USING (feature)")
+def feature_density(spark, sf_dir):
+    return graphs.feature_density(trade_edges(spark, sf_dir), _features(spark, sf_dir)).withColumn("density", F.round("density", 6))
+
+
+def _busy(spark, sf_dir) -> DataFrame:
+    """Edges with more line items than edges have on average."""
+    e = trade_edges(spark, sf_dir)
+    return e.join(F.broadcast(e.agg(F.avg("n").alias("mean"))), F.col("n") > F.col("mean")).select("src", "dst")
+
+
+@query()
+def coreness(spark, sf_dir):
+    return graphs.coreness(_busy(spark, sf_dir))
+
+
+@query()
+def communities(spark, sf_dir):
+    found = graphs.communities(_busy(spark, sf_dir), _features(spark, sf_dir), 3)
+    return spark.createDataFrame([(i, "^".join(c["features"]), c["n_vertices"], c["n_edges"], round(c["density"], 6)) for i, c in enumerate(found)], "rank int, features string, n_vertices long, n_edges long, density double")
+
+
+@query()
+def wl_labels(spark, sf_dir):
+    return graphs.wl_labels(_busy(spark, sf_dir), _features(spark, sf_dir).withColumnRenamed("feature", "label"), 2)
