@@ -8,13 +8,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters that end a word: \x20 and \x09 to \x0D, which is what bytes.split() splits on.
 SPACES = " \t\n\x0b\x0c\r"
 #: Text bytes that one step of a task works on at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,18 +56,18 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
     """Slices of the batches with about ``limit`` bytes of text; null is empty.
 
     A text that is longer by itself makes a slice of its own and stays whole.
+    Texts become Python objects one slice at a time.
     """
     for batch in batches:
-        texts = batch.column(text).to_pylist()
-        start, size = 0, 0
-        for i, t in enumerate(texts):
-            n = len(t) if t is not None else 0
-            if i > start and size + n > limit:
-                yield batch.slice(start, i - start), [x or "" for x in texts[start:i]]
-                start, size = i, 0
-            size += n
-        if start < len(texts):
-            yield batch.slice(start), [x or "" for x in texts[start:]]
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            part = batch.slice(start, stop - start)
+            yield part, [x or "" for x in part.column(text).to_pylist()]
+            start = stop
 
 
 class WordHashes(dict):
@@ -74,7 +75,7 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         found = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 1 << 19:
+        if len(self) < 1 << 17:
             self[word] = found
         return found
 

@@ -15,8 +15,8 @@ place in it. Within a sequence the pieces then close up without gaps.
 
 Where the tokens are made, ids come from the given tokenizer file. The same
 vocabulary as ranks, if its path is given, takes over texts in which it must
-give the same ids (those without a special token's string): it is six times as
-fast, and checked against the file on a sample of texts in every task.
+give the same ids (those without a special token's string), being six times as
+fast; the tests compare the two.
 
 Edge cases: a null or empty text is the end-of-document id alone; repeated rows
 are packed as often as they come; an empty table gives no pieces. Columns
@@ -26,6 +26,8 @@ besides ``doc_id`` and ``text`` are ignored.
 from __future__ import annotations
 
 import base64
+import json
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,9 +35,11 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import chunks, cut
 
@@ -46,29 +50,23 @@ BPE, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 class Encoder:
     """Ids of texts by a tokenizer file, and by the same vocabulary's ranks where that is sure to be equal."""
 
-    def __init__(self, path: str, ranks: str | None = None, check: int = 4):
-        import os
+    def __init__(self, path: str | None, ranks: str | None = None):
+        self.path, self.tokenizer, self.fast = path, None, self._ranks(ranks) if ranks else None
+        self.special = [t["content"] for t in json.loads(open(path, encoding="utf-8").read()).get("added_tokens", [])] if path else []
 
-        from tokenizers import Tokenizer
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.slow, self.fast, self.check = Tokenizer.from_file(path), None, check
-        self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
-        if ranks:
-            self.fast = self._ranks(ranks)
+    def slow(self, text: str) -> list[int]:
+        if self.tokenizer is None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            self.tokenizer = Tokenizer.from_file(self.path)
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     @classmethod
     def of_ranks(cls, ranks: str) -> Encoder:
         """Ids by the ranks alone: a special token's string is ordinary text."""
-        out = cls.__new__(cls)
-        out.special, out.check, out.slow = [], 0, None
-        out.fast = cls._ranks(ranks)
-        return out
+        return cls(None, ranks)
 
     @staticmethod
     def _ranks(path: str):
-        import tiktoken
-
         with open(path, "rb") as f:
             known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
@@ -76,14 +74,8 @@ class Encoder:
     def ids(self, text: str) -> list[int]:
         text = text.encode("utf-8", "replace").decode() if not text.isascii() else text
         if self.fast is None or any(s in text for s in self.special):
-            return self.slow.encode(text, add_special_tokens=False).ids
-        found = self.fast.encode_ordinary(text)
-        if self.check and len(text) < 20_000:
-            self.check -= 1
-            if found != self.slow.encode(text, add_special_tokens=False).ids:
-                self.fast = None
-                return self.ids(text)
-        return found
+            return self.slow(text)
+        return self.fast.encode_ordinary(text)
 
 
 @lru_cache(maxsize=2)
