@@ -34,6 +34,8 @@ from .flat import create, open_file
 
 MAGIC, BLOCK, HEADER = b"WARC/1.1\r\n", 4 << 20, 64 << 10
 DATE = "2024-01-01T00:00:00Z"
+#: Revisits (of 40 bytes or so) that may be broadcast.
+BROADCAST_ROWS = 1 << 18
 #: Payloads of fewer bytes are responses always.
 LEAST_BYTES = 0
 _FIELD = re.compile(rb"^([A-Za-z0-9-]+):[ \t]*(.*?)[ \t]*$", re.M)
@@ -82,10 +84,13 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """One record per row with an id. Returns (file, bytes, records)."""
     folder = folder or scratch_path(pages.sparkSession, "warc")
     pages = pages.where("page_id is not null").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    keys = cut(pages.select("page_id", F.sha1("html").alias("sha1")).where(F.octet_length("html") >= LEAST_BYTES) if LEAST_BYTES else pages.select("page_id", F.sha1("html").alias("sha1")), "digests")
+    sha1 = F.unhex(F.sha1("html"))
+    keys = cut(pages.where(F.octet_length("html") >= LEAST_BYTES).select("page_id", sha1.alias("sha1")), "digests")
     least = keys.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha1", "first")
-    again = keys.join(least, "sha1").where("page_id <> first").select("page_id", "sha1", "first").distinct()
-    rows = pages.withColumn("sha1", F.sha1("html")).join(again, ["page_id", "sha1"], "left").select("page_id", "url", "html", "first")
+    again = cut(keys.join(least, "sha1").where("page_id <> first").select("page_id", "sha1", "first").distinct(), "again")
+    # pages move only if the revisits are too many to go to them
+    few = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    rows = pages.withColumn("sha1", sha1).join(few, ["page_id", "sha1"], "left").select("page_id", "url", "html", "first")
     return cut(rows.mapInArrow(_write(folder), "file string, bytes long, records long"), "archives")
 
 
