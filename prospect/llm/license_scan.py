@@ -1,12 +1,16 @@
 """License scans: TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-DataFrame functions only. A text's lines are its possible headers; a licence
-file (by its name) is compared as a whole too. Terms are words and version
-numbers in lower case; a term's weight is its inverse document frequency over
-all files, counted for the templates' terms, and 1 for any other. Only lines
-with a telling term (a term of the templates that at most ``TELLING`` of the
-files have, or that a template's name needs) are compared; the sparse vectors
-meet the templates' in a join on terms. The best template with a cosine of
+DataFrame functions only. A text's possible headers are its lines and the windows
+of consecutive ones, as many as the longest template has words, so that a notice
+is found however it is broken; lines without terms do not count. A licence file
+(by its name) is compared as a whole too. Terms are words and version numbers in
+lower case; a term's weight is its inverse document frequency over all files,
+counted for the templates' terms, and 1 for any other. What cannot reach
+``COSINE`` is not compared: a passage is at least as long as the terms that it
+shares with a template, so these must weigh enough, however common they are; and
+a window ends where dropping a line loses a shared term, since it is no worse
+without that line otherwise. The sparse vectors meet the templates' in a join on
+terms. The best template with a cosine of
 ``COSINE`` or more is the file's own licence. A directory's licence is that of
 its licence file (the best match, then the least path). A file without its own
 inherits from the nearest directory above it that has one: the distinct
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-COSINE, TELLING = 0.6, 0.2
+COSINE = 0.6
 #: Usual notices by SPDX identifier.
 TEMPLATES = [
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
@@ -64,24 +68,46 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}.]+|\.(?!\p{N})|(?<!\p{N})\.", " "), " +"), lambda w: w != ""))
 
 
-def _own(files: DataFrame, known: DataFrame) -> DataFrame:
+def _vectors(known: DataFrame) -> DataFrame:
+    return cut(known.withColumn("t", F.monotonically_increasing_id()).select("t", "license", F.explode(terms(F.col("text"))).alias("term")), "templates")
+
+
+def _may_match(shared: Column, others: Column, sides: list[list[str]], squares: dict[str, float]) -> Column:
+    """Whether a passage with these terms of the templates and ``others`` more can have a cosine of ``COSINE``; never false if it has."""
+    known = F.array(*(F.struct(F.array(*map(F.lit, t)).alias("terms"), F.lit(COSINE**2 * sum(squares[w] for w in t)).alias("need")) for t in sides))
+    square = F.create_map(*(F.lit(x) for w in squares for x in (w, squares[w])))
+    dot = lambda t: F.aggregate(F.array_intersect(shared, t["terms"]), F.lit(0.0), lambda a, w: a + F.element_at(square, w))
+    # the passage's squared length is the dot product with itself: no less than that with the template, plus 1 for each other term
+    return F.exists(known, lambda t: F.exists(F.array(dot(t)), lambda d: (d > 0) & (d * d * (1 + 1e-6) >= t["need"] * (d + others))))
+
+
+def _own(files: DataFrame, vectors: DataFrame, words: list[str], most_lines: int) -> DataFrame:
     """(row, license, cosine): the best template of each file that has one."""
     spark = files.sparkSession
-    vectors = cut(known.withColumn("t", F.monotonically_increasing_id()).select("t", "license", F.explode(terms(F.col("text"))).alias("term")), "templates")
     # inverse document frequencies of the templates' terms, over all files
-    words = [r["term"] for r in vectors.select("term").distinct().orderBy("term").collect()]  # bounded by the templates
-    mine = F.array_intersect(terms(F.col("text")), F.array(*map(F.lit, words)))
-    counts = {r["term"]: r["n"] for r in files.select(F.explode(mine).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["term"]: r["n"] for r in files.select(F.explode("known_terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = max(1, files.count())
-    weights = spark.createDataFrame([(w, math.log((1 + total) / (1 + counts.get(w, 0))) + 1, counts.get(w, 0) <= TELLING * total) for w in words], "term string, idf double, telling boolean")
-    telling = [r["term"] for r in weights.where("telling").collect()]
-    if not telling:
-        telling = words
-    lines = F.split("text", "\n")
-    whole = F.when(F.element_at(F.split("path", "/"), -1).rlike(FILES), F.array("text")).otherwise(F.array().cast("array<string>"))
-    passages = files.select("row", F.explode(F.concat(lines, whole)).alias("line")).select("row", terms(F.col("line")).alias("terms"))
-    passages = passages.where(F.arrays_overlap("terms", F.array(*map(F.lit, telling)))).select("row", F.concat_ws(" ", F.array_sort("terms")).alias("line"))
-    passages = cut(passages, "passages")
+    idf = {w: math.log((1 + total) / (1 + counts.get(w, 0))) + 1 for w in words}
+    weights = spark.createDataFrame(list(idf.items()), "term string, idf double")
+    sides = [sorted(r["terms"]) for r in vectors.groupBy("t").agg(F.collect_list("term").alias("terms")).collect()]  # bounded by the templates
+    may = lambda shared, others: _may_match(shared, others, sides, {w: x * x for w, x in idf.items()})
+    mine = F.array(*map(F.lit, words))
+    open_ = files.where(may(F.col("known_terms"), F.lit(0)))
+    lines = F.filter(F.transform(F.split("text", "\n"), terms), lambda t: F.size(t) > 0)
+    whole = F.when(F.element_at(F.split("path", "/"), -1).rlike(FILES), terms(F.col("text")))
+    open_ = cut(open_.select("row", lines.alias("lines"), whole.alias("whole")), "lines")
+    each = open_.select("row", "lines", F.transform("lines", lambda t: F.array_intersect(t, mine)).alias("shared"), F.transform("lines", lambda t: F.size(F.array_except(t, mine))).alias("others"))
+    first = F.filter(F.sequence(F.lit(0), F.size("shared") - 1), lambda i: (F.size(F.get("shared", i)) > 0) & may(F.flatten(F.slice("shared", i + 1, most_lines)), F.lit(0)))
+    each = each.withColumn("i", F.explode(first)).select("row", *(F.slice(c, F.col("i") + 1, most_lines).alias(c) for c in ("lines", "shared", "others")))
+    ends = F.filter(
+        F.sequence(F.lit(1), F.size("shared")),
+        lambda n: (F.size(F.array_except(F.get("shared", n - 1), F.flatten(F.slice("shared", 1, n - 1)))) > 0)
+        & (F.size(F.array_except(F.get("shared", F.lit(0)), F.flatten(F.slice("shared", 2, n - 1)))) > 0)
+        & may(F.flatten(F.slice("shared", 1, n)), F.array_max(F.slice("others", 1, n))),
+    )
+    each = each.withColumn("n", F.explode(ends)).select("row", F.array_distinct(F.flatten(F.slice("lines", F.lit(1), F.col("n")))).alias("terms"))
+    passages = each.unionByName(open_.where("whole is not null").select("row", F.col("whole").alias("terms")))
+    passages = cut(passages.select("row", F.concat_ws(" ", F.array_sort("terms")).alias("line")).distinct(), "passages")
     # a line that many files have is compared once
     w = F.broadcast(weights.select("term", "idf"))
     each = passages.select("line").distinct().select("line", F.explode(F.split("line", " ")).alias("term")).join(w, "term", "left").withColumn("idf", F.coalesce("idf", F.lit(1.0)))
@@ -96,13 +122,17 @@ def _own(files: DataFrame, known: DataFrame) -> DataFrame:
 
 def scan(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """The files' columns without the text, with ``license``, ``cosine`` (of an own one), ``found`` (own, inherited or none) and ``licensed_by``, the directory inherited from."""
-    named = [c for c in files.columns if c not in ("text", "license", "cosine", "found", "licensed_by", "row", "dir")]
+    known = known if known is not None else templates(files.sparkSession)
+    named = [c for c in files.columns if c not in ("text", "license", "cosine", "found", "licensed_by", "row", "dir", "known_terms")]
     rows = files.select(*named, F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("path", F.monotonically_increasing_id()))
-    rows = cut(rows, "files")
+    vectors = _vectors(known)
+    words = [r["term"] for r in vectors.select("term").distinct().orderBy("term").collect()]  # bounded by the templates
+    most_lines = max(1, known.agg(F.max(F.size(F.split(F.trim("text"), r"\s+")))).first()[0] or 1)
+    rows = cut(rows.withColumn("known_terms", F.array_intersect(terms(F.col("text")), F.array(*map(F.lit, words)))), "files")
     parts = F.split("path", "/")
     rows = rows.withColumn("dir", F.when(F.size(parts) > 1, F.concat_ws("/", F.slice(parts, 1, F.size(parts) - 1))).when(F.col("path").isNotNull(), F.lit("")))
-    own = cut(_own(rows, known if known is not None else templates(files.sparkSession)), "own")
-    rated = rows.drop("text").join(own, "row", "left")
+    own = cut(_own(rows, vectors, words, most_lines), "own")
+    rated = rows.drop("text", "known_terms").join(own, "row", "left")
     licensed = rated.where(F.col("license").isNotNull() & F.element_at(parts, -1).rlike(FILES))
     by_dir = licensed.groupBy(F.col("dir").alias("above")).agg(F.min(F.struct((-F.col("cosine")).alias("c"), "path", "license")).alias("b")).select("above", F.col("b.license").alias("inherited"))
     dirs = rows.select("dir").where("dir is not null").distinct()

@@ -311,6 +311,22 @@ def test_licenses_and_inheritance(spark):
     assert of["top.py"] == of[None] == (None, "none", None)
 
 
+def test_a_license_that_a_third_of_the_files_carry(spark):
+    rng = random.Random(11)
+    rows = [(f"hot/{i}.py", prose(rng, 12) + "\nReleased under the MIT License.\n" + prose(rng, 9)) for i in range(28)]
+    rows += [("hot/sub/LICENSE", "Released under the MIT License."), ("hot/sub/x.py", "code")]
+    rows += [(f"cold/{i}.py", prose(rng, 20)) for i in range(56)]
+    notice = next(t for n, t in license_scan.TEMPLATES if n == "ISC").split()
+    for k in (1, 3, 9):
+        lines = [" ".join(notice[i : i + k]) for i in range(0, len(notice), k)]
+        rows.append((f"broken/{k}.py", prose(rng, 10) + "\n" + "\n * \n".join(lines) + "\n" + prose(rng, 10)))
+    got = {r["path"]: (r["license"], r["found"]) for r in plain(license_scan.scan(spark.createDataFrame(rows, "path string, text string")))}
+    assert all(got[f"hot/{i}.py"] == ("MIT", "own") for i in range(28))
+    assert got["hot/sub/LICENSE"] == ("MIT", "own") and got["hot/sub/x.py"] == ("MIT", "inherited")
+    assert all(got[f"cold/{i}.py"] == (None, "none") for i in range(56))
+    assert all(got[f"broken/{k}.py"] == ("ISC", "own") for k in (1, 3, 9))
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     bench = spark.createDataFrame([], "item_id long, text string")
