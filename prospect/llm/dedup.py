@@ -16,11 +16,13 @@ buckets with texts of several components (of the links so far): of a bucket's
 smallest component the text that shares most buckets with others (among copies
 that differ from each other, the one they come from) is compared with all texts
 of the bucket's other components, then leaves the bucket. So every pair of a bucket that is not joined
-otherwise is compared, and a bucket of copies, however large, costs one round. A
-bucket that outlives ``PLAIN_ROUNDS`` (many texts alike only in a common passage)
-is split by further coordinates, in several ways, of which near copies share at
-least one with high probability. Nothing is capped. Pairs are verified exactly,
-and the links' components are the classes.
+otherwise is compared, and a bucket of copies, however large, costs one round.
+The texts of buckets that outlive ``PLAIN_ROUNDS`` (many texts alike only in a
+common passage) are joined exactly: windows have one order, rare ones first, and
+two near copies share one among the first that make up the part of each that the
+other may lack, so no pair is lost. Any order will do; this one counts windows in
+``CELLS`` cells, so that common passages come last. Nothing is capped. Pairs are
+verified exactly, and the links' components are the classes.
 
 Edge cases: equal texts are always one class, whatever their length; a null
 text is an empty one; texts under five words have no windows and match equal
@@ -44,9 +46,8 @@ from .components import components
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
-#: Rounds with a bucket's key as it is, ways to split a bucket that outlives them, coordinates of each way. Near copies
-#: share one way with a probability of 0.986; texts alike to 0.7 or less leave fewer rows than there were.
-PLAIN_ROUNDS, WAYS, WAY_ROWS = 3, 60, 12
+#: Rounds with a bucket's key as it is, and cells that windows are counted in to order them: 8 MB.
+PLAIN_ROUNDS, CELLS = 3, 1 << 20
 #: Ids that may be broadcast: 8 MB.
 BROADCAST_IDS = 1 << 20
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -111,35 +112,62 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = signatures([x for x in sets if len(x[0])])
         keys = iter(_folded(found.reshape(-1, BANDS, ROWS), 1).tolist())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("text_key"), pa.array([next(keys) if x else None for x in has], pa.list_(pa.int64())), pa.array(_bytes(found, has), pa.binary())],
-            ["doc_id", "text_key", "bands", "signature"],
+            [batch.column("doc_id"), batch.column("text_key"), pa.array([next(keys) if x else None for x in has], pa.list_(pa.int64()))],
+            ["doc_id", "text_key", "bands"],
         )
 
 
-def _bytes(found: np.ndarray, has: np.ndarray) -> list[bytes | None]:
-    rows = iter(found)
-    return [next(rows).tobytes() if x else None for x in has]
+def _units(text: str, words: WordHashes) -> np.ndarray:
+    """A hash for each unit of weight: as plain sets, two texts' units are as similar as their weighted sets."""
+    hashes, counts = weighted(text, words)
+    unit = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return mix(np.repeat(hashes, counts) ^ mix(unit.astype(np.uint64) + np.uint64(1)))
+
+
+def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words, total = WordHashes(), np.zeros(CELLS, np.int64)
+    for _, texts in chunks(batches):
+        for text in texts:
+            np.add.at(total, (_units(text, words) % np.uint64(CELLS)).astype(np.int64), 1)
+    cells = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
 
 
-def _split(level: int):
-    """Each row of an old bucket in WAYS new ones, by WAY_ROWS coordinates each, others at each level."""
-    rng = np.random.default_rng(level)
-    pick = np.array([rng.choice(COORDINATES, WAY_ROWS, replace=False) for _ in range(WAYS)])
+def _first_units(counts):
+    """(rep, size, at, unit): the units of each text by their order, as many as a near copy cannot lack all of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                n = batch.num_rows
-                key = batch.column("key").to_numpy().view(np.uint64)
-                sign = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(n, COORDINATES)
-                way = np.broadcast_to(np.arange(WAYS, dtype=np.uint64)[None, :, None], (n, WAYS, 1))
-                new = _folded(np.concatenate([np.broadcast_to(key[:, None, None], (n, WAYS, 1)), way, sign[:, pick].astype(np.uint64)], axis=2), level)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("rep").to_numpy(), WAYS)), pa.array(new.ravel()), pa.array(np.repeat(batch.column("near").to_numpy(), WAYS)), pa.array(np.zeros(new.size, np.int32))], ["rep", "key", "near", "age"])
+        words = WordHashes()
+        for batch, texts in chunks(batches):
+            reps, sizes, places, units = [], [], [], []
+            for rep, text in zip(batch.column("rep").to_pylist(), texts):
+                x = _units(text, words)
+                n = counts.value[(x % np.uint64(CELLS)).astype(np.int64)]
+                order = np.lexsort((x, n))[: len(x) - int(np.ceil(SIMILARITY * len(x) - 1e-9)) + 1]
+                at = np.flatnonzero(n[order] > 1)  # what is alone in its cell is in no other text
+                reps.append(np.full(len(at), rep, np.int64))
+                sizes.append(np.full(len(at), len(x), np.int64))
+                places.append(at)
+                units.append(x[order[at]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (reps, sizes, places, units)], ["rep", "size", "at", "unit"])
 
     return run
 
 
+def _exact_pairs(texts: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """(a, b, ca, cb): pairs of different components, all near copies among ``texts`` (rep, text) included."""
+    counted = texts.mapInArrow(_count_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most CELLS rows
+    counts = np.zeros(CELLS, np.int64)
+    counts[counted["cell"].to_numpy()] = counted["n"].to_numpy()
+    first = texts.mapInArrow(_first_units(texts.sparkSession.sparkContext.broadcast(counts)), "rep long, size long, at long, unit long")
+    first = cut(_with_comp(first, comp), "units")
+    a, b = (first.select("unit", F.col("rep").alias(x), F.col("comp").alias("c" + x), F.col("size").alias("s" + x), F.col("at").alias("p" + x)) for x in "ab")
+    # the first unit that two near copies share leaves enough behind it on both sides
+    share = SIMILARITY / (1 + SIMILARITY)
+    found = a.join(b, "unit").where("a < b and ca <> cb").where(F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) >= share * (F.col("sa") + F.col("sb")) - 1e-6)
+    return found.select("a", "b", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).distinct()
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The exact weighted Jaccard similarity of each pair's texts."""
     words, last = WordHashes(), (None, None)
@@ -157,17 +185,39 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "ca", "cb")), pa.array(out, pa.float64())], ["a", "b", "ca", "cb", "similarity"])
 
 
+def _with_comp(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
+    return rows.withColumn("comp", F.col("rep")) if comp is None else rows.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+
+
 def _contested(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
     """The rows whose key has texts of more than one component."""
-    now = rows.withColumn("comp", F.col("rep")) if comp is None else rows.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    keys = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    keys = _with_comp(rows, comp).groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     return rows.join(keys, "key", "left_semi")
 
 
+def _rated(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    with_b = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
+    both = with_b.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
+    return cut(both.select("a", "b", "ca", "cb", "text_a", "text_b").mapInArrow(_verify, "a long, b long, ca long, cb long, similarity double"), "rated")
+
+
+def _merged(comp: DataFrame | None, rated: DataFrame) -> DataFrame | None:
+    """The components after the links among ``rated`` pairs."""
+    good = rated.where(F.col("similarity") >= SIMILARITY)
+    if good.isEmpty():
+        return comp
+    moved = components(good.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("comp"), "component")
+    if comp is None:
+        return moved.select(F.col("comp").alias("rep"), F.col("component").alias("comp"))
+    old = comp.join(moved, "comp", "left").select("rep", F.coalesce("component", "comp").alias("comp"))
+    new = moved.join(comp.select(F.col("rep").alias("comp")), "comp", "left_anti")
+    return cut(old.unionByName(new.select(F.col("comp").alias("rep"), F.col("component").alias("comp"))), "components")
+
+
 def linked(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """(rep, comp): the component of each text that has a near copy, by its least rep.
 
-    ``signed`` has a row (rep, bands, signature) for each text, ``docs`` its text by doc_id.
+    ``signed`` has a row (rep, bands) for each text, ``docs`` its text by doc_id.
     """
     spark = docs.sparkSession
     rows = signed.select("rep", F.posexplode("bands").alias("band", "at")).select("rep", F.xxhash64("band", "at").alias("key"))
@@ -178,46 +228,36 @@ def linked(docs: DataFrame, signed: DataFrame) -> DataFrame:
     few = F.broadcast(ids.select("rep")) if ids.count() <= BROADCAST_IDS else ids.select("rep")
     texts = cut(docs.join(few, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").cast("long").alias("rep"), "text").dropDuplicates(), "texts")
     rows = rows.join(ids, "rep").select("rep", "key", "near", F.lit(0).alias("age"))
-    comp = None
-    level = 0
+    comp, stale = None, None
     while True:
-        level += 1
-        now = rows.withColumn("comp", F.col("rep")) if comp is None else rows.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        now = _with_comp(rows, comp)
         parts = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct((-F.col("near")).alias("near"), "rep")).alias("top"))
         lead = parts.groupBy("key").agg(F.min(F.struct("c", "top", "comp")).alias("l"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("l.top.rep").alias("first"), F.col("l.comp").alias("of"))
         open_ = cut(now.join(lead, "key"), "buckets")
         if open_.isEmpty():
-            return comp if comp is not None else spark.createDataFrame([], "rep long, comp long")
+            break
         pairs = open_.where("comp <> of").select(F.least("rep", "first").alias("a"), F.greatest("rep", "first").alias("b"), F.least("comp", "of").alias("ca"), F.greatest("comp", "of").alias("cb")).distinct()
-        with_b = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
-        both = with_b.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
-        rated = cut(both.select("a", "b", "ca", "cb", "text_a", "text_b").mapInArrow(_verify, "a long, b long, ca long, cb long, similarity double"), "rated")
-        good = rated.where(F.col("similarity") >= SIMILARITY)
-        if not good.isEmpty():
-            moved = components(good.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("comp"), "component")
-            if comp is not None:
-                old = comp.join(moved, "comp", "left").select("rep", F.coalesce("component", "comp").alias("comp"))
-                new = moved.join(comp.select(F.col("rep").alias("comp")), "comp", "left_anti")
-                comp = cut(old.unionByName(new.select(F.col("comp").alias("rep"), F.col("component").alias("comp"))), "components")
-            else:
-                comp = moved.select(F.col("comp").alias("rep"), F.col("component").alias("comp"))
+        comp = _merged(comp, _rated(pairs, texts))
         left = open_.where("rep <> first").select("rep", "key", "near", (F.col("age") + 1).alias("age"))
         rows, aged = left.where(F.col("age") < PLAIN_ROUNDS), left.where(F.col("age") >= PLAIN_ROUNDS)
-        if not aged.isEmpty():
-            new = _contested(aged, comp).join(signed.select("rep", "signature"), "rep").select("rep", "key", "near", "signature").mapInArrow(_split(level), "rep long, key long, near long, age int")
-            rows = cut(rows.unionByName(_contested(new, comp).select("rep", "key", "near", "age")), "bands")
+        stale = aged if stale is None else stale.unionByName(aged)
+    if stale is not None:
+        again = cut(texts.join(_contested(stale, comp).select("rep").distinct(), "rep", "left_semi"), "stale")
+        if not again.isEmpty():
+            comp = _merged(comp, _rated(_exact_pairs(again, comp), texts))
+    return comp if comp is not None else spark.createDataFrame([], "rep long, comp long")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id): a class is named by its least id."""
     docs = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = docs.withColumn("text_key", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
-    signed = cut(keyed.select("doc_id", "text_key", "text").mapInArrow(_sign, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key binary, bands array<long>, signature binary"), "signed")
+    signed = cut(keyed.select("doc_id", "text_key", "text").mapInArrow(_sign, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key binary, bands array<long>"), "signed")
     # equal texts: one stands for all
     rep = signed.groupBy("text_key").agg(F.min("doc_id").cast("long").alias("rep"))
     member = cut(signed.select("doc_id", "text_key").join(rep, "text_key").select("doc_id", "rep"), "members")
     reps = member.select("rep").distinct()
-    one = signed.where("bands is not null").join(reps, signed["doc_id"] == reps["rep"]).select("rep", "bands", "signature").dropDuplicates(["rep", "bands"])
+    one = signed.where("bands is not null").join(reps, signed["doc_id"] == reps["rep"]).select("rep", "bands").dropDuplicates(["rep", "bands"])
     comp = linked(docs, one)
     named = member.join(comp, "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("class"))
     least = named.groupBy("doc_id").agg(F.min("class").alias("class_id"), F.max("class").alias("other"))

@@ -69,6 +69,19 @@ def test_dedup_many_texts_alike_in_a_passage(spark):
     assert {got[1000 + i] for i in range(20)} == {1000}
 
 
+def test_dedup_pairs_at_the_threshold_in_one_bucket(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(150):
+        common = prose(rng, 93)  # 89 windows of 111: a similarity of 0.802
+        rows += [(2 * i, common + " " + prose(rng, 11)), (2 * i + 1, common + " " + prose(rng, 11))]
+    words = dedup.WordHashes()
+    signs = dedup.signatures([dedup.weighted(t, words) for _, t in rows])
+    signed = spark.createDataFrame([(i, [7], s.tobytes()) for (i, _), s in zip(rows, signs)], "rep long, bands array<long>, signature binary")
+    got = {r["rep"]: r["comp"] for r in plain(dedup.linked(table(spark, rows), signed))}
+    assert got == {i: i - i % 2 for i in range(300)}
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2**63, 400).astype(np.uint64)
