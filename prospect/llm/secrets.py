@@ -2,15 +2,16 @@
 
 Every run of 16 or more key characters with a digit and a letter is a candidate.
 A small convolutional network (numpy; characters in classes, one layer, maximum
-over positions) reads it with 24 characters of context on both sides, and a
-logistic scale fitted on held-out findings calibrates its output. The threshold
+over positions) reads it with 24 characters of context on both sides, a run of
+more than ``INSIDE`` characters in windows that overlap, of which the likeliest
+counts, and a logistic scale fitted on held-out findings calibrates its output. The threshold
 is the largest that still finds ``RECALL`` of the held-out secrets. The network
 is trained on labelled findings that ``labelled`` makes from a fixed seed
 (shapes of published key formats, against identifiers, numbers, addresses, words
 and digests that are no secrets), once on the driver, in a few seconds.
 
-Spans of the fixed patterns always stay; the network adds spans that none of
-them touches. Positions are code points.
+Spans of the fixed patterns always stay; the network adds the full extent of any
+other candidate, but of those that lie within one of them. Positions are code points.
 
 Edge cases: a null text is an empty one and has no spans; repeated rows are
 scanned as often as they come; an empty table gives no rows. Columns besides
@@ -39,7 +40,7 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 #: Any match of HEX that is long enough; a run is searched for by its length, which is much faster.
 LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
-CONTEXT, INSIDE, RECALL = 24, 48, 0.995
+CONTEXT, INSIDE, STEP, RECALL = 24, 48, 8, 0.995
 WIDTH = 2 * CONTEXT + INSIDE
 FILTERS, SPAN, DEPTH = 24, 5, 12
 
@@ -77,6 +78,16 @@ def window(text: str, start: int, end: int) -> bytes:
     return whole.encode("latin-1", "replace")
 
 
+def windows_of(text: str, start: int, end: int) -> list[bytes]:
+    """The windows that a candidate is read in: every stretch of ``INSIDE - STEP`` characters stands whole in one of them."""
+    out = [window(text, start, end)]
+    if end - start > INSIDE:
+        before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
+        for a in [*range(start, end - INSIDE, STEP), end - INSIDE]:
+            out.append(window(before + text[a : a + INSIDE] + after, len(before), len(before) + INSIDE))
+    return out
+
+
 def classes(windows: list[bytes]) -> np.ndarray:
     return _CLASSES[np.frombuffer(b"".join(windows), np.uint8)].reshape(len(windows), WIDTH)
 
@@ -188,7 +199,7 @@ class Network:
             self.scale -= 0.05 * float(((p - y) * z).mean())
             self.shift -= 0.05 * float((p - y).mean())
         found = np.sort(self.chances(x)[y == 1])
-        self.threshold = float(max(0.5, found[int((1 - recall) * len(found))] - 1e-9)) if len(found) else 0.5
+        self.threshold = float(found[int((1 - recall) * len(found))] - 1e-9) if len(found) else 0.5
 
 
 @lru_cache(maxsize=1)
@@ -203,16 +214,18 @@ def trained() -> Network:
 
 def spans(texts: list[str], net: Network) -> list[list[tuple[int, int, str]]]:
     """All spans of each text by start, then kind; the network reads the candidates of all texts together."""
-    out, open_, windows = [], [], []
+    out, open_, windows, firsts = [], [], [], []
     for i, text in enumerate(texts):
         found = base_spans(text)
         for a, b in candidates(text):
-            if not any(a < e and s < b for s, e, _ in found):
+            if not any(s <= a and b <= e for s, e, _ in found):
                 open_.append((i, a, b))
-                windows.append(window(text, a, b))
+                firsts.append(len(windows))
+                windows += windows_of(text, a, b)
         out.append(found)
     if windows:
-        for (i, a, b), p in zip(open_, net.chances(classes(windows))):
+        chances = np.concatenate([net.chances(classes(windows[k : k + 4096])) for k in range(0, len(windows), 4096)])
+        for (i, a, b), p in zip(open_, np.maximum.reduceat(chances, firsts)):
             if p >= net.threshold:
                 out[i].append((a, b, "learned"))
     return [sorted(x, key=lambda s: (s[0], KINDS.index(s[2]))) for x in out]

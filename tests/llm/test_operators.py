@@ -178,6 +178,25 @@ def test_secret_network_on_held_out_findings():
     assert found[y == 1].mean() > 0.97 and found[y == 0].mean() < 0.02
 
 
+def test_secret_network_reads_whole_candidates():
+    net = secrets.trained()
+    key = "q7RkZ2mVx9TbL4cWpY8sHdN3fGjA6uEoK1iXzBvC"
+    path = f"//hostname/api/version/one/items/{key}/download/latest/items/of/the/archive.json"
+    half = "Zq7RkTmVxbLcWpYs0123456789abcdef01HdNfGjAuEoKiXzBvC"
+    found = secrets.spans([f"see {path} for it", f"key {half} here", "see //hostname/api/version/one/items/of/the/list/download/latest/items/of/the/archive1.json for it"], net)
+    assert (4, 4 + len(path), "learned") in found[0]
+    assert (4, 4 + len(half), "learned") in found[1] and any(k == "hex" for _, _, k in found[1])
+    assert found[2] == []
+
+
+def test_secret_threshold_keeps_the_recall():
+    net = secrets.Network()
+    net.raw = lambda z: z
+    z, y = np.array([3.0] * 5 + [-3.0] * 55), np.array([1] * 10 + [0] * 50)
+    net.calibrate(z, y)
+    assert (net.chances(z)[y == 1] >= net.threshold).all()
+
+
 def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
