@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def _least(edges: DataFrame, both: bool) -> DataFrame:
@@ -32,10 +32,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     e = cut(e, "edges")
     seen = None
     for _ in range(rounds):
+        last = e
         large = _least(e, True).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         near = _least(large, False)
         small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).distinct()
         e = cut(small, "edges")
+        discard(last)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -11,24 +11,25 @@ text keeps, per coordinate, the dart of least rank that falls within its
 elements' weights. Only darts up to rank t / W matter, W being the total weight,
 so a text costs its length plus some hundred darts.
 
-Texts that share all coordinates of a band are candidates. Rounds go over the
-buckets with texts of several components (of the links so far): of a bucket's
-smallest component the text that shares most buckets with others (among copies
-that differ from each other, the one they come from) is compared with all texts
-of the bucket's other components, then leaves the bucket. So every pair of a bucket that is not joined
-otherwise is compared, and a bucket of copies, however large, costs one round.
-The texts of buckets that outlive ``PLAIN_ROUNDS`` (many texts alike only in a
-common passage) are joined exactly: windows have one order, rare ones first, and
-two near copies share one among the first that make up the part of each that the
-other may lack, so no pair is lost. Any order will do; this one counts windows in
-``CELLS`` cells, so that common passages come last. Nothing is capped. Pairs are
+Texts that share all coordinates of a band are candidates; buckets are never
+expanded to pairs. First every text is compared with one text of each of its
+buckets, that which shares most buckets with others (among copies that differ
+from each other, the one they come from), so that a group of copies, however
+large, costs as many comparisons as it has texts. The links' components are then
+most of the classes. The texts of buckets that still hold several components are
+joined exactly: windows have one order, rare ones first, and two near copies share
+one among the first that make up the part of each that the other may lack, with
+enough left behind it, so no pair is lost. Any order will do; this one counts
+windows in ``CELLS`` cells, so that common passages come last. Of a window's texts
+those of its largest component never meet each other. Nothing is capped. Pairs are
 verified exactly, and the links' components are the classes.
 
 Edge cases: equal texts are always one class, whatever their length; a null
 text is an empty one; texts under five words have no windows and match equal
-texts only. Rows without an id are left out; an id that occurs more than once
-gives one row, and its texts share a class. An empty table gives no rows. Columns
-besides ``doc_id`` and ``text`` are ignored.
+texts only; a very long text is signed and compared as a whole. Rows without an
+id are left out; an id that occurs more than once gives one row, and its texts
+share a class. Ids may be of any type that Spark sorts. An empty table gives no
+rows. Columns besides ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
@@ -40,16 +41,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, chunks, cut, encode, mix, shingles
+from .common import WordHashes, chunks, cut, discard, encode, mix, shingles
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
-#: Rounds with a bucket's key as it is, and cells that windows are counted in to order them: 8 MB.
-PLAIN_ROUNDS, CELLS = 3, 1 << 20
+#: Cells that windows are counted in to order them: 8 MB.
+CELLS = 1 << 20
 #: Ids that may be broadcast: 8 MB.
 BROADCAST_IDS = 1 << 20
+#: Of two near copies' sizes added, the part that they share at least.
+SHARE = SIMILARITY / (1 + SIMILARITY)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -134,45 +137,57 @@ def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _first_units(counts):
-    """(rep, size, at, unit): the units of each text by their order, as many as a near copy cannot lack all of."""
+    """(rep, size, at, short, unit): the units of each text by their order, as many as a near copy cannot lack all of.
+
+    ``short``: whether a near copy of at least its size shares one up to there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch, texts in chunks(batches):
-            reps, sizes, places, units = [], [], [], []
-            for rep, text in zip(batch.column("rep").to_pylist(), texts):
+            rows, sizes, places, units = [], [], [], []
+            for i, text in enumerate(texts):
                 x = _units(text, words)
                 n = counts.value[(x % np.uint64(CELLS)).astype(np.int64)]
                 order = np.lexsort((x, n))[: len(x) - int(np.ceil(SIMILARITY * len(x) - 1e-9)) + 1]
                 at = np.flatnonzero(n[order] > 1)  # what is alone in its cell is in no other text
-                reps.append(np.full(len(at), rep, np.int64))
+                rows.append(np.full(len(at), i))
                 sizes.append(np.full(len(at), len(x), np.int64))
                 places.append(at)
                 units.append(x[order[at]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (reps, sizes, places, units)], ["rep", "size", "at", "unit"])
+            size, place = np.concatenate(sizes), np.concatenate(places)
+            short = place <= size - np.ceil(2 * SHARE * size - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(np.concatenate(rows))), *map(pa.array, (size, place, short, np.concatenate(units)))], ["rep", "size", "at", "short", "unit"])
 
     return run
 
 
-def _exact_pairs(texts: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """(a, b, ca, cb): pairs of different components, all near copies among ``texts`` (rep, text) included."""
+def _exact_pairs(texts: DataFrame, comp: DataFrame) -> DataFrame:
+    """(lead, rep): pairs of different components, all near copies among ``texts`` (rep, text) included."""
     counted = texts.mapInArrow(_count_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most CELLS rows
     counts = np.zeros(CELLS, np.int64)
     counts[counted["cell"].to_numpy()] = counted["n"].to_numpy()
-    first = texts.mapInArrow(_first_units(texts.sparkSession.sparkContext.broadcast(counts)), "rep long, size long, at long, unit long")
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+    first = texts.mapInArrow(_first_units(shared), f"rep {dict(texts.dtypes)['rep']}, size long, at long, short boolean, unit long")
     first = cut(_with_comp(first, comp), "units")
-    a, b = (first.select("unit", F.col("rep").alias(x), F.col("comp").alias("c" + x), F.col("size").alias("s" + x), F.col("at").alias("p" + x)) for x in "ab")
+    # units of several components, and the one with most texts
+    each = first.groupBy("unit", "comp").agg(F.count(F.lit(1)).alias("n"))
+    most = cut(each.groupBy("unit").agg(F.max(F.struct("n", "comp")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("unit", F.col("m.comp").alias("most")), "most")
+    met = cut(first.join(most, "unit").withColumn("inner", F.col("comp") == F.col("most")).drop("most"), "met")
+    a = met.where("short").select("unit", *(F.col(c).alias("a_" + c) for c in ("rep", "comp", "size", "at", "inner")))
+    outer = a.join(met.where("not inner"), "unit")
+    inner = a.where("not a_inner").join(met.where("inner"), "unit")
     # the first unit that two near copies share leaves enough behind it on both sides
-    share = SIMILARITY / (1 + SIMILARITY)
-    found = a.join(b, "unit").where("a < b and ca <> cb").where(F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) >= share * (F.col("sa") + F.col("sb")) - 1e-6)
-    return found.select("a", "b", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).distinct()
+    enough = F.least(F.col("a_size") - F.col("a_at"), F.col("size") - F.col("at")) >= SHARE * (F.col("a_size") + F.col("size")) - 1e-6
+    found = outer.unionByName(inner).where((F.col("a_comp") != F.col("comp")) & (F.col("a_size") <= F.col("size")) & enough)
+    return found.select(F.least("a_rep", "rep").alias("lead"), F.greatest("a_rep", "rep").alias("rep")).distinct()
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The exact weighted Jaccard similarity of each pair's texts."""
     words, last = WordHashes(), (None, None)
     for batch in batches:
-        left, right = batch.column("text_a"), batch.column("text_b")
+        left, right = batch.column("text_lead"), batch.column("text_rep")
         out = []
         for i in range(batch.num_rows):
             a = left[i].as_py()
@@ -182,36 +197,19 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, ia, ib = np.intersect1d(xa, xb, assume_unique=True, return_indices=True)
             both = int(np.minimum(wa[ia], wb[ib]).sum())
             out.append(both / max(1, int(wa.sum() + wb.sum()) - both))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "ca", "cb")), pa.array(out, pa.float64())], ["a", "b", "ca", "cb", "similarity"])
-
+        yield pa.RecordBatch.from_arrays([batch.column("lead"), batch.column("rep"), pa.array(out, pa.float64())], ["lead", "rep", "similarity"])
 
-def _with_comp(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
-    return rows.withColumn("comp", F.col("rep")) if comp is None else rows.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
+def _with_comp(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    return rows.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
-def _contested(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """The rows whose key has texts of more than one component."""
-    keys = _with_comp(rows, comp).groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    return rows.join(keys, "key", "left_semi")
 
-
-def _rated(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    with_b = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
-    return cut(both.select("a", "b", "ca", "cb", "text_a", "text_b").mapInArrow(_verify, "a long, b long, ca long, cb long, similarity double"), "rated")
-
-
-def _merged(comp: DataFrame | None, rated: DataFrame) -> DataFrame | None:
-    """The components after the links among ``rated`` pairs."""
-    good = rated.where(F.col("similarity") >= SIMILARITY)
-    if good.isEmpty():
-        return comp
-    moved = components(good.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("comp"), "component")
-    if comp is None:
-        return moved.select(F.col("comp").alias("rep"), F.col("component").alias("comp"))
-    old = comp.join(moved, "comp", "left").select("rep", F.coalesce("component", "comp").alias("comp"))
-    new = moved.join(comp.select(F.col("rep").alias("comp")), "comp", "left_anti")
-    return cut(old.unionByName(new.select(F.col("comp").alias("rep"), F.col("component").alias("comp"))), "components")
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) of the pairs (lead, rep) that are near copies."""
+    both = pairs.join(texts.select("rep", F.col("text").alias("text_rep")), "rep").join(texts.select(F.col("rep").alias("lead"), F.col("text").alias("text_lead")), "lead")
+    kind = dict(pairs.dtypes)["rep"]
+    rated = both.select("lead", "rep", "text_lead", "text_rep").mapInArrow(_verify, f"lead {kind}, rep {kind}, similarity double")
+    return cut(rated.where(F.col("similarity") >= SIMILARITY).select(F.col("lead").alias("a"), F.col("rep").alias("b")), "links")
 
 
 def linked(docs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -219,33 +217,31 @@ def linked(docs: DataFrame, signed: DataFrame) -> DataFrame:
 
     ``signed`` has a row (rep, bands) for each text, ``docs`` its text by doc_id.
     """
-    spark = docs.sparkSession
     rows = signed.select("rep", F.posexplode("bands").alias("band", "at")).select("rep", F.xxhash64("band", "at").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     rows = cut(rows.join(sizes, "key"), "bands")
+    discard(sizes)
     # only texts with a candidate are ever read again; how many candidates a text has tells the centre of a group of copies
     ids = cut(rows.groupBy("rep").agg(F.sum("n").alias("near")), "ids")
-    few = F.broadcast(ids.select("rep")) if ids.count() <= BROADCAST_IDS else ids.select("rep")
-    texts = cut(docs.join(few, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").cast("long").alias("rep"), "text").dropDuplicates(), "texts")
-    rows = rows.join(ids, "rep").select("rep", "key", "near", F.lit(0).alias("age"))
-    comp, stale = None, None
-    while True:
-        now = _with_comp(rows, comp)
-        parts = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct((-F.col("near")).alias("near"), "rep")).alias("top"))
-        lead = parts.groupBy("key").agg(F.min(F.struct("c", "top", "comp")).alias("l"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("l.top.rep").alias("first"), F.col("l.comp").alias("of"))
-        open_ = cut(now.join(lead, "key"), "buckets")
-        if open_.isEmpty():
-            break
-        pairs = open_.where("comp <> of").select(F.least("rep", "first").alias("a"), F.greatest("rep", "first").alias("b"), F.least("comp", "of").alias("ca"), F.greatest("comp", "of").alias("cb")).distinct()
-        comp = _merged(comp, _rated(pairs, texts))
-        left = open_.where("rep <> first").select("rep", "key", "near", (F.col("age") + 1).alias("age"))
-        rows, aged = left.where(F.col("age") < PLAIN_ROUNDS), left.where(F.col("age") >= PLAIN_ROUNDS)
-        stale = aged if stale is None else stale.unionByName(aged)
-    if stale is not None:
-        again = cut(texts.join(_contested(stale, comp).select("rep").distinct(), "rep", "left_semi"), "stale")
-        if not again.isEmpty():
-            comp = _merged(comp, _rated(_exact_pairs(again, comp), texts))
-    return comp if comp is not None else spark.createDataFrame([], "rep long, comp long")
+    many = ids.count()
+    few = F.broadcast(ids.select("rep")) if many <= BROADCAST_IDS else ids.select("rep")
+    texts = cut(docs.join(few, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text"), "texts")
+    if texts.count() > many:  # repeated rows, or ids with several texts
+        texts = cut(texts.dropDuplicates(), "texts")
+    leads = cut(rows.join(ids, "rep").groupBy("key").agg(F.min(F.struct((-F.col("near")).alias("near"), "rep")).alias("top")).select("key", F.col("top.rep").alias("lead")), "leads")
+    links = _links(rows.join(leads, "key").where("rep <> lead").select("lead", "rep").distinct(), texts)
+    comp = cut(components(links).select(F.col("node").alias("rep"), F.col("component").alias("comp")), "components")
+    # buckets with several components
+    now = _with_comp(rows.select("rep", "key"), comp)
+    keys = cut(now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "contested")
+    again = rows.join(keys, "key").select("rep").distinct()
+    rest = cut(texts.join(again, "rep", "left_semi"), "rest")
+    if rest.isEmpty():
+        return comp
+    more = _links(_exact_pairs(rest, comp), texts)
+    if more.isEmpty():
+        return comp
+    return components(links.unionByName(more)).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -254,23 +250,32 @@ def classes(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn("text_key", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
     signed = cut(keyed.select("doc_id", "text_key", "text").mapInArrow(_sign, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key binary, bands array<long>"), "signed")
     # equal texts: one stands for all
-    rep = signed.groupBy("text_key").agg(F.min("doc_id").cast("long").alias("rep"))
-    member = cut(signed.select("doc_id", "text_key").join(rep, "text_key").select("doc_id", "rep"), "members")
-    reps = member.select("rep").distinct()
-    one = signed.where("bands is not null").join(reps, signed["doc_id"] == reps["rep"]).select("rep", "bands").dropDuplicates(["rep", "bands"])
-    comp = linked(docs, one)
+    same = signed.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("text_key", "rep")
+    same = cut(same, "same")  # a table of its own, so that Spark may split a hot text's rows in the join
+    member = cut(signed.join(same, "text_key", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "bands"), "members")
+    one = member.where("doc_id = rep and bands is not null").select("rep", "bands")
+    if not same.isEmpty():  # an id may be there with the same text again
+        twice = one.join(same.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep", "bands"])
+        one = one.join(same.select("rep").distinct(), "rep", "left_anti").unionByName(twice)
+    comp = linked(docs, cut(one, "signatures"))
     named = member.join(comp, "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("class"))
-    least = named.groupBy("doc_id").agg(F.min("class").alias("class_id"), F.max("class").alias("other"))
+    least = cut(named.groupBy("doc_id").agg(F.min("class").alias("class_id"), F.max("class").alias("other")), "classes")
     ties = least.where("class_id <> other")
     if ties.isEmpty():
         return least.select("doc_id", "class_id")
     # an id with several texts joins their classes
-    ids = named.join(ties.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("a"), F.col("class").alias("b"))
+    ids = named.join(ties.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
     through = components(ids.unionByName(ids.join(least.select(F.col("doc_id").alias("a"), "class_id"), "a").select(F.col("class_id").alias("a"), "b")))
     return least.join(through, least["class_id"] == through["node"], "left").select("doc_id", F.coalesce("component", "class_id").alias("class_id"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """One document of each class, that with the least id (one of its rows, if it has several); rows without an id go."""
-    first = classes(docs).where("doc_id = class_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    named = cut(classes(docs), "classes")
+    gone = named.where("doc_id <> class_id").select("doc_id")
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    left = docs.where("doc_id is not null").join(few, "doc_id", "left_anti").select(docs.columns)
+    again = cut(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return left
+    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(left.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))

@@ -82,6 +82,57 @@ def test_dedup_pairs_at_the_threshold_in_one_bucket(spark):
     assert got == {i: i - i % 2 for i in range(300)}
 
 
+def links_by_brute_force(texts):
+    """The least id of each text's class, from all pairs."""
+    words = dedup.WordHashes()
+    rows = {i: dict(zip(*[x.tolist() for x in dedup.weighted(t or "", words)])) for i, t in texts.items()}
+    parent = {i: i for i in rows}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in rows:
+        for b in rows:
+            if a < b:
+                both = sum(min(n, rows[b].get(s, 0)) for s, n in rows[a].items())
+                every = sum(rows[a].values()) + sum(rows[b].values()) - both
+                if (texts[a] or "") == (texts[b] or "") or (every and both / every >= 0.8):
+                    x, y = sorted((top(a), top(b)))
+                    parent[y] = x
+    return {i: top(i) for i in rows}
+
+
+def test_dedup_a_large_group_of_near_copies(spark):
+    rng = random.Random(13)
+    base, rows = prose(rng, 120).split(), []
+    for i in range(250):
+        words = list(base)
+        for _ in range(rng.randint(0, 7)):
+            words[rng.randrange(120)] = prose(rng, 1)
+        rows.append((i, " ".join(words)))
+    for i in range(250, 300):  # copies of copies that are far from the base
+        words = rows[rng.randrange(250)][1].split()
+        words[rng.randrange(120)] = prose(rng, 1)
+        rows.append((i, " ".join(words)))
+    want = links_by_brute_force(dict(rows))
+    got = {r["doc_id"]: r["class_id"] for r in plain(dedup.classes(table(spark, rows)))}
+    assert got == want and len(set(want.values())) > 20
+
+
+def test_dedup_ids_that_are_strings_and_repeat(spark):
+    rng = random.Random(14)
+    t = [prose(rng, 80) for _ in range(4)]
+    near = " ".join([*t[0].split()[:-1], "other"])
+    rows = [("b", t[0]), ("a", near), ("b", t[0]), ("c", t[1]), ("c", t[2]), ("d", t[2]), ("e", t[3]), (None, t[3])]
+    docs = spark.createDataFrame([(i, x, 3) for i, x in rows], "doc_id string, text string, rep int")
+    got = {r["doc_id"]: r["class_id"] for r in plain(dedup.classes(docs))}
+    assert got == {"a": "a", "b": "a", "c": "c", "d": "c", "e": "e"}
+    kept = dedup.keep(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in plain(kept)) == ["a", "c", "e"]
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2**63, 400).astype(np.uint64)
