@@ -10,8 +10,9 @@ follow a file's last separator are a document that is not ended.
 ``write`` makes such files of a table, for tests and for the query.
 
 Edge cases: a null or empty text is a document of no ids; repeated rows are
-documents of their own; empty files and tables give no rows; rows without an id
-are counted as others. Columns besides ``doc_id`` and ``text`` are ignored.
+documents of their own; a very long text is written and counted whole, across
+blocks; empty files and tables give no rows; rows without an id are counted as
+others. Columns besides ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, cut, scratch_path
-from .flat import create, open_file
+from .flat import create, dealt, open_file
 from .packing import RANKS, Encoder
 
 #: The separator, and bytes of a block (a whole number of ids).
@@ -81,7 +82,7 @@ def scan(files: DataFrame, end: int = END, block: int = BLOCK) -> DataFrame:
     block -= block % 2
     blocks = files.where("bytes >= 2").select("file", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(block))).alias("at"), "bytes")
     blocks = blocks.select("file", (F.col("at") / block).cast("long").alias("block"), "at", F.least(F.lit(block), F.col("bytes") - F.col("at")).alias("size"))
-    found = blocks.repartition(F.xxhash64("file", "block")).mapInArrow(_separators(end), "file string, block long, stop long, ends array<long>")
+    found = dealt(blocks, files, block, "file", "block").mapInArrow(_separators(end), "file string, block long, stop long, ends array<long>")
     found = found.withColumn("n", F.size("ends")).withColumn("last", F.try_element_at("ends", F.lit(-1)))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     found = found.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("begun", F.coalesce(F.max("last").over(before), F.lit(-1)) + 1)
@@ -96,5 +97,6 @@ def scan(files: DataFrame, end: int = END, block: int = BLOCK) -> DataFrame:
 def count(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens): the counts that a scan of the documents' flat files finds."""
     written = write(docs)
-    files = written.groupBy("file").agg(F.max("bytes").alias("bytes"))
-    return scan(files).join(written.select("file", "ordinal", "doc_id"), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    files = cut(written.groupBy("file").agg(F.max("bytes").alias("bytes")), "files")
+    # a row for each document on both sides: never a broadcast
+    return scan(files).hint("merge").join(written.select("file", "ordinal", "doc_id"), ["file", "ordinal"]).select("doc_id", "n_tokens")

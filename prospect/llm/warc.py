@@ -12,8 +12,12 @@ within its block, which gives every candidate the place where its chain leaves
 the block; pointer jumping over those places (each round doubles the reach)
 retains the candidates that are reachable from the file's start.
 
-Edge cases: a null page is an empty payload; rows without an id are left out;
-rows that repeat the least id of a payload are responses all; a null address has
+A header is read to its end, however long; reading fails if it finds fewer or
+more records than were written, rather than return some.
+
+Edge cases: a null page is an empty payload; a very long one is a record like
+others, whatever the blocks; rows without an id are left out; rows that repeat
+the least id of a payload are responses all; a null address has
 no target header; an empty table gives no files. Columns besides ``page_id``,
 ``url`` and ``html`` are ignored.
 """
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, cut, encode, scratch_path
-from .flat import create, open_file
+from .flat import create, dealt, open_file
 
 MAGIC, BLOCK, HEADER = b"WARC/1.1\r\n", 4 << 20, 64 << 10
 DATE = "2024-01-01T00:00:00Z"
@@ -113,7 +117,10 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with open_file(file) as f:
                 f.seek(at)
                 data = f.read(size + HEADER)
-            starts, follow, i = [], {}, data.find(MAGIC)
+                starts, follow, i, more = [], {}, data.rfind(MAGIC, 0, size + len(MAGIC) - 1), HEADER
+                while i >= 0 and data.find(b"\r\n\r\n", i) < 0 and (rest := f.read(more)):  # the last header ends further on
+                    data, more = data + rest, 2 * more
+            i = data.find(MAGIC)
             while 0 <= i < size:
                 if (found := parse(data, i)) is not None:
                     starts.append(at + i)
@@ -128,7 +135,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def boundaries(files: DataFrame, block: int = BLOCK) -> DataFrame:
     """(file, from, start, next): the records, by the block that each begins in."""
     blocks = files.where("bytes > 0").select("file", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(block))).alias("at")).select("file", "at", F.lit(block).alias("size"))
-    found = cut(blocks.repartition(F.xxhash64("file", "at")).mapInArrow(_candidates, "file string, block long, from long, start long, next long, leaves long"), "candidates")
+    found = cut(dealt(blocks, files, block, "file", "at").mapInArrow(_candidates, "file string, block long, from long, start long, next long, leaves long"), "candidates")
     # pointer jumping: places reached, and jumps whose reach doubles; only first records of blocks matter
     entries = found.select("file", F.col("leaves").alias("start")).distinct()
     jumps = cut(found.join(entries, ["file", "start"], "left_semi").unionByName(found.where("start = 0")).select("file", "start", "leaves").distinct(), "jumps")
@@ -149,13 +156,12 @@ def boundaries(files: DataFrame, block: int = BLOCK) -> DataFrame:
 def _chain(table: pa.Table) -> pa.Table:
     """The records of one block: those on the chain from the block's reached candidate."""
     rows = table.select(["file", "from", "start", "next", "entry"]).to_pydict()
-    follow = dict(zip(rows["start"], rows["next"]))
-    keep, entries = [], [s for s, e in zip(rows["start"], rows["entry"]) if e]
-    for s in entries:
-        while s in follow:
-            keep.append(s)
-            s = follow.pop(s)
-    return pa.table({"file": pa.array([rows["file"][0]] * len(keep), pa.string()), "from": pa.array([rows["from"][0]] * len(keep), pa.int64()), "start": pa.array(sorted(keep), pa.int64()), "next": pa.array([dict(zip(rows["start"], rows["next"]))[s] for s in sorted(keep)], pa.int64())})
+    follow, keep = dict(zip(rows["start"], rows["next"])), {}
+    for s in (s for s, e in zip(rows["start"], rows["entry"]) if e):
+        while s in follow and s not in keep:
+            keep[s] = s = follow[s]
+    starts = sorted(keep)
+    return pa.table({"file": pa.array([rows["file"][0]] * len(keep), pa.string()), "from": pa.array([rows["from"][0]] * len(keep), pa.int64()), "start": pa.array(starts, pa.int64()), "next": pa.array([keep[s] for s in starts], pa.int64())})
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,8 +183,16 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_records(files: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(record_id, url, record_type, refers_to, payload_digest, payload_bytes, payload) of every record; a revisit has no payload."""
-    found = boundaries(files, block).groupBy("file", "from").agg(F.array_sort(F.collect_list(F.struct("start", "next"))).alias("r"))
+    """(record_id, url, record_type, refers_to, payload_digest, payload_bytes, payload) of every record; a revisit has no payload.
+
+    ``files`` has (file, bytes), and ``records`` if that number is to be held against what is found.
+    """
+    found = cut(boundaries(files, block).groupBy("file", "from").agg(F.array_sort(F.collect_list(F.struct("start", "next"))).alias("r")), "records")
+    if "records" in files.columns:
+        want, got = files.agg(F.sum("records")).first()[0] or 0, found.agg(F.sum(F.size("r"))).first()[0] or 0
+        if want != got:
+            raise RuntimeError(f"read_records: {want} records were written, {got} found")
+    found = dealt(found, files, block, "file", "from")
     return found.select("file", F.col("r.start").alias("starts"), F.col("r.next").alias("stops")).mapInArrow(
         _read, "record_id string, url string, record_type string, refers_to string, payload_digest string, payload_bytes long, payload binary"
     )
@@ -186,5 +200,6 @@ def read_records(files: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """What the archives of ``pages`` say of each page, read back."""
-    number = lambda c: F.regexp_extract(c, "^<urn:page:(.*)>$", 1).cast("long")
-    return read_records(write(pages).select("file", "bytes")).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+    kind = dict(pages.dtypes)["page_id"]
+    page = lambda c: F.regexp_extract(c, "(?s)^<urn:page:(.*)>$", 1).cast(kind)
+    return read_records(write(pages)).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))

@@ -381,6 +381,21 @@ def test_warc_round_trip(spark):
     assert not got
 
 
+def test_warc_header_longer_than_a_block(spark):
+    long = "http://h/?" + "q" * 200_000
+    pages = [(str(i), long if i in (2, 5) else "http://h", "x" * 4000 if i != 4 else "WARC/1.1\r\n no header " * 50, "a") for i in range(9)]
+    df = spark.createDataFrame(pages + [pages[3]], "page_id string, url string, html string, first string")
+    files = warc.write(df.coalesce(1))
+    for block in (500, 5000, 1 << 20):
+        got = plain(warc.read_records(files, block))
+        assert sorted(r["record_id"] for r in got) == sorted(f"<urn:page:{i}>" for i, *_ in pages + [pages[3]])
+        assert {len(r["url"]) for r in got} == {len(long), 8}
+    rows = plain(warc.round_trip(df))
+    assert sorted(r["page_id"] for r in rows) == sorted([*map(str, range(9)), "3"]) and {r["refers_to"] for r in rows} == {None, "0"}
+    with pytest.raises(RuntimeError, match="records were written"):
+        warc.read_records(files.withColumn("records", files["records"] + 1))
+
+
 def test_licenses_and_inheritance(spark):
     rows = [
         ("a/LICENSE", "MIT License\n\nReleased under the MIT License."), ("a/b/x.py", "code"), ("a/b/y.py", "Licensed under CC BY-NC 4.0.\ncode"),
