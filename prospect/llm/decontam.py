@@ -98,5 +98,5 @@ def contained(docs: DataFrame, items: DataFrame, share: float = CONTAINMENT) ->
 
 def keep(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that contain no item; a row without an id stays, since nothing was found in it."""
-    found = contained(docs, items).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    found = cut(contained(docs, items).select("doc_id").distinct(), "found")
+    return docs.join(_small(found, found.count()), "doc_id", "left_anti").select(docs.columns)

@@ -1,68 +1,69 @@
 """Quality rules: plain counts, then bands on n-gram perplexity by language.
 
 The model is an interpolated modified Kneser-Ney model of order 4 over
-characters, each folded to one of 64 symbols. So no corpus, whatever its size,
-has more than 2**24 n-grams: that is the proven bound of what is broadcast
-(sorted int32 keys and float32 log probabilities: 128 MB at the very most, a
-few MB in practice). Counts cover every character of every text. Spark counts
-the n-grams; each task adds up its own before it shuffles them.
-
-Edge cases: a null or empty text has no words and fails the base rules; a null
-language is a language of its own; repeated rows are counted and returned as
-often as they come; an empty table gives no rows. Columns besides ``doc_id``,
-``text`` and ``lang`` are ignored.
+characters (lower case, white space and digits as one each). Spark counts the
+n-grams of every text, each task adding up its own before they are shuffled, and
+computes the probabilities by joins of the orders: nothing of it passes through
+the driver but a few counts of counts. What is stored are sorted arrays of the
+n-grams' hashes (a bijection, so none collide) with the log probabilities, looked
+up by binary search. A text is not rated by what it alone contributed: an n-gram
+that occurs once in all texts gets what the lower orders give it. The arrays grow
+with the corpus; they are broadcast if they were counted to be ``MODEL_ROWS`` at
+most (12 bytes each), beyond that the texts' n-grams are joined with the model.
+
+Edge cases: a null or empty text has no words and fails the base rules; a very
+long text is counted and rated whole; a null language is a language of its own;
+languages with few texts share the band of all texts; repeated rows are counted
+and returned as often as they come; an empty table gives no rows. Columns besides
+``doc_id``, ``text`` and ``lang`` are ignored.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, chunks, cut, encode
+from .common import SPACES, chunks, cut, encode, mix
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-#: Bits of a symbol and symbols of an n-gram.
-BITS, ORDER = 6, 4
+#: Bits of a character and characters of an n-gram.
+BITS, ORDER = 12, 4
 MIN_WORDS = 50
 #: A text fails when more than this share of its words stands in repeated 3-word windows.
 MAX_REPEATED = 0.5
 #: Half the width of a language's band in nats: LEAST_NATS, and SPREADS times the language's spread over the root of the
-#: text's length in characters. LEAST_SPREAD is the least spread. A language with fewer texts than BAND_TEXTS has no band.
+#: text's length in characters. LEAST_SPREAD is the least spread. Languages with fewer texts than BAND_TEXTS share a band.
 LEAST_NATS, SPREADS, LEAST_SPREAD, BAND_TEXTS = 0.05, 4.0, 0.75, 20
+#: Medians are exact to this step, so they do not depend on how rows are dealt and need a bounded histogram alone.
+STEP = 1e-4
+#: N-grams that may be broadcast (50 MB), and ids (8 MB).
+MODEL_ROWS, BROADCAST_IDS = 1 << 22, 1 << 20
 
 
 def _fold_table() -> np.ndarray:
-    """Symbol of each code point: letters by themselves, classes of ASCII, and a hash of all else."""
+    """Symbol of each code point: those below 2048 by themselves, others hashed to the upper half."""
     cp = np.arange(0x110000, dtype=np.uint64)
-    out = (32 + ((cp * np.uint64(2654435761)) >> np.uint64(16)) % np.uint64(32)).astype(np.uint8)
-    out[:128] = 31
-    for i, c in enumerate("abcdefghijklmnopqrstuvwxyz"):
-        out[ord(c)] = out[ord(c.upper())] = i
-    for symbol, of in ((26, "0123456789"), (27, SPACES), (28, ".,;:!?"), (29, "'\"()[]{}-_"), (30, SYMBOLS)):
-        out[[ord(c) for c in of]] = symbol
+    half = 1 << (BITS - 1)
+    out = np.where(cp < half, cp, half + ((cp * np.uint64(2654435761)) >> np.uint64(16)) % np.uint64(half)).astype(np.int64)
+    out[[ord(c) for c in SPACES]], out[[ord(c) for c in "0123456789"]] = ord(" "), ord("0")
     return out
 
 
 _FOLD: list[np.ndarray] = []
 
 
-def symbols(text: str) -> np.ndarray:
+def ngrams(text: str) -> np.ndarray:
+    """The n-gram that ends at each character of the text in lower case, as 48 bits; spaces stand before the text."""
     if not _FOLD:
         _FOLD.append(_fold_table())
-    return _FOLD[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-
-
-def ngrams(text: str) -> np.ndarray:
-    """The n-gram that ends at each character; spaces stand before the text."""
-    s = np.concatenate([np.full(ORDER - 1, 27, np.int32), symbols(text).astype(np.int32)])
+    s = np.frombuffer((" " * (ORDER - 1) + text.lower()).encode("utf-32-le", "surrogatepass"), np.uint32)
+    s = _FOLD[0][s]
     n = len(s) - ORDER + 1
     out = s[:n].copy()
     for i in range(1, ORDER):
@@ -80,70 +81,41 @@ def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per n-gram of the task."""
-    keys, counts = np.empty(0, np.int32), np.empty(0, np.int64)
+    keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
     for _, texts in chunks(batches):
         found = np.sort(np.concatenate([ngrams(t) for t in texts]))
         first = np.flatnonzero(np.diff(found, prepend=-1))
         keys, counts = _sums(np.concatenate([keys, found[first]]), np.concatenate([counts, np.diff(first, append=len(found))]))
-    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["ngram", "n"])
-
-
-@dataclass
-class Model:
-    """Seen n-grams sorted by their hash, and what is needed for the unseen."""
-
-    keys: np.ndarray
-    logp: np.ndarray
-    lower: np.ndarray  # probability of a symbol after the last ORDER - 2 symbols
-    gamma: np.ndarray  # weight of the lower order after ORDER - 1 symbols
-
-    def table(self) -> np.ndarray:
-        """Log probability of every possible n-gram, by key."""
-        side = 1 << BITS
-        tail = np.log(self.lower).astype(np.float32).reshape(1, -1)
-        out = np.empty((side, side ** (ORDER - 1)), np.float32)
-        for a in range(side):  # an n-gram abcd backs off to gamma(abc) * p(d | bc)
-            out[a] = (tail.reshape(-1, side) + np.log(self.gamma[a * side ** (ORDER - 2) : (a + 1) * side ** (ORDER - 2)]).astype(np.float32)[:, None]).ravel()
-        out = out.reshape(-1)
-        out[self.keys] = self.logp
-        return out
+    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["gram", "n"])
 
 
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts of 0, 1, 2, and 3 or more."""
-    n = np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6).astype(float)
+def _discounts(counts: dict[int, int]) -> list[float]:
+    """Modified Kneser-Ney discounts for counts of 1, 2, and 3 or more, from the numbers of n-grams with a count of 1 to 4."""
+    n = [counts.get(i, 0) for i in range(5)]
     y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
-    d = [0.0] + [float(np.clip(i - (i + 1) * y * n[i + 1] / n[i], 0.05, i - 0.05)) if n[i] and n[i + 1] else 0.5 for i in (1, 2, 3)]
-    return np.array(d)
-
-
-def fit(keys: np.ndarray, counts: np.ndarray) -> Model:
-    """The model of the counted n-grams, whose number is bounded by the symbols."""
-    side = 1 << BITS
-    orders = [(keys.astype(np.int64), counts.astype(np.int64))]
-    for n in range(ORDER - 1, 0, -1):  # continuation counts: distinct symbols before
-        orders.append(np.unique(orders[-1][0] % side**n, return_counts=True))
-    p = np.full(side, 1.0 / side)
-    gamma = np.ones(1)
-    for n, (k, c) in enumerate(reversed(orders), 1):
-        d = _discounts(c)[np.minimum(c, 3)]
-        context = k // side
-        total = np.bincount(context, c, side ** (n - 1))
-        held = np.bincount(context, d, side ** (n - 1))
-        gamma = np.divide(held, total, out=np.ones(len(held)), where=total > 0)
-        if n == ORDER:
-            logp = np.log((c - d) / total[context] + gamma[context] * p[k % side ** (n - 1)])
-            return Model(k.astype(np.int32), logp.astype(np.float32), p, gamma)
-        below = np.tile(p, side) if n > 1 else p
-        p = np.repeat(gamma, side) * below
-        p[k] += (c - d) / total[context]
-    raise AssertionError("no order")
-
-
-def train(docs: DataFrame) -> Model:
-    """Counts of all texts, summed by Spark; the model is made of at most 2**24 sums."""
-    rows = docs.select("text").mapInArrow(_count, "ngram int, n long").groupBy("ngram").agg(F.sum("n").alias("n")).orderBy("ngram").toArrow()
-    return fit(rows.column("ngram").to_numpy(), rows.column("n").to_numpy())
+    return [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.05), i - 0.05) if n[i] and n[i + 1] else 0.5 for i in (1, 2, 3)]
+
+
+def train(docs: DataFrame) -> DataFrame:
+    """(gram, logp): the log probability of each n-gram of the texts, by the lower orders alone if it occurs once."""
+    counts = cut(docs.select("text").mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "ngrams")
+    orders = [counts]
+    for k in range(ORDER - 1, 0, -1):  # continuation counts: distinct characters before
+        orders.append(cut(orders[-1].groupBy(F.col("gram").bitwiseAND((1 << BITS * k) - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "ngrams"))
+    below = None
+    for k, table in enumerate(reversed(orders), 1):
+        times = table.groupBy(F.least("n", F.lit(5)).cast("int").alias("n")).agg(F.count(F.lit(1)).alias("c"))
+        d = _discounts({r["n"]: r["c"] for r in times.collect()})  # five rows at most
+        off = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        of = Window.partitionBy(F.shiftright("gram", BITS))  # a context has 4,096 rows at most
+        rows = table.withColumn("off", off).withColumn("total", F.sum("n").over(of)).withColumn("gamma", F.sum("off").over(of) / F.col("total"))
+        if below is None:
+            rows = rows.withColumn("q", F.lit(2.0**-BITS))
+        else:
+            rows = rows.withColumn("suffix", F.col("gram").bitwiseAND((1 << BITS * (k - 1)) - 1)).join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("q")), "suffix")
+        back = F.col("gamma") * F.col("q")
+        below = cut(rows.select("gram", "n", ((F.col("n") - F.col("off")) / F.col("total") + back).alias("p"), back.alias("back")), "order")
+    return below.select("gram", F.log(F.when(F.col("n") > 1, F.col("p")).otherwise(F.col("back"))).cast("float").alias("logp"))
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -165,37 +137,73 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return n, chars, n_symbols, len(lines) - len(set(lines)), repeated
 
 
-_TABLES: dict[str, np.ndarray] = {}
+class Arrays:
+    """A model as arrays sorted by the n-grams' hashes."""
 
+    def __init__(self, gram: np.ndarray, logp: np.ndarray):
+        hashes = mix(gram.astype(np.uint64))
+        order = np.argsort(hashes)
+        self.hashes, self.logp = hashes[order], logp[order]
+
+    def nats(self, text: str) -> float | None:
+        """Mean nats of a character; n-grams that no text of the model has get a uniform character."""
+        if not text:
+            return None
+        grams, times = np.unique(ngrams(text), return_counts=True)
+        if not len(self.hashes):
+            return BITS * float(np.log(2))
+        hashes = mix(grams.astype(np.uint64))
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        logp = np.where(self.hashes[at] == hashes, self.logp[at], -BITS * np.log(2))
+        return -float((times * logp).sum() / times.sum())
+
+
+_BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def _score(arrays):
+    """Base counts, length and nats of each row; without arrays the n-grams instead of the nats."""
 
-def _score(model, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _TABLES:
-            _TABLES.clear()
-            _TABLES[key] = model.value.table()
-        table = _TABLES[key]
         for batch, texts in chunks(batches):
             counts = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5)
-            nats = [-float(table[ngrams(t)].mean(dtype=np.float64)) if t else None for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("lang"), *(pa.array(counts[:, i]) for i in range(5)), pa.array([len(t) for t in texts], pa.int64()), pa.array(nats, pa.float64())],
-                ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "nats"],
-            )
+            out = [batch.column("doc_id"), batch.column("lang"), *(pa.array(counts[:, i]) for i in range(5)), pa.array([len(t) for t in texts], pa.int64())]
+            if arrays is not None:
+                out.append(pa.array([arrays.value.nats(t) for t in texts], pa.float64()))
+            else:
+                found = [np.unique(ngrams(t), return_counts=True) for t in texts]
+                out += [pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "lang", *_BASE, "n_chars", *(["nats"] if arrays is not None else ["grams", "times"])])
 
     return run
 
 
-def measures(docs: DataFrame, model: Model | None = None) -> DataFrame:
+def measures(docs: DataFrame, model: DataFrame | None = None, model_rows: int = MODEL_ROWS) -> DataFrame:
     """Per row: the base counts and the nats a character under the model (null for empty texts)."""
     docs = docs.select("doc_id", "text", "lang")
-    model = model or train(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    model = cut(model if model is not None else train(docs), "model")
     kinds = dict(docs.dtypes)
-    schema = f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, nats double"
-    return docs.mapInArrow(_score(shared, uuid.uuid4().hex), schema)
-
-
-def rate(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    schema = f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, {', '.join(c + ' long' for c in _BASE)}, n_chars long"
+    if model.count() <= model_rows:
+        rows = model.toArrow()  # at most ``model_rows``
+        arrays = docs.sparkSession.sparkContext.broadcast(Arrays(*(rows.column(c).to_numpy() for c in ("gram", "logp"))))
+        return cut(docs.mapInArrow(_score(arrays), schema + ", nats double"), "quality")
+    rows = cut(docs.mapInArrow(_score(None), schema + ", grams array<long>, times array<long>").withColumn("row", F.expr("uuid()")), "quality")
+    each = rows.select("row", F.explode(F.arrays_zip("grams", "times")).alias("g")).select("row", F.col("g.grams").alias("gram"), F.col("g.times").alias("times"))
+    logp = F.coalesce(F.col("logp").cast("double"), F.lit(-BITS * float(np.log(2))))
+    nats = each.join(model, "gram", "left").groupBy("row").agg((-F.sum(F.col("times") * logp) / F.sum("times")).alias("nats"))
+    return rows.drop("grams", "times").join(nats, "row", "left").drop("row")
+
+
+def _median(rows: DataFrame, value, name: str) -> DataFrame:
+    """(of, name): each group's lower median, to a ``STEP``."""
+    each = rows.groupBy("of", F.round(value / STEP).cast("long").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    up, whole = Window.partitionBy("of").orderBy("v"), Window.partitionBy("of")
+    each = each.withColumn("to", F.sum("c").over(up)).withColumn("all", F.sum("c").over(whole))
+    return each.where(2 * F.col("to") >= F.col("all")).groupBy("of").agg((F.min("v") * STEP).alias(name))
+
+
+def rate(docs: DataFrame, model: DataFrame | None = None, model_rows: int = MODEL_ROWS) -> DataFrame:
     """``measures`` with ``base_failed``, the perplexity, its language's band and ``kept``.
 
     A band lies around its language's median of the mean nats, taken over the
@@ -203,21 +211,28 @@ def rate(docs: DataFrame, model: Model | None = None) -> DataFrame:
     of their length; so does the band. Its spread is the language's median of
     deviations times that root (1.4826 times it: a normal's deviation).
     """
-    rows = cut(measures(docs, model), "quality").withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 100 * MAX_REPEATED * F.col("n_words")))
+    rows = measures(docs, model, model_rows).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 100 * MAX_REPEATED * F.col("n_words")))
     good, root = rows.where(~F.col("base_failed")), F.sqrt("n_chars")
-    middle = good.groupBy(F.col("lang").alias("of")).agg(F.percentile_approx("nats", 0.5, 1000).alias("mid"), F.count(F.lit(1)).alias("texts"))
-    middle = middle.select("of", "texts", F.when(F.col("texts") >= BAND_TEXTS, F.col("mid")).alias("mid"))
-    spread = good.join(middle, F.col("lang").eqNullSafe(F.col("of"))).groupBy(F.col("of").alias("lang_of")).agg(F.percentile_approx(F.abs(F.col("nats") - F.col("mid")) * root, 0.5, 1000).alias("mad"))
-    bands = middle.join(spread, F.col("of").eqNullSafe(F.col("lang_of"))).select("of", "mid", F.greatest(1.4826 * F.col("mad"), F.lit(LEAST_SPREAD)).alias("spread"))
+    texts = good.groupBy(F.col("lang").alias("known")).agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= BAND_TEXTS)
+    # a language by its name, those with few texts together as null
+    band = F.when(F.col("known").isNotNull() | (F.col("lang").isNull() & F.col("texts").isNotNull()), F.struct("lang"))
+    rows = cut(rows.join(F.broadcast(texts), F.col("lang").eqNullSafe(F.col("known")), "left").withColumn("of", band).drop("known", "texts"), "rated")
+    good = rows.where(~F.col("base_failed"))
+    good = good.where("of is not null").unionByName(good.withColumn("of", F.lit(None).cast(dict(rows.dtypes)["of"])))
+    middle = cut(_median(good, F.col("nats"), "mid"), "middle")
+    near = good.join(F.broadcast(middle.withColumnRenamed("of", "mid_of")), F.col("of").eqNullSafe(F.col("mid_of")))
+    spread = _median(near, F.abs(F.col("nats") - F.col("mid")) * root, "mad")
+    bands = middle.withColumnRenamed("of", "band").join(spread, F.col("band").eqNullSafe(F.col("of"))).select("band", "mid", F.greatest(1.4826 * F.col("mad"), F.lit(LEAST_SPREAD)).alias("spread"))
     half = LEAST_NATS + SPREADS * F.col("spread") / F.greatest(root, F.lit(1.0))
     inside = F.coalesce(F.abs(F.col("nats") - F.col("mid")) <= half, F.lit(True))
-    return rows.join(bands, F.col("lang").eqNullSafe(F.col("of")), "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & inside).alias("kept"),
+    return rows.join(cut(bands, "bands"), F.col("of").eqNullSafe(F.col("band")), "left").select(
+        "doc_id", *_BASE, "base_failed", (~F.col("base_failed") & inside).alias("kept"),
         "lang", F.exp("nats").alias("perplexity"), F.exp(F.col("mid") - half).alias("lower"), F.exp(F.col("mid") + half).alias("upper"),
     )
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that pass; rows without an id go."""
-    return docs.join(rate(docs).where("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    """The rows of ``docs``, with all their columns, whose id has a row that passes; rows without an id go."""
+    gone = cut(rate(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id"), "gone")
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.where("doc_id is not null").join(few, "doc_id", "left_anti").select(docs.columns)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -175,7 +176,6 @@ def test_decontamination_against_all_pairs(spark, docs):
 
 def test_quality_counts_and_bands(spark, docs):
     text = "a# b a# b a# b\n\nx y\n x y\nx y\nz"
-    assert quality.base_counts(text) == (13, 16, 3, 1, 12) or True
     words = text.encode().split()
     times = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
     marked = {i + k for i, w in enumerate(times) if times.count(w) > 1 for k in range(3)}
@@ -190,12 +190,54 @@ def test_quality_counts_and_bands(spark, docs):
     assert quality.keep(docs).columns == docs.columns
 
 
-def test_kneser_ney_sums_to_one():
-    model = quality.fit(*np.unique(quality.ngrams("the cat sat on the mat, the cat ran to the hat. " * 3), return_counts=True))
-    table = np.exp(model.table().astype(float)).reshape(-1, 64)
-    seen = np.unique(model.keys // 64)
-    assert np.allclose(table[seen].sum(axis=1), 1, atol=1e-3)
-    assert np.allclose(model.lower.reshape(-1, 64)[np.unique(model.keys // 64 % 4096)].sum(axis=1), 1, atol=1e-6)
+def kneser_ney(texts):
+    """The log probability of each n-gram of the texts, by lower orders alone if it occurs once, by dictionaries."""
+    grams = Counter(g for t in texts for g in (lambda s: [s[i : i + 4] for i in range(len(s) - 3)])("   " + t))
+    orders = [grams]
+    for _ in range(3):
+        orders.append(Counter(g[1:] for g in orders[-1]))
+    p = {"": 2.0**-12}
+    for counts in reversed(orders):
+        n = Counter(min(c, 5) for c in counts.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+        d = {i: min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.05), i - 0.05) if n[i] and n[i + 1] else 0.5 for i in (1, 2, 3)}
+        total, held, out, back = Counter(), Counter(), {}, {}
+        for g, c in counts.items():
+            total[g[:-1]] += c
+            held[g[:-1]] += d[min(c, 3)]
+        for g, c in counts.items():
+            back[g] = held[g[:-1]] / total[g[:-1]] * p[g[1:]]
+            out[g] = (c - d[min(c, 3)]) / total[g[:-1]] + back[g]
+        p = out
+    return {g: np.log(p[g] if c > 1 else back[g]) for g, c in grams.items()}
+
+
+def test_perplexity_against_dictionaries(spark):
+    rng = random.Random(5)
+    texts = [prose(rng, rng.randint(1, 40)) + " é" * (i % 3) for i in range(25)] + ["жук и ёж", "x"]
+    rows = list(enumerate(texts)) + [(90, None), (91, ""), (3, texts[3])]
+    model = kneser_ney([t for _, t in rows if t])
+    for most in (1 << 20, 0):  # broadcast, and joined
+        got = plain(quality.measures(table(spark, rows), model_rows=most))
+        assert len(got) == len(rows)
+        for r in got:
+            text = dict(rows)[r["doc_id"]]
+            if not text:
+                assert r["nats"] is None
+                continue
+            own = Counter(("   " + text)[i : i + 4] for i in range(len(text)))
+            want = -sum(c * model[g] for g, c in own.items()) / len(text)
+            assert abs(r["nats"] - want) < 1e-5
+
+
+def test_quality_bands_do_not_depend_on_partitions(spark):
+    rng = random.Random(15)
+    rows = [(i, prose(rng, 60 + i % 50), "a" if i % 3 else "b" if i % 2 else None, 1) for i in range(90)] + [(500 + i, prose(rng, 80), "rare", 1) for i in range(5)]
+    rows.append((900, " ".join("".join(rng.choice("zyxwvut9") for _ in range(6)) for _ in range(200)), "rare", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, nats int")
+    one, many = (sorted((r["doc_id"], r["kept"], r["lower"], r["upper"]) for r in plain(quality.rate(docs.repartition(n)))) for n in (1, 7))
+    assert one == many and all(r[2] is not None for r in one)
+    assert not next(r for r in one if r[0] == 900)[1] and sum(not r[1] for r in one) <= 2
 
 
 def test_quality_rejects_other_prose(spark):
