@@ -4,12 +4,13 @@ Texts become words (lower case, runs of letters and digits) and windows of five
 words. A test item is short and a document may be very long, so their Jaccard
 similarity says nothing; what counts is containment, the share of an item's
 windows that a document has. Items are partitioned by size (powers of two of
-their windows). Each gets a bottom-k MinHash sketch: its windows of least hash,
-a uniform sample of them. How many of these a document must have to become a
-candidate follows from the partition's sketch length, so that an item contained
-at the threshold is missed with a probability of at most ``MISS``. Items whose
-sketch holds all their windows are found with certainty. Candidates are then
-verified: distinct windows, compared as text.
+their windows), and the partition sets the length of their sketches and the hits
+that a document needs. An item gets a bottom-k MinHash sketch: its windows of
+least hash, a uniform sample of them. Partitions of items under 32 windows have
+whole items for sketches, and find them with certainty; larger ones have sketches
+of 32, of 64 from 256 windows on, and need so many hits that an item contained at
+the threshold is missed with a probability of at most ``MISS``. Candidates are
+then verified: distinct windows, compared as text.
 
 Sketches and the items' windows are broadcast only after their rows were
 counted; above ``BROADCAST_ROWS`` the joins shuffle.
@@ -24,14 +25,14 @@ from __future__ import annotations
 
 from math import comb
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
 WORDS, CONTAINMENT = 5, 0.8
-#: Windows of an item's sketch, and the most often that an item at the threshold may be missed.
-SKETCH, MISS = 32, 1e-6
+#: Partitions by size (the first power of two of their windows) and their sketches' lengths; how often an item at the threshold may be missed.
+PARTITIONS, MISS = [(0, None), (5, 32), (8, 64)], 1e-6
 BROADCAST_ROWS = 1 << 19
 #: What stands between words.
 BETWEEN = r"[^\p{L}\p{N}]+"
@@ -72,13 +73,14 @@ def contained(docs: DataFrame, items: DataFrame, share: float = CONTAINMENT) ->
     )
     item_windows = cut(item_windows, "items")
     sizes = item_windows.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_shingles"))
-    # bottom-k sketches: per item the windows of least hash, by an aggregate of bounded size
-    sketch = item_windows.groupBy("item_id").agg(F.slice(F.array_sort(F.collect_set("h")), 1, SKETCH).alias("bottom"), F.count(F.lit(1)).alias("n_shingles"))
-    sketch = sketch.withColumn("partition", F.floor(F.log2("n_shingles")).cast("int"))
-    need = F.element_at(F.array(*(F.lit(least_hits(k, share)) for k in range(1, SKETCH + 1))), F.size("bottom"))
-    # an item whose windows are all in its sketch: exactly those that the threshold asks for
-    need = F.when(F.size("bottom") == F.col("n_shingles"), F.ceil(F.col("n_shingles") * share - 1e-9).cast("int")).otherwise(need)
-    sketch = cut(sketch.select("item_id", "partition", need.alias("need"), F.explode("bottom").alias("h")), "sketches")
+    # bottom-k sketches: per item the windows of least hash, as many as its partition says
+    power, every = F.floor(F.log2("n_shingles")), F.ceil(F.col("n_shingles") * share - 1e-9).cast("int")
+    length, need = F.col("n_shingles"), every
+    for first, k in PARTITIONS[1:]:
+        length, need = F.when(power >= first, F.lit(k)).otherwise(length), F.when(power >= first, F.lit(least_hits(k, share))).otherwise(need)
+    low = Window.partitionBy("item_id").orderBy("h", "shingle")
+    sketch = item_windows.join(sizes, "item_id").withColumn("at", F.row_number().over(low)).where(F.col("at") <= length)
+    sketch = cut(sketch.select("item_id", need.alias("need"), "h").distinct(), "sketches")
     n_sketch, n_items = sketch.count(), item_windows.count()
 
     rows = docs.where("doc_id is not null").select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= WORDS)

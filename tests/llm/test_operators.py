@@ -391,6 +391,35 @@ def test_html_boilerplate_of_a_host(spark):
         assert t in got[i] and "rights reserved" not in got[i] and "join our list" not in got[i]
 
 
+def test_html_comments_go_and_articles_stay_whole(spark):
+    page = """<article class="post"><p>One</p><div class="related-work">Two</div><div class="search-results">Three</div><p hidden>Four</p>
+<p style="display:none">Five</p><p><math>x+1</math></p><header class="header">Six</header><div class="comment-list"><article class="comment">no</article></div></article>
+<article class="comment"><p>not this</p></article><div class="cookie-notice">nor this</div>"""
+    rows = [(1, "http://h/a", page), (2, "http://h/b", "<p>" + "far " * 50_000 + "</p>")]
+    got = {r["page_id"]: r["text"] for r in plain(html_extract.extract(spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, text string, host string")))}
+    assert got[1] == "One\n\nTwo\n\nThree\n\nFour\n\nFive\n\nx+1\n\nSix" and got[2] == "far " * 49_999 + "far"
+
+
+def test_html_hosts_of_any_size_agree(spark):
+    rng = random.Random(19)
+    line = [prose(rng, 9) for _ in range(4)]
+    pages = [(i, f"http://{'ab'[i % 2]}.org/{i}", f"<p>{prose(rng, 12)}</p><p>{line[i % 4]} {prose(rng, 8)} {line[(i // 2) % 4]}</p><p>{line[0]}</p>") for i in range(24)]
+    # one unmarked page, whose only witnesses mark their articles
+    pages += [(100 + i, f"http://c.org/{i}", f"<div>{line[1]} {prose(rng, 3)}</div>" + ("<article>own</article>" if i else f"<p>{prose(rng, 5)}</p>")) for i in range(4)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    small, large = ({r["page_id"]: r["text"] for r in plain(html_extract.extract(df, n))} for n in (1 << 21, 0))
+    assert small == large and line[1] not in small[100] and len(small[100].split()) == 8
+    for host in "ab":  # by brute force
+        mine = {i: re.sub("<[^>]*>", " ", h).split() for i, u, h in pages if u.startswith(f"http://{host}.")}
+        where = {}
+        for i, w in mine.items():
+            for k in range(len(w) - 5):
+                where.setdefault(tuple(w[k : k + 6]), set()).add(i)
+        for i, w in mine.items():
+            on = {j for k in range(len(w) - 5) if len(where[tuple(w[k : k + 6])]) >= 3 for j in range(k, k + 6)}
+            assert small[i].split() == [x for j, x in enumerate(w) if j not in on]
+
+
 def test_covered_tokens_against_all_substrings():
     rng = random.Random(10)
     streams = [[rng.choice("abc") for _ in range(40)] for _ in range(6)]
