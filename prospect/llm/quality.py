@@ -195,12 +195,12 @@ def measures(docs: DataFrame, model: DataFrame | None = None, model_rows: int =
     return rows.drop("grams", "times").join(nats, "row", "left").drop("row")
 
 
-def _median(rows: DataFrame, value, name: str) -> DataFrame:
-    """(of, name): each group's lower median, to a ``STEP``."""
-    each = rows.groupBy("of", F.round(value / STEP).cast("long").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+def _median(rows: DataFrame, value, name: str, step: float = STEP) -> DataFrame:
+    """(of, name): each group's lower median, to a ``step``."""
+    each = rows.groupBy("of", F.round(value / step).cast("long").alias("v")).agg(F.count(F.lit(1)).alias("c"))
     up, whole = Window.partitionBy("of").orderBy("v"), Window.partitionBy("of")
     each = each.withColumn("to", F.sum("c").over(up)).withColumn("all", F.sum("c").over(whole))
-    return each.where(2 * F.col("to") >= F.col("all")).groupBy("of").agg((F.min("v") * STEP).alias(name))
+    return each.where(2 * F.col("to") >= F.col("all")).groupBy("of").agg((F.min("v") * step).alias(name))
 
 
 def rate(docs: DataFrame, model: DataFrame | None = None, model_rows: int = MODEL_ROWS) -> DataFrame:
@@ -221,7 +221,7 @@ def rate(docs: DataFrame, model: DataFrame | None = None, model_rows: int = MODE
     good = good.where("of is not null").unionByName(good.withColumn("of", F.lit(None).cast(dict(rows.dtypes)["of"])))
     middle = cut(_median(good, F.col("nats"), "mid"), "middle")
     near = good.join(F.broadcast(middle.withColumnRenamed("of", "mid_of")), F.col("of").eqNullSafe(F.col("mid_of")))
-    spread = _median(near, F.abs(F.col("nats") - F.col("mid")) * root, "mad")
+    spread = _median(near, F.abs(F.col("nats") - F.col("mid")) * root, "mad", 10 * STEP)
     bands = middle.withColumnRenamed("of", "band").join(spread, F.col("band").eqNullSafe(F.col("of"))).select("band", "mid", F.greatest(1.4826 * F.col("mad"), F.lit(LEAST_SPREAD)).alias("spread"))
     half = LEAST_NATS + SPREADS * F.col("spread") / F.greatest(root, F.lit(1.0))
     inside = F.coalesce(F.abs(F.col("nats") - F.col("mid")) <= half, F.lit(True))

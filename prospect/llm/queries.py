@@ -69,5 +69,29 @@ n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id),
 c AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_shared, n_shingles, n_shared / n_shingles AS containment
 FROM c JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_shingles - 1e-9
+""",
+    # all pairs that share a window of five words, then classes by reachability
+    "op3_near_duplicates": r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL),
+r AS (SELECT text, min(doc_id) AS rep FROM t GROUP BY text),
+w AS (SELECT rep, string_split_regex(regexp_replace(lower(text), '^[ \t-\r]+|[ \t-\r]+$', '', 'g'), '[ \t-\r]+') AS w FROM r),
+s AS (SELECT rep, s, count(*) AS n FROM (SELECT rep, unnest([hash(w[i:i+4]) FOR i IN range(1, len(w) - 3)]) AS s FROM w WHERE len(w) >= 5) GROUP BY rep, s),
+z AS (SELECT rep, sum(n) AS z FROM s GROUP BY rep),
+p AS (SELECT a.rep AS a, b.rep AS b, sum(least(a.n, b.n)) AS m FROM s a JOIN s b ON a.s = b.s AND a.rep < b.rep GROUP BY a.rep, b.rep),
+l AS (SELECT a, b FROM p JOIN z x ON x.rep = a JOIN z y ON y.rep = b WHERE m >= 0.8 * (x.z + y.z - m) - 1e-9),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+c AS (SELECT rep AS a, rep AS b FROM r UNION SELECT c.a, e.b FROM c JOIN e ON e.a = c.b),
+k AS (SELECT a AS rep, min(b) AS class_id FROM c GROUP BY a)
+SELECT doc_id, min(class_id) AS class_id FROM t JOIN r USING (text) JOIN k USING (rep) GROUP BY doc_id
+""",
+    # base32 by five hexadecimal digits at a time
+    "op10_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages WHERE page_id IS NOT NULL),
+f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html),
+d AS (SELECT page_id, first, octet_length(encode(html)) AS size, [CAST('0x' || substr(sha1(html), 5 * i + 1, 5) AS BIGINT) FOR i IN range(8)] AS v FROM p JOIN f USING (html))
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes,
+    array_to_string([array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((x >> s) % 32 + 1 AS BIGINT), 1) FOR s IN [15, 10, 5, 0]], '') FOR x IN v], '') AS payload_digest,
+    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
 """,
 }
