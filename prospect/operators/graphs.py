@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,49 +52,88 @@ def coreness(edges: DataFrame) -> DataFrame:
     both = _cut(symmetric(undirected(edges)))
     core = both.groupBy(F.col("src").alias("vid")).agg(F.count(F.lit(1)).alias("core"))
     while True:
-        near = both.join(core, both["dst"] == core["vid"]).groupBy("src").agg(F.sort_array(F.collect_list("core"), asc=False).alias("cs"))
-        h = F.size(F.filter(F.transform("cs", lambda c, i: c > i), lambda x: x)).cast("long")
-        new = _cut(near.select(F.col("src").alias("vid"), h.alias("core")))
+        # neighbours by value, so a hub has as many rows as there are values: the h-index is the greatest c with c or more neighbours of at least c
+        near = both.join(core, both["dst"] == core["vid"]).groupBy("src", "core").agg(F.count(F.lit(1)).alias("n"))
+        down = Window.partitionBy("src").orderBy(F.desc("core")).rowsBetween(Window.unboundedPreceding, 0)
+        new = _cut(near.withColumn("n", F.sum("n").over(down)).groupBy(F.col("src").alias("vid")).agg(F.max(F.least("core", "n")).alias("core")))
         if new.join(core.withColumnRenamed("core", "was"), "vid").where("core <> was").isEmpty():
             return new
         core = new
 
 
+def _digest(label: Column) -> Column:
+    """60 bits of a label's MD5 as a number, which add up in any order."""
+    return F.conv(F.substring(F.md5(label), 1, 15), 16, 10).cast("decimal(38,0)")
+
+
 def wl_labels(edges: DataFrame, labels: DataFrame, rounds: int = 3) -> DataFrame:
-    """(vid, round, label): Weisfeiler-Lehman labels; each round hashes a vertex's label with its neighbours', sorted."""
+    """(vid, round, label): Weisfeiler-Lehman labels; each round hashes a vertex's label with the sum of its neighbours' hashes.
+
+    The sum stands for the multiset and is taken before the shuffle, so a hub's neighbours never meet in one row.
+    """
     both = symmetric(edges)
     now = _cut(labels.select("vid", F.col("label").cast("string").alias("label")))
     out = now.withColumn("round", F.lit(0))
     for r in range(1, rounds + 1):
-        near = both.join(now.select(F.col("vid").alias("dst"), F.col("label").alias("l")), "dst").groupBy("src").agg(F.sort_array(F.collect_list("l")).alias("ls"))
-        now = _cut(now.join(near, now["vid"] == near["src"], "left").select("vid", F.sha2(F.concat_ws("|", "label", F.concat_ws(",", F.coalesce("ls", F.array().cast("array<string>")))), 256).alias("label")))
+        near = both.join(now.select(F.col("vid").alias("dst"), F.col("label").alias("l")), "dst").groupBy("src").agg(F.sum(_digest(F.col("l"))).alias("near"))
+        near = F.coalesce(F.col("near"), F.lit(0).cast("decimal(38,0)")).cast("string"), near
+        now = _cut(now.join(near[1], now["vid"] == near[1]["src"], "left").select("vid", F.md5(F.concat_ws(":", "label", near[0])).alias("label")))
         out = out.unionByName(now.withColumn("round", F.lit(r)))
     return out.select("vid", "round", "label")
 
 
-def communities(edges: DataFrame, features: DataFrame, k: int = 1) -> list[dict]:
-    """Greedy densest patterns: grow a conjunction of features while the induced density over uncovered edges rises; cover; repeat.
+def label_distance(labels: DataFrame, graph: str) -> DataFrame:
+    """(a, b, distance): between graphs, the share of label mass to move, averaged over rounds.
 
-    A community's vertices have all its features.
+    ``labels`` has (``graph``, vid, round, label). With a cost of 1 between
+    different labels the transport distance of two label histograms is half their
+    L1 distance, so no transport problem is left: sums over labels suffice.
+    """
+    size = labels.groupBy(graph, "round").agg(F.count(F.lit(1)).alias("n"))
+    mass = labels.groupBy(graph, "round", "label").agg(F.count(F.lit(1)).alias("c")).join(size, [graph, "round"]).select(F.col(graph).alias("a"), "round", "label", (F.col("c") / F.col("n")).alias("x"))
+    other = mass.select(F.col("a").alias("b"), "round", "label", F.col("x").alias("y"))
+    both = mass.join(other, ["round", "label"]).where("a < b").groupBy("a", "b", "round").agg(F.sum(F.least("x", "y")).alias("kept"))
+    ids = size.select(F.col(graph).alias("a"), "round")
+    # graphs that share no label are at distance 1; graphs are few, their vertices are not
+    every = ids.join(ids.select(F.col("a").alias("b"), "round"), "round").where("a < b")
+    return every.join(both, ["a", "b", "round"], "left").groupBy("a", "b").agg(F.avg(1 - F.coalesce("kept", F.lit(0.0))).alias("distance"))
+
+
+def communities(edges: DataFrame, features: DataFrame, k: int = 1, take_back: bool = False) -> list[dict]:
+    """Greedy densest patterns: grow a conjunction of features to the end, keep its densest prefix, cover its edges, repeat.
+
+    A community's vertices have all its features. Features that a prefix does not
+    need for its vertices are left out. ``take_back``: edges that a smaller
+    community covered count again for later, larger ones.
     """
-    spark: SparkSession = edges.sparkSession
-    left = _cut(undirected(edges))
-    out = []
+    whole = left = _cut(undirected(edges))
+    out: list[dict] = []
     for _ in range(k):
-        members, chosen, density = features.select("vid").distinct(), [], -1.0
+        members, chosen, best = features.select("vid").distinct(), [], None
         while True:
             rest = features.join(members, "vid", "left_semi")
             if chosen:
                 rest = rest.where(~F.col("feature").isin(chosen))
-            best = feature_density(left, rest).orderBy(F.desc("density"), "feature").first()
-            if best is None or best["n_edges"] == 0 or best["density"] <= density:
+            top = feature_density(left, rest).orderBy(F.desc("density"), "feature").first()
+            if top is None or top["n_edges"] == 0:
                 break
-            chosen.append(best["feature"])
-            density = best["density"]
-            members = _cut(members.join(features.where(F.col("feature") == best["feature"]).select("vid"), "vid", "left_semi"))
-        if not chosen:
+            chosen.append(top["feature"])
+            members = _cut(members.join(features.where(F.col("feature") == top["feature"]).select("vid"), "vid", "left_semi"))
+            if best is None or top["density"] > best[1]:
+                best = (list(chosen), top["density"], members)
+        if best is None:
             break
-        inside = induced(left, members)
-        out.append({"features": sorted(chosen), "density": density, "n_vertices": members.count(), "n_edges": inside.count()})
-        left = _cut(left.join(inside, ["src", "dst"], "left_anti"))
-    return out
+        chosen, density, members = best
+        n = members.count()
+        for f in list(chosen):  # without a redundant feature the vertices are the same
+            others = [g for g in chosen if g != f]
+            if others and features.where(F.col("feature").isin(others)).select("vid", "feature").distinct().groupBy("vid").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") == len(others)).count() == n:
+                chosen = others
+        inside = _cut(induced(left, members))
+        out.append({"features": sorted(chosen), "density": density, "n_vertices": n, "n_edges": inside.count(), "_edges": inside})
+        left = whole
+        for c in out:
+            if not take_back or c["n_vertices"] >= n:
+                left = left.join(c["_edges"].select("src", "dst"), ["src", "dst"], "left_anti")
+        left = _cut(left)
+    return [{key: v for key, v in c.items() if key != "_edges"} for c in out]

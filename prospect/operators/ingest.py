@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -77,3 +77,43 @@ def low_pass(values, cutoff: float):
 
     x = np.asarray(values, float)
     return once(once(x)[::-1])[::-1] if len(x) else x
+
+
+def typed(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Columns cast to the given types; what does not convert is null, and no row fails."""
+    return df.withColumns({c: F.col(c).try_cast(t) for c, t in kinds.items()})
+
+
+def json_fields(df: DataFrame, column: str, fields: dict[str, str]) -> DataFrame:
+    """Columns from the fields of a JSON text; null where it is malformed or lacks them."""
+    parsed = F.from_json(column, ", ".join(f"`{c}` {t}" for c, t in fields.items()))
+    return df.withColumns({c: parsed[c] for c in fields})
+
+
+def numbered(df: DataFrame, name: str = "position") -> DataFrame:
+    """Rows numbered from 0 in the table's own order: each partition counts its rows, and starts after those before it."""
+    at = df.withColumn("_id", F.monotonically_increasing_id())
+    part = F.shiftright("_id", 33)
+    counts = at.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
+    first = counts.withColumn("_first", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return at.withColumn("_part", part).join(F.broadcast(first), "_part").withColumn(name, F.col("_first") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_part", "_first", "_id")
+
+
+def beside(left: DataFrame, *others: DataFrame) -> DataFrame:
+    """Columns of several tables side by side, row by row in their own order; the shortest ends it."""
+    out = numbered(left, "_at")
+    for other in others:
+        out = out.join(numbered(other, "_at"), "_at")
+    return out.drop("_at")
+
+
+def row_slice(df: DataFrame, start: int, stop: int) -> DataFrame:
+    """Rows ``start`` to ``stop`` - 1 of the table's own order, with their place in ``orig_idx``."""
+    return numbered(df, "orig_idx").where((F.col("orig_idx") >= start) & (F.col("orig_idx") < stop))
+
+
+def with_labels(df: DataFrame, column: str) -> DataFrame:
+    """``label``: the place of each row's value among the sorted distinct ones, and ``n``, how many rows have it."""
+    counts = df.groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("n"))
+    labels = numbered(counts.orderBy("_v"), "label")
+    return df.join(labels, F.col(column).eqNullSafe(F.col("_v"))).drop("_v")

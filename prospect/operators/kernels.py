@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a block of a Gram matrix.
@@ -127,7 +129,9 @@ def group_sums(df: DataFrame, key: str, x: str, group: str, kernel: dict) -> Dat
 
 def mean_deviation(df: DataFrame, key: str, x: str, group: str, kernel: dict, gamma: float = 1.0, anomaly: bool = False) -> DataFrame:
     """(group, n, score): f^(gamma - 2) * z'Kz of each group, z being its mask less its share, f = m(n - m)/n or (anomaly) m."""
-    sums = group_sums(df, key, x, group, kernel).persist()
+    if kernel["kind"] == "linear":
+        return _linear_deviation(df, x, group, gamma, anomaly)
+    sums = group_sums(df, key, x, group, kernel)
     counts = df.groupBy(F.col(group).cast("string").alias("ga")).agg(F.count(F.lit(1)).alias("m"))
     own = sums.where("ga = gb").select("ga", F.col("s").alias("own"))
     cross = sums.groupBy("ga").agg(F.sum("s").alias("cross"))
@@ -139,6 +143,124 @@ def mean_deviation(df: DataFrame, key: str, x: str, group: str, kernel: dict, ga
     return rows.select(F.col("ga").alias(group), F.col("m").alias("n"), F.when(F.col("m") < n, F.pow(f, F.lit(gamma - 2.0)) * z).otherwise(F.lit(0.0)).alias("score"))
 
 
+def _linear_deviation(df: DataFrame, x: str, group: str, gamma: float, anomaly: bool) -> DataFrame:
+    """The linear kernel's score is a distance of means: one aggregate, and no pair of rows."""
+    each = df.where(F.col(x).isNotNull()).select(F.col(group).cast("string").alias(group), F.posexplode(F.col(x).cast("array<double>")).alias("d", "v"))
+    sums = each.groupBy(group, "d").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))
+    total = sums.groupBy("d").agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))  # a row for each dimension
+    z = F.col("s") - F.col("n") * F.col("all_s") / F.col("all_n")
+    rows = sums.join(F.broadcast(total), "d").groupBy(group).agg(F.max("n").alias("n"), F.max("all_n").alias("all"), F.sum(z * z).alias("z"))
+    f = F.col("n").cast("double") if anomaly else F.col("n") * (F.col("all") - F.col("n")) / F.col("all")
+    return rows.select(group, "n", F.when(F.col("n") < F.col("all"), F.pow(f, F.lit(gamma - 2.0)) * F.col("z")).otherwise(F.lit(0.0)).alias("score"))
+
+
+def pair_sums(df: DataFrame, key: str, x: str, kernels: tuple[dict, dict]) -> DataFrame:
+    """(ab, aa, bb): sums over all pairs of rows of two kernels' products; a block pair gives one row, no matrix is written."""
+    blocks = max(1, -(-df.count() // BLOCK))
+
+    def run(table: pa.Table) -> pa.Table:
+        (_, xa, _), (_, xb, _) = _sides(table, [])
+        twice = 1 if table.column("pair")[0].as_py() % (blocks + 1) == 0 else 2
+        a, b = (matrix(xa, xb, k) for k in kernels) if len(xa) and len(xb) else (np.zeros(0), np.zeros(0))
+        return pa.table({n: pa.array([twice * float((u * v).sum())]) for n, u, v in (("ab", a, b), ("aa", a, a), ("bb", b, b))})
+
+    return _pairs(df, key, x, [], blocks).groupBy("pair").applyInArrow(run, "ab double, aa double, bb double").agg(*(F.sum(c).alias(c) for c in ("ab", "aa", "bb")))
+
+
+def times_vector(k: DataFrame, vector: DataFrame) -> DataFrame:
+    """(i, v): the product of a kernel table (i <= j, k) and a vector (i, v)."""
+    both = k.unionByName(k.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "k"))
+    return both.join(vector.select(F.col("i").alias("j"), "v"), "j").groupBy("i").agg(F.sum(F.col("k") * F.col("v")).alias("v"))
+
+
+def sub_matrix(k: DataFrame, ids: DataFrame) -> DataFrame:
+    """The entries of a kernel table between the given ids (i)."""
+    return k.join(ids.select("i"), "i", "left_semi").join(ids.select(F.col("i").alias("j")), "j", "left_semi").select("i", "j", "k")
+
+
+def weighted_sum(weighted: list[tuple[float, DataFrame]], least: float = 1e-9) -> DataFrame:
+    """The sum of kernel tables times their weights; those of weights up to ``least`` are left out."""
+    used = [k.select("i", "j", (F.lit(float(w)) * F.col("k")).alias("k")) for w, k in weighted if w > least]
+    if not used:
+        raise ValueError("no weight is positive")
+    return reduce(DataFrame.unionByName, used).groupBy("i", "j").agg(F.sum("k").alias("k"))
+
+
+def features(df: DataFrame, key: str, x: str, kernel: dict, landmarks: int = 256) -> DataFrame:
+    """``df`` with ``features``, arrays whose dot products are the kernel (Nystroem).
+
+    ``landmarks`` rows of least hash span the space: a bounded sample, and exact
+    if it holds all rows (or as many independent ones as the kernel's rank).
+    """
+    picked = df.where(F.col(x).isNotNull()).orderBy(F.xxhash64(key), key).limit(landmarks).select(F.col(x).cast("array<double>").alias("x")).collect()
+    base = np.array([r["x"] for r in picked], float)
+    values, vectors = np.linalg.eigh(matrix(base, base, kernel)) if len(base) else (np.zeros(0), np.zeros((0, 0)))
+    on = values > 1e-9 * max(values.max(initial=0.0), 1e-300)
+    map_ = vectors[:, on] / np.sqrt(values[on])
+    shared = df.sparkSession.sparkContext.broadcast((base, map_))
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.column(x).to_pylist()
+            known = [i for i, r in enumerate(rows) if r is not None]
+            out: list = [None] * len(rows)
+            if known and len(shared.value[0]):
+                found = matrix(np.array([rows[i] for i in known], float), shared.value[0], kernel) @ shared.value[1]
+                for i, f in zip(known, found.tolist()):
+                    out[i] = f
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.float64()))], [*batch.schema.names, "features"])
+
+    kept = df.drop("features")
+    fields = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes)
+    return kept.mapInArrow(run, f"{fields}, features array<double>")
+
+
+def _moments(batches):
+    """(i, j, s): a task's sums of the products of components."""
+    total = None
+    for batch in batches:
+        x = batch.column("x")
+        if len(x):
+            rows = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+            total = rows.T @ rows if total is None else total + rows.T @ rows
+    if total is not None:
+        i, j = np.indices(total.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(total.ravel())], ["i", "j", "s"])
+
+
+def mean_deviation_bound(df: DataFrame, x: str, group: str, gamma: float = 1.0, anomaly: bool = False) -> DataFrame:
+    """(group, bound): no subset of a group deviates more (``mmd_bound``), by sums over sorted entries.
+
+    The kernel is that of the arrays' dot products. Its eigenvectors follow from
+    the arrays' moments, a matrix of their length; the rest is windows: for each
+    direction the extreme sums of s entries, for each s the directions' shares.
+    """
+    rows = df.where(F.col(x).isNotNull()).select(F.col(group).cast("string").alias("g"), F.col(x).cast("array<double>").alias("x"), F.monotonically_increasing_id().alias("row"))
+    n, size = rows.agg(F.count(F.lit(1)).cast("double"), F.coalesce(F.max(F.size("x")), F.lit(0))).first()
+    sums = rows.select("x").mapInArrow(_moments, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()  # size x size rows
+    k = np.zeros((size, size))
+    for r in sums:
+        k[r["i"], r["j"]] = r["s"]
+    values, vectors = np.linalg.eigh(k)
+    on = np.flatnonzero(values > 1e-9 * max(values.max(initial=0.0), 1e-300))[::-1]
+    axes = [F.aggregate(F.zip_with("x", F.array(*map(F.lit, (vectors[:, i] / np.sqrt(values[i])).tolist())), lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v) for i in on]
+    each = rows.select("g", F.posexplode(F.array(*axes)).alias("d", "v"))
+    up, down, all_ = Window.partitionBy("g", "d").orderBy("v"), Window.partitionBy("g", "d").orderBy(F.desc("v")), Window.unboundedPreceding
+    centre = F.broadcast(each.groupBy("d").agg((F.sum("v") / F.lit(n)).alias("c")))
+    low = each.select("g", "d", F.row_number().over(up).alias("s"), F.sum("v").over(up.rowsBetween(all_, 0)).alias("low"))
+    high = each.select("g", "d", F.row_number().over(down).alias("s"), F.sum("v").over(down.rowsBetween(all_, 0)).alias("high"))
+    length = F.col("s") * (F.lit(n) - F.col("s")) / F.lit(n)
+    reach = F.greatest(F.pow(F.col("high") - F.col("s") * F.col("c"), F.lit(2.0)), F.pow(F.col("low") - F.col("s") * F.col("c"), F.lit(2.0)))
+    share = low.join(high, ["g", "d", "s"]).join(centre, "d").where(F.col("s") < n).select("g", "d", "s", (reach / length).alias("share"))
+    before = F.coalesce(F.sum("share").over(Window.partitionBy("g", "s").orderBy("d").rowsBetween(all_, -1)), F.lit(0.0))
+    weight = F.element_at(F.array(*map(F.lit, values[on].tolist())), F.col("d") + 1)
+    given = F.greatest(F.lit(0.0), F.least(F.lit(1.0) - F.col("before"), F.col("share")))
+    f = F.col("s").cast("double") if anomaly else length
+    by_size = share.withColumn("before", before).groupBy("g", "s").agg(F.sum(given * weight).alias("sum"))
+    best = by_size.groupBy("g").agg(F.max(F.pow(f, F.lit(gamma - 2.0)) * length * F.col("sum")).alias("bound"))
+    return best.select(F.col("g").alias(group), "bound")
+
+
 # spectra: of matrices small enough for one machine (thousands of rows)
 
 

@@ -92,6 +92,16 @@ def closures(table: DataFrame, candidates: Sequence[tuple[int, ...]], n_predicat
     return [(got[i]["n"], indices(got[i]["closure"])) if i in got else (0, tuple(range(n_predicates))) for i in range(len(candidates))]
 
 
+def on_some_row(table: DataFrame, candidates: Sequence[tuple[int, ...]], n_predicates: int) -> list[tuple[int, ...]]:
+    """For each candidate the predicates that hold on one of its rows at least, as ``closures`` has those that hold on all."""
+    words = [F.bit_or(F.get("words", F.lit(w))) for w in range((n_predicates + WORD - 1) // WORD)]
+    return [indices(r) if r[0] is not None else () for r in (table.where(holds("words", str_mask(mask(c, n_predicates)))).agg(*words).first() for c in candidates)]
+
+
+def str_mask(words: Sequence[int]) -> str:
+    return "array(" + ", ".join(f"{w}L" for w in words) + ")"
+
+
 def needed_end(table: DataFrame, closed: Sequence[int], n_predicates: int) -> int:
     """The length of the shortest prefix of the sorted closure with the same rows."""
     closed = sorted(closed)

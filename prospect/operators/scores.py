@@ -3,12 +3,15 @@
 A score is a formula over sums and extremes of per-row values, so it is computed
 from rows that were added up by signature beforehand. ``parts`` gives the per-row
 values with the way they add up, ``value`` the formula over a group's columns;
-``n`` is always there.
+``n`` is always there. Rows whose target is null are in no group: they were not
+measured, so they count neither as members nor among all.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re
+from ast import literal_eval
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +22,11 @@ def _ratio(a: Column, b: Column | float) -> Column:
     return F.when(b != 0, a / b).otherwise(F.lit(0.0))
 
 
+def measured(df: DataFrame, target: str | None) -> DataFrame:
+    """The rows that have a target."""
+    return df if target is None else df.where(F.col(target).isNotNull())
+
+
 @dataclass(frozen=True)
 class Totals:
     """What holds for all rows: their number, the target's mean, and how many hold if it is boolean."""
@@ -26,11 +34,17 @@ class Totals:
     n: int
     mean: float = 0.0
     held: int = 0
+    means: tuple[float, ...] = ()
 
     @classmethod
     def of(cls, df: DataFrame, target: str | None) -> Totals:
         if target is None:
             return cls(df.count())
+        df = measured(df, target)
+        if dict(df.dtypes)[target].startswith("array"):
+            size = df.agg(F.max(F.size(target))).first()[0] or 0
+            r = df.agg(F.count(F.lit(1)).alias("n"), F.array(*(F.avg(F.get(target, F.lit(i))) for i in range(size))).alias("m")).first()
+            return cls(r["n"], means=tuple(r["m"] or ()))
         y = F.col(target).cast("double")
         r = df.agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("m"), F.count_if(y != 0).alias("h")).first()
         return cls(r["n"], r["m"] or 0.0, r["h"])
@@ -38,13 +52,19 @@ class Totals:
 
 @dataclass(frozen=True)
 class Score:
-    """``parts(totals)``: name -> (per-row value, "sum" or "max"); ``value(totals)``: formula over those names and n."""
+    """``parts(totals)``: name -> (per-row value, "sum" or "max"); ``value(totals)``: formula over those names and n.
+
+    ``derived(totals)`` replaces parts of a signature's rows by values of their sums, before they are added up any further.
+    """
 
     target: str | None = None
 
     def parts(self, totals: Totals) -> dict[str, tuple[Column, str]]:
         return {}
 
+    def derived(self, totals: Totals) -> dict[str, Column]:
+        return {}
+
     def value(self, totals: Totals) -> Column:
         raise NotImplementedError
 
@@ -107,19 +127,92 @@ class MeanShiftBound(MeanShift):
     """No subset's score is higher.
 
     With exponent 1 it is exact: the score is the sum of deviations over n, so
-    the best subset has the positive ones. Otherwise: all rows' coverage with
-    the greatest deviation.
+    the best subset has the positive ones. Otherwise a subset of size s has a
+    shift of at most the greatest deviation (``top``) and of the sum of positive
+    ones over s; the score with the lesser of both is greatest where they meet,
+    or, if coverage weighs more, at the whole group.
     """
 
     def parts(self, totals: Totals) -> dict[str, tuple[Column, str]]:
         d = F.col(self.target).cast("double") - F.lit(totals.mean)
-        return {"gain": (F.greatest(d, F.lit(0.0)), "sum")} if self.exponent == 1.0 else {"top": (d, "max")}
+        gain = {"gain": (F.greatest(d, F.lit(0.0)), "sum")}
+        return gain if self.exponent == 1.0 else gain | {"top": (d, "max")}
 
     def value(self, totals: Totals) -> Column:
         if self.exponent == 1.0:
             return _ratio(F.col("gain"), totals.n)
         a, b = self.powers
-        return F.pow(_ratio(F.col("n").cast("double"), totals.n), F.lit(a)) * F.pow(F.greatest(F.col("top"), F.lit(0.0)), F.lit(b))
+        top, n = F.greatest(F.col("top"), F.lit(0.0)), F.lit(float(max(totals.n, 1)))
+        if a < b:
+            size = F.least(F.greatest(_ratio(F.col("gain"), top), F.lit(1.0)), F.col("n").cast("double"))
+            return F.pow(size / n, F.lit(a)) * F.pow(top, F.lit(b))
+        return F.pow(F.col("n") / n, F.lit(a)) * F.pow(F.least(_ratio(F.col("gain"), F.col("n")), top), F.lit(b))
+
+
+@dataclass(frozen=True)
+class GroupedMeanShiftBound(MeanShiftBound):
+    """No subset that predicates can tell apart scores higher: rows of one signature stay together, so their deviations are added up first."""
+
+    def parts(self, totals: Totals) -> dict[str, tuple[Column, str]]:
+        return {"gain": (F.col(self.target).cast("double") - F.lit(totals.mean), "sum")} | ({} if self.exponent == 1.0 else {"top": (F.lit(float("-inf")), "max")})
+
+    def derived(self, totals: Totals) -> dict[str, Column]:
+        mean = F.col("gain") / F.col("n")
+        return {"gain": F.greatest(F.col("gain"), F.lit(0.0))} | ({} if self.exponent == 1.0 else {"top": mean})
+
+
+@dataclass(frozen=True)
+class Mmd(Score):
+    """Deviation of a group's mean map: f^(gamma - 2) * |sum of its features - m * mean of all|^2, f = m(n - m)/n or (anomaly) m.
+
+    The target is an array whose dot products are the kernel (``kernels.features``,
+    or a vector for the linear kernel); 0 for no row and for all rows.
+    """
+
+    gamma: float = 1.0
+    anomaly: bool = False
+
+    def _centred(self, totals: Totals) -> list[Column]:
+        return [F.get(self.target, F.lit(i)).cast("double") - F.lit(m) for i, m in enumerate(totals.means)]
+
+    def parts(self, totals: Totals) -> dict[str, tuple[Column, str]]:
+        return {f"z{i}": (c, "sum") for i, c in enumerate(self._centred(totals))}
+
+    def value(self, totals: Totals) -> Column:
+        m, n = F.col("n").cast("double"), F.lit(float(totals.n))
+        f = m if self.anomaly else m * (n - m) / n
+        square = F.aggregate(F.array(*(F.col(f"z{i}") * F.col(f"z{i}") for i in range(len(totals.means)))), F.lit(0.0), lambda a, v: a + v)
+        return F.when(m < n, F.pow(f, F.lit(self.gamma - 2.0)) * square).otherwise(F.lit(0.0))
+
+
+@dataclass(frozen=True)
+class MmdBound(Mmd):
+    """No subset's score is higher, from sums and extremes alone, so that it adds up like the measure.
+
+    A subset of size s has a squared length of at most s^2 M^2 (M the greatest
+    length of a centred row), of s G (G the sum of their squares), and of B (in
+    each direction the greater of the sums of one sign, squared). f is at least
+    s c, c = (n - m)/n for the whole group's m, or 1 for anomalies.
+    """
+
+    def parts(self, totals: Totals) -> dict[str, tuple[Column, str]]:
+        rows = self._centred(totals)
+        square = F.aggregate(F.array(*(c * c for c in rows)), F.lit(0.0), lambda a, v: a + v)
+        out = {"squares": (square, "sum"), "longest": (square, "max")}
+        for i, c in enumerate(rows):
+            out |= {f"up{i}": (F.greatest(c, F.lit(0.0)), "sum"), f"down{i}": (F.greatest(-c, F.lit(0.0)), "sum")}
+        return out
+
+    def value(self, totals: Totals) -> Column:
+        g, m, n = self.gamma, F.col("n").cast("double"), float(totals.n)
+        reach = F.aggregate(F.array(*(F.pow(F.greatest(f"up{i}", f"down{i}"), F.lit(2.0)) for i in range(len(totals.means)))), F.lit(0.0), lambda a, v: a + v)
+        longest, squares = F.greatest(F.col("longest"), F.lit(0.0)), F.col("squares")
+        # s^(g - 2) times the least of s^2 M^2, s G and B
+        bounds = [F.pow(longest, F.lit(1 - g / 2)) * F.pow(reach, F.lit(g / 2)), F.pow(m, F.lit(g)) * longest]
+        bounds.append(F.pow(longest, F.lit(1 - g)) * F.pow(squares, F.lit(g)) if g <= 1 else F.pow(m, F.lit(g - 1)) * squares)
+        # no proper subset of all rows is larger than n - 1
+        c = F.lit(1.0) if self.anomaly else (F.lit(n) - F.least(m, F.lit(n - 1))) / F.lit(n)
+        return F.pow(c, F.lit(g - 2.0)) * F.least(*bounds)
 
 
 @dataclass(frozen=True)
@@ -132,6 +225,9 @@ class Geometric(Score):
     def parts(self, totals: Totals) -> dict[str, tuple[Column, str]]:
         return {k: v for s in self.scores for k, v in s.parts(totals).items()}
 
+    def derived(self, totals: Totals) -> dict[str, Column]:
+        return {k: v for s in self.scores for k, v in s.derived(totals).items()}
+
     def value(self, totals: Totals) -> Column:
         e = self.exponents or (1.0,) * len(self.scores)
         out = F.lit(1.0)
@@ -140,8 +236,28 @@ class Geometric(Score):
         return F.pow(out, F.lit(1.0 / sum(e)))
 
 
-MEASURES = {"coverage": Coverage, "jaccard": Jaccard, "coverage-mean-shift": MeanShift, "geometric-mean": Geometric}
-BOUNDS = {"coverage": Coverage, "constant": Constant, "jaccard": JaccardBound, "coverage-mean-shift": MeanShiftBound, "geometric-mean": Geometric}
+MEASURES = {"coverage": Coverage, "jaccard": Jaccard, "coverage-mean-shift": MeanShift, "mmd": Mmd, "geometric-mean": Geometric}
+BOUNDS = {"coverage": Coverage, "constant": Constant, "jaccard": JaccardBound, "coverage-mean-shift": MeanShiftBound, "coverage-mean-shift-grouped": GroupedMeanShiftBound, "mmd-sd": MmdBound, "geometric-mean": Geometric}
+
+
+def from_text(text: str, target: str | None = None, known: dict[str, type[Score]] = MEASURES) -> Score:
+    """A score from ``name``, ``name(value, key=value)``, or several of these: their geometric mean.
+
+    Exponents of a mean may follow in brackets: ``coverage jaccard [1, 2]``.
+    """
+    body, _, tail = text.partition("[")
+    found = re.findall(r"([a-z-]+)\s*(?:\(([^)]*)\))?", body)
+    if not found or any(name not in known for name, _ in found):
+        raise ValueError(f"no such score: {text!r}")
+    made = []
+    for name, given in found:
+        kind = known[name]
+        own = [f.name for f in fields(kind) if f.name != "target"]
+        args = [a.partition("=") if "=" in a else (own[i], "=", a) for i, a in enumerate(filter(str.strip, (given or "").split(",")))]
+        made.append(kind(target=target, **{k.strip(): literal_eval(v.strip()) for k, _, v in args}))
+    if len(made) == 1 and not tail:
+        return made[0]
+    return Geometric(target, tuple(made), tuple(map(float, literal_eval("[" + tail))) if tail else ())
 
 
 def sorted_bound(members: DataFrame, key: str, target: str, totals: Totals, exponent: float = 1.0) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from prospect.functions.predicates import Predicate
 
 from .language import compress, indices, render, score
-from .scores import Constant, Score, Totals
+from .scores import Constant, Score, Totals, measured
 
 
 @dataclass(frozen=True)
@@ -37,7 +37,11 @@ class Result:
     stats: dict[str, int]
     exhausted: bool
     attainable: float
-    frontier: list[tuple[int, ...]] = field(default_factory=list)
+    frontier: list[tuple[tuple[int, ...], int]] = field(default_factory=list)
+
+    @property
+    def status(self) -> str:
+        return "completed" if self.exhausted else "stopped"
 
     @property
     def gap(self) -> float:
@@ -59,20 +63,23 @@ def search(
     closed: bool = False,
     removed: tuple[tuple[int, ...], ...] = (),
     visit: Callable[[int, list[Found]], None] | None = None,
+    resume: Result | None = None,
 ) -> Result:
     """The k best conjunctions of at most ``depth`` predicates (or steps, if ``closed``).
 
     Ties go to fewer predicates, then to lower indices. A conjunction is expanded
     while its bound times ``factor`` exceeds the k-th best score. ``closed``
     visits closed sets only, each once (prefix-preserving extensions).
-    Conjunctions without rows are no results.
+    Conjunctions without rows are no results, rows without a target no members.
+    ``resume`` goes on from what an earlier search of the same kind left open.
     """
     bound = bound or Constant()
     target = measure.target or bound.target
+    df = measured(df, target)
     totals = Totals.of(df, target)
     named = measure.parts(totals) | bound.parts(totals)
     how = {name: way for name, (_, way) in named.items()}
-    table = compress(df, predicates, named).persist()
+    table = compress(df, predicates, named).withColumns(measure.derived(totals) | bound.derived(totals)).persist()
     p = len(predicates)
     stats = dict.fromkeys(("created", "added", "pruned", "expanded", "levels"), 0)
     best: list[Found] = []
@@ -101,7 +108,11 @@ def search(
 
     try:
         frontier: list[tuple[tuple[int, ...], int]] = []  # a conjunction, and the index that its extensions start from
-        for _, found, own in rate([()]):
+        for f in resume.best if resume else ():
+            add(f)
+        if resume:
+            frontier, rated = list(resume.frontier), []
+        for _, found, own in [] if resume else rate([()]):
             add(found)
             frontier = [(own, -1)]
             if visit:
@@ -137,8 +148,8 @@ def search(
                 visit(level, [f for _, f, _ in rated])
         if frontier:
             bounds = {f.indices: f.bound for _, f, _ in rated}
-            attainable = max(bounds[own] for own, _ in frontier)
-        return Result(best, stats, not frontier, attainable, [own for own, _ in frontier])
+            attainable = max(bounds.get(own, resume.attainable if resume else float("inf")) for own, _ in frontier)
+        return Result(best, stats, not frontier, attainable, frontier)
     finally:
         table.unpersist()
 

@@ -131,6 +131,16 @@ def topk_search_depth3(spark, sf_dir):
     return _best(spark, sf_dir, scores.MeanShift("o_totalprice"), scores.MeanShiftBound("o_totalprice"), 5, 3)
 
 
+@query(_top([_C0, _C1, _C2, _C3], _shift(0.5, 1.0), 5))
+def topk_exponent_half(spark, sf_dir):
+    return _best(spark, sf_dir, scores.MeanShift("o_totalprice", 0.5), scores.MeanShiftBound("o_totalprice", 0.5), 5, 3)
+
+
+@query(_top([_C0, _C1, _C2, _C3], _shift(1.0, 0.5), 5))
+def topk_exponent_two_grouped(spark, sf_dir):
+    return _best(spark, sf_dir, scores.MeanShift("o_totalprice", 2.0), scores.GroupedMeanShiftBound("o_totalprice", 2.0), 5, 3)
+
+
 @query(_top([_C0, _C1, _C2, _C3], "hit / (m + nt - hit)", 5))
 def topk_jaccard_depth3(spark, sf_dir):
     return _best(spark, sf_dir, scores.Jaccard("pricey"), scores.JaccardBound("pricey"), 5, 3)
@@ -306,8 +316,8 @@ def kernel_normalise(spark, sf_dir):
 @query(f"WITH {_E}, g AS (SELECT list_inner_product(a.x, b.x) AS k, {_RBF} AS l FROM e a CROSS JOIN e b) SELECT round(sum(k * l) / sqrt(sum(k * k) * sum(l * l)), 6) AS alignment FROM g")
 def kernel_alignment(spark, sf_dir):
     e = embeddings_view(spark, sf_dir)
-    a, b = kernels.gram(e, "vec_id", "embedding", kernels.linear()), kernels.gram(e, "vec_id", "embedding", kernels.rbf(1.0))
-    return alignment.alignment(a, b).select(F.round("alignment", 6).alias("alignment"))
+    sums = kernels.pair_sums(e, "vec_id", "embedding", (kernels.linear(), kernels.rbf(1.0)))
+    return sums.select(F.round(F.col("ab") / F.sqrt(F.col("aa") * F.col("bb")), 6).alias("alignment"))
 
 
 _SUMS = f"WITH {_E}, s AS (SELECT a.label AS ga, b.label AS gb, sum({_RBF}) AS s FROM e a CROSS JOIN e b GROUP BY ALL), z AS (SELECT label AS g, count(*) AS n FROM e GROUP BY label), own AS (SELECT ga AS g, sum(s) AS m FROM s GROUP BY ga)"
@@ -349,6 +359,42 @@ def mmd_rbf_contrastive(spark, sf_dir):
     return _mmd(spark, sf_dir, kernels.rbf(1.0), False)
 
 
+# vectors as the target of a search: predicates 0-9 labels, 10-12 components from a number on
+
+VECTOR_PREDICATES: list[Predicate] = [
+    *(Equals(Attribute("label", Kind.CATEGORICAL, position=0), category=str(v)) for v in range(10)),
+    *(Ranged(Attribute(f"x{i}", Kind.NUMERICAL, position=1 + i), interval=Interval(0.0, None, name="positive")) for i in range(3)),
+]
+_VECTOR_TESTS = [*(f"label = '{v}'" for v in range(10)), *(f"x[{i + 1}] >= 0" for i in range(3))]
+_VP = f"{_E}, p AS (" + " UNION ALL ".join(f"SELECT vec_id, {i} AS pid FROM e WHERE {c}" for i, c in enumerate(_VECTOR_TESTS)) + ")"
+
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    return embeddings_view(spark, sf_dir).withColumns({f"x{i}": F.get("embedding", F.lit(i)) for i in range(3)})
+
+
+@query(
+    f"WITH {_VP}, c AS (SELECT CAST([] AS INTEGER[]) AS c, vec_id FROM e UNION ALL SELECT [pid], vec_id FROM p UNION ALL SELECT [a.pid, b.pid], a.vec_id FROM p a JOIN p b ON a.vec_id = b.vec_id AND a.pid < b.pid), "
+    "d AS (SELECT vec_id, unnest(x) AS v, unnest(range(len(x))) AS i FROM e), mu AS (SELECT i, avg(v) AS mu FROM d GROUP BY i), z AS (SELECT c, d.i, sum(v - mu) AS z, count(*) AS m FROM c JOIN d USING (vec_id) JOIN mu ON mu.i = d.i GROUP BY c, d.i), "
+    "s AS (SELECT c, any_value(m) AS m, sum(z * z) AS q FROM z GROUP BY c), r AS (SELECT c, m, round(CASE WHEN m < n THEN q * n / (m * (n - m)) ELSE 0 END, 6) AS score FROM s, (SELECT count(*) AS n FROM e)) "
+    "SELECT CAST(row_number() OVER (ORDER BY score DESC, len(c), c) AS INTEGER) AS rank, array_to_string(c, ',') AS indices, m AS n, score FROM r QUALIFY rank <= 5"
+)
+def mmd_topk_search(spark, sf_dir):
+    found = search.search(_vectors(spark, sf_dir), VECTOR_PREDICATES, scores.Mmd("embedding"), scores.MmdBound("embedding"), 5, 2)
+    return spark.createDataFrame([(i + 1, ",".join(map(str, f.indices)), f.n, round(f.score, 6)) for i, f in enumerate(found.best)], "rank int, indices string, n long, score double")
+
+
+@query()
+def mmd_sd_bound(spark, sf_dir):
+    return kernels.mean_deviation_bound(embeddings_view(spark, sf_dir), "embedding", "label").select("label", F.round("bound", 6).alias("bound"))
+
+
+@query(f"WITH {_VP}, n AS (SELECT vec_id, count(*) AS n FROM p GROUP BY vec_id) SELECT a.vec_id AS i, b.vec_id AS j, round(count(*) / sqrt(any_value(x.n) * any_value(y.n)), 6) AS k FROM p a JOIN p b ON a.pid = b.pid AND a.vec_id <= b.vec_id JOIN n x ON x.vec_id = a.vec_id JOIN n y ON y.vec_id = b.vec_id GROUP BY a.vec_id, b.vec_id")
+def entity_similarity(spark, sf_dir):
+    held = F.filter(F.array(*(F.when(p.column(), F.lit(i)) for i, p in enumerate(VECTOR_PREDICATES))), lambda x: x.isNotNull())
+    return alignment.entity_similarity(_vectors(spark, sf_dir).select("vec_id", held.alias("on")), "vec_id", "on").select("i", "j", F.round("k", 6).alias("k"))
+
+
 # ingest
 
 
@@ -365,10 +411,20 @@ for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("outer", "FULL JOI
     query(_PARTS.replace("{how} JOIN", _sql).replace("k.c_custkey", "c_custkey"), f"part_assembly_{_how}")(lambda spark, sf_dir, how=_how: _parts(spark, sf_dir, how))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def incremental_keys(spark, sf_dir):
     new = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return ingest.missing(new, read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return ingest.missing(new, read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("SELECT event_id, TRY_CAST(props ->> '$.k' AS BIGINT) AS k FROM events")
+def json_properties(spark, sf_dir):
+    return ingest.json_fields(read(spark, sf_dir, "events"), "props", {"k": "long"}).select("event_id", "k")
+
+
+@query("SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS BIGINT) AS label, count(*) OVER (PARTITION BY o_orderpriority) AS n, TRY_CAST(o_orderpriority AS INTEGER) AS number FROM orders")
+def value_labels(spark, sf_dir):
+    return ingest.typed(ingest.with_labels(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority").withColumn("number", F.col("o_orderpriority")), "o_orderpriority"), {"number": "int"}).select("o_orderkey", "label", "n", "number")
 
 
 _SERIES = "s AS (SELECT user_id, list(value ORDER BY ts, value) AS v, count(*) AS length FROM events GROUP BY user_id)"
@@ -429,7 +485,16 @@ def _busy(spark, sf_dir) -> DataFrame:
     return e.join(F.broadcast(e.agg(F.avg("n").alias("mean"))), F.col("n") > F.col("mean")).select("src", "dst")
 
 
-@query()
+_B = f"{_G}, busy AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM g WHERE src <> dst AND n > (SELECT avg(n) FROM g)), u AS (SELECT a AS src, b AS dst FROM busy UNION SELECT b, a FROM busy), both_ways AS (SELECT src, dst FROM g WHERE n > (SELECT avg(n) FROM g) UNION SELECT dst, src FROM g WHERE n > (SELECT avg(n) FROM g))"
+#: Of 25 vertices no value falls more than 25 times in a row, one step for each at most.
+_CORES = ", ".join(
+    ["c0 AS (SELECT src AS vid, count(*) AS core FROM u GROUP BY src)"]
+    + [f"c{i + 1} AS (SELECT src AS vid, max(least(core, r)) AS core FROM (SELECT src, core, row_number() OVER (PARTITION BY src ORDER BY core DESC) AS r FROM u JOIN c{i} ON vid = dst) GROUP BY src)" for i in range(26)]
+)
+_WL = "SELECT vid, md5(concat_ws(':', label, CAST(coalesce((SELECT sum(CAST(CAST('0x' || substr(md5(m.label), 1, 15) AS BIGINT) AS HUGEINT)) FROM both_ways w JOIN {0} m ON m.vid = w.dst WHERE w.src = l.vid), 0) AS VARCHAR))) AS label FROM {0} l"
+
+
+@query(f"WITH {_B}, {_CORES} SELECT vid, CAST(core AS BIGINT) AS core FROM c26")
 def coreness(spark, sf_dir):
     return graphs.coreness(_busy(spark, sf_dir))
 
@@ -440,6 +505,6 @@ def communities(spark, sf_dir):
     return spark.createDataFrame([(i, "^".join(c["features"]), c["n_vertices"], c["n_edges"], round(c["density"], 6)) for i, c in enumerate(found)], "rank int, features string, n_vertices long, n_edges long, density double")
 
 
-@query()
+@query(f"WITH {_B}, l0 AS (SELECT vid, feature AS label FROM f), l1 AS ({_WL.format('l0')}), l2 AS ({_WL.format('l1')}) SELECT vid, 0 AS round, label FROM l0 UNION ALL SELECT vid, 1, label FROM l1 UNION ALL SELECT vid, 2, label FROM l2")
 def wl_labels(spark, sf_dir):
     return graphs.wl_labels(_busy(spark, sf_dir), _features(spark, sf_dir).withColumnRenamed("feature", "label"), 2)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from prospect.functions.discretise import Discretiser, Frequency, Ranges
 from prospect.functions.predicates import Attribute, Kind, Negate, Predicate, Prediciser, attributes
-from prospect.operators import scores, search, summary
+from prospect.operators import kernels, scores, search, summary
 from prospect.operators.language import parse
 
 
@@ -25,6 +25,7 @@ class Computation:
     bound: scores.Score | None = None
     removed: tuple[tuple[int, ...], ...] = ()
     result: search.Result | None = None
+    kernel: dict = field(default_factory=kernels.linear)
 
     def load_dataset(self, df: DataFrame, target: str | None = None, kinds: dict[str | None, Kind | str] | None = None, exclude: tuple[str, ...] = ()) -> Computation:
         """A frame, its target column (no attribute then), and kinds that override the columns' types."""
@@ -46,14 +47,26 @@ class Computation:
     def load_optimistic_estimator(self, name: str, **how) -> Computation:
         return replace(self, bound=scores.BOUNDS[name](how.pop("target", self.target), **how))
 
+    def load_kernel(self, name: str = "linear", **how) -> Computation:
+        """The kernel between targets: ``linear``, or an ``rbf`` kind (``gaussian``, ``exp``, ``inv-quadratic``) with ``sigma``."""
+        return replace(self, kernel=kernels.linear() if name == "linear" else kernels.rbf(kind="gaussian" if name == "rbf" else name, **how))
+
+    def compute_gramian(self, key: str, landmarks: int = 256) -> Computation:
+        """Replace the vector target by features whose dot products are the kernel, which ``mmd`` and ``mmd-sd`` read."""
+        if self.kernel["kind"] == "linear":
+            return self
+        df = kernels.features(self.df, key, self.target, self.kernel, landmarks).drop(self.target).withColumnRenamed("features", self.target)
+        return replace(self, df=df)
+
     def predicates(self) -> list[Predicate]:
         return self.prediciser.predicates(self.df, list(self.of))
 
     def remove_subgroup(self, what: str) -> Computation:
         return replace(self, removed=(*self.removed, parse(what, self.predicates())))
 
-    def optimise(self, k: int = 1, depth: int = 6, approximation_factor: float = 1.0, visit=None) -> Computation:
-        found = search.search(self.df, self.predicates(), self.measure, self.bound, k, depth, approximation_factor, self.closed, self.removed, visit)
+    def optimise(self, k: int = 1, depth: int = 6, approximation_factor: float = 1.0, visit=None, resume: bool = False) -> Computation:
+        """Search; ``resume`` goes on from where this computation's last search stopped."""
+        found = search.search(self.df, self.predicates(), self.measure, self.bound, k, depth, approximation_factor, self.closed, self.removed, visit, self.result if resume else None)
         return replace(self, result=found)
 
     def summarise_to_json(self, indent: int = 4) -> str:

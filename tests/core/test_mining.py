@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from prospect.functions.discretise import Fixed, Frequency, Ranges, Uniform, entropy, level_names
 from prospect.functions.predicates import Attribute, Equals, Kind, Negate, Prediciser, Ranged, Truth, attributes, kind_of
@@ -237,3 +238,135 @@ def test_stream(spark, tmp_path):
     finally:
         q.stop()
     assert spark.sql("select sum(n), sum(n_group) from watched").first()[:] == (20, 10)
+
+
+def test_null_targets_are_no_members(spark):
+    df = spark.createDataFrame([("a", 10.0), ("a", None), ("b", 0.0), ("b", 0.0)], "g string, y double")
+    predicates = [Equals(Attribute("g", Kind.CATEGORICAL), category=v) for v in "ab"]
+    best = search.search(df, predicates, scores.MeanShift("y"), scores.MeanShiftBound("y"), 1, 1).best[0]
+    assert best.n == 1 and abs(best.score - (10 - 10 / 3) / 3) < 1e-9
+
+
+@pytest.mark.parametrize("exponent", [0.5, 1.0, 2.0])
+def test_mean_shift_bounds_hold_for_every_subset(spark, exponent):
+    rng = random.Random(31)
+    y = [rng.gauss(0, 1) for _ in range(14)]
+    sign = [i % 5 for i in range(14)]
+    mean, (a, b) = sum(y) / 14, scores.MeanShift("y", exponent).powers
+    group = [i for i in range(14) if i % 3]
+
+    def score(m):
+        return (len(m) / 14) ** a * max(sum(y[i] for i in m) / len(m) - mean, 0) ** b if m else 0.0
+
+    subsets = [m for k in range(1, len(group) + 1) for m in itertools.combinations(group, k)]
+    whole = [m for m in subsets if all(j in m for i in m for j in group if sign[j] == sign[i])]
+    df = spark.createDataFrame([(v, s, i in group) for i, (v, s) in enumerate(zip(y, sign))], "y double, s int, g boolean")
+    totals = scores.Totals.of(df, "y")
+    for bound, of in ((scores.MeanShiftBound("y", exponent), subsets), (scores.GroupedMeanShiftBound("y", exponent), whole)):
+        parts = bound.parts(totals)
+        rows = df.where("g").groupBy("s").agg(F.count(F.lit(1)).alias("n"), *(getattr(F, how)(c).alias(k) for k, (c, how) in parts.items())).withColumns(bound.derived(totals))
+        got = rows.agg(F.sum("n").alias("n"), *(getattr(F, how)(k).alias(k) for k, (_, how) in parts.items())).select(bound.value(totals).alias("b")).first()["b"]
+        assert got >= max(map(score, of)) - 1e-9
+        if exponent == 1.0:
+            assert abs(got - max(map(score, of))) < 1e-9
+
+
+@pytest.mark.parametrize("anomaly", [False, True])
+@pytest.mark.parametrize("gamma", [0.5, 1.0])
+def test_mmd_and_its_bounds_hold_for_every_subset(spark, anomaly, gamma):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12, 3))
+    group = list(range(8))
+    mean = x.mean(axis=0)
+
+    def score(m):
+        n, k = 12, len(m)
+        f = k if anomaly else k * (n - k) / n
+        return f ** (gamma - 2) * float(((x[list(m)].sum(axis=0) - k * mean) ** 2).sum())
+
+    best = max(score(m) for k in range(1, 9) for m in itertools.combinations(group, k))
+    df = spark.createDataFrame([(i, v, "in" if i in group else "out") for i, v in enumerate(x.tolist())], "i long, x array<double>, g string")
+    totals = scores.Totals.of(df, "x")
+    got = {}
+    for s in (scores.Mmd("x", gamma, anomaly), scores.MmdBound("x", gamma, anomaly)):
+        parts = s.parts(totals)
+        got[type(s)] = df.where("g = 'in'").agg(F.count(F.lit(1)).alias("n"), *(getattr(F, how)(c).alias(k) for k, (c, how) in parts.items())).select(s.value(totals).alias("v")).first()["v"]
+    assert abs(got[scores.Mmd] - score(group)) < 1e-9 and got[scores.MmdBound] >= best - 1e-9
+    near = {r["g"]: r["bound"] for r in kernels.mean_deviation_bound(df, "x", "g", gamma, anomaly).collect()}
+    values, vectors = kernels.spectrum(x @ x.T, 3)
+    mask = np.array([i in group for i in range(12)])
+    assert near["in"] >= best - 1e-9 and abs(near["in"] - kernels.mmd_bound(values, vectors, mask, gamma, anomaly)) < 1e-6
+    by = {r["g"]: r["score"] for r in kernels.mean_deviation(df, "i", "x", "g", kernels.linear(), gamma, anomaly).collect()}
+    assert abs(by["in"] - score(group)) < 1e-9
+
+
+def test_mmd_search_with_a_kernel(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 1, (30, 2)), rng.normal(4, 0.3, (10, 2))])
+    df = spark.createDataFrame([(i, v, "far" if i >= 30 else "ab"[i % 2], i % 4 == 0) for i, v in enumerate(x.tolist())], "i long, x array<double>, g string, f boolean")
+    done = Computation().load_dataset(df, "x", {"i": "index"}).load_prediciser(2, negate="BOOLEAN").load_language("closure-conjunctions").load_kernel("rbf", sigma=2.0).compute_gramian("i", 40).load_measure("mmd").load_optimistic_estimator("mmd-sd").optimise(2, 2)
+    assert "far" in done.result.best[0].text and done.result.best[0].n == 10
+    k = kernels.matrix(x, x, kernels.rbf(2.0))
+    values, vectors = kernels.spectrum(k)
+    assert abs(done.result.best[0].score - kernels.mmd(values, vectors, np.arange(40) >= 30)) < 1e-6
+
+
+def test_search_goes_on_from_where_it_stopped(toy):
+    df, predicates = toy
+    how = (scores.MeanShift("y"), scores.MeanShiftBound("y"), 4)
+    short = search.search(df, predicates, *how, 1)
+    assert short.status == "stopped"
+    whole, rest = search.search(df, predicates, *how, 3), search.search(df, predicates, *how, 2, resume=short)
+    assert [f.indices for f in rest.best] == [f.indices for f in whole.best]
+
+
+def test_scores_from_text():
+    assert scores.from_text("coverage-mean-shift(0.5)", "y") == scores.MeanShift("y", 0.5)
+    assert scores.from_text("mmd(gamma=0.5, anomaly=True)", "x") == scores.Mmd("x", 0.5, True)
+    both = scores.from_text("coverage jaccard [1, 2]", "t")
+    assert both.exponents == (1.0, 2.0) and both.scores == (scores.Coverage("t"), scores.Jaccard("t"))
+    with pytest.raises(ValueError):
+        scores.from_text("nothing")
+
+
+def test_kernel_tables(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(30, 4))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())] + [(30, None)], "id long, x array<double>")
+    known, k = df.where("x is not null"), kernels.matrix(x, x, kernels.rbf(2.0))
+    f = np.array([r["features"] for r in kernels.features(df, "id", "x", kernels.rbf(2.0), 100).orderBy("id").collect()][:30])
+    assert np.allclose(f @ f.T, k, atol=1e-6)
+    gram = kernels.gram(known, "id", "x", kernels.rbf(2.0))
+    v = spark.createDataFrame([(i, float(i)) for i in range(30)], "i long, v double")
+    got = {r["i"]: r["v"] for r in kernels.times_vector(gram, v).collect()}
+    assert np.allclose([got[i] for i in range(30)], k @ np.arange(30.0))
+    assert kernels.sub_matrix(gram, v.where("i < 5")).count() == 15
+    both = {(r["i"], r["j"]): r["k"] for r in kernels.weighted_sum([(2.0, gram), (0.0, gram), (0.5, gram)]).collect()}
+    assert abs(both[3, 7] - 2.5 * k[3, 7]) < 1e-9
+    r = kernels.pair_sums(known, "id", "x", (kernels.linear(), kernels.rbf(2.0))).first()
+    assert abs(r["ab"] - ((x @ x.T) * k).sum()) < 1e-6 and abs(r["bb"] - (k * k).sum()) < 1e-6
+    a, b = rng.normal(size=(9, 2)), rng.normal(size=(9, 3))
+    got = alignment.low_rank_products(spark.createDataFrame(list(zip(a.tolist(), b.tolist())), "a array<double>, b array<double>"), ["a", "b"])
+    assert np.allclose(got, [[(u @ u.T * (w @ w.T)).sum() for w in (a, b)] for u in (a, b)])
+
+
+def test_rows_by_place(spark, tmp_path):
+    spark.range(0, 100, 1, 5).selectExpr("id", "id * 2 AS a").write.parquet(f"file://{tmp_path}/a")
+    a = spark.read.parquet(f"file://{tmp_path}/a").orderBy("id")
+    rows = ingest.beside(a, a.select((F.col("id") + 1000).alias("b"))).collect()
+    assert len(rows) == 100 and all(r["b"] == r["id"] + 1000 for r in rows)
+    assert sorted((r["id"], r["orig_idx"]) for r in ingest.row_slice(a, 10, 13).collect()) == [(10, 10), (11, 11), (12, 12)]
+    odd = spark.createDataFrame([("1", '{"k": 1}'), ("x", "{"), (None, None)], "s string, j string")
+    got = ingest.json_fields(ingest.typed(odd, {"s": "int"}), "j", {"k": "long"}).collect()
+    assert [(r["s"], r["k"]) for r in got] == [(1, 1), (None, None), (None, None)]
+
+
+def test_graph_distance_and_predicates_on_some_row(spark, toy):
+    labels = spark.createDataFrame([(g, v, 0, lab) for g, ls in (("p", "aab"), ("q", "abb"), ("r", "cc")) for v, lab in enumerate(ls)], "graph string, vid int, round int, label string")
+    got = {(r["a"], r["b"]): round(r["distance"], 6) for r in graphs.label_distance(labels, "graph").collect()}
+    assert got == {("p", "q"): round(1 / 3, 6), ("p", "r"): 1.0, ("q", "r"): 1.0}
+    df, predicates = toy
+    table = language.compress(df, predicates, {})
+    for i, found in enumerate(language.on_some_row(table, [(0,), ()], len(predicates))):
+        of = df.where(predicates[0].column()) if i == 0 else df
+        assert found == tuple(j for j, p in enumerate(predicates) if of.where(p.column()).count())
