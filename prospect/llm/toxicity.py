@@ -6,11 +6,13 @@ coordinates; a feature is there or not, however often. Training (McMahan et al.,
 2013) keeps a rate for each coordinate, and its L1 term leaves few weights, which
 are broadcast as sparse arrays: 2**18 pairs at the very most.
 
-It learns from at most ``TRAIN_ROWS`` labelled rows, those of least hash among
-all whose crc32(doc_id) mod 5 is not 0: a bounded sample, so the driver never
+It learns from at most ``TRAIN_ROWS`` labelled ids, those of least hash among
+all whose crc32(doc_id) mod 5 is not 0, one text each, and of these from the first
+with ``TRAIN_FEATURES`` features together: a bounded sample, so the driver never
 holds more than their feature numbers. Scoring covers every whole text.
 
-Edge cases: a null or empty text has the bias alone; labels that are null or
+Edge cases: a null or empty text has the bias alone; a very long one is scored
+whole; an id with several texts is learnt from by the least of them; labels that are null or
 without an id do not count; an id with several labels is toxic if one says so;
 without any label the score is 0; repeated rows are scored as often as they come;
 empty tables give no rows. Columns besides those named are ignored.
@@ -23,12 +25,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, chunks, cut, encode, mix
 
-BITS, TRAIN_ROWS, EPOCHS, FOLDS = 18, 10_000, 6, 5
+BITS, TRAIN_ROWS, TRAIN_FEATURES, EPOCHS, FOLDS = 18, 10_000, 30_000_000, 6, 5
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 0.1
 _PUNCTUATION = bytes(32 if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else i for i in range(256))
 
@@ -91,8 +93,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Weights
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "labels")
     # at most ``rows`` pairs of numbers
-    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text")
-    got = found.mapInArrow(_featurise, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, x binary").toArrow().sort_by("doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    made = cut(found.mapInArrow(_featurise, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, x binary"), "features")
+    size = F.sum(F.octet_length("x") / 4).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # ``rows`` rows at most
+    kept = made.select("doc_id", size.alias("so_far"), F.octet_length("x")).where(F.col("so_far") <= TRAIN_FEATURES)
+    got = made.join(F.broadcast(kept.select("doc_id")), "doc_id").toArrow().sort_by("doc_id")
     return fit([np.frombuffer(x, np.int32) for x in got.column("x").to_pylist()], np.array(got.column("toxic").to_pylist(), float))
 
 

@@ -369,6 +369,43 @@ def test_toxicity_on_held_out_rows(spark):
     assert [r["score"] for r in none] == [0.0] * 3
 
 
+def test_ftrl_against_a_plain_loop():
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 50, 8)).astype(np.int32) for _ in range(120)]
+    y = np.array([float(3 in r) for r in rows])
+    got = toxicity.fit(rows, y, epochs=2)
+    z, n, bz, bn = Counter(), Counter(), 0.0, 0.0
+
+    def weight(z, n, l1):
+        return 0.0 if abs(z) <= l1 else -(z - np.sign(z) * l1) / ((toxicity.BETA + n**0.5) / toxicity.ALPHA + toxicity.L2)
+
+    order = np.random.default_rng(11)
+    for _ in range(2):
+        for i in order.permutation(len(rows)):
+            w, b = {j: weight(z[j], n[j], toxicity.L1) for j in rows[i].tolist()}, weight(bz, bn, 0.0)
+            g = 1 / (1 + np.exp(-sum(w.values()) - b)) - y[i]
+            for j, v in w.items():
+                z[j] += g - ((n[j] + g * g) ** 0.5 - n[j] ** 0.5) / toxicity.ALPHA * v
+                n[j] += g * g
+            bz, bn = bz + g - ((bn + g * g) ** 0.5 - bn**0.5) / toxicity.ALPHA * b, bn + g * g
+    want = {j: weight(z[j], n[j], toxicity.L1) for j in z}
+    assert np.allclose([want.get(j, 0.0) for j in range(50)], got.dense()[:50], atol=1e-6) and abs(got.bias - weight(bz, bn, 0.0)) < 1e-9
+    assert set(got.index.tolist()) == {j for j, v in want.items() if v}
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    rng = random.Random(21)
+    rows = [(i % 5, prose(rng, 30)) for i in range(60)] + [(7, prose(rng, 20_000))]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(8)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda x, y: seen.append(x) or toxicity.Weights(np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0))
+    known = {i for i in range(8) if zlib.crc32(str(i).encode()) % 5}
+    toxicity.train(table(spark, rows), labels)
+    monkeypatch.setattr(toxicity, "TRAIN_FEATURES", 500)
+    toxicity.train(table(spark, rows), labels)
+    assert len(seen[0]) == len(known & {i for i, _ in rows}) and sum(map(len, seen[1])) <= 500 and seen[1]
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li>Home</ul></nav><header>Site</header>
 <div class="cookie-notice">We use cookies</div><article><header><h1>Title &amp; more</h1></header><p>One
  two<br>three <b>bold</b><p>Four&nbsp;five<aside>side</aside><div class="comments"><p>me too</p></div><form><input>send</form><script>var a="</p>";</script></article><footer>&copy; x</footer></body></html>"""
@@ -480,6 +517,69 @@ def test_licenses_and_inheritance(spark):
     assert of["top.py"] == of[None] == (None, "none", None)
 
 
+def test_license_cosines_by_brute_force(spark):
+    rng = random.Random(22)
+    notices = [t for _, t in license_scan.TEMPLATES]
+    files = []
+    for i in range(40):
+        words = rng.choice(notices).split()
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(len(words))] = rng.choice(["the", "software", "this", prose(rng, 1)])
+        cut = rng.randint(3, 12)
+        lines = [" ".join(words[j : j + cut]) for j in range(0, len(words), cut)]
+        files.append((f"d{i}/f.py", "\n".join([prose(rng, 6), *lines, prose(rng, 6)])))
+
+    def terms(t):
+        return set(re.findall(r"[^\W_]+(?:\.[^\W_]+)*", t.lower()))
+
+    sides = [(n, terms(t)) for n, t in license_scan.TEMPLATES]
+    known = set().union(*(t for _, t in sides))
+    times = Counter(w for _, t in files for w in terms(t) & known)
+    weight = {w: np.log((1 + len(files)) / (1 + times[w])) + 1 for w in known}
+    most = max(len(t.split()) for t in notices)
+    got = {r["path"]: r for r in plain(license_scan.scan(spark.createDataFrame(files, "path string, text string")))}
+    for path, text in files:
+        lines, best = [x for x in text.split("\n") if terms(x)], (0.0, None)
+        for a in range(len(lines)):
+            for b in range(a + 1, min(len(lines), a + most) + 1):
+                own = terms("\n".join(lines[a:b]))
+                norm = sum(weight.get(w, 1.0) ** 2 for w in own) ** 0.5
+                for name, side in sides:
+                    c = round(sum(weight[w] ** 2 for w in own & side) / norm / sum(weight[w] ** 2 for w in side) ** 0.5, 9)
+                    best = max(best, (c, name), key=lambda x: (x[0], [-ord(ch) for ch in x[1] or ""]))
+        r = got[path]
+        assert (r["license"] is not None) == (best[0] >= license_scan.COSINE)
+        if r["license"]:
+            assert abs(r["cosine"] - best[0]) < 1e-6 and r["license"] == best[1]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(23)
+    item = prose(rng, 30)
+    texts = [prose(rng, rng.randint(60, 200)) for _ in range(40)]
+    rows = list(enumerate(texts)) + [(100, texts[0]), (101, " ".join([*texts[1].split()[1:], "tail"])), (102, prose(rng, 40) + " " + item + " " + prose(rng, 40)), (103, None), (104, ""), (105, prose(rng, 10)), (106, texts[2] + " password = 'abcdEFGH1234'"), (0, texts[0]), (None, texts[3])]
+    docs = spark.createDataFrame([(i, t, "en" if i is None or i % 2 else None, None, len(t or ""), 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, units int")
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    passed = {r["doc_id"] for r in plain(quality.rate(docs)) if r["kept"]}  # tested above
+    good = {i: t for i, t in rows if i is not None and i in passed}
+    assert 25 < len(good) and not good.keys() & {103, 104, 105}
+    classes = links_by_brute_force(good)
+    want = {i for i in good if classes[i] == i and item not in good[i]}
+    got = plain(corpus_pipeline.run(spark, f"file://{tmp_path}"))
+    assert {r["doc_id"] for r in got} == want and 102 not in want
+    enc = packing.encoder(public_tokenizers.path(packing.BPE), None)
+    for i in want:
+        ids = np.array([*enc.ids(good[i]), 0], "<u4")
+        parts = [r for r in got if r["doc_id"] == i]
+        assert sum(r["length"] for r in parts) == len(ids)
+        assert all(zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"] for r in parts)
+    names = corpus_pipeline.STAGES
+    assert all(f(spark, docs.limit(0), f"file://{tmp_path}").columns == docs.columns for _, f in names[:-1])
+
+
 def test_a_license_that_a_third_of_the_files_carry(spark):
     rng = random.Random(11)
     rows = [(f"hot/{i}.py", prose(rng, 12) + "\nReleased under the MIT License.\n" + prose(rng, 9)) for i in range(28)]
