@@ -9,7 +9,8 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from prospect.operators.ingest import numbered
 
 DATASETS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -83,8 +84,7 @@ def keel(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType([T.StructField("value", T.StringType()), T.StructField("line", T.LongType())])
-    return spark.createDataFrame(spark.read.text(path).rdd.map(lambda r: r[0]).zipWithIndex(), schema)
+    return numbered(spark.read.text(path), "line")
 
 
 def graphs(spark: SparkSession, folder: str, name: str, both_ways: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
