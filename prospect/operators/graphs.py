@@ -61,6 +61,38 @@ def coreness(edges: DataFrame) -> DataFrame:
         core = new
 
 
+def group_measures(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """One row per group of vertices (group, vid), which may overlap: how well it holds together.
+
+    n_vertices; n_edges inside; edge_vertex_ratio; inverse_conductance, 1 less the
+    share of the smaller side's edge ends that cross the border; local_modularity,
+    the share of all edges inside less what the degrees alone let expect;
+    mean_coreness and max_coreness of the graph that the group induces. Edges
+    count once in either direction, loops do not. All groups are one job.
+    """
+    e = _cut(undirected(edges))
+    m = members.select("group", "vid").distinct()
+    total = F.broadcast(e.agg(F.count(F.lit(1)).cast("double").alias("total")))  # one row
+    ends = symmetric(e)
+    degree = ends.groupBy(F.col("src").alias("vid")).agg(F.count(F.lit(1)).alias("degree"))
+    volume = m.join(degree, "vid", "left").groupBy("group").agg(F.count(F.lit(1)).alias("n_vertices"), F.coalesce(F.sum("degree"), F.lit(0)).alias("volume"))
+    a, b = m.select("group", F.col("vid").alias("src")), m.select("group", F.col("vid").alias("dst"))
+    inside = _cut(e.join(a, "src").join(b, ["group", "dst"]).select("group", "src", "dst"))
+    counts = inside.groupBy("group").agg(F.count(F.lit(1)).alias("n_edges"))
+    # a vertex is another one in every group
+    core = coreness(inside.select(F.struct("group", F.col("src").alias("v")).alias("src"), F.struct("group", F.col("dst").alias("v")).alias("dst")))
+    cores = core.groupBy(F.col("vid.group").alias("group")).agg(F.sum("core").alias("cores"), F.max("core").alias("max_core"))
+    rows = volume.join(counts, "group", "left").join(cores, "group", "left").fillna(0, ["n_edges", "cores", "max_core"]).join(total, F.lit(True))
+    side = F.least(F.col("volume"), 2 * F.col("total") - F.col("volume"))
+    share = F.col("volume") / (2 * F.col("total"))
+    return rows.select(
+        "group", "n_vertices", "n_edges", (F.col("n_edges") / F.col("n_vertices")).alias("edge_vertex_ratio"),
+        F.when(side > 0, 1 - (F.col("volume") - 2 * F.col("n_edges")) / side).otherwise(F.lit(0.0)).alias("inverse_conductance"),
+        F.when(F.col("total") > 0, F.col("n_edges") / F.col("total") - share * share).otherwise(F.lit(0.0)).alias("local_modularity"),
+        (F.col("cores") / F.col("n_vertices")).alias("mean_coreness"), F.col("max_core").alias("max_coreness"),
+    )
+
+
 def _digest(label: Column) -> Column:
     """60 bits of a label's MD5 as a number, which add up in any order."""
     return F.conv(F.substring(F.md5(label), 1, 15), 16, 10).cast("decimal(38,0)")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +80,43 @@ def low_pass(values, cutoff: float):
     return once(once(x)[::-1])[::-1] if len(x) else x
 
 
+def low_passed(df: DataFrame, column: str, cutoff: float, name: str = "smooth") -> DataFrame:
+    """``df`` with each row's array through ``low_pass``; null stays null, a series without values is empty."""
+    @F.pandas_udf("array<double>")
+    def smooth(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else low_pass(v, cutoff).tolist())
+
+    return df.withColumn(name, smooth(F.col(column).cast("array<double>")))
+
+
+def scalar_target(df: DataFrame, target: str, how: str = "norm", param: float | int | str | None = None) -> DataFrame:
+    """The array target as one number, in a column ``target`` + ``_`` + what it is, in place of it.
+
+    ``component``: the entry at ``param`` (0); ``norm``: the ``param``-norm (2),
+    1 or more, or infinite; ``centred-norm``: the same, less each component's mean;
+    ``attribute``: another column, by name or position.
+    """
+    from .kernels import norm
+
+    if how == "component":
+        at = int(param or 0)
+        return df.withColumn(f"{target}_{at}", F.get(target, F.lit(at))).drop(target)
+    if how == "attribute":
+        rest = [c for c in df.columns if c != target]
+        name = param if isinstance(param, str) else rest[int(param or 0)]
+        return df.drop(target).withColumn(name, F.col(name))
+    p = float(2 if param is None else param)
+    if how not in ("norm", "centred-norm") or p < 1:
+        raise ValueError(f"no such target: {how} {p:g}")
+    x = F.col(target)
+    if how == "centred-norm":
+        means = df.select(F.posexplode(target).alias("d", "v")).groupBy("d").agg(F.avg("v").alias("c"))
+        centre = F.broadcast(means.agg(F.array_sort(F.collect_list(F.struct("d", "c")))["c"].alias("_centre")))  # a number for each component
+        df = df.join(centre, F.lit(True))
+        x = F.zip_with(x, "_centre", lambda a, b: a - b)
+    return df.withColumn(f"{target}_{how}{p:g}", norm(x, p)).drop(target, "_centre")
+
+
 def typed(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """Columns cast to the given types; what does not convert is null, and no row fails."""
     return df.withColumns({c: F.col(c).try_cast(t) for c, t in kinds.items()})

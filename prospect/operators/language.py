@@ -130,3 +130,24 @@ def supersets(table: DataFrame, n_predicates: int) -> DataFrame:
     pairs = each.select("n", "on", F.explode("on").alias("a")).select("n", "a", F.explode("on").alias("b")).groupBy("a", "b").agg(F.sum("n").alias("both"))
     alone = pairs.where("a = b").select("a", F.col("both").alias("own"))
     return pairs.where("a <> b").join(alone, "a").where("both = own").select("a", "b")
+
+
+def closed_parent(table: DataFrame, closed: Sequence[int], n_predicates: int) -> tuple[int, ...] | None:
+    """The closed set that the prefix-preserving tree reaches ``closed`` from: the closure of the prefix before its needed end; None at the root."""
+    closed = sorted(closed)
+    end = needed_end(table, closed, n_predicates)
+    return None if end == 0 else closures(table, [tuple(closed[: end - 1])], n_predicates)[0][1]
+
+
+def closed_refinements(table: DataFrame, closed: Sequence[int], n_predicates: int) -> list[tuple[int, int, tuple[int, ...]]]:
+    """(predicate, support, closure): what one more predicate makes of a closed set.
+
+    Of the predicates with the same closure the least stands for all; closures
+    without rows are none. Least support first.
+    """
+    others = [i for i in range(n_predicates) if i not in set(closed)]
+    best: dict[tuple[int, ...], tuple[int, int]] = {}
+    for i, (support, of) in zip(others, closures(table, [tuple(sorted((*closed, i))) for i in others], n_predicates)):
+        if support and of not in best:
+            best[of] = (i, support)
+    return sorted(((i, n, of) for of, (i, n) in best.items()), key=lambda r: (r[1], r[0]))

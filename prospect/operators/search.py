@@ -7,6 +7,7 @@ rows.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from prospect.functions.predicates import Predicate
 
-from .language import compress, indices, render, score
+from .language import compress, indices, render, score, validate
 from .scores import Constant, Score, Totals, measured
 
 
@@ -31,6 +32,17 @@ class Found:
         return (-round(self.score, 6), len(self.indices), self.indices)
 
 
+@dataclass(frozen=True)
+class Update:
+    """A result that came in, the one that it put out, and how much had been done by then."""
+
+    new: Found
+    old: Found | None
+    level: int
+    created: int
+    seconds: float
+
+
 @dataclass
 class Result:
     best: list[Found]
@@ -38,6 +50,8 @@ class Result:
     exhausted: bool
     attainable: float
     frontier: list[tuple[tuple[int, ...], int]] = field(default_factory=list)
+    history: list[Update] = field(default_factory=list)
+    tree: list[tuple[tuple[int, ...], tuple[int, ...], bool]] = field(default_factory=list)
 
     @property
     def status(self) -> str:
@@ -64,6 +78,7 @@ def search(
     removed: tuple[tuple[int, ...], ...] = (),
     visit: Callable[[int, list[Found]], None] | None = None,
     resume: Result | None = None,
+    keep_tree: bool = False,
 ) -> Result:
     """The k best conjunctions of at most ``depth`` predicates (or steps, if ``closed``).
 
@@ -72,6 +87,7 @@ def search(
     visits closed sets only, each once (prefix-preserving extensions).
     Conjunctions without rows are no results, rows without a target no members.
     ``resume`` goes on from what an earlier search of the same kind left open.
+    ``keep_tree`` keeps who was refined to whom, and who was expanded further.
     """
     bound = bound or Constant()
     target = measure.target or bound.target
@@ -84,6 +100,7 @@ def search(
     stats = dict.fromkeys(("created", "added", "pruned", "expanded", "levels"), 0)
     best: list[Found] = []
     attainable = float("-inf")
+    history, tree, began = list(resume.history) if resume else [], list(resume.tree) if resume else [], time.monotonic()
 
     def rate(candidates: list[tuple[int, ...]]) -> list[tuple[int, Found, tuple[int, ...]]]:
         if not candidates:
@@ -103,8 +120,11 @@ def search(
         nonlocal best
         if found.indices in removed or any(f.indices == found.indices for f in best):
             return
-        best = sorted([*best, found], key=Found.order)[:k]
-        stats["added"] += found in best
+        ranked = sorted([*best, found], key=Found.order)
+        best = ranked[:k]
+        if found in best:
+            stats["added"] += 1
+            history.append(Update(found, ranked[k] if len(ranked) > k else None, stats["levels"], stats["created"], time.monotonic() - began))
 
     try:
         frontier: list[tuple[tuple[int, ...], int]] = []  # a conjunction, and the index that its extensions start from
@@ -139,6 +159,8 @@ def search(
                 add(found)
             siblings, frontier = {}, []
             for i, found, own in rated:
+                if keep_tree:
+                    tree.append((origin[i][0], own, found.bound * factor > threshold()))
                 if found.bound * factor > threshold():
                     frontier.append((own, origin[i][1]))
                 else:
@@ -149,7 +171,7 @@ def search(
         if frontier:
             bounds = {f.indices: f.bound for _, f, _ in rated}
             attainable = max(bounds.get(own, resume.attainable if resume else float("inf")) for own, _ in frontier)
-        return Result(best, stats, not frontier, attainable, frontier)
+        return Result(best, stats, not frontier, attainable, frontier, history, tree)
     finally:
         table.unpersist()
 
@@ -158,3 +180,34 @@ def as_frame(result: Result, df: DataFrame, digits: int = 6) -> DataFrame:
     """(rank, pattern, depth, n, score) of the best."""
     rows = [(i + 1, f.text, len(f.indices), f.n, round(f.score, digits)) for i, f in enumerate(result.best)]
     return df.sparkSession.createDataFrame(rows, "rank int, pattern string, depth int, n long, score double")
+
+
+def history_frame(result: Result, df: DataFrame, digits: int = 6) -> DataFrame:
+    """(step, level, created, pattern, score, replaced): the results in the order in which they came in."""
+    rows = [(i, u.level, u.created, u.new.text, round(u.new.score, digits), u.old.text if u.old else None) for i, u in enumerate(result.history)]
+    return df.sparkSession.createDataFrame(rows, "step int, level int, created long, pattern string, score double, replaced string")
+
+
+def tree_frame(result: Result, df: DataFrame, predicates: list[Predicate]) -> DataFrame:
+    """(parent, child, expanded): the edges of the search tree, of a search with ``keep_tree``."""
+    rows = [(render(a, predicates), render(b, predicates), on) for a, b, on in result.tree]
+    return df.sparkSession.createDataFrame(rows, "parent string, child string, expanded boolean")
+
+
+def with_scores(result: Result, df: DataFrame, predicates: list[Predicate], extra: dict[str, Score], digits: int = 6) -> DataFrame:
+    """The best with further scores (of one target each), as columns; a pattern without rows that have the target has null."""
+    out = as_frame(result, df, digits)
+    for name, measure in extra.items():
+        rows = measured(df, measure.target)
+        totals = Totals.of(rows, measure.target)
+        named = measure.parts(totals)
+        table = compress(rows, predicates, named).withColumns(measure.derived(totals))
+        own = score(table, [f.indices for f in result.best], len(predicates), {k: how for k, (_, how) in named.items()})
+        out = out.join(F.broadcast(own.select((F.col("cid") + 1).cast("int").alias("rank"), F.round(measure.value(totals), digits).alias(name))), "rank", "left")  # k rows
+    return out
+
+
+def members(result: Result, df: DataFrame, predicates: list[Predicate], key: str) -> DataFrame:
+    """(group, key): the rows of each of the best, by rank from 1."""
+    held = F.array(*(F.when(validate(predicates, f.indices), F.lit(i + 1)) for i, f in enumerate(result.best)))
+    return df.select(F.explode(F.filter(held, lambda g: g.isNotNull())).alias("group"), F.col(key))

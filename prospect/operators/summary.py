@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .search import Result
+from .search import Found, Result
 
 
 def to_json(result: Result, indent: int = 4) -> str:
@@ -16,6 +16,14 @@ def to_json(result: Result, indent: int = 4) -> str:
     return json.dumps({"subgroups": [{"pattern": f.text, "indices": list(f.indices), "score": f.score, "bound": f.bound, "n": f.n} for f in result.best], "statistics": result.stats, "gap": result.gap}, indent=indent)
 
 
+def from_json(text: str) -> Result:
+    """The best, the statistics and whether a search was exhausted, back from ``to_json``; what it left open is not in there."""
+    whole = json.loads(text)
+    best = [Found(tuple(r["indices"]), r["score"], r["bound"], r["n"], r["pattern"]) for r in whole["subgroups"]]
+    top = best[0].score if best else 0.0
+    return Result(best, whole["statistics"], whole["gap"] == 0, top * (1 + whole["gap"]) if top else whole["gap"])
+
+
 def json_column(df: DataFrame, name: str = "json") -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias(name))
 

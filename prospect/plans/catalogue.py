@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prospect.functions.discretise import Fixed, Frequency, Interval, Ranges, Uniform, bin_counts, entropy
 from prospect.functions.predicates import Attribute, Equals, Kind, Negate, Predicate, Prediciser, Ranged
-from prospect.operators import alignment, graphs, ingest, kernels, language, scores, search
+from prospect.operators import alignment, graphs, ingest, kernels, language, learning, scores, search
 from prospect.sources.tables import embeddings_view, lineitem_view, orders_view, read, trade_edges
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,6 +146,24 @@ def topk_jaccard_depth3(spark, sf_dir):
     return _best(spark, sf_dir, scores.Jaccard("pricey"), scores.JaccardBound("pricey"), 5, 3)
 
 
+@query(
+    f"SELECT r.rank, r.indices, r.n, r.score, c.score AS coverage, j.score AS jaccard FROM ({_top([_C0, _C1, _C2], _shift(1.0, 1.0), 5)}) r "
+    f"JOIN ({_scored([_C0, _C1, _C2], 'm / n')}) c USING (indices) JOIN ({_scored([_C0, _C1, _C2], 'hit / (m + nt - hit)')}) j USING (indices)"
+)
+def extra_scores(spark, sf_dir):
+    df = orders_view(spark, sf_dir)
+    found = search.search(df, ORDER_PREDICATES, scores.MeanShift("o_totalprice"), scores.MeanShiftBound("o_totalprice"), 5, 2)
+    names = spark.createDataFrame([(i + 1, ",".join(map(str, f.indices))) for i, f in enumerate(found.best)], "rank int, indices string")
+    rated = search.with_scores(found, df, ORDER_PREDICATES, {"coverage": scores.Coverage(), "jaccard": scores.Jaccard("pricey")})
+    return rated.join(F.broadcast(names), "rank").select("rank", "indices", "n", "score", "coverage", "jaccard")
+
+
+@query()
+def search_history(spark, sf_dir):
+    df = orders_view(spark, sf_dir)
+    return search.history_frame(search.search(df, ORDER_PREDICATES, scores.MeanShift("o_totalprice"), scores.MeanShiftBound("o_totalprice"), 5, 3), df)
+
+
 @query()
 def approx_search(spark, sf_dir):
     return _best(spark, sf_dir, scores.MeanShift("o_totalprice"), scores.MeanShiftBound("o_totalprice"), 5, 3, factor=0.5)
@@ -395,6 +413,63 @@ def entity_similarity(spark, sf_dir):
     return alignment.entity_similarity(_vectors(spark, sf_dir).select("vec_id", held.alias("on")), "vec_id", "on").select("i", "j", F.round("k", 6).alias("k"))
 
 
+@query(f"WITH {_E}, d AS (SELECT unnest(x) AS v, unnest(range(len(x))) AS i FROM e), c AS (SELECT list(mu ORDER BY i) AS c FROM (SELECT i, avg(v) AS mu FROM d GROUP BY i)) SELECT vec_id, round(sqrt(list_sum([(x[i] - c[i]) * (x[i] - c[i]) FOR i IN range(1, len(x) + 1)])), 6) AS norm FROM e, c")
+def centred_norm(spark, sf_dir):
+    found = ingest.scalar_target(embeddings_view(spark, sf_dir), "embedding", "centred-norm")
+    return found.select("vec_id", F.round("embedding_centred-norm2", 6).alias("norm"))
+
+
+# kernels learnt from parts: a feature for each of four components, and all of them as one
+
+FEATURES = {**{f"x{i}": [i] for i in range(4)}, "all": [0, 1, 2, 3]}
+WIDTHS = [0.5, 1.0, 2.0]
+_FEATURES = "f AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {at})" for n, at in FEATURES.items()) + ") AS f(feature, ats)), w AS (SELECT unnest([0.5, 1.0, 2.0])::DOUBLE AS sigma)"
+
+
+@query(
+    f"WITH {_E}, {_FEATURES}, p AS (SELECT list_inner_product(a.x, b.x) AS t, [pow(a.x[i + 1] - b.x[i + 1], 2) FOR i IN range(4)] AS d FROM e a CROSS JOIN e b), "
+    "k AS (SELECT feature, sigma, t, exp(-list_sum([d[i + 1] FOR i IN ats]) / (2 * sigma * sigma)) AS k FROM p, f, w) SELECT feature, sigma, round(sum(k * t) / sqrt(sum(k * k) * sum(t * t)), 6) AS alignment FROM k GROUP BY feature, sigma"
+)
+def sub_kernel_widths(spark, sf_dir):
+    rated = learning.widths(embeddings_view(spark, sf_dir), "vec_id", "embedding", learning.grid(FEATURES, WIDTHS), kernels.linear())
+    return rated.withColumn("alignment", F.round("alignment", 6))
+
+
+@query()
+def learned_kernel_weights(spark, sf_dir):
+    found = learning.learn(embeddings_view(spark, sf_dir), "vec_id", "embedding", FEATURES, WIDTHS, kernels.linear())
+    return spark.createDataFrame([(p.feature, p.sigma, round(p.weight, 6)) for p in found], "feature string, sigma double, weight double")
+
+
+_SETS = (
+    f"WITH {_VP}, w AS (SELECT unnest([0, 1, 2])::INTEGER AS part, unnest([0.5, 1.0, 2.0])::DOUBLE AS sigma), "
+    "q AS (SELECT a.vec_id AS i, b.vec_id AS j, list_sum([pow(a.x[d] - b.x[d], 2) FOR d IN [1, 2, 3, 4]]) AS d FROM e a CROSS JOIN e b), g AS (SELECT part, i, j, exp(-d / (2 * sigma * sigma)) AS k FROM q, w), "
+    "h AS (SELECT part, i, b.pid AS b, sum(k) AS k FROM g JOIN p b ON b.vec_id = j GROUP BY ALL), s AS (SELECT part, a.pid AS a, b, sum(k) AS s FROM h JOIN p a ON a.vec_id = i GROUP BY ALL), "
+    "r AS (SELECT part, i, sum(k) AS k FROM g GROUP BY ALL), m AS (SELECT part, pid AS a, sum(k) AS m FROM r JOIN p ON vec_id = i GROUP BY ALL), n AS (SELECT pid AS a, count(*) AS n FROM p GROUP BY pid), "
+    "o AS (SELECT x.pid AS a, y.pid AS b, count(*) AS c FROM p x JOIN p y ON x.vec_id = y.vec_id GROUP BY ALL), t AS (SELECT u.a, v.a AS b, coalesce(c, 0) / (u.n + v.n - coalesce(c, 0)) AS t FROM n u CROSS JOIN n v LEFT JOIN o ON o.a = u.a AND o.b = v.a), "
+    "z AS (SELECT part, s.a, s.b, s.s / (u.m + v.m - s.s) AS tanimoto, s.s / sqrt(x.s * y.s) AS normalised, s.s / (nu.n * nv.n) AS mean_map FROM (SELECT part, a, b, s FROM s) s JOIN m u USING (part, a) JOIN (SELECT part, a AS b, m FROM m) v USING (part, b) "
+    "JOIN (SELECT part, a, s FROM s WHERE a = b) x USING (part, a) JOIN (SELECT part, b, s FROM s WHERE a = b) y USING (part, b) JOIN n nu USING (a) JOIN (SELECT a AS b, n FROM n) nv USING (b))"
+)
+
+
+@query(
+    _SETS
+    + " "
+    + " UNION ALL ".join(f"SELECT '{how}' AS how, part, round(sum({c} * t) / sqrt(sum({c} * {c}) * (SELECT sum(t * t) FROM t)), 6) AS alignment FROM z JOIN t USING (a, b) GROUP BY part" for how, c in (("tanimoto", "tanimoto"), ("normalised", "normalised"), ("mean-map", "mean_map")))
+)
+def set_kernel_alignment(spark, sf_dir):
+    held = F.filter(F.array(*(F.when(p.column(), F.lit(i)) for i, p in enumerate(VECTOR_PREDICATES))), lambda i: i.isNotNull())
+    rows = _vectors(spark, sf_dir).select("vec_id", "embedding", held.alias("on"))
+    sums = learning.set_sums(rows, "vec_id", "embedding", "on", len(VECTOR_PREDICATES), learning.grid({"all": FEATURES["all"]}, WIDTHS))
+    sizes = rows.select(F.explode("on").alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    target = alignment.jaccard(rows.groupBy("on").agg(F.count(F.lit(1)).alias("n"))).withColumnRenamed("k", "t")
+    out = None
+    for how in ("tanimoto", "normalised", "mean-map"):
+        one = learning.set_alignment(learning.set_kernel(sums, how, sizes), target).select(F.lit(how).alias("how"), "part", F.round("alignment", 6).alias("alignment"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # ingest
 
 
@@ -499,6 +574,18 @@ def coreness(spark, sf_dir):
     return graphs.coreness(_busy(spark, sf_dir))
 
 
+@query(
+    f"WITH {_B}, ui AS (SELECT src, dst FROM u JOIN f x ON x.vid = src JOIN f y ON y.vid = dst WHERE x.feature = y.feature), {_CORES.replace('FROM u ', 'FROM ui ')}, "
+    "d AS (SELECT src AS vid, count(*) AS d FROM u GROUP BY src), i AS (SELECT feature, count(*) / 2 AS m FROM ui JOIN f ON vid = src GROUP BY feature), k AS (SELECT feature, sum(core) AS s, max(core) AS top FROM c26 JOIN f USING (vid) GROUP BY feature), "
+    "v AS (SELECT feature, count(*) AS n, coalesce(sum(d), 0) AS vol FROM f LEFT JOIN d USING (vid) GROUP BY feature), t AS (SELECT count(*) / 2 AS t FROM u) "
+    "SELECT feature, n AS n_vertices, CAST(coalesce(m, 0) AS BIGINT) AS n_edges, round(coalesce(m, 0) / n, 6) AS edge_vertex_ratio, round(CASE WHEN least(vol, 2 * t - vol) > 0 THEN 1 - (vol - 2 * coalesce(m, 0)) / least(vol, 2 * t - vol) ELSE 0 END, 6) AS inverse_conductance, "
+    "round(coalesce(m, 0) / t - (vol / (2 * t)) * (vol / (2 * t)), 6) AS local_modularity, round(coalesce(s, 0) / n, 6) AS mean_coreness, CAST(coalesce(top, 0) AS BIGINT) AS max_coreness FROM v LEFT JOIN i USING (feature) LEFT JOIN k USING (feature), t"
+)
+def graph_measures(spark, sf_dir):
+    found = graphs.group_measures(_busy(spark, sf_dir), _features(spark, sf_dir).withColumnRenamed("feature", "group"))
+    return found.select(F.col("group").alias("feature"), "n_vertices", "n_edges", *(F.round(c, 6).alias(c) for c in ("edge_vertex_ratio", "inverse_conductance", "local_modularity", "mean_coreness")), "max_coreness")
+
+
 @query()
 def communities(spark, sf_dir):
     found = graphs.communities(_busy(spark, sf_dir), _features(spark, sf_dir), 3)

@@ -42,6 +42,8 @@ def parse_call(text: str) -> tuple[str, list[str], dict[str, str]]:
 
 
 def load(spark: SparkSession, text: str) -> DataFrame:
+    from . import texts  # noqa: F401  (registers its loaders)
+
     name, args, named = parse_call(text)
     if name not in DATASETS:
         raise KeyError(f"no dataset {name!r}; there are {sorted(DATASETS)}")

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from prospect.functions.discretise import Fixed, Frequency, Ranges, Uniform, entropy, level_names
 from prospect.functions.predicates import Attribute, Equals, Kind, Negate, Prediciser, Ranged, Truth, attributes, kind_of
-from prospect.operators import alignment, graphs, ingest, kernels, language, scores, search, summary
+from prospect.operators import alignment, graphs, ingest, kernels, language, learning, scores, search, summary
 from prospect.plans.computation import Computation
-from prospect.sources import readers
+from prospect.sources import readers, texts
 
 
 @pytest.fixture(scope="module")
@@ -370,3 +370,141 @@ def test_graph_distance_and_predicates_on_some_row(spark, toy):
     for i, found in enumerate(language.on_some_row(table, [(0,), ()], len(predicates))):
         of = df.where(predicates[0].column()) if i == 0 else df
         assert found == tuple(j for j, p in enumerate(predicates) if of.where(p.column()).count())
+
+
+def test_matrix_text(spark, tmp_path):
+    (tmp_path / "sparse.txt").write_text("@matrix edges\n@data type=sparse order=columns\n1 (1,2,5) 5,4,2\n3 (2,4-5) 20,?,90\n@end data\n@end matrix edges\n")
+    got = sorted((r["i"], r["j"], r["v"]) for r in readers.load(spark, f"matrix:file://{tmp_path}/sparse.txt").collect() if r["v"] is not None)
+    assert got == [(0, 0, 5.0), (1, 0, 4.0), (1, 2, 20.0), (4, 0, 2.0), (4, 2, 90.0)]
+    (tmp_path / "dense.txt").write_text("@matrix m\n@data type=dense order=rows\n0,2,3\n3,?,3\n@end data\n@end matrix m\n")
+    got = {(r["i"], r["j"]): r["v"] for r in readers.load(spark, f"matrix:file://{tmp_path}/dense.txt").collect()}
+    assert got == {(0, 0): 0.0, (0, 1): 2.0, (0, 2): 3.0, (1, 0): 3.0, (1, 1): None, (1, 2): 3.0}
+    rng = random.Random(4)
+    cells = {(rng.randrange(30), rng.randrange(5)): rng.random() for _ in range(80)}
+    entries = spark.createDataFrame([(i, j, v) for (i, j), v in cells.items()], "i long, j long, v double")
+    for sparse in (True, False):
+        texts.write_matrix(entries, f"file://{tmp_path}/w{sparse}", "m", sparse)
+        got = {(r["i"], r["j"]): r["v"] for r in texts.matrix(spark, f"file://{tmp_path}/w{sparse}").collect()}
+        assert {at: v for at, v in got.items() if v} == cells
+    assert any("-" in line for f in (tmp_path / "wTrue").glob("part-*") for line in f.read_text().splitlines())
+    texts.write_matrix(entries.limit(0), f"file://{tmp_path}/none", "m")
+    assert texts.matrix(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_relation_text(spark, tmp_path):
+    (tmp_path / "r.txt").write_text("@relation people\n@columns age name tall\n@attribute (1) numeric storage=int\n@attribute (2) categorical\n@attribute (3) boolean\n@data type=dense order=columns\n1 30,?,x\n2 ann,bob,cy\n3 true,false,true\n@end data\n@end relation people\n")
+    want = [(None, "bob", False), (None, "cy", True), (30, "ann", True)]
+    found = readers.load(spark, f"relation:file://{tmp_path}/r.txt")
+    assert found.dtypes == [("age", "bigint"), ("name", "string"), ("tall", "boolean")]
+    assert sorted(map(tuple, found.collect()), key=lambda r: r[1:]) == sorted(want, key=lambda r: r[1:])
+    texts.write_relation(found, f"file://{tmp_path}/w", "people")
+    back = texts.relation(spark, f"file://{tmp_path}/w")
+    assert back.dtypes == found.dtypes and sorted(map(tuple, back.collect()), key=lambda r: r[1:]) == sorted(want, key=lambda r: r[1:])
+    (tmp_path / "d.txt").write_text("first {a^b}\nnone\n{c} and {}\n")
+    assert [tuple(r) for r in texts.descriptions(spark, f"file://{tmp_path}/d.txt").collect()] == [(0, "{a^b}"), (2, "{c}"), (2, "{}")]
+
+
+def test_packed_kernels_as_rows(spark, tmp_path):
+    import struct
+
+    ids, values = [7, 3, 9], [1, 2, 3, 4, 5, 6]
+    (tmp_path / "k.bin").write_bytes(struct.pack(">I", 3) + struct.pack("<3Q", *ids) + bytes(values))
+    got = sorted((r["i"], r["j"], r["k"]) for r in texts.packed_kernels(spark, f"file://{tmp_path}/k.bin").collect())
+    assert got == [(3, 3, 4.0), (3, 9, 5.0), (7, 3, 2.0), (7, 7, 1.0), (7, 9, 3.0), (9, 9, 6.0)]
+
+
+def test_scalar_targets_and_smoothing(spark):
+    x = np.array([[1.0, -2.0], [3.0, 0.0], [-1.0, 5.0]])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())] + [(3, None)], "id int, y array<double>")
+    get = lambda how, p=None: [r[-1] for r in ingest.scalar_target(df, "y", how, p).orderBy("id").collect()]
+    assert get("component", 1) == [-2.0, 0.0, 5.0, None]
+    assert np.allclose(get("norm")[:3], np.linalg.norm(x, axis=1)) and get("norm", float("inf")) == [2.0, 3.0, 5.0, None]
+    assert np.allclose(get("centred-norm", 3)[:3], np.linalg.norm(x - x.mean(axis=0), 3, axis=1))
+    assert ingest.scalar_target(df, "y", "attribute", 0).columns == ["id"]
+    with pytest.raises(ValueError):
+        ingest.scalar_target(df, "y", "norm", 0.5)
+    long = np.random.default_rng(2).normal(size=50).tolist()
+    rows = ingest.low_passed(spark.createDataFrame([(long,), ([],), (None,)], "v array<double>"), "v", 0.2).collect()
+    assert np.allclose(rows[0]["smooth"], ingest.low_pass(long, 0.2)) and rows[1]["smooth"] == [] and rows[2]["smooth"] is None
+
+
+def test_learnt_kernels(spark, monkeypatch):
+    monkeypatch.setattr(learning, "BLOCK", 8)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(30, 3))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())] + [(30, None)], "id long, x array<double>")
+    features, sigmas, target = {"a": [0], "b": [1, 2]}, [0.5, 1.0, 3.0], kernels.rbf(2.0)
+    t = kernels.matrix(x, x, target)
+    align = lambda k: (k * t).sum() / np.sqrt((k * k).sum() * (t * t).sum())
+    of = {(n, s): kernels.matrix(x[:, at], x[:, at], kernels.rbf(s)) for n, at in features.items() for s in sigmas}
+    got = {(r["feature"], r["sigma"]): r["alignment"] for r in learning.widths(df.where("x is not null"), "id", "x", learning.grid(features, sigmas), target).collect()}
+    assert got.keys() == of.keys() and all(abs(got[k] - align(of[k])) < 1e-9 for k in of)
+    parts = learning.learn(df, "id", "x", features, sigmas, target)
+    best = [max(sigmas, key=lambda s: align(of[n, s])) for n in features]
+    assert [p.sigma for p in parts] == best
+    ks = [of[n, s] for n, s in zip(features, best)]
+    assert np.allclose([p.weight for p in parts], alignment.coefficients(*alignment.frobenius(ks, t)))
+    whole = sum(p.weight * k for p, k in zip(parts, ks))
+    rows = learning.final_gram(df, "id", "x", parts).collect()
+    assert len(rows) == 30 * 31 // 2 and all(abs(r["k"] - whole[r["i"], r["j"]]) < 1e-9 for r in rows)
+    held = rng.random((30, 4)) < 0.4
+    sets = spark.createDataFrame([(i, v, np.flatnonzero(h).tolist()) for i, (v, h) in enumerate(zip(x.tolist(), held))], "id long, x array<double>, on array<int>")
+    sums = learning.set_sums(sets, "id", "x", "on", 4, [parts[1]])
+    s = held.T.astype(float) @ ks[1] @ held
+    m = (held.T @ ks[1]).sum(axis=1)
+    sizes = spark.createDataFrame([(i, int(n)) for i, n in enumerate(held.sum(axis=0))], "a int, n long")
+    n = held.sum(axis=0)
+    want = {"tanimoto": s / (m[:, None] + m[None, :] - s), "normalised": s / np.sqrt(np.outer(np.diag(s), np.diag(s))), "mean-map": s / np.outer(n, n)}
+    for how, k in want.items():
+        got = learning.set_kernel(sums, how, sizes).collect()
+        assert len(got) == 16 and all(abs(r["k"] - k[r["a"], r["b"]]) < 1e-9 for r in got)
+
+
+def test_group_measures(spark):
+    # two triangles joined by an edge, a tail, and a group without edges
+    pairs = [(1, 2), (2, 3), (3, 1), (4, 5), (5, 6), (6, 4), (3, 4), (6, 7), (2, 1), (1, 1)]
+    edges = spark.createDataFrame(pairs, "src int, dst int")
+    members = spark.createDataFrame([("l", v) for v in (1, 2, 3)] + [("r", v) for v in (4, 5, 6, 7)] + [("n", 1), ("n", 7)], "group string, vid int")
+    got = {r["group"]: r for r in graphs.group_measures(edges, members).collect()}
+    left, right, none = got["l"], got["r"], got["n"]
+    assert (left["n_edges"], left["edge_vertex_ratio"], left["mean_coreness"], left["max_coreness"]) == (3, 1.0, 2.0, 2)
+    assert abs(left["inverse_conductance"] - (1 - 1 / 7)) < 1e-12 and abs(left["local_modularity"] - (3 / 8 - (7 / 16) ** 2)) < 1e-12
+    assert (right["n_edges"], right["mean_coreness"]) == (4, 7 / 4) and (none["n_edges"], none["max_coreness"], none["inverse_conductance"]) == (0, 0, 0.0)
+
+
+def test_search_keeps_history_and_tree(toy):
+    df, predicates = toy
+    found = search.search(df, predicates, scores.MeanShift("y"), scores.MeanShiftBound("y"), 3, 3, keep_tree=True)
+    kept: list = []
+    for u in found.history:
+        kept = [f for f in kept if u.old is None or f.indices != u.old.indices] + [u.new]
+    assert {f.indices for f in kept} == {f.indices for f in found.best}
+    assert search.history_frame(found, df).count() == len(found.history) == found.stats["added"]
+    tree = search.tree_frame(found, df, predicates)
+    assert tree.count() == len({c for _, c, _ in found.tree}) and all(set(a) < set(b) for a, b, _ in found.tree)
+    expanded = {c for _, c, on in found.tree if on} | {()}
+    assert {a for a, _, _ in found.tree} <= expanded
+    more = {r["rank"]: r["cover"] for r in search.with_scores(found, df, predicates, {"cover": scores.Coverage()}).collect()}
+    assert more == {i + 1: round(f.n / 120, 6) for i, f in enumerate(found.best)}
+    sizes = {r["group"]: r["count"] for r in search.members(found, df, predicates, "d").groupBy("group").count().collect()}
+    assert sizes == {i + 1: f.n for i, f in enumerate(found.best)}
+    back = summary.from_json(summary.to_json(found))
+    assert back.best == found.best and back.gap == found.gap and summary.to_json(back) == summary.to_json(found)
+
+
+def test_closed_refinements_and_parents(toy):
+    df, predicates = toy
+    held, _ = _table(df, predicates)
+    table, p = language.compress(df, predicates, {}), len(predicates)
+    root = language.closures(table, [()], p)[0][1]
+    got = language.closed_refinements(table, root, p)
+    want: dict = {}
+    for i in range(p):
+        rows = held[:, i]
+        if i not in root and rows.any():
+            want.setdefault(tuple(int(j) for j in np.flatnonzero(held[rows].all(axis=0))), (i, int(rows.sum())))
+    assert {of: (i, n) for i, n, of in got} == want and [n for _, n, _ in got] == sorted(n for _, n, _ in got)
+    assert language.closed_parent(table, root, p) is None
+    for _, _, of in got[:4]:
+        parent = language.closed_parent(table, of, p)
+        assert set(parent) < set(of)
