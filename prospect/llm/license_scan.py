@@ -21,8 +21,8 @@ terms are bounded by it, so the broadcast is.
 
 Edge cases: a null or empty text has no lines and can only inherit; a null path
 has no directory and inherits nothing; equal scores go to the first licence by
-name; repeated rows are rated as often as they come; an empty table gives no
-rows. Columns besides ``path`` and ``text`` are kept.
+name; repeated rows are rated as often as they come; every line of a very long text
+counts; an empty table gives no rows. Columns besides ``path`` and ``text`` are kept.
 """
 
 from __future__ import annotations

@@ -14,8 +14,9 @@ Spans of the fixed patterns always stay; the network adds the full extent of any
 other candidate, but of those that lie within one of them. Positions are code points.
 
 Edge cases: a null text is an empty one and has no spans; repeated rows are
-scanned as often as they come; an empty table gives no rows. Columns besides
-``doc_id`` and ``text`` are ignored.
+scanned as often as they come; a very long text is read whole, and so is a very
+long candidate, in windows; spans that start together are listed by kind; an
+empty table gives no rows. Columns besides ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations

@@ -596,6 +596,31 @@ def test_a_license_that_a_third_of_the_files_carry(spark):
     assert all(got[f"broken/{k}.py"] == ("ISC", "own") for k in (1, 3, 9))
 
 
+def test_very_long_texts_and_clashing_columns(spark):
+    rng = random.Random(31)
+    filler = " ".join(prose(rng, 50) for _ in range(4000))
+    assert len(filler) > 1_000_000
+    key = "AKIA" + "Q7" * 9
+    texts = [filler + " " + key, key + " " + filler, None, "", filler + " " + key]
+    rows = [(i, t, "x", "y", [1]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, score string, on array<int>")
+    found = {r["doc_id"]: r["spans"] for r in plain(secrets.scan(docs))}
+    assert [len(found[i]) for i in range(5)] == [1, 1, 0, 0, 1] and found[0][0]["start"] == len(filler) + 1
+    assert plain(secrets.redact(docs.where("doc_id = 0")))[0]["text"] == filler + " " + secrets.MARK
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, toxic int")
+    rated = plain(toxicity.rate(docs.unionByName(docs), labels))
+    assert len(rated) == 10 and all(0 <= r["score"] <= 1 for r in rated) and len({(r["doc_id"], r["score"]) for r in rated}) == 5
+    page = f"<html><body><nav>menu</nav><article><p>{filler}</p><p>last &amp; least</p></article></body></html>"
+    pages = spark.createDataFrame([(i, "http://h/", page, "a", 1, 2) for i in (1, 2, 2)], "page_id long, url string, html string, text string, n_chars int, host int")
+    got = plain(html_extract.extract(pages))
+    assert sorted(r["page_id"] for r in got) == [1, 2, 2] and {r["text"] for r in got} == {" ".join(filler.split()) + "\n\nlast & least"}
+    back = plain(warc.round_trip(pages))
+    assert sorted((r["page_id"], r["payload_bytes"], r["record_type"]) for r in back) == [(1, len(page), "response"), (2, len(page), "revisit"), (2, len(page), "revisit")]
+    lines = "\n".join(prose(rng, 10) for _ in range(20_000)) + "\nReleased under the MIT License."
+    files = spark.createDataFrame([("a/b.py", lines, "c"), ("c/d.py", "x", "d"), ("a/b.py", lines, "c")], "path string, text string, term string")
+    assert sorted((r["path"], r["license"] or "") for r in plain(license_scan.scan(files))) == [("a/b.py", "MIT"), ("a/b.py", "MIT"), ("c/d.py", "")]
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     bench = spark.createDataFrame([], "item_id long, text string")
