@@ -1,4 +1,14 @@
-"""A corpus from raw documents to packed sequences, in stages that are written and read again."""
+"""A corpus from raw documents to packed sequences, in stages that are written and read again.
+
+Each stage works on all that its predecessor kept, and all but the last return
+the columns of the documents, whatever others there are beside ``doc_id``,
+``text`` and ``lang``, and whatever their names.
+
+Edge cases: null and empty texts fail the quality rules; a null language is a
+language of its own. Of equal or near texts the one with the least id stays, so
+repeated rows leave one; rows without an id go there. Very long texts pass every
+stage whole. An empty table stays empty in all stages.
+"""
 
 from __future__ import annotations
 
