@@ -460,7 +460,8 @@ _SETS = (
 def set_kernel_alignment(spark, sf_dir):
     held = F.filter(F.array(*(F.when(p.column(), F.lit(i)) for i, p in enumerate(VECTOR_PREDICATES))), lambda i: i.isNotNull())
     rows = _vectors(spark, sf_dir).select("vec_id", "embedding", held.alias("on"))
-    sums = learning.set_sums(rows, "vec_id", "embedding", "on", len(VECTOR_PREDICATES), learning.grid({"all": FEATURES["all"]}, WIDTHS))
+    # a few sums of all pairs: written once, read for each kernel
+    sums = graphs._cut(learning.set_sums(rows, "vec_id", "embedding", "on", len(VECTOR_PREDICATES), learning.grid({"all": FEATURES["all"]}, WIDTHS)))
     sizes = rows.select(F.explode("on").alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     target = alignment.jaccard(rows.groupBy("on").agg(F.count(F.lit(1)).alias("n"))).withColumnRenamed("k", "t")
     out = None
