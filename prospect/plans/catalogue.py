@@ -296,7 +296,29 @@ def closed_search(spark, sf_dir):
     return spark.createDataFrame([(",".join(map(str, f.indices)), f.n) for f in found.best], "closed string, n long")
 
 
-@query()
+_N_ITEMS = len(_ITEM_TESTS)
+#: The greedy choice, one step for each predicate at most: of those left in the closure the one that leaves the fewest rows.
+_GREEDY = ", ".join(
+    ["g0 AS (SELECT pid, closed, target, 0::BIGINT AS chosen, (SELECT n FROM s WHERE m = 0) AS n FROM cl)"]
+    + [
+        f"g{i + 1} AS (SELECT pid, g.closed, target, coalesce(arg_min(s.m, s.n * {_N_ITEMS} + b), chosen) AS chosen, coalesce(min(s.n), g.n) AS n FROM g{i} g LEFT JOIN range({_N_ITEMS}) AS r(b) ON g.n > target AND (g.closed >> b) & 1 = 1 AND (chosen >> b) & 1 = 0 LEFT JOIN s ON s.m = chosen | (1::BIGINT << b) GROUP BY pid, g.closed, target, chosen, g.n)"
+        for i in range(_N_ITEMS)
+    ]
+)
+
+
+def _names(mask: str) -> str:
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN ({mask} >> {j}) & 1 = 1 THEN '{j}' END" for j in range(_N_ITEMS)) + ")"
+
+
+@query(
+    f"WITH {_ITEMS}, w AS (SELECT ("
+    + " + ".join(f"b{j}::INT * {1 << j}" for j in range(_N_ITEMS))
+    + f")::BIGINT AS w, count(*) AS n FROM i GROUP BY 1), m AS (SELECT unnest(range({1 << _N_ITEMS}))::BIGINT AS m), s AS (SELECT m, coalesce(sum(n), 0)::BIGINT AS n, coalesce(bit_and(w), {(1 << _N_ITEMS) - 1}) AS closed FROM m LEFT JOIN w ON w & m = m GROUP BY m), "
+    f"cl AS (SELECT b::INTEGER AS pid, closed, n AS target FROM range({_N_ITEMS}) AS r(b) JOIN s ON m = 1::BIGINT << b), {_GREEDY}, "
+    f"e AS (SELECT pid, bit_count(min(cl.closed & ((1::BIGINT << b) - 1)))::INTEGER AS needed_end FROM cl JOIN range({_N_ITEMS + 1}) AS r(b) ON true JOIN s ON s.m = cl.closed & ((1::BIGINT << b) - 1) AND s.n = target GROUP BY pid) "
+    f"SELECT pid, {_names('closed')} AS closure, needed_end, {_names('chosen')} AS minimal FROM g{_N_ITEMS} JOIN e USING (pid)"
+)
 def minimal_description(spark, sf_dir):
     n = len(ITEM_PREDICATES)
     table = language.compress(lineitem_view(spark, sf_dir), ITEM_PREDICATES, {}).persist()
@@ -435,7 +457,15 @@ def sub_kernel_widths(spark, sf_dir):
     return rated.withColumn("alignment", F.round("alignment", 6))
 
 
-@query()
+@query(
+    f"WITH {_E}, {_FEATURES}, p AS (SELECT list_inner_product(a.x, b.x) AS t, [pow(a.x[i + 1] - b.x[i + 1], 2) FOR i IN range(4)] AS d FROM e a CROSS JOIN e b), "
+    "k AS (SELECT feature, sigma, t, exp(-list_sum([d[i + 1] FOR i IN ats]) / (2 * sigma * sigma)) AS k FROM p, f, w), r AS (SELECT feature, sigma, sum(k * t) / sqrt(sum(k * k) * sum(t * t)) AS alignment FROM k GROUP BY feature, sigma), "
+    "best AS (SELECT feature, ats, sigma FROM r JOIN f USING (feature) QUALIFY row_number() OVER (PARTITION BY feature ORDER BY alignment DESC, sigma) = 1), b AS (SELECT list(sigma ORDER BY feature) AS s, list(ats ORDER BY feature) AS ats, list(feature ORDER BY feature) AS names FROM best), "
+    "q AS (SELECT t, [exp(-list_sum([d[i + 1] FOR i IN ats[z]]) / (2 * s[z] * s[z])) FOR z IN range(1, len(s) + 1)] AS k FROM p, b), z AS (SELECT unnest(range(1, len(s) + 1)) AS z FROM b), "
+    "kk AS (SELECT x.z AS i, y.z AS j, sum(k[x.z] * k[y.z]) AS k FROM q, z x, z y GROUP BY ALL), kt AS (SELECT z AS i, sum(k[z] * t) AS v FROM q, z GROUP BY z), one AS (SELECT kt.i, v, greatest(v / sqrt(k), 0) AS a, row_number() OVER (ORDER BY v / sqrt(k) DESC) AS pos FROM kt JOIN kk ON kk.i = kt.i AND kk.j = kt.i), "
+    "down AS (SELECT n.pos AS most, sum(x.a * y.a * k) AS own FROM one n JOIN one x ON x.pos <= n.pos JOIN one y ON y.pos <= n.pos JOIN kk ON kk.i = x.i AND kk.j = y.i GROUP BY n.pos), up AS (SELECT n.pos AS most, sum(x.a * x.v) AS with_t, sqrt(sum(x.a * x.a)) AS norm FROM one n JOIN one x ON x.pos <= n.pos GROUP BY n.pos), "
+    "top AS (SELECT most, norm FROM down JOIN up USING (most) WHERE own > 0 ORDER BY with_t / sqrt(own) DESC, most LIMIT 1) SELECT names[i] AS feature, s[i] AS sigma, round(CASE WHEN pos <= most THEN a / norm ELSE 0 END, 6) AS weight FROM one, top, b"
+)
 def learned_kernel_weights(spark, sf_dir):
     found = learning.learn(embeddings_view(spark, sf_dir), "vec_id", "embedding", FEATURES, WIDTHS, kernels.linear())
     return spark.createDataFrame([(p.feature, p.sigma, round(p.weight, 6)) for p in found], "feature string, sigma double, weight double")
@@ -587,7 +617,11 @@ def graph_measures(spark, sf_dir):
     return found.select(F.col("group").alias("feature"), "n_vertices", "n_edges", *(F.round(c, 6).alias(c) for c in ("edge_vertex_ratio", "inverse_conductance", "local_modularity", "mean_coreness")), "max_coreness")
 
 
-@query()
+#: A nation has one region, so a pattern has one feature and takes no edges from another.
+@query(
+    f"WITH {_B}, v AS (SELECT feature, count(*) AS n FROM f GROUP BY feature), i AS (SELECT x.feature, count(*) AS m FROM busy JOIN f x ON x.vid = a JOIN f y ON y.vid = b AND x.feature = y.feature GROUP BY x.feature) "
+    "SELECT CAST(row_number() OVER (ORDER BY m / n DESC, feature) - 1 AS INTEGER) AS rank, feature AS features, n AS n_vertices, m AS n_edges, round(m / n, 6) AS density FROM v JOIN i USING (feature) QUALIFY rank < 3"
+)
 def communities(spark, sf_dir):
     found = graphs.communities(_busy(spark, sf_dir), _features(spark, sf_dir), 3)
     return spark.createDataFrame([(i, "^".join(c["features"]), c["n_vertices"], c["n_edges"], round(c["density"], 6)) for i, c in enumerate(found)], "rank int, features string, n_vertices long, n_edges long, density double")
