@@ -102,26 +102,37 @@ def str_mask(words: Sequence[int]) -> str:
     return "array(" + ", ".join(f"{w}L" for w in words) + ")"
 
 
+def needed_ends(table: DataFrame, closed: Sequence[Sequence[int]], n_predicates: int) -> list[int]:
+    """For each closure the length of the shortest prefix, sorted, with the same rows; one job for all."""
+    prefixes = [[tuple(sorted(c)[:i]) for i in range(len(c) + 1)] for c in closed]
+    distinct = sorted({p for each in prefixes for p in each})
+    support = dict(zip(distinct, (n for n, _ in closures(table, distinct, n_predicates))))
+    return [next(i for i, p in enumerate(each) if support[p] == support[each[-1]]) for each in prefixes]
+
+
 def needed_end(table: DataFrame, closed: Sequence[int], n_predicates: int) -> int:
     """The length of the shortest prefix of the sorted closure with the same rows."""
-    closed = sorted(closed)
-    prefixes = [tuple(closed[:i]) for i in range(len(closed) + 1)]
-    supports = [n for n, _ in closures(table, prefixes, n_predicates)]
-    return next(i for i, n in enumerate(supports) if n == supports[-1])
+    return needed_ends(table, [closed], n_predicates)[0]
+
+
+def minimal_descriptions(table: DataFrame, closed: Sequence[Sequence[int]], n_predicates: int) -> list[tuple[int, ...]]:
+    """Greedy, for all closures at once, a job for each step: again and again the predicate that leaves the fewest rows, until they are the closure's."""
+    closed = [tuple(sorted(c)) for c in closed]
+    first = [(), *dict.fromkeys(closed)]
+    support = dict(zip(first, (n for n, _ in closures(table, first, n_predicates))))
+    chosen: list[tuple[int, ...]] = [()] * len(closed)
+    while open_ := [i for i, c in enumerate(closed) if support[chosen[i]] > support[c]]:
+        steps = {i: [tuple(sorted((*chosen[i], p))) for p in closed[i] if p not in chosen[i]] for i in open_}
+        new = sorted({s for each in steps.values() for s in each} - support.keys())
+        support |= zip(new, (n for n, _ in closures(table, new, n_predicates))) if new else {}
+        for i, each in steps.items():
+            chosen[i] = min(each, key=lambda s: support[s])  # of equal ones the lowest predicate
+    return chosen
 
 
 def minimal_description(table: DataFrame, closed: Sequence[int], n_predicates: int) -> tuple[int, ...]:
     """Greedy: again and again the predicate of the closure that leaves the fewest rows, until they are the closure's."""
-    closed = sorted(closed)
-    (target, _), = closures(table, [tuple(closed)], n_predicates)
-    chosen: tuple[int, ...] = ()
-    (now, _), = closures(table, [()], n_predicates)
-    while now > target:
-        left = [i for i in closed if i not in chosen]
-        supports = [n for n, _ in closures(table, [tuple(sorted((*chosen, i))) for i in left], n_predicates)]
-        now = min(supports)
-        chosen = (*chosen, left[supports.index(now)])
-    return tuple(sorted(chosen))
+    return minimal_descriptions(table, [closed], n_predicates)[0]
 
 
 def supersets(table: DataFrame, n_predicates: int) -> DataFrame:

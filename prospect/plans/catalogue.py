@@ -321,8 +321,9 @@ def _names(mask: str) -> str:
 )
 def minimal_description(spark, sf_dir):
     n = len(ITEM_PREDICATES)
-    table = language.compress(lineitem_view(spark, sf_dir), ITEM_PREDICATES, {}).persist()
-    rows = [(i, ",".join(map(str, c)), language.needed_end(table, c, n), ",".join(map(str, language.minimal_description(table, c, n)))) for i, (_, c) in enumerate(language.closures(table, [(i,) for i in range(n)], n))]
+    table = graphs._cut(language.compress(lineitem_view(spark, sf_dir), ITEM_PREDICATES, {}))
+    closed = [c for _, c in language.closures(table, [(i,) for i in range(n)], n)]
+    rows = [(i, ",".join(map(str, c)), end, ",".join(map(str, least))) for i, (c, end, least) in enumerate(zip(closed, language.needed_ends(table, closed, n), language.minimal_descriptions(table, closed, n)))]
     return spark.createDataFrame(rows, "pid int, closure string, needed_end int, minimal string")
 
 
