@@ -203,6 +203,11 @@ def _median(rows: DataFrame, value, name: str, step: float = STEP) -> DataFrame:
     return each.where(2 * F.col("to") >= F.col("all")).groupBy("of").agg((F.min("v") * step).alias(name))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, broadcast if it was counted to have ``BROADCAST_IDS`` rows at most."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def rate(docs: DataFrame, model: DataFrame | None = None, model_rows: int = MODEL_ROWS) -> DataFrame:
     """``measures`` with ``base_failed``, the perplexity, its language's band and ``kept``.
 
@@ -216,11 +221,11 @@ def rate(docs: DataFrame, model: DataFrame | None = None, model_rows: int = MODE
     texts = good.groupBy(F.col("lang").alias("known")).agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= BAND_TEXTS)
     # a language by its name, those with few texts together as null
     band = F.when(F.col("known").isNotNull() | (F.col("lang").isNull() & F.col("texts").isNotNull()), F.struct("lang"))
-    rows = cut(rows.join(F.broadcast(texts), F.col("lang").eqNullSafe(F.col("known")), "left").withColumn("of", band).drop("known", "texts"), "rated")
+    rows = cut(rows.join(_small(cut(texts, "texts")), F.col("lang").eqNullSafe(F.col("known")), "left").withColumn("of", band).drop("known", "texts"), "rated")
     good = rows.where(~F.col("base_failed"))
     good = good.where("of is not null").unionByName(good.withColumn("of", F.lit(None).cast(dict(rows.dtypes)["of"])))
     middle = cut(_median(good, F.col("nats"), "mid"), "middle")
-    near = good.join(F.broadcast(middle.withColumnRenamed("of", "mid_of")), F.col("of").eqNullSafe(F.col("mid_of")))
+    near = good.join(_small(middle).withColumnRenamed("of", "mid_of"), F.col("of").eqNullSafe(F.col("mid_of")))
     spread = _median(near, F.abs(F.col("nats") - F.col("mid")) * root, "mad", 10 * STEP)
     bands = middle.withColumnRenamed("of", "band").join(spread, F.col("band").eqNullSafe(F.col("of"))).select("band", "mid", F.greatest(1.4826 * F.col("mad"), F.lit(LEAST_SPREAD)).alias("spread"))
     half = LEAST_NATS + SPREADS * F.col("spread") / F.greatest(root, F.lit(1.0))
@@ -234,5 +239,4 @@ def rate(docs: DataFrame, model: DataFrame | None = None, model_rows: int = MODE
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose id has a row that passes; rows without an id go."""
     gone = cut(rate(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id"), "gone")
-    few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.where("doc_id is not null").join(few, "doc_id", "left_anti").select(docs.columns)
+    return docs.where("doc_id is not null").join(_small(gone), "doc_id", "left_anti").select(docs.columns)

@@ -457,6 +457,19 @@ def test_html_hosts_of_any_size_agree(spark):
             assert small[i].split() == [x for j, x in enumerate(w) if j not in on]
 
 
+def test_html_a_teaser_is_no_article(spark):
+    rng = random.Random(29)
+    line, text, long = prose(rng, 9), prose(rng, 40), prose(rng, 60)
+    pages = [
+        (1, "http://t.org/1", f"<nav>menu</nav><div>{line}</div><article>read this too</article><p>{text}</p>"),
+        *((i, f"http://t.org/{i}", f"<div>{line}</div><article>{long} {i}</article>") for i in (2, 3)),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for n in (1 << 21, 0):
+        got = {r["page_id"]: r["text"] for r in plain(html_extract.extract(df, n))}
+        assert got == {1: f"read this too\n\n{text}", 2: f"{long} 2", 3: f"{long} 3"}
+
+
 def test_covered_tokens_against_all_substrings():
     rng = random.Random(10)
     streams = [[rng.choice("abc") for _ in range(40)] for _ in range(6)]
