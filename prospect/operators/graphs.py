@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prospect.sources.scratch import cut
+
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Through the shared folder, if the session names one; else kept in place."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        return df.persist()
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return cut(df, "graph")
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -61,6 +54,30 @@ def coreness(edges: DataFrame) -> DataFrame:
         core = new
 
 
+def degrees(edges: DataFrame) -> DataFrame:
+    """(vid, degree) of the vertices with edges."""
+    return symmetric(undirected(edges)).groupBy(F.col("src").alias("vid")).agg(F.count(F.lit(1)).alias("degree"))
+
+
+def vertex_columns(vertices: DataFrame, edges: DataFrame, vid: str, wanted: set[str]) -> DataFrame:
+    """``vertices`` with ``degree`` and ``core`` in the graph of the edges between them, as wanted; 0 for one without edges."""
+    own = _cut(induced(undirected(edges), vertices.select(F.col(vid).alias("vid"))))
+    for name, of in (("degree", degrees), ("core", coreness)):
+        if name in wanted:
+            vertices = vertices.join(of(own).withColumnRenamed("vid", vid), vid, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("long")))
+    return vertices
+
+
+def induced_shells(inside: DataFrame) -> DataFrame:
+    """(group, shells): of each group (group, src, dst) of edges how many vertices have which coreness, highest first.
+
+    Groups may share vertices; a vertex is another one in each. All groups are one loop.
+    """
+    core = coreness(inside.select(F.struct("group", F.col("src").alias("v")).alias("src"), F.struct("group", F.col("dst").alias("v")).alias("dst")))
+    shells = core.groupBy(F.col("vid.group").alias("group"), "core").agg(F.count(F.lit(1)).alias("n"))
+    return shells.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("core", "n")), asc=False).alias("shells"))
+
+
 def group_measures(edges: DataFrame, members: DataFrame) -> DataFrame:
     """One row per group of vertices (group, vid), which may overlap: how well it holds together.
 

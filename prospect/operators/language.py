@@ -48,19 +48,46 @@ def holds(words: str, needed: str) -> Column:
     return F.expr(f"forall(zip_with({words}, {needed}, (w, m) -> (w & m) = m), x -> x)")
 
 
-def score(table: DataFrame, candidates: Sequence[tuple[int, ...]], n_predicates: int, parts: dict[str, str], closure: bool = False) -> DataFrame:
-    """(cid, n, parts..., closure): sums of each candidate's rows, in one job; candidates without rows are absent.
+def set_bits(words: Column, n: int) -> Column:
+    """The numbers below ``n`` whose bits are set, as an array."""
+    return F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.call_function("shiftright", F.get(words, F.floor(i / WORD).cast("int")), i % WORD).bitwiseAND(F.lit(1).cast("long")) != 0)
+
+
+def with_bit(words: Column, i: Column) -> Column:
+    return F.transform(words, lambda w, at: F.when(at == F.floor(i / WORD), w.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i % WORD))).otherwise(w))
+
+
+def below(words: Column, i: Column) -> Column:
+    """The bits below number ``i``."""
+    at = F.floor(i / WORD)
+    return F.transform(words, lambda w, k: F.when(k < at, w).when(k == at, w.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i % WORD) - 1)).otherwise(F.lit(0).cast("long")))
+
+
+#: Candidates up to this number are sent to all tasks; more of them are dealt out, like the rows, by their last predicate.
+SENT = 50_000
+
+
+def met(table: DataFrame, candidates: DataFrame, n_predicates: int, few: bool) -> DataFrame:
+    """The rows of ``table`` (words, ...) with each of the candidates (last, mask, ...) that they belong to.
 
-    Rows meet candidates by the candidate's last predicate, then by its mask.
+    Rows meet candidates by the candidate's last predicate (-1: none), then by its mask.
     """
-    spark = table.sparkSession
-    known = spark.createDataFrame([(i, c[-1] if c else -1, mask(c, n_predicates)) for i, c in enumerate(candidates)], "cid long, last int, mask array<long>")
-    own = F.filter(F.array(*(F.when(F.get("words", F.lit(j // WORD)).bitwiseAND(F.lit(1 << (j % WORD)).cast("long")) != 0, F.lit(j)) for j in range(n_predicates)), F.lit(-1)), lambda x: x.isNotNull())
-    met = table.withColumn("last", F.explode(own)).join(F.broadcast(known) if len(candidates) <= 50_000 else known, "last").where(holds("words", "mask"))
-    aggs = [F.sum("n").alias("n"), *(getattr(F, how)(k).alias(k) for k, how in parts.items())]
+    own = table.withColumn("last", F.explode(F.concat(F.array(F.lit(-1)), set_bits(F.col("words"), n_predicates))))
+    return own.join(F.broadcast(candidates) if few else candidates, "last").where(holds("words", "mask"))
+
+
+def score(table: DataFrame, candidates: Sequence[tuple[int, ...]], n_predicates: int, parts: dict[str, str], closure: bool = False) -> DataFrame:
+    """(cid, n, parts..., closure): sums of each candidate's rows, in one job; candidates without rows are absent."""
+    known = table.sparkSession.createDataFrame([(i, c[-1] if c else -1, mask(c, n_predicates)) for i, c in enumerate(candidates)], "cid long, last int, mask array<long>")
+    return met(table, known, n_predicates, len(candidates) <= SENT).groupBy("cid").agg(*sums(parts, n_predicates, closure))
+
+
+def sums(parts: dict[str, str], n_predicates: int, closure: bool = False) -> list[Column]:
+    """The aggregates of a candidate's rows; ``closure`` has the predicates that hold on all of them."""
+    out = [F.sum("n").alias("n"), *(getattr(F, how)(k).alias(k) for k, how in parts.items())]
     if closure:
-        aggs.append(F.array(*(F.bit_and(F.get("words", F.lit(w))) for w in range((n_predicates + WORD - 1) // WORD))).alias("closure"))
-    return met.groupBy("cid").agg(*aggs)
+        out.append(F.array(*(F.bit_and(F.get("words", F.lit(w))) for w in range(max(1, (n_predicates + WORD - 1) // WORD)))).alias("closure"))
+    return out
 
 
 def validate(predicates: Sequence[Predicate], chosen: Sequence[int]) -> Column:
@@ -93,13 +120,11 @@ def closures(table: DataFrame, candidates: Sequence[tuple[int, ...]], n_predicat
 
 
 def on_some_row(table: DataFrame, candidates: Sequence[tuple[int, ...]], n_predicates: int) -> list[tuple[int, ...]]:
-    """For each candidate the predicates that hold on one of its rows at least, as ``closures`` has those that hold on all."""
-    words = [F.bit_or(F.get("words", F.lit(w))) for w in range((n_predicates + WORD - 1) // WORD)]
-    return [indices(r) if r[0] is not None else () for r in (table.where(holds("words", str_mask(mask(c, n_predicates)))).agg(*words).first() for c in candidates)]
-
-
-def str_mask(words: Sequence[int]) -> str:
-    return "array(" + ", ".join(f"{w}L" for w in words) + ")"
+    """For each candidate the predicates that hold on one of its rows at least, as ``closures`` has those that hold on all; one job for all."""
+    known = table.sparkSession.createDataFrame([(i, c[-1] if c else -1, mask(c, n_predicates)) for i, c in enumerate(candidates)], "cid long, last int, mask array<long>")
+    words = F.array(*(F.bit_or(F.get("words", F.lit(w))) for w in range(max(1, (n_predicates + WORD - 1) // WORD))))
+    got = {r["cid"]: r["any"] for r in met(table, known, n_predicates, len(candidates) <= SENT).groupBy("cid").agg(words.alias("any")).collect()}
+    return [indices(got.get(i, ())) for i in range(len(candidates))]
 
 
 def needed_ends(table: DataFrame, closed: Sequence[Sequence[int]], n_predicates: int) -> list[int]:

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from ast import literal_eval
 from dataclasses import dataclass, field, fields
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,7 @@ class Totals:
     mean: float = 0.0
     held: int = 0
     means: tuple[float, ...] = ()
+    edges: int = 0
 
     @classmethod
     def of(cls, df: DataFrame, target: str | None) -> Totals:
@@ -55,9 +57,16 @@ class Score:
     """``parts(totals)``: name -> (per-row value, "sum" or "max"); ``value(totals)``: formula over those names and n.
 
     ``derived(totals)`` replaces parts of a signature's rows by values of their sums, before they are added up any further.
+    Scores of graphs name the ``columns`` of vertices that they need (``degree``, ``core``), and whether they need the
+    coreness within the group (``shells``); then ``outer`` is what no subset's score exceeds, from sums alone.
     """
 
     target: str | None = None
+    columns: ClassVar[tuple[str, ...]] = ()
+    shells: ClassVar[bool] = False
+
+    def outer(self, totals: Totals) -> Column:
+        return F.lit(float("inf"))
 
     def parts(self, totals: Totals) -> dict[str, tuple[Column, str]]:
         return {}
@@ -215,6 +224,121 @@ class MmdBound(Mmd):
         return F.pow(c, F.lit(g - 2.0)) * F.least(*bounds)
 
 
+@dataclass(frozen=True)
+class EdgeVertexRatio(Score):
+    """The edges that a group of vertices induces, over its vertices."""
+
+    def value(self, totals: Totals) -> Column:
+        return _ratio(F.col("edges").cast("double"), F.col("n"))
+
+
+@dataclass(frozen=True)
+class EdgeVertexBound(Score):
+    """No subset has more edges a vertex.
+
+    A subset of size s has at most all edges of the group, s (s - 1) / 2, s times half
+    the greatest degree, and s times the greatest coreness (drop vertices one by one, each with that many neighbours at most).
+    """
+
+    columns: ClassVar[tuple[str, ...]] = ("degree", "core")
+
+    def parts(self, totals: Totals) -> dict[str, tuple[Column, str]]:
+        return {"top_degree": (F.col("degree"), "max"), "top_core": (F.col("core"), "max")}
+
+    def value(self, totals: Totals) -> Column:
+        # both E / s and (s - 1) / 2 are met where s (s - 1) = 2 E
+        met = (F.sqrt(8 * F.col("edges") + 1) - 1) / 4
+        return F.least(met, F.col("top_degree") / 2, F.col("top_core").cast("double"))
+
+
+@dataclass(frozen=True)
+class LocalModularity(Score):
+    """The share of all edges within the group, less what its degrees alone let expect."""
+
+    columns: ClassVar[tuple[str, ...]] = ("degree",)
+
+    def parts(self, totals: Totals) -> dict[str, tuple[Column, str]]:
+        return {"volume": (F.col("degree"), "sum")}
+
+    def value(self, totals: Totals) -> Column:
+        share = _ratio(F.col("volume").cast("double"), 2.0 * totals.edges)
+        return _ratio(F.col("edges").cast("double"), totals.edges) - share * share
+
+
+@dataclass(frozen=True)
+class LocalModularityBound(Score):
+    """No subset's score is higher: with a share of x of the edges its degrees make at least x of all, so x - x^2 at most, and x is at most the group's."""
+
+    def value(self, totals: Totals) -> Column:
+        x = F.least(_ratio(F.col("edges").cast("double"), totals.edges), F.lit(0.5))
+        return x - x * x
+
+
+@dataclass(frozen=True)
+class InverseConductance(LocalModularity):
+    """1 less the share of the smaller side's edge ends that cross the group's border; 0 if a side has none."""
+
+    def value(self, totals: Totals) -> Column:
+        volume = F.col("volume").cast("double")
+        side = F.least(volume, F.lit(2.0 * totals.edges) - volume)
+        return F.when(side > 0, 1 - (volume - 2 * F.col("edges")) / side).otherwise(F.lit(0.0))
+
+
+@dataclass(frozen=True)
+class InverseConductanceBound(Score):
+    """A subset with no edge has all its ends across the border; any other may have none."""
+
+    def value(self, totals: Totals) -> Column:
+        return F.when(F.col("edges") > 0, F.lit(1.0)).otherwise(F.lit(0.0))
+
+
+@dataclass(frozen=True)
+class AverageCoreness(Score):
+    """Coverage and mean coreness in the graph that the group induces: (m/n)^gamma times the mean."""
+
+    gamma: float = 1.0
+    columns: ClassVar[tuple[str, ...]] = ("core",)
+    shells: ClassVar[bool] = True
+
+    def parts(self, totals: Totals) -> dict[str, tuple[Column, str]]:
+        return {"top_core": (F.col("core"), "max")}
+
+    def _covers(self, totals: Totals, n: Column) -> Column:
+        return F.pow(_ratio(n.cast("double"), totals.n), F.lit(float(self.gamma)))
+
+    def value(self, totals: Totals) -> Column:
+        cores = F.aggregate("shells", F.lit(0).cast("long"), lambda a, s: a + s["core"] * s["n"])
+        return self._covers(totals, F.col("n")) * _ratio(cores.cast("double"), F.col("n"))
+
+    def outer(self, totals: Totals) -> Column:
+        return self._covers(totals, F.col("n")) * F.col("top_core")
+
+
+@dataclass(frozen=True)
+class InducedMaxCoreness(AverageCoreness):
+    """No subset's average coreness is higher: its vertices have at most the group's greatest coreness."""
+
+    def value(self, totals: Totals) -> Column:
+        return self._covers(totals, F.col("n")) * F.coalesce(F.get("shells", F.lit(0))["core"], F.lit(0))
+
+
+@dataclass(frozen=True)
+class InducedAverageCoreness(AverageCoreness):
+    """No subset's average coreness is higher: in a subset no vertex gains, so the best of any size are those of highest coreness.
+
+    Within a shell the score falls and then rises with the size, so only whole shells are tried.
+    """
+
+    def value(self, totals: Totals) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("cores"), F.lit(0.0).alias("best"))
+
+        def grown(a, s):
+            n, cores = a["n"] + s["n"], a["cores"] + s["core"] * s["n"]
+            return F.struct(n.alias("n"), cores.alias("cores"), F.greatest(a["best"], self._covers(totals, n) * cores / n).alias("best"))
+
+        return F.aggregate("shells", start, grown, lambda a: a["best"])
+
+
 @dataclass(frozen=True)
 class Geometric(Score):
     """Weighted geometric mean of scores (or of bounds, which bounds it): product of powers, to 1 over their sum."""
@@ -222,6 +346,14 @@ class Geometric(Score):
     scores: tuple[Score, ...] = ()
     exponents: tuple[float, ...] = field(default=())
 
+    @property
+    def columns(self) -> tuple[str, ...]:  # type: ignore[override]
+        return tuple(c for s in self.scores for c in s.columns)
+
+    @property
+    def shells(self) -> bool:  # type: ignore[override]
+        return any(s.shells for s in self.scores)
+
     def parts(self, totals: Totals) -> dict[str, tuple[Column, str]]:
         return {k: v for s in self.scores for k, v in s.parts(totals).items()}
 
@@ -236,8 +368,13 @@ class Geometric(Score):
         return F.pow(out, F.lit(1.0 / sum(e)))
 
 
-MEASURES = {"coverage": Coverage, "jaccard": Jaccard, "coverage-mean-shift": MeanShift, "mmd": Mmd, "geometric-mean": Geometric}
-BOUNDS = {"coverage": Coverage, "constant": Constant, "jaccard": JaccardBound, "coverage-mean-shift": MeanShiftBound, "coverage-mean-shift-grouped": GroupedMeanShiftBound, "mmd-sd": MmdBound, "geometric-mean": Geometric}
+MEASURES = {"coverage": Coverage, "jaccard": Jaccard, "coverage-mean-shift": MeanShift, "mmd": Mmd, "geometric-mean": Geometric} | {
+    "edge-vertex-ratio": EdgeVertexRatio, "local-modularity": LocalModularity, "inverse-conductance": InverseConductance, "coverage-average-coreness": AverageCoreness,
+}
+BOUNDS = {"coverage": Coverage, "constant": Constant, "jaccard": JaccardBound, "coverage-mean-shift": MeanShiftBound, "coverage-mean-shift-grouped": GroupedMeanShiftBound, "mmd-sd": MmdBound, "geometric-mean": Geometric} | {
+    "edge-vertex-ratio-greedy": EdgeVertexBound, "local-modularity": LocalModularityBound, "inverse-conductance": InverseConductanceBound,
+    "coverage-induced-max-coreness": InducedMaxCoreness, "coverage-induced-average-coreness": InducedAverageCoreness,
+}
 
 
 def from_text(text: str, target: str | None = None, known: dict[str, type[Score]] = MEASURES) -> Score:

@@ -1,22 +1,25 @@
 """Level-wise search for the k best conjunctions, pruned by bounds.
 
-A level is one Spark job over the compressed table. The frontier is a list of
-index tuples on the driver: its size depends on predicates and depth, never on
-rows.
+A level is a written table of conjunctions, made from the level before by a join of
+those with a common prefix, rated over the compressed table in one job, and cut down
+to those that a bound leaves open. The driver gets counters and the best.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prospect.functions.predicates import Predicate
+from prospect.sources.scratch import cut
 
-from .language import compress, indices, render, score, validate
+from .graphs import induced_shells, undirected, vertex_columns
+from .language import SENT, below, compress, mask, met, packed, render, score, set_bits, sums, validate, with_bit
 from .scores import Constant, Score, Totals, measured
 
 
@@ -28,9 +31,6 @@ class Found:
     n: int
     text: str
 
-    def order(self) -> tuple:
-        return (-round(self.score, 6), len(self.indices), self.indices)
-
 
 @dataclass(frozen=True)
 class Update:
@@ -45,25 +45,73 @@ class Update:
 
 @dataclass
 class Result:
+    """``frontier`` (items, mask, last, bound) is what a search left open, ``levels`` what it rated, both as written tables."""
+
     best: list[Found]
     stats: dict[str, int]
     exhausted: bool
     attainable: float
-    frontier: list[tuple[tuple[int, ...], int]] = field(default_factory=list)
+    frontier: DataFrame | None = None
     history: list[Update] = field(default_factory=list)
-    tree: list[tuple[tuple[int, ...], tuple[int, ...], bool]] = field(default_factory=list)
+    levels: list[DataFrame] = field(default_factory=list)
+    aborted: bool = False
 
     @property
     def status(self) -> str:
-        return "completed" if self.exhausted else "stopped"
+        return "completed" if self.exhausted else "aborted" if self.aborted else "stopped"
 
     @property
     def gap(self) -> float:
-        """How far the best found may lie below the best there is, as a share of it."""
+        """How far the best found may lie from the best there is, as a share of it."""
         if self.exhausted or not self.best:
             return 0.0
         top = self.best[0].score
-        return max(0.0, (self.attainable - top) / top) if top else float("inf")
+        return abs(self.attainable - top) / abs(top) if top else float("inf")
+
+    @property
+    def tree(self) -> Iterator[tuple[tuple[int, ...], tuple[int, ...], bool]]:
+        """(parent, child, whether it was expanded) of a search with ``keep_tree``, as they are read."""
+        for level in self.levels:
+            for r in level.select("parent", "items", "expanded").toLocalIterator():
+                yield tuple(r["parent"]), tuple(r["items"]), r["expanded"]
+
+
+#: What a search counts: conjunctions made, rated (those with rows), kept as results, expanded, left unexpanded for their
+#: bound, passed on to the next level, found again by another way (closed sets), passed on but too deep; and levels.
+COUNTERS = ("created", "measured", "added", "expanded", "pruned", "queued", "ignored", "deep", "levels")
+
+
+def signatures(df: DataFrame, predicates: list[Predicate], measure: Score, bound: Score, totals: Totals, edges: DataFrame | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """What a search adds up: (words, n, parts...) by signature, and how each part adds up.
+
+    Edges (src, dst, words), if any, come as rows of no vertex with one edge, by the
+    predicates that both ends have: those of a group are the edges that it induces.
+    """
+    named = measure.parts(totals) | bound.parts(totals)
+    how = {name: way for name, (_, way) in named.items()}
+    table = compress(df, predicates, named).withColumns(measure.derived(totals) | bound.derived(totals))
+    if edges is None:
+        return table, how
+    of_edges = edges.groupBy("words").agg(F.count(F.lit(1)).alias("edges")).withColumn("n", F.lit(0).cast("long"))
+    return table.withColumn("edges", F.lit(0).cast("long")).unionByName(of_edges, allowMissingColumns=True), how | {"edges": "sum"}
+
+
+def _children(frontier: DataFrame, n_predicates: int, closed: bool, siblings: bool) -> DataFrame:
+    """(parent, mask, own, j, last) of the next level, from (items, mask, last).
+
+    ``siblings``: conjunctions of one prefix extend each other, so none is made with
+    a sibling that was pruned. A prefix has fewer of them than there are predicates.
+    """
+    a = frontier.select(F.col("items").alias("parent"), F.col("mask").alias("own"), F.col("last").alias("_from"))
+    if siblings:
+        prefix = F.slice("parent", F.lit(1), F.size("parent") - 1)
+        b = frontier.select(F.slice("items", F.lit(1), F.size("items") - 1).alias("_prefix"), F.col("last").alias("j"))
+        made = a.withColumn("_prefix", prefix).join(b, "_prefix").where("j > _from")
+    else:
+        after = F.when(F.col("_from") < n_predicates - 1, F.sequence(F.col("_from") + 1, F.lit(n_predicates - 1))).otherwise(F.array().cast("array<int>"))
+        made = a.withColumn("j", F.explode(after)).where(~F.array_contains("parent", F.col("j")))
+    made = made.withColumn("mask", with_bit(F.col("own"), F.col("j")))
+    return made.select("parent", "own", "j", "mask", (F.greatest(F.array_max("parent"), F.col("j")) if closed else F.col("j")).alias("last"))
 
 
 def search(
@@ -76,104 +124,174 @@ def search(
     factor: float = 1.0,
     closed: bool = False,
     removed: tuple[tuple[int, ...], ...] = (),
-    visit: Callable[[int, list[Found]], None] | None = None,
+    visit: Callable[[int, Iterator[Found]], None] | None = None,
     resume: Result | None = None,
     keep_tree: bool = False,
+    minimise: bool = False,
+    seeds: Sequence[tuple[int, ...]] = (),
+    abort: Callable[[dict[str, int], list[Found]], bool] | None = None,
+    edges: DataFrame | None = None,
+    vid: str = "vid",
 ) -> Result:
     """The k best conjunctions of at most ``depth`` predicates (or steps, if ``closed``).
 
     Ties go to fewer predicates, then to lower indices. A conjunction is expanded
-    while its bound times ``factor`` exceeds the k-th best score. ``closed``
-    visits closed sets only, each once (prefix-preserving extensions).
-    Conjunctions without rows are no results, rows without a target no members.
-    ``resume`` goes on from what an earlier search of the same kind left open.
-    ``keep_tree`` keeps who was refined to whom, and who was expanded further.
+    while its bound times ``factor`` exceeds the k-th best score; with ``minimise``
+    the lowest scores are best, bounds are least values, and it is expanded while
+    its bound is below the k-th score times ``factor``. ``closed`` visits closed
+    sets only, each once (prefix-preserving extensions). Conjunctions without rows
+    are no results, rows without a target no members.
+
+    The search starts from no predicate, from ``seeds`` (conjunctions, which are rated
+    too and extended by later predicates), or goes on from what ``resume``, an earlier
+    search of the same kind, left open. ``visit`` gets each level with its
+    conjunctions, as they are read; ``abort`` gets the counters and the best after
+    each level and ends the search if it says so. ``keep_tree`` keeps who was
+    refined to whom, and who was expanded further.
+
+    Rows may be the vertices, named by ``vid``, of a graph with ``edges`` (src, dst),
+    taken in either direction, once and without loops. Scores of graphs need them.
+
+    A level is a written table that Spark makes of the level before; what comes to
+    the driver are counters and the k best.
     """
-    bound = bound or Constant()
+    spark, p = df.sparkSession, len(predicates)
+    bound = bound or Constant(given=float("-inf") if minimise else float("inf"))
     target = measure.target or bound.target
     df = measured(df, target)
     totals = Totals.of(df, target)
-    named = measure.parts(totals) | bound.parts(totals)
-    how = {name: way for name, (_, way) in named.items()}
-    table = compress(df, predicates, named).withColumns(measure.derived(totals) | bound.derived(totals)).persist()
-    p = len(predicates)
-    stats = dict.fromkeys(("created", "added", "pruned", "expanded", "levels"), 0)
+    ends = None
+    if edges is not None:
+        df = vertex_columns(df, edges, vid, {*measure.columns, *bound.columns})
+        named = df.select(F.col(vid).alias("_vid"), packed(predicates).alias("_words"))
+        e = undirected(edges).join(named.select(F.col("_vid").alias("src"), F.col("_words").alias("_a")), "src").join(named.select(F.col("_vid").alias("dst"), F.col("_words").alias("_b")), "dst")
+        ends = cut(e.select("src", "dst", F.zip_with("_a", "_b", lambda x, y: x.bitwiseAND(y)).alias("words")), "ends")
+        totals = replace(totals, edges=ends.count())
+    table, how = signatures(df, predicates, measure, bound, totals, ends)
+    table = cut(table, "signatures")
+    shells = measure.shells or bound.shells
+    sign = -1.0 if minimise else 1.0
+    stats = dict.fromkeys(COUNTERS, 0)
     best: list[Found] = []
-    attainable = float("-inf")
-    history, tree, began = list(resume.history) if resume else [], list(resume.tree) if resume else [], time.monotonic()
-
-    def rate(candidates: list[tuple[int, ...]]) -> list[tuple[int, Found, tuple[int, ...]]]:
-        if not candidates:
-            return []
-        rows = score(table, candidates, p, how, closure=closed).withColumn("_score", measure.value(totals)).withColumn("_bound", bound.value(totals)).collect()
-        out = []
-        for r in rows:
-            c = candidates[r["cid"]]
-            own = indices(r["closure"]) if closed else c
-            out.append((r["cid"], Found(own, r["_score"], r["_bound"], r["n"], render(own, predicates)), own))
-        return out
+    history, levels, began = list(resume.history) if resume else [], list(resume.levels) if resume else [], time.monotonic()
+
+    def order(found: Found) -> tuple:
+        return (-sign * round(found.score, 6), len(found.indices), found.indices)
 
     def threshold() -> float:
-        return best[-1].score if len(best) == k else float("-inf")
+        """What a score must exceed (fall below) to be among the best."""
+        return best[-1].score if len(best) == k else -sign * float("inf")
+
+    def expands(limit: float, of: Column) -> Column:
+        return of < F.lit(limit * factor) if minimise else of * F.lit(factor) > F.lit(limit)
 
     def add(found: Found) -> None:
         nonlocal best
         if found.indices in removed or any(f.indices == found.indices for f in best):
             return
-        ranked = sorted([*best, found], key=Found.order)
+        ranked = sorted([*best, found], key=order)
         best = ranked[:k]
         if found in best:
             stats["added"] += 1
             history.append(Update(found, ranked[k] if len(ranked) > k else None, stats["levels"], stats["created"], time.monotonic() - began))
 
-    try:
-        frontier: list[tuple[tuple[int, ...], int]] = []  # a conjunction, and the index that its extensions start from
-        for f in resume.best if resume else ():
+    def found(r) -> Found:
+        return Found(tuple(r["items"]), r["score"], r["bound"], r["n"], render(r["items"], predicates))
+
+    def rate(candidates: DataFrame, few: bool) -> DataFrame:
+        """(parent, items, mask, last, n, score, bound) of the candidates with rows, written."""
+        known = candidates.select("parent", "own", "j", "mask", "last")
+        own = met(table, known, p, few).groupBy("parent", "own", "j", *([] if closed else ["mask"])).agg(*sums(how, p, closed))
+        if closed:
+            # an extension that adds something before its own index is another's
+            kept = (F.col("j") < 0) | (below(F.col("closure"), F.col("j")) == below(F.col("own"), F.col("j")))
+            own = own.withColumn("_kept", kept).withColumnRenamed("closure", "mask")
+            items = set_bits(F.col("mask"), p)
+        else:
+            own = own.withColumn("_kept", F.lit(True))
+            items = F.when(F.col("j") < 0, F.col("parent")).otherwise(F.concat("parent", F.array("j")))
+        own = own.withColumn("items", items)
+        if shells:
+            # only groups that may still count are worth their coreness
+            own = cut(own.withColumn("_open", F.col("_kept") & expands(threshold(), measure.outer(totals))), "sums")
+            groups = own.where("_open").select("mask", F.coalesce(F.array_max("items"), F.lit(-1)).alias("last"))
+            inside = met(ends, groups.distinct(), p, few).select(F.col("mask").alias("group"), "src", "dst")
+            found = induced_shells(cut(inside, "inside")).select(F.col("group").alias("mask"), "shells")
+            own = own.join(F.broadcast(found) if few else found, "mask", "left").withColumn("shells", F.coalesce("shells", F.array().cast("array<struct<core:bigint,n:bigint>>")))
+            value, limit = F.when(F.col("_open"), measure.value(totals)), F.when(F.col("_open"), bound.value(totals)).otherwise(measure.outer(totals))
+        else:
+            value, limit = measure.value(totals), bound.value(totals)
+        return cut(own.select("parent", "items", "mask", F.col("j").alias("last"), "n", value.alias("score"), limit.alias("bound"), "_kept"), "level")
+
+    def start(chosen: Sequence[tuple[int, ...]]) -> DataFrame:
+        rows = [(list(c), mask(c, p), -1, mask(c, p), c[-1] if c else -1) for c in sorted({tuple(sorted(c)) for c in chosen})]
+        return spark.createDataFrame(rows, "parent array<int>, own array<long>, j int, mask array<long>, last int")
+
+    level, siblings = 0, False
+    if resume:
+        for f in resume.best:
             add(f)
-        if resume:
-            frontier, rated = list(resume.frontier), []
-        for _, found, own in [] if resume else rate([()]):
-            add(found)
-            frontier = [(own, -1)]
-            if visit:
-                visit(0, [found])
-        siblings: dict[tuple[int, ...], set[int]] = {}
-        level = 0
-        while frontier and level < depth:
-            level += 1
-            stats["levels"] = level
-            children, origin = [], []
-            for own, last in frontier:
-                barred = siblings.get(own[:-1], set()) if not closed and own else set()
-                for j in range(last + 1, p):
-                    if j not in own and j not in barred:
-                        children.append(tuple(sorted((*own, j))))
-                        origin.append((own, j))
-            stats["created"] += len(children)
-            stats["expanded"] += len(frontier)
-            rated = rate(children)
-            if closed:
-                # an extension that adds something before its own index is another's
-                rated = [(i, f, own) for i, f, own in rated if [x for x in own if x < origin[i][1]] == [x for x in origin[i][0] if x < origin[i][1]]]
-            for _, found, _ in sorted(rated, key=lambda x: x[1].order()):
-                add(found)
-            siblings, frontier = {}, []
-            for i, found, own in rated:
-                if keep_tree:
-                    tree.append((origin[i][0], own, found.bound * factor > threshold()))
-                if found.bound * factor > threshold():
-                    frontier.append((own, origin[i][1]))
-                else:
-                    stats["pruned"] += 1
-                    siblings.setdefault(origin[i][0], set()).add(origin[i][1])
-            if visit:
-                visit(level, [f for _, f, _ in rated])
-        if frontier:
-            bounds = {f.indices: f.bound for _, f, _ in rated}
-            attainable = max(bounds.get(own, resume.attainable if resume else float("inf")) for own, _ in frontier)
-        return Result(best, stats, not frontier, attainable, frontier, history, tree)
-    finally:
-        table.unpersist()
+        frontier, attainable = resume.frontier, resume.attainable
+        made = _open_children(frontier, p, closed, True) if frontier is not None else 0
+        siblings = not closed
+    else:
+        frontier, attainable, made = None, -sign * float("inf"), 0
+        first = rate(start(seeds or [()]), len(seeds) <= SENT)
+        for r in _ranked(first, sign, k + len(removed)).collect():
+            add(found(r))
+        if visit:
+            visit(0, map(found, first.where("score is not null").toLocalIterator()))
+        # seeds are extended by predicates after their own
+        after = F.coalesce(F.array_max("parent"), F.lit(-1)) if not closed else F.lit(-1)
+        frontier = first.select("items", "mask", after.alias("last"), "bound")
+        made = _open_children(frontier, p, closed, False)
+    aborted = False
+    while made and level < depth:
+        level += 1
+        stats["levels"] = level
+        stats["created"] += made
+        stats["expanded"] += frontier.count()
+        rated = rate(_children(frontier, p, closed, siblings), made <= SENT)
+        for r in _ranked(rated, sign, k + len(removed)).collect():
+            add(found(r))
+        open_ = F.col("_kept") & F.coalesce(expands(threshold(), F.col("bound")), F.lit(False))
+        if keep_tree:
+            levels.append(rated.where("_kept").select("parent", "items", open_.alias("expanded")))
+        furthest = F.min("bound") if minimise else F.max("bound")
+        c = rated.agg(F.count(F.lit(1)).alias("all"), F.count_if("_kept").alias("kept"), F.count_if(open_).alias("open")).first()
+        frontier = rated.where(open_).select("items", "mask", "last", "bound")
+        attainable = frontier.agg(furthest).first()[0]
+        stats["measured"] += c["all"]
+        stats["ignored"] += c["all"] - c["kept"]
+        stats["pruned"] += c["kept"] - c["open"]
+        stats["queued"] += c["open"]
+        siblings = not closed
+        if visit:
+            visit(level, map(found, rated.where("_kept and score is not null").toLocalIterator()))
+        made = _open_children(frontier, p, closed, siblings) if c["open"] else 0
+        if abort and abort(dict(stats), list(best)):
+            aborted = True
+            break
+    exhausted = frontier is None or not made
+    if not exhausted:
+        stats["deep"] = frontier.count()
+    return Result(best, stats, exhausted, -sign * float("inf") if attainable is None else attainable, None if exhausted else frontier, history, levels, aborted and not exhausted)
+
+
+def _ranked(rated: DataFrame, sign: float, k: int) -> DataFrame:
+    key = F.round("score", 6)
+    return rated.where("_kept and score is not null").orderBy(F.desc(key) if sign > 0 else F.asc(key), F.size("items"), "items").limit(k)
+
+
+def _open_children(frontier: DataFrame, n_predicates: int, closed: bool, siblings: bool) -> int:
+    """How many candidates the next level has."""
+    if siblings and not closed:
+        c = F.col("count")
+        of = frontier.groupBy(F.slice("items", F.lit(1), F.size("items") - 1)).count().agg(F.sum(c * (c - 1) / 2))
+    else:
+        own = F.size(F.filter("items", lambda i: i > F.col("last")))
+        of = frontier.agg(F.sum(F.lit(n_predicates - 1) - F.col("last") - own))
+    return int(of.first()[0] or 0)
 
 
 def as_frame(result: Result, df: DataFrame, digits: int = 6) -> DataFrame:
@@ -190,8 +308,13 @@ def history_frame(result: Result, df: DataFrame, digits: int = 6) -> DataFrame:
 
 def tree_frame(result: Result, df: DataFrame, predicates: list[Predicate]) -> DataFrame:
     """(parent, child, expanded): the edges of the search tree, of a search with ``keep_tree``."""
-    rows = [(render(a, predicates), render(b, predicates), on) for a, b, on in result.tree]
-    return df.sparkSession.createDataFrame(rows, "parent string, child string, expanded boolean")
+    names = F.array(*(F.lit(str(x)) for x in predicates))
+
+    def text(items):
+        return F.concat(F.lit("{"), F.array_join(F.transform(items, lambda i: F.get(names, i)), "^"), F.lit("}"))
+
+    rows = [level.select(text("parent").alias("parent"), text("items").alias("child"), "expanded") for level in result.levels]
+    return reduce(DataFrame.unionByName, rows) if rows else df.sparkSession.createDataFrame([], "parent string, child string, expanded boolean")
 
 
 def with_scores(result: Result, df: DataFrame, predicates: list[Predicate], extra: dict[str, Score], digits: int = 6) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from prospect.functions.discretise import Fixed, Frequency, Interval, Ranges, Uniform, bin_counts, entropy
 from prospect.functions.predicates import Attribute, Equals, Kind, Negate, Predicate, Prediciser, Ranged
 from prospect.operators import alignment, graphs, ingest, kernels, language, learning, scores, search
-from prospect.sources.tables import embeddings_view, lineitem_view, orders_view, read, trade_edges
+from prospect.sources.scratch import cut
+from prospect.sources.tables import customer_supplier_edges, embeddings_view, lineitem_view, orders_view, read, trade_edges, trade_vertices
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -321,7 +322,7 @@ def _names(mask: str) -> str:
 )
 def minimal_description(spark, sf_dir):
     n = len(ITEM_PREDICATES)
-    table = graphs._cut(language.compress(lineitem_view(spark, sf_dir), ITEM_PREDICATES, {}))
+    table = cut(language.compress(lineitem_view(spark, sf_dir), ITEM_PREDICATES, {}), "signatures")
     closed = [c for _, c in language.closures(table, [(i,) for i in range(n)], n)]
     rows = [(i, ",".join(map(str, c)), end, ",".join(map(str, least))) for i, (c, end, least) in enumerate(zip(closed, language.needed_ends(table, closed, n), language.minimal_descriptions(table, closed, n)))]
     return spark.createDataFrame(rows, "pid int, closure string, needed_end int, minimal string")
@@ -492,7 +493,7 @@ def set_kernel_alignment(spark, sf_dir):
     held = F.filter(F.array(*(F.when(p.column(), F.lit(i)) for i, p in enumerate(VECTOR_PREDICATES))), lambda i: i.isNotNull())
     rows = _vectors(spark, sf_dir).select("vec_id", "embedding", held.alias("on"))
     # a few sums of all pairs: written once, read for each kernel
-    sums = graphs._cut(learning.set_sums(rows, "vec_id", "embedding", "on", len(VECTOR_PREDICATES), learning.grid({"all": FEATURES["all"]}, WIDTHS)))
+    sums = cut(learning.set_sums(rows, "vec_id", "embedding", "on", len(VECTOR_PREDICATES), learning.grid({"all": FEATURES["all"]}, WIDTHS)), "sums")
     sizes = rows.select(F.explode("on").alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     target = alignment.jaccard(rows.groupBy("on").agg(F.count(F.lit(1)).alias("n"))).withColumnRenamed("k", "t")
     out = None
@@ -586,48 +587,101 @@ def feature_density(spark, sf_dir):
     return graphs.feature_density(trade_edges(spark, sf_dir), _features(spark, sf_dir)).withColumn("density", F.round("density", 6))
 
 
-def _busy(spark, sf_dir) -> DataFrame:
-    """Edges with more line items than edges have on average."""
-    e = trade_edges(spark, sf_dir)
-    return e.join(F.broadcast(e.agg(F.avg("n").alias("mean"))), F.col("n") > F.col("mean")).select("src", "dst")
+# the graph of customers and suppliers, who meet in a line item: predicates 0-4 region, 5-6 balance from a number on
 
-
-_B = f"{_G}, busy AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM g WHERE src <> dst AND n > (SELECT avg(n) FROM g)), u AS (SELECT a AS src, b AS dst FROM busy UNION SELECT b, a FROM busy), both_ways AS (SELECT src, dst FROM g WHERE n > (SELECT avg(n) FROM g) UNION SELECT dst, src FROM g WHERE n > (SELECT avg(n) FROM g))"
-#: Of 25 vertices no value falls more than 25 times in a row, one step for each at most.
-_CORES = ", ".join(
-    ["c0 AS (SELECT src AS vid, count(*) AS core FROM u GROUP BY src)"]
-    + [f"c{i + 1} AS (SELECT src AS vid, max(least(core, r)) AS core FROM (SELECT src, core, row_number() OVER (PARTITION BY src ORDER BY core DESC) AS r FROM u JOIN c{i} ON vid = dst) GROUP BY src)" for i in range(26)]
+_REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+TRADE_PREDICATES: list[Predicate] = [
+    *(Equals(Attribute("region", Kind.CATEGORICAL, position=0), category=v) for v in _REGIONS),
+    *(Ranged(Attribute("balance", Kind.NUMERICAL, position=1), interval=Interval(float(m), None, name=f"from {m}")) for m in (0, 5000)),
+]
+_TRADE_TESTS = [*(f"rn = '{v}'" for v in _REGIONS), *(f"ab >= {m}" for m in (0, 5000))]
+_T = (
+    "w AS (SELECT n_nationkey AS nk, r_name AS rn FROM nation JOIN region ON n_regionkey = r_regionkey), v AS (SELECT CAST(c_custkey AS BIGINT) * 2 AS vid, rn, c_acctbal AS ab FROM customer JOIN w ON nk = c_nationkey UNION ALL SELECT CAST(s_suppkey AS BIGINT) * 2 + 1, rn, s_acctbal FROM supplier JOIN w ON nk = s_nationkey), "
+    "e AS (SELECT DISTINCT CAST(o_custkey AS BIGINT) * 2 AS src, CAST(l_suppkey AS BIGINT) * 2 + 1 AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey), u AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), f AS (SELECT vid, rn AS feature FROM v)"
+)
+#: Conjunctions of up to two predicates with their vertices, and the edges between these, in either direction.
+_TC = (
+    _T + ", p AS (" + " UNION ALL ".join(f"SELECT vid, {i} AS pid FROM v WHERE {c}" for i, c in enumerate(_TRADE_TESTS)) + "), c AS (SELECT CAST([] AS INTEGER[]) AS c, vid FROM v UNION ALL SELECT [pid], vid FROM p UNION ALL SELECT [a.pid, b.pid], a.vid FROM p a JOIN p b ON a.vid = b.vid AND a.pid < b.pid), "
+    "i AS (SELECT a.c, src, dst FROM u JOIN c a ON a.vid = src JOIN c b ON b.vid = dst AND a.c = b.c), d AS (SELECT src AS vid, count(*) AS d FROM u GROUP BY src), t AS (SELECT count(*) AS m, (SELECT count(*) FROM v) AS nv FROM e), "
+    "s AS (SELECT c, n, vol, coalesce(m, 0) AS e FROM (SELECT c, count(*) AS n, coalesce(sum(d), 0) AS vol FROM c LEFT JOIN d USING (vid) GROUP BY c) LEFT JOIN (SELECT c, count(*) // 2 AS m FROM i GROUP BY c) USING (c))"
 )
-_WL = "SELECT vid, md5(concat_ws(':', label, CAST(coalesce((SELECT sum(CAST(CAST('0x' || substr(md5(m.label), 1, 15) AS BIGINT) AS HUGEINT)) FROM both_ways w JOIN {0} m ON m.vid = w.dst WHERE w.src = l.vid), 0) AS VARCHAR))) AS label FROM {0} l"
 
 
-@query(f"WITH {_B}, {_CORES} SELECT vid, CAST(core AS BIGINT) AS core FROM c26")
+def _cores(group: str, edges: str) -> str:
+    """The coreness within each group of edges (group, src, dst): h-indices of neighbours' values, again until none changes."""
+    return (
+        f"k AS (SELECT {group}, src AS vid, count(*) AS core, true AS changed FROM {edges} GROUP BY {group}, src UNION ALL "
+        f"SELECT {group}, vid, new, bool_or(new <> old) OVER () FROM (SELECT n.{group}, n.vid, new, o.core AS old FROM (SELECT {group}, vid, max(least(core, r)) AS new FROM (SELECT x.{group}, x.src AS vid, y.core, row_number() OVER (PARTITION BY x.{group}, x.src ORDER BY y.core DESC) AS r FROM {edges} x JOIN k y ON y.{group} = x.{group} AND y.vid = x.dst WHERE y.changed) GROUP BY {group}, vid) n JOIN k o ON o.{group} = n.{group} AND o.vid = n.vid))"
+        f", kc AS (SELECT {group}, vid, core FROM k WHERE NOT changed)"
+    )
+
+
+def _graph_top(value: str, more: str = "", of: str = "s") -> str:
+    return f"WITH RECURSIVE {_TC}{more}, r AS (SELECT c, n, round({value}, 6) AS score FROM {of}, t) SELECT CAST(row_number() OVER (ORDER BY score DESC, len(c), c) AS INTEGER) AS rank, array_to_string(c, ',') AS indices, n, score FROM r QUALIFY rank <= 5"
+
+
+def _graph_search(spark, sf_dir, measure: scores.Score, bound: scores.Score) -> DataFrame:
+    found = search.search(trade_vertices(spark, sf_dir), TRADE_PREDICATES, measure, bound, 5, 2, edges=customer_supplier_edges(spark, sf_dir))
+    return spark.createDataFrame([(i + 1, ",".join(map(str, f.indices)), f.n, round(f.score, 6)) for i, f in enumerate(found.best)], "rank int, indices string, n long, score double")
+
+
+@query(_graph_top("e / n"))
+def topk_edge_vertex_ratio(spark, sf_dir):
+    return _graph_search(spark, sf_dir, scores.EdgeVertexRatio(), scores.EdgeVertexBound())
+
+
+@query(_graph_top("e / m - (vol / (2 * m)) * (vol / (2 * m))"))
+def topk_local_modularity(spark, sf_dir):
+    return _graph_search(spark, sf_dir, scores.LocalModularity(), scores.LocalModularityBound())
+
+
+@query(_graph_top("CASE WHEN least(vol, 2 * m - vol) > 0 THEN 1 - (vol - 2 * e) / least(vol, 2 * m - vol) ELSE 0 END"))
+def topk_inverse_conductance(spark, sf_dir):
+    return _graph_search(spark, sf_dir, scores.InverseConductance(), scores.InverseConductanceBound())
+
+
+_COVERED = "g AS (SELECT c, n, coalesce(cores, 0) AS cores FROM s LEFT JOIN (SELECT c, sum(core) AS cores FROM kc GROUP BY c) USING (c))"
+
+
+@query(_graph_top("sqrt(n / nv) * cores / n", f", {_cores('c', 'i')}, {_COVERED}", "g"))
+def topk_average_coreness(spark, sf_dir):
+    return _graph_search(spark, sf_dir, scores.AverageCoreness(gamma=0.5), scores.InducedAverageCoreness(gamma=0.5))
+
+
+@query(f"WITH RECURSIVE {_T}, i AS (SELECT 0 AS g, src, dst FROM u), {_cores('g', 'i')} SELECT vid, CAST(core AS BIGINT) AS core FROM kc")
 def coreness(spark, sf_dir):
-    return graphs.coreness(_busy(spark, sf_dir))
+    return graphs.coreness(customer_supplier_edges(spark, sf_dir))
+
+
+def _trade_features(spark, sf_dir) -> DataFrame:
+    return trade_vertices(spark, sf_dir).select("vid", F.col("region").alias("feature"))
 
 
 @query(
-    f"WITH {_B}, ui AS (SELECT src, dst FROM u JOIN f x ON x.vid = src JOIN f y ON y.vid = dst WHERE x.feature = y.feature), {_CORES.replace('FROM u ', 'FROM ui ')}, "
-    "d AS (SELECT src AS vid, count(*) AS d FROM u GROUP BY src), i AS (SELECT feature, count(*) / 2 AS m FROM ui JOIN f ON vid = src GROUP BY feature), k AS (SELECT feature, sum(core) AS s, max(core) AS top FROM c26 JOIN f USING (vid) GROUP BY feature), "
-    "v AS (SELECT feature, count(*) AS n, coalesce(sum(d), 0) AS vol FROM f LEFT JOIN d USING (vid) GROUP BY feature), t AS (SELECT count(*) / 2 AS t FROM u) "
+    f"WITH RECURSIVE {_T}, ui AS (SELECT x.feature, src, dst FROM u JOIN f x ON x.vid = src JOIN f y ON y.vid = dst WHERE x.feature = y.feature), {_cores('feature', 'ui')}, "
+    "d AS (SELECT src AS vid, count(*) AS d FROM u GROUP BY src), i AS (SELECT feature, count(*) / 2 AS m FROM ui GROUP BY feature), kk AS (SELECT feature, sum(core) AS s, max(core) AS top FROM kc GROUP BY feature), "
+    "vv AS (SELECT feature, count(*) AS n, coalesce(sum(d), 0) AS vol FROM f LEFT JOIN d USING (vid) GROUP BY feature), t AS (SELECT count(*) / 2 AS t FROM u) "
     "SELECT feature, n AS n_vertices, CAST(coalesce(m, 0) AS BIGINT) AS n_edges, round(coalesce(m, 0) / n, 6) AS edge_vertex_ratio, round(CASE WHEN least(vol, 2 * t - vol) > 0 THEN 1 - (vol - 2 * coalesce(m, 0)) / least(vol, 2 * t - vol) ELSE 0 END, 6) AS inverse_conductance, "
-    "round(coalesce(m, 0) / t - (vol / (2 * t)) * (vol / (2 * t)), 6) AS local_modularity, round(coalesce(s, 0) / n, 6) AS mean_coreness, CAST(coalesce(top, 0) AS BIGINT) AS max_coreness FROM v LEFT JOIN i USING (feature) LEFT JOIN k USING (feature), t"
+    "round(coalesce(m, 0) / t - (vol / (2 * t)) * (vol / (2 * t)), 6) AS local_modularity, round(coalesce(s, 0) / n, 6) AS mean_coreness, CAST(coalesce(top, 0) AS BIGINT) AS max_coreness FROM vv LEFT JOIN i USING (feature) LEFT JOIN kk USING (feature), t"
 )
 def graph_measures(spark, sf_dir):
-    found = graphs.group_measures(_busy(spark, sf_dir), _features(spark, sf_dir).withColumnRenamed("feature", "group"))
+    found = graphs.group_measures(customer_supplier_edges(spark, sf_dir), _trade_features(spark, sf_dir).withColumnRenamed("feature", "group"))
     return found.select(F.col("group").alias("feature"), "n_vertices", "n_edges", *(F.round(c, 6).alias(c) for c in ("edge_vertex_ratio", "inverse_conductance", "local_modularity", "mean_coreness")), "max_coreness")
 
 
-#: A nation has one region, so a pattern has one feature and takes no edges from another.
+#: A vertex has one region, so a pattern has one feature and takes no edges from another.
 @query(
-    f"WITH {_B}, v AS (SELECT feature, count(*) AS n FROM f GROUP BY feature), i AS (SELECT x.feature, count(*) AS m FROM busy JOIN f x ON x.vid = a JOIN f y ON y.vid = b AND x.feature = y.feature GROUP BY x.feature) "
-    "SELECT CAST(row_number() OVER (ORDER BY m / n DESC, feature) - 1 AS INTEGER) AS rank, feature AS features, n AS n_vertices, m AS n_edges, round(m / n, 6) AS density FROM v JOIN i USING (feature) QUALIFY rank < 3"
+    f"WITH {_T}, n AS (SELECT feature, count(*) AS n FROM f GROUP BY feature), i AS (SELECT x.feature, count(*) AS m FROM e JOIN f x ON x.vid = src JOIN f y ON y.vid = dst AND x.feature = y.feature GROUP BY x.feature) "
+    "SELECT CAST(row_number() OVER (ORDER BY m / n DESC, feature) - 1 AS INTEGER) AS rank, feature AS features, n AS n_vertices, m AS n_edges, round(m / n, 6) AS density FROM n JOIN i USING (feature) QUALIFY rank < 3"
 )
 def communities(spark, sf_dir):
-    found = graphs.communities(_busy(spark, sf_dir), _features(spark, sf_dir), 3)
+    found = graphs.communities(customer_supplier_edges(spark, sf_dir), _trade_features(spark, sf_dir), 3)
     return spark.createDataFrame([(i, "^".join(c["features"]), c["n_vertices"], c["n_edges"], round(c["density"], 6)) for i, c in enumerate(found)], "rank int, features string, n_vertices long, n_edges long, density double")
 
 
-@query(f"WITH {_B}, l0 AS (SELECT vid, feature AS label FROM f), l1 AS ({_WL.format('l0')}), l2 AS ({_WL.format('l1')}) SELECT vid, 0 AS round, label FROM l0 UNION ALL SELECT vid, 1, label FROM l1 UNION ALL SELECT vid, 2, label FROM l2")
+_WL = "SELECT vid, md5(concat_ws(':', label, CAST(coalesce(near, 0) AS VARCHAR))) AS label FROM {0} LEFT JOIN (SELECT src AS vid, sum(CAST(CAST('0x' || substr(md5(label), 1, 15) AS BIGINT) AS HUGEINT)) AS near FROM u JOIN {0} ON vid = dst GROUP BY src) USING (vid)"
+
+
+@query(f"WITH {_T}, l0 AS (SELECT vid, feature AS label FROM f), l1 AS ({_WL.format('l0')}), l2 AS ({_WL.format('l1')}) SELECT vid, 0 AS round, label FROM l0 UNION ALL SELECT vid, 1, label FROM l1 UNION ALL SELECT vid, 2, label FROM l2")
 def wl_labels(spark, sf_dir):
-    return graphs.wl_labels(_busy(spark, sf_dir), _features(spark, sf_dir).withColumnRenamed("feature", "label"), 2)
+    return graphs.wl_labels(customer_supplier_edges(spark, sf_dir), _trade_features(spark, sf_dir).withColumnRenamed("feature", "label"), 2)

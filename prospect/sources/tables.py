@@ -34,3 +34,22 @@ def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c, li, s = (read(spark, sf_dir, t) for t in ("orders", "customer", "lineitem", "supplier"))
     pairs = li.join(s, li["l_suppkey"] == s["s_suppkey"]).join(o, li["l_orderkey"] == o["o_orderkey"]).join(c, F.col("o_custkey") == c["c_custkey"])
     return pairs.groupBy(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def trade_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vid, region, balance, role) of customers (even vid) and suppliers (odd)."""
+    where = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("region"))
+    out = None
+    for table, role, rest in (("customer", "c", 0), ("supplier", "s", 1)):
+        key = {"c": "c_custkey", "s": "s_suppkey"}[role]
+        own = read(spark, sf_dir, table).join(where, F.col(f"{role}_nationkey") == F.col("n_nationkey"))
+        own = own.select((F.col(key).cast("long") * 2 + rest).alias("vid"), "region", F.col(f"{role}_acctbal").alias("balance"), F.lit(table).alias("role"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def customer_supplier_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst): each customer with each supplier of a line item of their orders, once."""
+    items, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
+    pairs = items.join(orders, items["l_orderkey"] == orders["o_orderkey"])
+    return pairs.select((F.col("o_custkey").cast("long") * 2).alias("src"), (F.col("l_suppkey").cast("long") * 2 + 1).alias("dst")).distinct()
