@@ -1,14 +1,14 @@
 """Secret scans: fixed patterns, and a character network over all other candidates.
 
-Every run of 16 or more key characters with a digit and a letter is a candidate.
+Every run of 16 or more key characters is a candidate.
 A small convolutional network (numpy; characters in classes, one layer, maximum
 over positions) reads it with 24 characters of context on both sides, a run of
 more than ``INSIDE`` characters in windows that overlap, of which the likeliest
 counts, and a logistic scale fitted on held-out findings calibrates its output. The threshold
 is the largest that still finds ``RECALL`` of the held-out secrets. The network
 is trained on labelled findings that ``labelled`` makes from a fixed seed
-(shapes of published key formats, against identifiers, numbers, addresses, words
-and digests that are no secrets), once on the driver, in a few seconds.
+(shapes of published key formats, against identifiers, numbers, addresses, rules
+and words that are no secrets, each as ``candidates`` finds it in its text), once on the driver, in a few seconds.
 
 Spans of the fixed patterns always stay; the network adds the full extent of any
 other candidate, but of those that lie within one of them. Positions are code points.
@@ -63,13 +63,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Runs that the network reads: 16 or more key characters, a digit and a letter among them."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        run = m[0]
-        if not run.isalpha() and re.search("[0-9]", run) and re.search("[A-Za-z]", run):
-            out.append((m.start(), m.end()))
-    return out
+    """Runs that the network reads: all of 16 or more key characters."""
+    return [m.span() for m in CANDIDATE.finditer(text)]
 
 
 def window(text: str, start: int, end: int) -> bytes:
@@ -93,7 +88,7 @@ def classes(windows: list[bytes]) -> np.ndarray:
     return _CLASSES[np.frombuffer(b"".join(windows), np.uint8)].reshape(len(windows), WIDTH)
 
 
-def labelled(n: int = 3000, seed: int = 7) -> tuple[list[bytes], np.ndarray]:
+def labelled(n: int = 4000, seed: int = 7) -> tuple[list[bytes], np.ndarray]:
     """Labelled findings: windows of secrets (1) and of what only looks like one (0)."""
     rng = np.random.default_rng(seed)
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -110,7 +105,7 @@ def labelled(n: int = 3000, seed: int = 7) -> tuple[list[bytes], np.ndarray]:
 
     def key() -> str:
         k, full = int(rng.integers(20, 64)), lower + upper + digits
-        return [lambda: some(full, k), lambda: some(full + "+/", k) + "=" * int(rng.integers(0, 3)), lambda: some(full + "_-", k), lambda: "gh" + some("pous", 1) + "_" + some(full, 36), lambda: "sk_live_" + some(full, 24), lambda: "xoxb-" + some(digits, 11) + "-" + some(full, 24), lambda: "AIza" + some(full + "_-", 35), lambda: "eyJ" + some(full, 17) + ".eyJ" + some(full + "_-", 30) + "." + some(full + "_-", 30)][int(rng.integers(0, 8))]()
+        return [lambda: some(full, k), lambda: some(full + "+/", k) + "=" * int(rng.integers(0, 3)), lambda: some(full + "_-", k), lambda: "gh" + some("pous", 1) + "_" + some(full, 36), lambda: "sk_live_" + some(full, 24), lambda: "xoxb-" + some(digits, 11) + "-" + some(full, 24), lambda: "AIza" + some(full + "_-", 35), lambda: "eyJ" + some(full, 17) + ".eyJ" + some(full + "_-", 30) + "." + some(full + "_-", 30), lambda: some(lower + upper, k)][int(rng.integers(0, 9))]()
 
     def benign() -> str:
         return [
@@ -124,7 +119,16 @@ def labelled(n: int = 3000, seed: int = 7) -> tuple[list[bytes], np.ndarray]:
             lambda: "www." + word() + word() + "." + some(lower, 3) + "/" + some(digits, 3),
             lambda: word() + word() + "=" + some(digits, 8),
             lambda: some(upper, 2) + some(digits, 20),
-        ][int(rng.integers(0, 10))]()
+            lambda: some(lower, int(rng.integers(16, 40))),
+            lambda: some(upper, int(rng.integers(16, 40))),
+            lambda: some(upper, 1) + some(lower, int(rng.integers(15, 30))) + [".", "", "..."][int(rng.integers(0, 3))],
+            lambda: "".join(some(lower, int(rng.integers(3, 9))).capitalize() for _ in range(4)),
+            lambda: some("-=._+/", 1) * int(rng.integers(16, 80)),
+            lambda: some(digits, int(rng.integers(16, 40))),
+            lambda: "/".join(word() for _ in range(5)),
+            lambda: ".".join(word() for _ in range(5)) + "...",
+            lambda: "-".join(word() for _ in range(5)),
+        ][int(rng.integers(0, 19))]()
 
     windows, truth = [], np.zeros(n, np.int64)
     for i in range(n):
@@ -134,7 +138,9 @@ def labelled(n: int = 3000, seed: int = 7) -> tuple[list[bytes], np.ndarray]:
             run = key() if truth[i] else benign()
         before = prose(6) + [" ", "\n", ' = "', ": ", " (", " key "][int(rng.integers(0, 6))]
         text = before + run + [" ", "\n", '"', ")", ". ", ", "][int(rng.integers(0, 6))] + prose(6)
-        windows.append(window(text, len(before), len(before) + len(run)))
+        middle = len(before) + len(run) // 2
+        # as the scan would read it: with what else the run takes in
+        windows.append(window(text, *next((a, b) for a, b in candidates(text) if a <= middle < b)))
     return windows, truth
 
 
@@ -218,8 +224,11 @@ def spans(texts: list[str], net: Network) -> list[list[tuple[int, int, str]]]:
     out, open_, windows, firsts = [], [], [], []
     for i, text in enumerate(texts):
         found = base_spans(text)
+        at, reach, ordered = 0, -1, sorted(found)
         for a, b in candidates(text):
-            if not any(s <= a and b <= e for s, e, _ in found):
+            while at < len(ordered) and ordered[at][0] <= a:
+                reach, at = max(reach, ordered[at][1]), at + 1
+            if b > reach:  # else it lies within a span
                 open_.append((i, a, b))
                 firsts.append(len(windows))
                 windows += windows_of(text, a, b)
