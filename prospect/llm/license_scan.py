@@ -124,7 +124,7 @@ def scan(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """The files' columns without the text, with ``license``, ``cosine`` (of an own one), ``found`` (own, inherited or none) and ``licensed_by``, the directory inherited from."""
     known = known if known is not None else templates(files.sparkSession)
     named = [c for c in files.columns if c not in ("text", "license", "cosine", "found", "licensed_by", "row", "dir", "known_terms")]
-    rows = files.select(*named, F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("path", F.monotonically_increasing_id()))
+    rows = files.select(*named, F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
     vectors = _vectors(known)
     words = [r["term"] for r in vectors.select("term").distinct().orderBy("term").collect()]  # bounded by the templates
     most_lines = max(1, known.agg(F.max(F.size(F.split(F.trim("text"), r"\s+")))).first()[0] or 1)
@@ -154,11 +154,14 @@ def scan(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
 def as_files(docs: DataFrame) -> DataFrame:
     """Documents as files of a tree: a directory for each source, 400 and 20 documents.
 
-    Of a directory's documents the first is its licence file: those whose id is
-    divisible by 400 in the upper directory, by 20 in the lower one.
+    Of a directory's documents the first is its licence file: those whose number is
+    divisible by 400 in the upper directory, by 20 in the lower one. A document's
+    number is its id, or the id's CRC-32 where that is no whole number; one without
+    an id is ``unnamed.txt`` of its source's directory, one without a source is of ``unknown``.
     """
-    n = F.col("doc_id").cast("long")
-    name = F.when(n % 20 == 0, F.lit("LICENSE")).otherwise(F.concat(n.cast("string"), F.lit(".txt")))
+    n = F.coalesce(F.expr("try_cast(cast(doc_id as string) as bigint)"), F.crc32(F.col("doc_id").cast("string")))
+    name = F.when(n % 20 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     upper, lower = F.floor(n / 400).cast("string"), F.floor(n / 20).cast("string")
     root = F.coalesce("source", F.lit("unknown"))
-    return docs.select("doc_id", F.when(n % 400 == 0, F.concat_ws("/", root, upper, name)).otherwise(F.concat_ws("/", root, upper, lower, name)).alias("path"), "text")
+    path = F.when(n.isNull(), F.concat_ws("/", root, F.lit("unnamed.txt"))).when(n % 400 == 0, F.concat_ws("/", root, upper, name)).otherwise(F.concat_ws("/", root, upper, lower, name))
+    return docs.select("doc_id", path.alias("path"), "text")
