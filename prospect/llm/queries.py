@@ -99,12 +99,12 @@ SELECT doc_id, min(class_id) AS class_id FROM t JOIN r USING (text) JOIN k USING
 """,
     # base32 by five hexadecimal digits at a time
     "op10_warc": """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages WHERE page_id IS NOT NULL),
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html),
 d AS (SELECT page_id, first, octet_length(encode(html)) AS size, [CAST('0x' || substr(sha1(html), 5 * i + 1, 5) AS BIGINT) FOR i IN range(8)] AS v FROM p JOIN f USING (html))
 SELECT page_id, CAST(size AS BIGINT) AS payload_bytes,
     array_to_string([array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((x >> s) % 32 + 1 AS BIGINT), 1) FOR s IN [15, 10, 5, 0]], '') FOR x IN v], '') AS payload_digest,
-    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+    CASE WHEN page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM d
 """,
     "op11_fill_in_middle": r"""

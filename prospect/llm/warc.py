@@ -13,10 +13,12 @@ the block; pointer jumping over those places (each round doubles the reach)
 retains the candidates that are reachable from the file's start.
 
 A header is read to its end, however long; reading fails if it finds fewer or
-more records than were written, rather than return some.
+more records than were written, rather than return some, and if the digest or the
+length of a payload, both recomputed from its bytes, are not what its headers state.
 
 Edge cases: a null page is an empty payload; a very long one is a record like
-others, whatever the blocks; rows without an id are left out; rows that repeat
+others, whatever the blocks; a row without an id has a record that names no page, a
+revisit if a row with an id has its payload, and is read back without an id; rows that repeat
 the least id of a payload are responses all; a null address has
 no target header; an empty table gives no files. Columns besides ``page_id``,
 ``url`` and ``html`` are ignored.
@@ -50,7 +52,7 @@ def digest(payload: bytes) -> str:
 
 
 def _urn(page_id) -> str:
-    return f"<urn:page:{page_id}>"
+    return "<urn:page>" if page_id is None else f"<urn:page:{page_id}>"
 
 
 def record(page_id, url: str | None, payload: bytes, sha1: str, refers_to=None) -> bytes:
@@ -85,16 +87,16 @@ def _write(folder: str):
 
 
 def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """One record per row with an id. Returns (file, bytes, records)."""
+    """One record per row. Returns (file, bytes, records)."""
     folder = folder or scratch_path(pages.sparkSession, "warc")
-    pages = pages.where("page_id is not null").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     sha1 = F.unhex(F.sha1("html"))
     keys = cut(pages.where(F.octet_length("html") >= LEAST_BYTES).select("page_id", sha1.alias("sha1")), "digests")
-    least = keys.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha1", "first")
-    again = cut(keys.join(least, "sha1").where("page_id <> first").select("page_id", "sha1", "first").distinct(), "again")
+    least = keys.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("sha1", "first")
+    again = cut(keys.join(least, "sha1").where("page_id is null or page_id <> first").select(F.col("page_id").alias("_again"), F.col("sha1").alias("_sha1"), "first").distinct(), "again")
     # pages move only if the revisits are too many to go to them
     few = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
-    rows = pages.withColumn("sha1", sha1).join(few, ["page_id", "sha1"], "left").select("page_id", "url", "html", "first")
+    rows = pages.withColumn("sha1", sha1).join(few, (F.col("sha1") == F.col("_sha1")) & F.col("page_id").eqNullSafe(F.col("_again")), "left").select("page_id", "url", "html", "first")
     return cut(rows.mapInArrow(_write(folder), "file string, bytes long, records long"), "archives")
 
 
@@ -177,6 +179,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     http = data.find(b"\r\n\r\n", body) + 4
                     kept = data[http:-4] if fields["warc-type"] == "response" else None
                     length = {k.lower(): v for k, v in _FIELD.findall(data[body:http].replace(b"\r\n", b"\n"))}[b"content-length"]
+                    if kept is not None and (len(kept) != int(length) or "sha1:" + digest(kept) != fields["warc-payload-digest"]):
+                        raise ValueError(f"the payload of {fields['warc-record-id']} in {file} is not what its headers state")
                     for k, v in zip(out, (fields["warc-record-id"], fields.get("warc-target-uri"), fields["warc-type"], fields.get("warc-refers-to"), fields["warc-payload-digest"].removeprefix("sha1:"), int(length), kept)):
                         out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()))], list(out))
@@ -201,5 +205,6 @@ def read_records(files: DataFrame, block: int = BLOCK) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """What the archives of ``pages`` say of each page, read back."""
     kind = dict(pages.dtypes)["page_id"]
-    page = lambda c: F.regexp_extract(c, "(?s)^<urn:page:(.*)>$", 1).cast(kind)
+    form = "(?s)^<urn:page:(.*)>$"
+    page = lambda c: F.when(F.col(c).rlike(form), F.regexp_extract(c, form, 1)).cast(kind)
     return read_records(write(pages)).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
