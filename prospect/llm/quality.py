@@ -38,8 +38,9 @@ MIN_WORDS = 50
 #: A text fails when more than this share of its words stands in repeated 3-word windows.
 MAX_REPEATED = 0.5
 #: Half the width of a language's band in nats: LEAST_NATS, and SPREADS times the language's spread over the root of the
-#: text's length in characters. LEAST_SPREAD is the least spread. Languages with fewer texts than BAND_TEXTS share a band.
-LEAST_NATS, SPREADS, LEAST_SPREAD, BAND_TEXTS = 0.05, 4.0, 0.75, 20
+#: text's length in characters. LEAST_SPREAD is the least spread. A language's middle and spread count as much as its
+#: number of texts, those of all texts as much as LENT texts.
+LEAST_NATS, SPREADS, LEAST_SPREAD, LENT = 0.05, 4.0, 0.75, 20
 #: Medians are exact to this step, so they do not depend on how rows are dealt and need a bounded histogram alone.
 STEP = 1e-4
 #: N-grams that may be broadcast (50 MB), and ids (8 MB).
@@ -196,11 +197,11 @@ def measures(docs: DataFrame, model: DataFrame | None = None, model_rows: int =
 
 
 def _median(rows: DataFrame, value, name: str, step: float = STEP) -> DataFrame:
-    """(of, name): each group's lower median, to a ``step``."""
+    """(of, name, n): each group's lower median, to a ``step``, and its number of rows."""
     each = rows.groupBy("of", F.round(value / step).cast("long").alias("v")).agg(F.count(F.lit(1)).alias("c"))
     up, whole = Window.partitionBy("of").orderBy("v"), Window.partitionBy("of")
     each = each.withColumn("to", F.sum("c").over(up)).withColumn("all", F.sum("c").over(whole))
-    return each.where(2 * F.col("to") >= F.col("all")).groupBy("of").agg((F.min("v") * step).alias(name))
+    return each.where(2 * F.col("to") >= F.col("all")).groupBy("of").agg((F.min("v") * step).alias(name), F.max("all").alias("n"))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -214,23 +215,26 @@ def rate(docs: DataFrame, model: DataFrame | None = None, model_rows: int = MODE
     A band lies around its language's median of the mean nats, taken over the
     texts that pass the base rules. Means of short texts vary more, by the root
     of their length; so does the band. Its spread is the language's median of
-    deviations times that root (1.4826 times it: a normal's deviation).
+    deviations times that root (1.4826 times it: a normal's deviation). Both are
+    averaged with those of all texts: n texts of a language against ``LENT`` ones.
     """
     rows = measures(docs, model, model_rows).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 100 * MAX_REPEATED * F.col("n_words")))
-    good, root = rows.where(~F.col("base_failed")), F.sqrt("n_chars")
-    texts = good.groupBy(F.col("lang").alias("known")).agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= BAND_TEXTS)
-    # a language by its name, those with few texts together as null
-    band = F.when(F.col("known").isNotNull() | (F.col("lang").isNull() & F.col("texts").isNotNull()), F.struct("lang"))
-    rows = cut(rows.join(_small(cut(texts, "texts")), F.col("lang").eqNullSafe(F.col("known")), "left").withColumn("of", band).drop("known", "texts"), "rated")
+    rows, root = cut(rows.withColumn("of", F.struct("lang")), "rated"), F.sqrt("n_chars")
     good = rows.where(~F.col("base_failed"))
-    good = good.where("of is not null").unionByName(good.withColumn("of", F.lit(None).cast(dict(rows.dtypes)["of"])))
+    # a language by its name, all texts as null
+    good = good.unionByName(good.withColumn("of", F.lit(None).cast(dict(rows.dtypes)["of"])))
     middle = cut(_median(good, F.col("nats"), "mid"), "middle")
-    near = good.join(_small(middle).withColumnRenamed("of", "mid_of"), F.col("of").eqNullSafe(F.col("mid_of")))
+    near = good.join(_small(middle).withColumnRenamed("of", "mid_of"), F.col("of").eqNullSafe(F.col("mid_of"))).drop("n")
     spread = _median(near, F.abs(F.col("nats") - F.col("mid")) * root, "mad", 10 * STEP)
-    bands = middle.withColumnRenamed("of", "band").join(spread, F.col("band").eqNullSafe(F.col("of"))).select("band", "mid", F.greatest(1.4826 * F.col("mad"), F.lit(LEAST_SPREAD)).alias("spread"))
-    half = LEAST_NATS + SPREADS * F.col("spread") / F.greatest(root, F.lit(1.0))
+    own = cut(middle.withColumnRenamed("of", "band").join(spread.drop("n"), F.col("band").eqNullSafe(F.col("of"))).select("band", "mid", "mad", "n"), "bands")
+    every = own.where("band is null").first()
+    lent = {c: F.lit(None if every is None else float(every[c])).cast("double") for c in ("mid", "mad")}
+    n = F.coalesce("n", F.lit(0))
+    mid, mad = ((n * F.coalesce(c, F.lit(0.0)) + LENT * lent[c]) / (n + LENT) for c in ("mid", "mad"))
+    half = LEAST_NATS + SPREADS * F.greatest(1.4826 * F.col("mad"), F.lit(LEAST_SPREAD)) / F.greatest(root, F.lit(1.0))
+    rated = rows.join(own.where("band is not null"), F.col("of") == F.col("band"), "left").withColumns({"mid": mid, "mad": mad})
     inside = F.coalesce(F.abs(F.col("nats") - F.col("mid")) <= half, F.lit(True))
-    return rows.join(cut(bands, "bands"), F.col("of").eqNullSafe(F.col("band")), "left").select(
+    return rated.select(
         "doc_id", *_BASE, "base_failed", (~F.col("base_failed") & inside).alias("kept"),
         "lang", F.exp("nats").alias("perplexity"), F.exp(F.col("mid") - half).alias("lower"), F.exp(F.col("mid") + half).alias("upper"),
     )
