@@ -10,8 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prospect.sources.scratch import cut
+
+from .prefix import running
+
 #: Rows of a block of a Gram matrix.
 BLOCK = 512
+#: Groups and directions whose totals may be sent to all tasks.
+SENT_GROUPS = 1 << 18
 
 
 def dot(x: Column | str, y: Column | str) -> Column:
@@ -232,8 +238,8 @@ def mean_deviation_bound(df: DataFrame, x: str, group: str, gamma: float = 1.0,
     """(group, bound): no subset of a group deviates more (``mmd_bound``), by sums over sorted entries.
 
     The kernel is that of the arrays' dot products. Its eigenvectors follow from
-    the arrays' moments, a matrix of their length; the rest is windows: for each
-    direction the extreme sums of s entries, for each s the directions' shares.
+    the arrays' moments, a matrix of their length; the rest is running sums, by ranges
+    of entries: for each direction the extreme sums of s entries, for each s the directions' shares.
     """
     rows = df.where(F.col(x).isNotNull()).select(F.col(group).cast("string").alias("g"), F.col(x).cast("array<double>").alias("x"), F.monotonically_increasing_id().alias("row"))
     n, size = rows.agg(F.count(F.lit(1)).cast("double"), F.coalesce(F.max(F.size("x")), F.lit(0))).first()
@@ -244,15 +250,18 @@ def mean_deviation_bound(df: DataFrame, x: str, group: str, gamma: float = 1.0,
     values, vectors = np.linalg.eigh(k)
     on = np.flatnonzero(values > 1e-9 * max(values.max(initial=0.0), 1e-300))[::-1]
     axes = [F.aggregate(F.zip_with("x", F.array(*map(F.lit, (vectors[:, i] / np.sqrt(values[i])).tolist())), lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v) for i in on]
-    each = rows.select("g", F.posexplode(F.array(*axes)).alias("d", "v"))
-    up, down, all_ = Window.partitionBy("g", "d").orderBy("v"), Window.partitionBy("g", "d").orderBy(F.desc("v")), Window.unboundedPreceding
-    centre = F.broadcast(each.groupBy("d").agg((F.sum("v") / F.lit(n)).alias("c")))
-    low = each.select("g", "d", F.row_number().over(up).alias("s"), F.sum("v").over(up.rowsBetween(all_, 0)).alias("low"))
-    high = each.select("g", "d", F.row_number().over(down).alias("s"), F.sum("v").over(down.rowsBetween(all_, 0)).alias("high"))
+    each = rows.select("g", "row", F.posexplode(F.array(*axes)).alias("d", "v"))
+    centre = F.broadcast(each.groupBy("d").agg((F.sum("v") / F.lit(n)).alias("c")))  # a row a direction
+    # running sums by ranges of entries: those of the s least, and of the s greatest, which is all but the others
+    run = cut(running(each.where("g is not null"), ["g", "d"], ["v", "row"], {"s": F.lit(1), "low": F.col("v")}).select("g", "d", "s", "low"), "running")
+    whole = run.groupBy("g", "d").agg(F.max("s").alias("m"), F.max_by("low", "s").alias("all"))
+    others = run.select("g", "d", F.col("s").alias("rest"), F.col("low").alias("rest_low"))
+    sized = run.join(F.broadcast(whole) if whole.count() <= SENT_GROUPS else whole, ["g", "d"]).withColumn("rest", F.col("m") - F.col("s"))
+    both = sized.join(others, ["g", "d", "rest"], "left").withColumn("high", F.col("all") - F.coalesce("rest_low", F.lit(0.0)))
     length = F.col("s") * (F.lit(n) - F.col("s")) / F.lit(n)
     reach = F.greatest(F.pow(F.col("high") - F.col("s") * F.col("c"), F.lit(2.0)), F.pow(F.col("low") - F.col("s") * F.col("c"), F.lit(2.0)))
-    share = low.join(high, ["g", "d", "s"]).join(centre, "d").where(F.col("s") < n).select("g", "d", "s", (reach / length).alias("share"))
-    before = F.coalesce(F.sum("share").over(Window.partitionBy("g", "s").orderBy("d").rowsBetween(all_, -1)), F.lit(0.0))
+    share = both.join(centre, "d").where(F.col("s") < n).select("g", "d", "s", (reach / length).alias("share"))
+    before = F.coalesce(F.sum("share").over(Window.partitionBy("g", "s").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     weight = F.element_at(F.array(*map(F.lit, values[on].tolist())), F.col("d") + 1)
     given = F.greatest(F.lit(0.0), F.least(F.lit(1.0) - F.col("before"), F.col("share")))
     f = F.col("s").cast("double") if anomaly else length

@@ -14,9 +14,11 @@ from ast import literal_eval
 from dataclasses import dataclass, field, fields
 from typing import ClassVar
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import running
+
 
 def _ratio(a: Column, b: Column | float) -> Column:
     b = b if isinstance(b, Column) else F.lit(float(b))
@@ -158,6 +160,64 @@ class MeanShiftBound(MeanShift):
         return F.pow(F.col("n") / n, F.lit(a)) * F.pow(F.least(_ratio(F.col("gain"), F.col("n")), top), F.lit(b))
 
 
+@dataclass(frozen=True)
+class BinnedMeanShiftBound(MeanShift):
+    """No subset's score is higher, for any exponent, to the width of a bin: rows are added up by bins of the target.
+
+    The best subset of a size has the highest deviations. Where whole bins end its sum is
+    known. Within one it is at most what the bin's upper edge gives for each row, and at
+    most what is left if each row beyond it takes the lower edge from the sum at the end.
+    For sums that grow so, the score is greatest at the ends or where both meet. Where they fall
+    it is no more than the sum at the bin's beginning gives with the size at its end.
+
+    ``edges`` are deviations from the mean, rising; 0 should be among them, so that no bin has both signs.
+    """
+
+    edges: tuple[float, ...] = (0.0,)
+
+    @classmethod
+    def of(cls, df: DataFrame, target: str, exponent: float = 1.0, bins: int = 16) -> BinnedMeanShiftBound:
+        """Edges at about the quantiles of the target; the bound holds with any."""
+        totals = Totals.of(df, target)
+        found = df.select(F.percentile_approx(F.col(target).cast("double") - F.lit(totals.mean), [(i + 1) / bins for i in range(bins - 1)])).first()[0] or []
+        return cls(target, exponent, tuple(sorted({0.0, *found})))
+
+    def parts(self, totals: Totals) -> dict[str, tuple[Column, str]]:
+        d = F.col(self.target).cast("double") - F.lit(totals.mean)
+        out = {"top": (d, "max")}
+        for i, (low, high) in enumerate(zip((float("-inf"), *self.edges), (*self.edges, float("inf")))):
+            inside = (d >= F.lit(low)) & (d < F.lit(high))
+            out |= {f"bin_n{i}": (F.when(inside, F.lit(1)).otherwise(F.lit(0)).cast("long"), "sum"), f"bin_d{i}": (F.when(inside, d).otherwise(F.lit(0.0)), "sum")}
+        return out
+
+    def value(self, totals: Totals) -> Column:
+        a, b = self.powers
+        n = F.lit(float(max(totals.n, 1)))
+        # from the highest bin on: how many rows, their sum, and between which values they lie
+        last = len(self.edges)
+        bins = [
+            F.struct(
+                F.col(f"bin_n{i}").cast("double").alias("c"), F.col(f"bin_d{i}").alias("d"),
+                F.lit(float(self.edges[i - 1]) if i else float("-inf")).alias("low"), (F.least(F.lit(float(self.edges[i])), F.col("top")) if i < last else F.col("top")).alias("high"),
+            )
+            for i in range(last, -1, -1)
+        ]
+
+        def score(size, total):
+            return F.pow(size / n, F.lit(a)) * F.pow(F.when(size > 0, F.greatest(total, F.lit(0.0)) / size).otherwise(F.lit(0.0)), F.lit(b))
+
+        def grown(had, bin_):
+            size, total = had["m"] + bin_["c"], had["d"] + bin_["d"]
+            wide = bin_["high"] > bin_["low"]
+            met = F.greatest(F.lit(0.0), F.least(bin_["c"], F.when(wide, (bin_["d"] - bin_["c"] * bin_["low"]) / (bin_["high"] - bin_["low"])).otherwise(bin_["c"])))
+            rising = F.greatest(score(size, total), score(had["m"] + met, had["d"] + met * bin_["high"]))
+            best = F.when(bin_["c"] == 0, had["best"]).when(bin_["low"] >= 0, F.greatest(had["best"], rising)).otherwise(F.greatest(had["best"], score(size, had["d"])))
+            return F.struct(size.alias("m"), total.alias("d"), best.alias("best"))
+
+        start = F.struct(F.lit(0.0).alias("m"), F.lit(0.0).alias("d"), F.lit(0.0).alias("best"))
+        return F.aggregate(F.array(*bins), start, grown, lambda had: had["best"])
+
+
 @dataclass(frozen=True)
 class GroupedMeanShiftBound(MeanShiftBound):
     """No subset that predicates can tell apart scores higher: rows of one signature stay together, so their deviations are added up first."""
@@ -371,7 +431,7 @@ class Geometric(Score):
 MEASURES = {"coverage": Coverage, "jaccard": Jaccard, "coverage-mean-shift": MeanShift, "mmd": Mmd, "geometric-mean": Geometric} | {
     "edge-vertex-ratio": EdgeVertexRatio, "local-modularity": LocalModularity, "inverse-conductance": InverseConductance, "coverage-average-coreness": AverageCoreness,
 }
-BOUNDS = {"coverage": Coverage, "constant": Constant, "jaccard": JaccardBound, "coverage-mean-shift": MeanShiftBound, "coverage-mean-shift-grouped": GroupedMeanShiftBound, "mmd-sd": MmdBound, "geometric-mean": Geometric} | {
+BOUNDS = {"coverage": Coverage, "constant": Constant, "jaccard": JaccardBound, "coverage-mean-shift": MeanShiftBound, "coverage-mean-shift-grouped": GroupedMeanShiftBound, "coverage-mean-shift-binned": BinnedMeanShiftBound, "mmd-sd": MmdBound, "geometric-mean": Geometric} | {
     "edge-vertex-ratio-greedy": EdgeVertexBound, "local-modularity": LocalModularityBound, "inverse-conductance": InverseConductanceBound,
     "coverage-induced-max-coreness": InducedMaxCoreness, "coverage-induced-average-coreness": InducedAverageCoreness,
 }
@@ -400,15 +460,24 @@ def from_text(text: str, target: str | None = None, known: dict[str, type[Score]
 def sorted_bound(members: DataFrame, key: str, target: str, totals: Totals, exponent: float = 1.0) -> DataFrame:
     """(key, bound): the exact maximum over each group's subsets, from prefixes of its rows by falling target.
 
-    Rows of a group with one value move together, so a group's window holds its
-    distinct values.
+    Running sums go by ranges of distinct values, so no group is one task. Of rows with one
+    value the best number is all of them or, where their value is below the mean and coverage weighs
+    more, one of the whole numbers around the place where the score turns.
     """
     a, b = MeanShift(target, exponent).powers
-    values = members.groupBy(key, F.col(target).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(key).orderBy(F.desc("y")).rowsBetween(Window.unboundedPreceding, 0)
-    run = values.withColumn("m", F.sum("c").over(w)).withColumn("s", F.sum(F.col("y") * F.col("c")).over(w))
-    score = F.pow(F.col("m") / F.lit(float(totals.n)), F.lit(a)) * F.pow(F.greatest(F.col("s") / F.col("m") - F.lit(totals.mean), F.lit(0.0)), F.lit(b))
-    return run.groupBy(key).agg(F.max(score).alias("bound"))
+    values = members.where(F.col(key).isNotNull() & F.col(target).isNotNull()).groupBy(key, (-F.col(target).cast("double")).alias("_down")).agg(F.count(F.lit(1)).alias("c"))
+    run = running(values, [key], ["_down"], {"m": F.col("c"), "s": -F.col("_down") * F.col("c")})
+    y = -F.col("_down")
+    shift, before = y - F.lit(totals.mean), (F.col("m") - F.col("c")).cast("double")
+    start = F.col("s") - y * F.col("c") - before * F.lit(totals.mean) - shift * before
+    turn = F.when((shift < 0) & F.lit(a > b), F.lit(-(a - b) / a) * start / shift).otherwise(F.col("m"))
+
+    def score(size):
+        size = F.greatest(before + 1, F.least(size, F.col("m").cast("double")))
+        return F.pow(size / F.lit(float(totals.n)), F.lit(a)) * F.pow(F.greatest((start + shift * size) / size, F.lit(0.0)), F.lit(b))
+
+    best = F.greatest(score(F.col("m").cast("double")), score(F.floor(turn).cast("double")), score(F.ceil(turn).cast("double")))
+    return run.groupBy(key).agg(F.max(best).alias("bound"))
 
 
 def grouped_bound(groups: DataFrame, key: str, totals: Totals) -> DataFrame:

@@ -170,15 +170,32 @@ def approx_search(spark, sf_dir):
     return _best(spark, sf_dir, scores.MeanShift("o_totalprice"), scores.MeanShiftBound("o_totalprice"), 5, 3, factor=0.5)
 
 
-@query(
-    f"WITH {_P}, c AS ({_C1}), r AS (SELECT c[1] AS pid, sum(y) OVER w AS s, row_number() OVER w AS m FROM c WINDOW w AS (PARTITION BY c ORDER BY y DESC, k ROWS UNBOUNDED PRECEDING)) SELECT pid, round(max(sqrt(m / n) * greatest(s / m - mu, 0)), 6) AS bound FROM r, tot GROUP BY pid"
-)
-def mean_shift_bound_sorted(spark, sf_dir):
+def _sorted_sql(value: str) -> str:
+    return f"WITH {_P}, c AS ({_C1}), r AS (SELECT c[1] AS pid, sum(y) OVER w AS s, row_number() OVER w AS m FROM c WINDOW w AS (PARTITION BY c ORDER BY y DESC, k ROWS UNBOUNDED PRECEDING)) SELECT pid, round(max({value}), 6) AS bound FROM r, tot GROUP BY pid"
+
+
+def _sorted_bound(spark, sf_dir, exponent: float) -> DataFrame:
     df = orders_view(spark, sf_dir)
     totals = scores.Totals.of(df, "o_totalprice")
     held = F.filter(F.array(*(F.when(p.column(), F.lit(i)) for i, p in enumerate(ORDER_PREDICATES))), lambda x: x.isNotNull())
     members = df.select("o_totalprice", F.explode(held).alias("pid"))
-    return scores.sorted_bound(members, "pid", "o_totalprice", totals, 0.5).select("pid", F.round("bound", 6).alias("bound"))
+    return scores.sorted_bound(members, "pid", "o_totalprice", totals, exponent).select("pid", F.round("bound", 6).alias("bound"))
+
+
+@query(_sorted_sql("sqrt(m / n) * greatest(s / m - mu, 0)"))
+def mean_shift_bound_sorted(spark, sf_dir):
+    return _sorted_bound(spark, sf_dir, 0.5)
+
+
+@query(_sorted_sql("(m / n) * sqrt(greatest(s / m - mu, 0))"))
+def mean_shift_bound_sorted_two(spark, sf_dir):
+    return _sorted_bound(spark, sf_dir, 2.0)
+
+
+@query(_top([_C0, _C1, _C2, _C3], _shift(1.0, 0.5), 5))
+def topk_exponent_two_binned(spark, sf_dir):
+    bound = scores.BinnedMeanShiftBound.of(orders_view(spark, sf_dir), "o_totalprice", 2.0)
+    return _best(spark, sf_dir, scores.MeanShift("o_totalprice", 2.0), bound, 5, 3)
 
 
 _SIGNATURE = ", ".join(f"({c}) AS b{i}" for i, c in enumerate(_TESTS))
