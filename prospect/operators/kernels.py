@@ -234,6 +234,15 @@ def _moments(batches):
         yield pa.RecordBatch.from_arrays([pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(total.ravel())], ["i", "j", "s"])
 
 
+def moments(df: DataFrame, x: str, size: int) -> np.ndarray:
+    """The sums of the products of components, a matrix of the vectors' length."""
+    sums = df.select(F.col(x).cast("array<double>").alias("x")).mapInArrow(_moments, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+    out = np.zeros((size, size))
+    for r in sums.collect():  # size x size rows
+        out[r["i"], r["j"]] = r["s"]
+    return out
+
+
 def mean_deviation_bound(df: DataFrame, x: str, group: str, gamma: float = 1.0, anomaly: bool = False) -> DataFrame:
     """(group, bound): no subset of a group deviates more (``mmd_bound``), by sums over sorted entries.
 
@@ -243,11 +252,7 @@ def mean_deviation_bound(df: DataFrame, x: str, group: str, gamma: float = 1.0,
     """
     rows = df.where(F.col(x).isNotNull()).select(F.col(group).cast("string").alias("g"), F.col(x).cast("array<double>").alias("x"), F.monotonically_increasing_id().alias("row"))
     n, size = rows.agg(F.count(F.lit(1)).cast("double"), F.coalesce(F.max(F.size("x")), F.lit(0))).first()
-    sums = rows.select("x").mapInArrow(_moments, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()  # size x size rows
-    k = np.zeros((size, size))
-    for r in sums:
-        k[r["i"], r["j"]] = r["s"]
-    values, vectors = np.linalg.eigh(k)
+    values, vectors = np.linalg.eigh(moments(rows, "x", size))
     on = np.flatnonzero(values > 1e-9 * max(values.max(initial=0.0), 1e-300))[::-1]
     axes = [F.aggregate(F.zip_with("x", F.array(*map(F.lit, (vectors[:, i] / np.sqrt(values[i])).tolist())), lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v) for i in on]
     each = rows.select("g", "row", F.posexplode(F.array(*axes)).alias("d", "v"))

@@ -41,7 +41,14 @@ def indices(words: Sequence[int]) -> tuple[int, ...]:
 def compress(df: DataFrame, predicates: Sequence[Predicate], parts: dict[str, tuple[Column, str]]) -> DataFrame:
     """(words, n, parts...): one row per signature."""
     rows = df.select(packed(predicates).alias("words"), *(c.alias(k) for k, (c, _) in parts.items()))
-    return rows.groupBy("words").agg(F.count(F.lit(1)).alias("n"), *(getattr(F, how)(k).alias(k) for k, (_, how) in parts.items()))
+    return rows.groupBy("words").agg(F.count(F.lit(1)).alias("n"), *(added(k, how).alias(k) for k, (_, how) in parts.items()))
+
+
+def added(part: str, how: str) -> Column:
+    """The aggregate of a part: ``sum``, ``max``, or ``vector:n``, the sums of an array's n entries."""
+    if how.startswith("vector:"):
+        return F.array(*(F.sum(F.get(part, F.lit(i))) for i in range(int(how.removeprefix("vector:")))))
+    return getattr(F, how)(part)
 
 
 def holds(words: str, needed: str) -> Column:
@@ -84,7 +91,7 @@ def score(table: DataFrame, candidates: Sequence[tuple[int, ...]], n_predicates:
 
 def sums(parts: dict[str, str], n_predicates: int, closure: bool = False) -> list[Column]:
     """The aggregates of a candidate's rows; ``closure`` has the predicates that hold on all of them."""
-    out = [F.sum("n").alias("n"), *(getattr(F, how)(k).alias(k) for k, how in parts.items())]
+    out = [F.sum("n").alias("n"), *(added(k, how).alias(k) for k, how in parts.items())]
     if closure:
         out.append(F.array(*(F.bit_and(F.get("words", F.lit(w))) for w in range(max(1, (n_predicates + WORD - 1) // WORD)))).alias("closure"))
     return out

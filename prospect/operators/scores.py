@@ -11,12 +11,15 @@ from __future__ import annotations
 
 import re
 from ast import literal_eval
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field, fields, replace
 from typing import ClassVar
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import moments
 from .prefix import running
 
 
@@ -272,18 +275,145 @@ class MmdBound(Mmd):
             out |= {f"up{i}": (F.greatest(c, F.lit(0.0)), "sum"), f"down{i}": (F.greatest(-c, F.lit(0.0)), "sum")}
         return out
 
+    def _reach(self, totals: Totals) -> Column | None:
+        return F.aggregate(F.array(*(F.pow(F.greatest(f"up{i}", f"down{i}"), F.lit(2.0)) for i in range(len(totals.means)))), F.lit(0.0), lambda a, v: a + v)
+
     def value(self, totals: Totals) -> Column:
         g, m, n = self.gamma, F.col("n").cast("double"), float(totals.n)
-        reach = F.aggregate(F.array(*(F.pow(F.greatest(f"up{i}", f"down{i}"), F.lit(2.0)) for i in range(len(totals.means)))), F.lit(0.0), lambda a, v: a + v)
-        longest, squares = F.greatest(F.col("longest"), F.lit(0.0)), F.col("squares")
+        reach, longest, squares = self._reach(totals), F.greatest(F.col("longest"), F.lit(0.0)), F.col("squares")
         # s^(g - 2) times the least of s^2 M^2, s G and B
-        bounds = [F.pow(longest, F.lit(1 - g / 2)) * F.pow(reach, F.lit(g / 2)), F.pow(m, F.lit(g)) * longest]
+        bounds = [F.pow(m, F.lit(g)) * longest]
         bounds.append(F.pow(longest, F.lit(1 - g)) * F.pow(squares, F.lit(g)) if g <= 1 else F.pow(m, F.lit(g - 1)) * squares)
+        if reach is not None:
+            bounds.append(F.pow(longest, F.lit(1 - g / 2)) * F.pow(reach, F.lit(g / 2)))
         # no proper subset of all rows is larger than n - 1
         c = F.lit(1.0) if self.anomaly else (F.lit(n) - F.least(m, F.lit(n - 1))) / F.lit(n)
         return F.pow(c, F.lit(g - 2.0)) * F.least(*bounds)
 
 
+@dataclass(frozen=True)
+class GroupedMmdBound(MmdBound):
+    """No subset that predicates can tell apart scores higher: rows of one signature stay together.
+
+    With W the sum of a signature's m centred rows, a union of signatures has a squared
+    length of at most its size times the sum of |W|^2 / m over them, and of at most its size squared
+    times the greatest |W|^2 / m^2: what ``MmdBound`` has for single rows.
+    """
+
+    def _reach(self, totals: Totals) -> Column | None:
+        return None
+
+    def parts(self, totals: Totals) -> dict[str, tuple[Column, str]]:
+        return Mmd.parts(self, totals) | {"squares": (F.lit(0.0), "sum"), "longest": (F.lit(float("-inf")), "max")}
+
+    def derived(self, totals: Totals) -> dict[str, Column]:
+        square = F.aggregate(F.array(*(F.col(f"z{i}") * F.col(f"z{i}") for i in range(len(totals.means)))), F.lit(0.0), lambda a, v: a + v)
+        return {"squares": square / F.col("n"), "longest": square / (F.col("n") * F.col("n"))}
+
+
+@dataclass(frozen=True)
+class MmdHistogramBound(MmdBound):
+    """No subset's score is higher, and none than ``MmdBound`` says, from histograms along the leading axes of all rows.
+
+    Along an axis of unit length the squared sum of a subset's centred rows is at most
+    the axis's eigenvalue times its share of the subset's centred 0/1 vector; the
+    shares add up to that vector's squared length at most. An axis's own share is bounded by the greatest sum of so
+    many entries, from a histogram: whole bins by their sums, a part of one by its edges.
+    The length is given to the axes of largest eigenvalue first, what is left to the next
+    axis. Sizes are tried one by one as long as they are few, then in intervals, each with the
+    greatest sums, the greatest and the least length in it.
+
+    ``axes`` are rows of unit vectors, ``values`` their eigenvalues and the next one, ``edges`` each axis's bins, 0 among them.
+    """
+
+    axes: tuple[tuple[float, ...], ...] = ()
+    values: tuple[float, ...] = (float("inf"),)
+    edges: tuple[tuple[float, ...], ...] = ()
+
+    @classmethod
+    def of(cls, df: DataFrame, target: str, gamma: float = 1.0, anomaly: bool = False, rank: int = 8, bins: int = 8) -> MmdHistogramBound:
+        """Axes of the target's moments, a matrix of the vectors' length; bins at about the quantiles along each."""
+        df = measured(df, target)
+        totals = Totals.of(df, target)
+        mean = np.array(totals.means, float)
+        if not totals.n or not len(mean):
+            return cls(target, gamma, anomaly)
+        values, vectors = np.linalg.eigh(moments(df, target, len(mean)) - totals.n * np.outer(mean, mean))
+        order = [i for i in np.argsort(values)[::-1] if values[i] > 1e-9 * max(values.max(), 1e-300)]
+        axes = tuple(tuple(map(float, vectors[:, i])) for i in order[:rank])
+        rest = float(values[order[rank]]) if len(order) > rank else 0.0
+        made = cls(target, gamma, anomaly, axes, (*(float(values[i]) for i in order[:rank]), rest), ())
+        if not axes:
+            return made
+        along = df.select(*(c.alias(f"a{i}") for i, c in enumerate(made._along(totals))))
+        wanted = [(i + 1) / bins for i in range(bins - 1)]
+        found = along.agg(*(x for i in range(len(axes)) for x in (F.min(f"a{i}"), F.max(f"a{i}"), F.percentile_approx(f"a{i}", wanted)))).first()
+        edges = []
+        for i in range(len(axes)):
+            low, high, cuts = found[3 * i : 3 * i + 3]
+            wide = 1e-9 * max(1.0, abs(low), abs(high))
+            edges.append(tuple(sorted({min(low, 0.0) - wide, *cuts, 0.0, max(high, 0.0) + wide})))
+        return replace(made, edges=tuple(edges))
+
+    def _along(self, totals: Totals) -> list[Column]:
+        rows = F.array(*self._centred(totals))
+        return [F.aggregate(F.zip_with(rows, F.array(*map(F.lit, axis)), lambda x, v: x * v), F.lit(0.0), lambda a, v: a + v) for axis in self.axes]
+
+    def parts(self, totals: Totals) -> dict[str, tuple[Column, str]]:
+        if not self.axes:
+            return super().parts(totals)
+        most = max(map(len, self.edges)) - 1
+        bins = F.array(*(F.array(*(F.struct(F.lit(a).alias("low"), F.lit(b).alias("high")) for a, b in [*zip(e, e[1:]), *[(float("inf"), float("inf"))] * (most + 1 - len(e))])) for e in self.edges))
+        one, none = F.lit(1.0), F.lit(0.0)
+        each = F.zip_with(F.array(*self._along(totals)), bins, lambda w, own: F.concat(F.transform(own, lambda b: F.when((w >= b["low"]) & (w < b["high"]), one).otherwise(none)), F.transform(own, lambda b: F.when((w >= b["low"]) & (w < b["high"]), w).otherwise(none))))
+        return super().parts(totals) | {"along": (F.flatten(each), f"vector:{2 * most * len(self.axes)}")}
+
+    def value(self, totals: Totals) -> Column:
+        loose = super().value(totals)
+        if not self.axes:
+            return loose
+        known, most = (self.values, self.edges, totals.n), max(map(len, self.edges)) - 1
+        gamma, anomaly = self.gamma, self.anomaly
+
+        def sharp(along: pd.Series, sizes: pd.Series) -> pd.Series:
+            return pd.Series([_histogram_bound(np.asarray(h, float).reshape(-1, 2, most), *known, int(m), gamma, anomaly) for h, m in zip(along, sizes)], dtype=float)
+
+        return F.least(loose, F.pandas_udf(sharp, "double")(F.col("along"), F.col("n")))
+
+
+def _greatest_sums(count, total, low, high, starts, stops):
+    """For sizes from ``starts`` to ``stops`` what no sum of so many entries exceeds; bins from the highest on, none of both signs."""
+    peak = count[low >= 0].sum()
+    at = np.clip(peak, starts, stops)
+    ends = np.cumsum(count)
+    j = np.minimum(np.searchsorted(ends, at, side="left"), len(count) - 1)
+    part = at - (ends[j] - count[j])
+    return (np.cumsum(total) - total)[j] + np.minimum(part * high[j], total[j] - (count[j] - part) * low[j])
+
+
+def _histogram_bound(hist: np.ndarray, values, edges, n: int, m: int, gamma: float, anomaly: bool) -> float:
+    m = min(m, n - 1)  # for all rows the score is 0
+    if m < 1:
+        return 0.0
+    stops = np.arange(1, min(m, 64) + 1)
+    if m > 64:
+        stops = np.unique(np.append(stops, np.minimum(np.ceil(64 * 1.04 ** np.arange(1, 2 + np.log(m / 64) / np.log(1.04))), m).astype(np.int64)))
+    starts = np.append(1, stops[:-1] + 1)
+    lengths = np.stack([starts * (n - starts) / n, stops * (n - stops) / n])
+    longest = np.where((starts <= n / 2) & (stops >= n / 2), n / 4, lengths.max(axis=0))
+    shares = []
+    for (count, total), e, value in zip(hist, edges, values):
+        low, high, k = np.array(e[:-1]), np.array(e[1:]), len(e) - 1
+        up = _greatest_sums(count[:k][::-1], total[:k][::-1], low[::-1], high[::-1], starts, stops)
+        down = _greatest_sums(count[:k], -total[:k], -high, -low, starts, stops)
+        shares.append(np.maximum(np.maximum(up, down), 0) ** 2 / value)
+    share = np.array(shares)
+    given = np.clip(longest - (np.cumsum(share, axis=0) - share), 0, share)
+    reach = np.array(values[:-1]) @ given + values[-1] * np.maximum(longest - share.sum(axis=0), 0)
+    f = np.stack([starts, stops]).astype(float) if anomaly else np.stack([lengths.min(axis=0), longest])
+    return float((np.power(f, gamma - 2).max(axis=0) * reach).max()) * (1 + 1e-9)
+
+
 @dataclass(frozen=True)
 class EdgeVertexRatio(Score):
     """The edges that a group of vertices induces, over its vertices."""
@@ -431,7 +561,7 @@ class Geometric(Score):
 MEASURES = {"coverage": Coverage, "jaccard": Jaccard, "coverage-mean-shift": MeanShift, "mmd": Mmd, "geometric-mean": Geometric} | {
     "edge-vertex-ratio": EdgeVertexRatio, "local-modularity": LocalModularity, "inverse-conductance": InverseConductance, "coverage-average-coreness": AverageCoreness,
 }
-BOUNDS = {"coverage": Coverage, "constant": Constant, "jaccard": JaccardBound, "coverage-mean-shift": MeanShiftBound, "coverage-mean-shift-grouped": GroupedMeanShiftBound, "coverage-mean-shift-binned": BinnedMeanShiftBound, "mmd-sd": MmdBound, "geometric-mean": Geometric} | {
+BOUNDS = {"coverage": Coverage, "constant": Constant, "jaccard": JaccardBound, "coverage-mean-shift": MeanShiftBound, "coverage-mean-shift-grouped": GroupedMeanShiftBound, "coverage-mean-shift-binned": BinnedMeanShiftBound, "mmd-sd": MmdBound, "mmd-sd-histogram": MmdHistogramBound, "mmd-sd-grouped": GroupedMmdBound, "geometric-mean": Geometric} | {
     "edge-vertex-ratio-greedy": EdgeVertexBound, "local-modularity": LocalModularityBound, "inverse-conductance": InverseConductanceBound,
     "coverage-induced-max-coreness": InducedMaxCoreness, "coverage-induced-average-coreness": InducedAverageCoreness,
 }

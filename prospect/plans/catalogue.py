@@ -439,7 +439,14 @@ def _vectors(spark, sf_dir) -> DataFrame:
     "SELECT CAST(row_number() OVER (ORDER BY score DESC, len(c), c) AS INTEGER) AS rank, array_to_string(c, ',') AS indices, m AS n, score FROM r QUALIFY rank <= 5"
 )
 def mmd_topk_search(spark, sf_dir):
-    found = search.search(_vectors(spark, sf_dir), VECTOR_PREDICATES, scores.Mmd("embedding"), scores.MmdBound("embedding"), 5, 2)
+    found = search.search(_vectors(spark, sf_dir), VECTOR_PREDICATES, scores.Mmd("embedding"), scores.GroupedMmdBound("embedding"), 5, 2)
+    return spark.createDataFrame([(i + 1, ",".join(map(str, f.indices)), f.n, round(f.score, 6)) for i, f in enumerate(found.best)], "rank int, indices string, n long, score double")
+
+
+@query(SQL["mmd_topk_search"])
+def mmd_topk_histogram(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    found = search.search(rows, VECTOR_PREDICATES, scores.Mmd("embedding"), scores.MmdHistogramBound.of(rows, "embedding"), 5, 2)
     return spark.createDataFrame([(i + 1, ",".join(map(str, f.indices)), f.n, round(f.score, 6)) for i, f in enumerate(found.best)], "rank int, indices string, n long, score double")
 
 

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prospect.operators import kernels, prefix, scores
+from prospect.functions.predicates import Truth, attributes
+from prospect.operators import kernels, language, prefix, scores, search
 
 
 def test_running_sums_of_a_group_with_most_rows(spark):
@@ -74,3 +75,85 @@ def test_mean_deviation_bound_of_one_large_group(spark):
             for s in itertools.combinations(own, k):
                 z = (x[list(s)] - mu).sum(axis=0)
                 assert z @ z / (k * (26 - k) / 26) <= got[g] + 1e-9
+
+
+@pytest.mark.parametrize("anomaly", [False, True])
+@pytest.mark.parametrize("gamma", [0.5, 1.0, 1.5])
+def test_histogram_bound_lies_between_every_subset_and_the_loose_bound(spark, anomaly, gamma):
+    rng = np.random.default_rng(11)
+    n, dims = 40, 5
+    x = rng.normal(size=(n, dims)) * [3, 2, 1, 0.5, 0.2] + 1.5
+    groups = {0: np.arange(9), 1: np.arange(20, 31), 2: np.arange(38, 40), 3: np.arange(n)}
+    whole = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>")
+    df = spark.createDataFrame([(g, x[i].tolist()) for g, own in groups.items() for i in own], "g int, x array<double>")
+    totals = scores.Totals.of(whole, "x")
+    mu = x.mean(axis=0)
+
+    def score(s):
+        m, z = len(s), (x[s] - mu).sum(axis=0)
+        return 0.0 if m == n else (m if anomaly else m * (n - m) / n) ** (gamma - 2) * float(z @ z)
+
+    best = {g: max(score(list(s)) for k in range(1, len(own) + 1) for s in itertools.combinations(own, k)) for g, own in groups.items() if g < 3}
+    best[3] = max([max(best.values()), *(score(rng.choice(n, k, replace=False)) for k in rng.integers(1, n, 500))])
+    near = {}
+    for rank, bins in ((5, 32), (2, 4), (0, 4)):
+        bound = scores.MmdHistogramBound.of(whole, "x", gamma, anomaly, rank, bins)
+        got = {}
+        for kind in (bound, scores.MmdBound("x", gamma, anomaly)):
+            parts = kind.parts(totals)
+            rows = df.select("g", *(c.alias(k) for k, (c, _) in parts.items())).groupBy("g").agg(F.count(F.lit(1)).alias("n"), *(language.added(k, how).alias(k) for k, (_, how) in parts.items()))
+            got[type(kind)] = {r["g"]: r["v"] for r in rows.select("g", kind.value(totals).alias("v")).collect()}
+        sharp, loose = got[scores.MmdHistogramBound], got[scores.MmdBound]
+        assert {g: (sharp[g], best[g], loose[g]) for g in best if not best[g] - 1e-9 <= sharp[g] <= loose[g] + 1e-9} == {}
+        near[rank] = sum(sharp[g] / best[g] for g in best)
+    assert near[5] <= near[2] + 1e-6 and near[5] < near[0]
+
+
+def test_histogram_bounds_of_large_groups_go_by_intervals():
+    """Sizes in intervals bound what they bound one by one."""
+    rng = np.random.default_rng(2)
+    n = 3000
+    x = rng.normal(size=(n, 2)) * [2, 1]
+    x -= x.mean(axis=0)
+    values, vectors = np.linalg.eigh(x.T @ x)
+    w = x @ vectors[:, ::-1]
+    edges = [tuple(sorted({w[:, d].min() - 1, *np.quantile(w[:, d], np.linspace(0.1, 0.9, 9)), 0.0, w[:, d].max() + 1})) for d in range(2)]
+    most = max(map(len, edges)) - 1
+    own = rng.choice(n, 1200, replace=False)
+    hist = np.zeros((2, 2, most))
+    for d in range(2):
+        k = np.digitize(w[own, d], edges[d]) - 1
+        np.add.at(hist[d, 0], k, 1)
+        np.add.at(hist[d, 1], k, w[own, d])
+    bound = scores._histogram_bound(hist, (*values[::-1], 0.0), edges, n, len(own), 1.0, False)
+    order = [np.argsort(w[own] @ v) for v in ([1, 0], [0, 1], [1, 1], [1, -1])]
+    top = max(float(z @ z) / (k * (n - k) / n) for o in order for oo in (o, o[::-1]) for k in range(1, 1201, 7) for z in [w[own][oo[:k]].sum(axis=0)])
+    assert top <= bound <= values[-1] * (1 + 1e-6) * 1.1
+
+
+@pytest.mark.parametrize("anomaly", [False, True])
+@pytest.mark.parametrize("gamma", [0.5, 1.0, 1.5])
+def test_grouped_mean_deviation_bound_covers_unions_of_signatures(spark, anomaly, gamma):
+    rng = np.random.default_rng(5)
+    n = 60
+    x, flags = rng.normal(size=(n, 3)) + 2, rng.random((n, 3)) < 0.5
+    df = spark.createDataFrame([(x[i].tolist(), *map(bool, flags[i])) for i in range(n)], "x array<double>, f0 boolean, f1 boolean, f2 boolean")
+    predicates = [Truth(a) for a in attributes(df, exclude=("x",))]
+    mu = x.mean(axis=0)
+    kinds = sorted({tuple(f) for f in flags.tolist()})
+    own = {k: np.flatnonzero((flags == k).all(axis=1)) for k in kinds}
+
+    def score(s):
+        m, z = len(s), (x[s] - mu).sum(axis=0)
+        return 0.0 if m == n else (m if anomaly else m * (n - m) / n) ** (gamma - 2) * float(z @ z)
+
+    def best(c):
+        inside = [k for k in kinds if all(k[i] for i in c)]
+        return max(score(np.concatenate([own[k] for k in s])) for r in range(1, len(inside) + 1) for s in itertools.combinations(inside, r))
+
+    seen = {}
+    bound = scores.GroupedMmdBound("x", gamma, anomaly)
+    found = search.search(df, predicates, scores.Mmd("x", gamma, anomaly), bound, 50, 3, visit=lambda level, fs: seen.update({f.indices: f.bound for f in fs}))
+    assert all(seen[c] >= best(c) - 1e-9 for c in seen) and len(seen) == 8
+    top = search.search(df, predicates, scores.Mmd("x", gamma, anomaly), bound, 3, 3)
+    assert [(f.indices, round(f.score, 9)) for f in top.best] == [(f.indices, round(f.score, 9)) for f in found.best[:3]]
