@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prospect.functions.discretise import Fixed, Frequency, Interval, Ranges, Uniform, bin_counts, entropy
 from prospect.functions.predicates import Attribute, Equals, Kind, Negate, Predicate, Prediciser, Ranged
-from prospect.operators import alignment, graphs, ingest, kernels, language, learning, scores, search
+from prospect.operators import alignment, closed, graphs, ingest, kernels, language, learning, scores, search
 from prospect.sources.scratch import cut
 from prospect.sources.tables import customer_supplier_edges, embeddings_view, lineitem_view, orders_view, read, trade_edges, trade_vertices
 
@@ -314,6 +314,12 @@ def closed_search(spark, sf_dir):
     return spark.createDataFrame([(",".join(map(str, f.indices)), f.n) for f in found.best], "closed string, n long")
 
 
+@query(SQL["closed_search"])
+def closed_restricted(spark, sf_dir):
+    table = language.compress(lineitem_view(spark, sf_dir), ITEM_PREDICATES, {})
+    return closed.restricted(table, len(ITEM_PREDICATES)).select(F.array_join(F.transform("items", lambda i: i.cast("string")), ",").alias("closed"), "n")
+
+
 _N_ITEMS = len(_ITEM_TESTS)
 #: The greedy choice, one step for each predicate at most: of those left in the closure the one that leaves the fewest rows.
 _GREEDY = ", ".join(
@@ -340,8 +346,8 @@ def _names(mask: str) -> str:
 def minimal_description(spark, sf_dir):
     n = len(ITEM_PREDICATES)
     table = cut(language.compress(lineitem_view(spark, sf_dir), ITEM_PREDICATES, {}), "signatures")
-    closed = [c for _, c in language.closures(table, [(i,) for i in range(n)], n)]
-    rows = [(i, ",".join(map(str, c)), end, ",".join(map(str, least))) for i, (c, end, least) in enumerate(zip(closed, language.needed_ends(table, closed, n), language.minimal_descriptions(table, closed, n)))]
+    sets = [c for _, c in language.closures(table, [(i,) for i in range(n)], n)]
+    rows = [(i, ",".join(map(str, c)), end, ",".join(map(str, least))) for i, (c, end, least) in enumerate(zip(sets, language.needed_ends(table, sets, n), language.minimal_descriptions(table, sets, n)))]
     return spark.createDataFrame(rows, "pid int, closure string, needed_end int, minimal string")
 
 
