@@ -6,9 +6,14 @@ import math
 from dataclasses import dataclass, field
 from enum import Flag, auto
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prospect.operators.prefix import running
+from prospect.sources.scratch import cut
+
 
 class Ranges(Flag):
     INTERVALS = auto()
@@ -99,6 +104,63 @@ class Frequency(Discretiser):
         return out
 
 
+#: A cut of greatest entropy is sought among the values at which the share of rows below passes a multiple of one in so many.
+PLACES = 4096
+
+
+@dataclass(frozen=True)
+class Entropy(Discretiser):
+    """Cuts at distinct values so that the entropy of the bins is greatest, of all choices of that many cuts.
+
+    Where values have heavy ties that differs from quantiles. Running sums over the distinct
+    values, by ranges, give the share of rows below each; a dynamic program for each
+    column goes over those that pass another of ``PLACES`` equal shares, which are all with up to that many rows, so no
+    column's values meet in one task. At most one cut fewer than there are distinct values; the least value is no cut.
+    """
+
+    def cuts(self, df: DataFrame, names: list[str]) -> dict[str, list[float]]:
+        if not names:
+            return {}
+        each = df.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), finite(n).alias("v")) for i, n in enumerate(names)))).alias("x"))
+        values = each.select("x.i", "x.v").where("v is not null").groupBy("i", "v").agg(F.count(F.lit(1)).alias("c"))
+        run = running(values, ["i"], ["v"], {"to": F.col("c")})
+        totals = cut(run.groupBy("i").agg(F.sum("c").alias("all")), "totals")
+        below = run.join(F.broadcast(totals), "i").withColumn("below", F.col("to") - F.col("c"))  # a row a column
+        places = below.where("below > 0").groupBy("i", "all", F.floor(F.col("below") * PLACES / F.col("all")).alias("place")).agg(F.min_by(F.struct("v", "below"), "below").alias("at"))
+        rows = places.select("i", (F.col("at.below") / F.col("all")).alias("share"), "at.v")
+        count = self.count
+
+        def best(of: pd.DataFrame) -> pd.DataFrame:
+            return _best_cuts(count, of)
+
+        found = rows.groupBy("i").applyInPandas(best, "i int, v double").collect()  # the cuts
+        return {n: sorted(r["v"] for r in found if r["i"] == i) for i, n in enumerate(names)}
+
+
+def _best_cuts(count: int, rows: pd.DataFrame) -> pd.DataFrame:
+    """The cuts of greatest entropy among the values, each with the share of rows below it; of equal ones the lower."""
+    rows = rows.sort_values("share")
+    share, k = np.append(0.0, rows["share"].to_numpy()), min(count, len(rows))
+
+    def part(p):
+        return -p * np.log(np.where(p > 0, p, 1.0))
+
+    best, back = np.where(np.arange(len(share)) == 0, 0.0, -np.inf), []
+    for _ in range(k):
+        new, came = np.full(len(share), -np.inf), np.zeros(len(share), np.int64)
+        for j in range(1, len(share)):
+            tried = best[:j] + part(share[j] - share[:j])
+            came[j] = int(np.argmax(tried))
+            new[j] = tried[came[j]]
+        best = new
+        back.append(came)
+    at, chosen = int(np.argmax(best + part(1.0 - share))), []
+    for came in reversed(back):
+        chosen.append(at)
+        at = came[at]
+    return pd.DataFrame({"i": int(rows["i"].iloc[0]), "v": rows["v"].to_numpy()[np.array(chosen[::-1], int) - 1]})
+
+
 @dataclass(frozen=True)
 class Uniform(Discretiser):
     """Cuts at equal widths between the finite extremes."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospect.functions.discretise import Fixed, Frequency, Interval, Ranges, Uniform, bin_counts, entropy
+from prospect.functions.discretise import Entropy, Fixed, Frequency, Interval, Ranges, Uniform, bin_counts, entropy
 from prospect.functions.predicates import Attribute, Equals, Kind, Negate, Predicate, Prediciser, Ranged
 from prospect.operators import alignment, closed, graphs, ingest, kernels, language, learning, scores, search
 from prospect.sources.scratch import cut
@@ -258,6 +258,23 @@ def frequency_cuts(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(cuts)), "i int, cut double")
 
 
+_TIED = ("l_quantity", "l_discount", "l_tax")
+
+
+@query(
+    "WITH "
+    + ", ".join(f"v{i} AS (SELECT sum(count(*)) OVER (ORDER BY {c}) - count(*) AS b FROM lineitem GROUP BY {c}), e{i} AS (SELECT '{c}' AS column_name, max(-list_sum([p * ln(p) FOR p IN [x.b / n, (y.b - x.b) / n, (z.b - y.b) / n, 1 - z.b / n]])) AS entropy FROM v{i} x JOIN v{i} y ON 0 < x.b AND x.b < y.b JOIN v{i} z ON y.b < z.b, (SELECT count(*) AS n FROM lineitem))" for i, c in enumerate(_TIED))
+    + " SELECT column_name, CAST(3 AS INTEGER) AS n_cuts, round(entropy, 6) AS entropy FROM ("
+    + " UNION ALL ".join(f"SELECT * FROM e{i}" for i in range(len(_TIED)))
+    + ")"
+)
+def entropy_cuts(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem")
+    cuts = Entropy(3).cuts(df, list(_TIED))
+    rows = [(c, len(cuts[c]), round(entropy([r["n"] for r in bin_counts(df, c, cuts[c]).collect()]), 6)) for c in _TIED]  # a row for each bin
+    return spark.createDataFrame(rows, "column_name string, n_cuts int, entropy double")
+
+
 @query("SELECT CAST(i AS INTEGER) AS i, round(lo + (hi - lo) * (i + 1) / 4, 6) AS cut FROM (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer), range(3) AS r(i)")
 def uniform_cuts(spark, sf_dir):
     cuts = Uniform(3).cuts(read(spark, sf_dir, "customer"), ["c_acctbal"])["c_acctbal"]
