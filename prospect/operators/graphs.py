@@ -148,6 +148,23 @@ def label_distance(labels: DataFrame, graph: str) -> DataFrame:
     return every.join(both, ["a", "b", "round"], "left").groupBy("a", "b").agg(F.avg(1 - F.coalesce("kept", F.lit(0.0))).alias("distance"))
 
 
+def wl_kernel(vertices: DataFrame, edges: DataFrame, graph: str, rounds: int = 3, gamma: float = 1.0) -> DataFrame:
+    """(a, b, k) of graphs with a <= b: exp(-gamma D), D the Wasserstein distance of their vertices' Weisfeiler-Lehman labels.
+
+    ``vertices`` has (vid, ``graph``, label); edges (src, dst) between graphs do not count. A vertex
+    is the tuple of its labels over the rounds, two are as far apart as the share of rounds in which they differ.
+    As labels are only ever refined, that is a distance in a tree, for which the cost of the
+    best transport is the mass that has to leave each label, averaged over the rounds: ``label_distance``.
+    """
+    of = vertices.select("vid", graph)
+    a, b = of.select(F.col("vid").alias("src"), F.col(graph).alias("_a")), of.select(F.col("vid").alias("dst"), F.col(graph).alias("_b"))
+    inside = edges.join(a, "src").join(b, "dst").where("_a = _b").select("src", "dst")
+    labels = _cut(wl_labels(inside, vertices.select("vid", "label"), rounds).join(of, "vid"))
+    found = label_distance(labels, graph).select("a", "b", F.exp(-F.lit(float(gamma)) * F.col("distance")).alias("k"))
+    own = vertices.select(F.col(graph).alias("a")).distinct()
+    return found.unionByName(own.select("a", F.col("a").alias("b"), F.lit(1.0).alias("k")))
+
+
 def communities(edges: DataFrame, features: DataFrame, k: int = 1, take_back: bool = False) -> list[dict]:
     """Greedy densest patterns: grow a conjunction of features to the end, keep its densest prefix, cover its edges, repeat.
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prospect.sources.scratch import cut
+
 
 def assemble(parts: list[DataFrame], key: str, how: str = "inner") -> DataFrame:
     """Parts joined one after another on their common key."""
@@ -129,8 +131,11 @@ def json_fields(df: DataFrame, column: str, fields: dict[str, str]) -> DataFrame
 
 
 def numbered(df: DataFrame, name: str = "position") -> DataFrame:
-    """Rows numbered from 0 in the table's own order: each partition counts its rows, and starts after those before it."""
-    at = df.withColumn("_id", F.monotonically_increasing_id())
+    """Rows numbered from 0 in the table's own order: each partition counts its rows, and starts after those before it.
+
+    The table is written first, as it is read twice and its partitions must be the same both times.
+    """
+    at = cut(df.withColumn("_id", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("_id", 33)
     counts = at.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
     first = counts.withColumn("_first", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")

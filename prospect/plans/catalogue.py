@@ -159,13 +159,34 @@ def extra_scores(spark, sf_dir):
     return rated.join(F.broadcast(names), "rank").select("rank", "indices", "n", "score", "coverage", "jaccard")
 
 
-@query()
+def _levels(factor: float) -> str:
+    """What a search for the five best rates: of three predicates only what has both of its prefixes left open by bound and k-th score."""
+    best = "(SELECT min(score) FROM (SELECT score FROM {0} ORDER BY score DESC LIMIT 5))"
+    return (
+        f"WITH {_P}, c AS ({' UNION ALL '.join([_C0, _C1, _C2, _C3])}), g AS (SELECT c, count(*) AS m, sum(y) AS sy, sum(greatest(y - mu, 0)) AS gain, any_value(n) AS n, any_value(mu) AS mu FROM c, tot GROUP BY c), "
+        f"s AS (SELECT c, len(c) AS depth, m, {_shift(1.0, 1.0)} AS score, gain / n AS bound FROM g), r1 AS (SELECT * FROM s WHERE depth <= 1), o1 AS (SELECT * FROM r1 WHERE depth = 1 AND bound * {factor} > {best.format('r1')}), "
+        f"r2 AS (SELECT * FROM r1 UNION ALL SELECT * FROM s WHERE depth = 2 AND [c[1]] IN (SELECT c FROM o1) AND [c[2]] IN (SELECT c FROM o1)), o2 AS (SELECT * FROM r2 WHERE depth = 2 AND bound * {factor} > {best.format('r2')}), "
+        "r3 AS (SELECT * FROM r2 UNION ALL SELECT * FROM s WHERE depth = 3 AND [c[1], c[2]] IN (SELECT c FROM o2) AND [c[1], c[3]] IN (SELECT c FROM o2))"
+    )
+
+
+_NAMED = "'{' || array_to_string([[" + ", ".join("'" + str(p).replace("'", "''") + "'" for p in ORDER_PREDICATES) + "][i + 1] FOR i IN {0}], '^') || '}'"
+_BETTER = "(a.key, a.depth, a.c) < (b.key, b.depth, b.c)"
+
+
+@query(
+    _levels(1.0)
+    + ", q AS (SELECT c, depth, round(score, 6) AS score, -round(score, 6) AS key, row_number() OVER (ORDER BY depth, -round(score, 6), c) AS pos FROM r3), "
+    + "made AS (SELECT 0 AS depth, 0 AS n UNION ALL SELECT 1, (SELECT 11) UNION ALL SELECT 2, (SELECT count(*) * (count(*) - 1) // 2 FROM o1) UNION ALL SELECT 3, (SELECT coalesce(sum(k * (k - 1) // 2), 0) FROM (SELECT count(*) AS k FROM o2 GROUP BY c[1]))), "
+    + f"e AS (SELECT b.*, count(a.c) FILTER ({_BETTER}) AS before, list(a.c ORDER BY a.key, a.depth, a.c) AS had FROM q b LEFT JOIN q a ON a.pos < b.pos GROUP BY ALL) "
+    + f"SELECT CAST(row_number() OVER (ORDER BY pos) - 1 AS INTEGER) AS step, CAST(depth AS INTEGER) AS level, (SELECT CAST(sum(n) AS BIGINT) FROM made WHERE made.depth <= e.depth) AS created, {_NAMED.replace('{0}', 'c')} AS pattern, score, CASE WHEN pos > 5 THEN {_NAMED.replace('{0}', 'had[5]')} END AS replaced FROM e WHERE before < 5"
+)
 def search_history(spark, sf_dir):
     df = orders_view(spark, sf_dir)
     return search.history_frame(search.search(df, ORDER_PREDICATES, scores.MeanShift("o_totalprice"), scores.MeanShiftBound("o_totalprice"), 5, 3), df)
 
 
-@query()
+@query(_levels(0.5) + " SELECT CAST(row_number() OVER (ORDER BY round(score, 6) DESC, depth, c) AS INTEGER) AS rank, array_to_string(c, ',') AS indices, m AS n, round(score, 6) AS score FROM r3 QUALIFY rank <= 5")
 def approx_search(spark, sf_dir):
     return _best(spark, sf_dir, scores.MeanShift("o_totalprice"), scores.MeanShiftBound("o_totalprice"), 5, 3, factor=0.5)
 
@@ -732,3 +753,24 @@ _WL = "SELECT vid, md5(concat_ws(':', label, CAST(coalesce(near, 0) AS VARCHAR))
 @query(f"WITH {_T}, l0 AS (SELECT vid, feature AS label FROM f), l1 AS ({_WL.format('l0')}), l2 AS ({_WL.format('l1')}) SELECT vid, 0 AS round, label FROM l0 UNION ALL SELECT vid, 1, label FROM l1 UNION ALL SELECT vid, 2, label FROM l2")
 def wl_labels(spark, sf_dir):
     return graphs.wl_labels(customer_supplier_edges(spark, sf_dir), _trade_features(spark, sf_dir).withColumnRenamed("feature", "label"), 2)
+
+
+# the graphs of regions: customers and suppliers of one, labelled by role and sign of the balance
+
+_RG = (
+    f"{_T}, x AS (SELECT v.vid, rn AS g, concat_ws('/', CASE WHEN v.vid % 2 = 0 THEN 'customer' ELSE 'supplier' END, CAST(ab >= 0 AS VARCHAR)) AS label FROM v), "
+    "ug AS (SELECT src, dst FROM u JOIN x a ON a.vid = src JOIN x b ON b.vid = dst AND a.g = b.g)"
+)
+_WG = _WL.replace("FROM u JOIN", "FROM ug JOIN")
+
+
+@query(
+    f"WITH {_RG}, l0 AS (SELECT vid, label FROM x), l1 AS ({_WG.format('l0')}), l2 AS ({_WG.format('l1')}), l AS (SELECT 0 AS r, * FROM l0 UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 2, * FROM l2), "
+    "z AS (SELECT g, count(*) AS n FROM x GROUP BY g), h AS (SELECT g, r, l.label, count(*) / any_value(n) AS p FROM l JOIN x USING (vid) JOIN z USING (g) GROUP BY g, r, l.label), "
+    "k AS (SELECT a.g AS a, b.g AS b, a.r, sum(least(a.p, b.p)) AS kept FROM h a JOIN h b ON a.r = b.r AND a.label = b.label GROUP BY ALL) "
+    "SELECT a.g AS a, b.g AS b, round(exp(-2 * (1 - coalesce(sum(kept), 0) / 3)), 6) AS k FROM z a JOIN z b ON a.g <= b.g LEFT JOIN k ON k.a = a.g AND k.b = b.g GROUP BY a.g, b.g"
+)
+def graph_kernel(spark, sf_dir):
+    v = trade_vertices(spark, sf_dir).select("vid", F.col("region").alias("graph"), F.concat_ws("/", "role", (F.col("balance") >= 0).cast("string")).alias("label"))
+    found = graphs.wl_kernel(v, customer_supplier_edges(spark, sf_dir), "graph", rounds=2, gamma=2.0)
+    return found.select("a", "b", F.round("k", 6).alias("k"))

@@ -72,7 +72,7 @@ _ATTRIBUTE = re.compile(r"@attribute\s+(\S+)\s*(?:(real|integer)\b|(\{))", re.I)
 
 @dataset("keel")
 def keel(spark: SparkSession, path: str) -> DataFrame:
-    """A file of @-declarations, then comma-separated data; every data row counts."""
+    """A file of @-declarations, then comma-separated data; every data row counts, and a cell that isn't of its column's type is null."""
     lines = spark.read.text(path)
     header = [r[0] for r in lines.where(F.col("value").startswith("@")).collect()]  # declarations, one for each column
     fields = []
@@ -82,37 +82,61 @@ def keel(spark: SparkSession, path: str) -> DataFrame:
     data = lines.where(~F.col("value").startswith("@") & (F.trim("value") != ""))
     cells = F.split("value", r"\s*,\s*")
     missing = lambda c: F.when(~c.isin("?", "<null>"), c)
-    return data.select(*(missing(F.trim(F.get(cells, F.lit(i)))).cast(t).alias(n) for i, (n, t) in enumerate(fields)))
+    return data.select(*(missing(F.trim(F.get(cells, F.lit(i)))).try_cast(t).alias(n) for i, (n, t) in enumerate(fields)))
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
     return numbered(spark.read.text(path), "line")
 
 
+def _if_there(df):
+    """What ``df()`` reads, None if there is no such file."""
+    try:
+        return df()
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
 def graphs(spark: SparkSession, folder: str, name: str, both_ways: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A set of graphs from ``name_A``, ``_graph_indicator``, ``_graph_labels`` and, if there, ``_node_labels``.
+    """A set of graphs from ``name_A``, ``_graph_indicator``, ``_graph_labels`` and, if there, labels and attributes of nodes and edges.
 
-    Returns vertices (graph, vid, label), edges (graph, src, dst) and graphs
-    (graph, target); vertices are numbered from 0 within their graph.
+    Returns vertices (graph, vid, label), edges (graph, src, dst) and graphs (graph, target); vertices
+    are numbered from 0 within their graph, with null labels if there is no file of them. Where there
+    are attributes of vertices, labels or attributes of edges, they are columns too; of an edge that
+    stands in both directions ``both_ways`` keeps the least.
     """
     base = f"{folder.rstrip('/')}/{name}"
-    of = _numbered(spark, f"{base}_graph_indicator.txt").select((F.col("line") + 1).alias("node"), F.trim("value").cast("long").alias("graph"))
+
+    def column(suffix: str, as_name: str, value) -> DataFrame | None:
+        return _if_there(lambda: _numbered(spark, f"{base}_{suffix}.txt").select((F.col("line") + 1).alias("node"), value.alias(as_name)))
+
+    whole, list_ = F.trim("value").cast("int"), F.transform(F.split("value", r"\s*,\s*"), lambda x: F.trim(x).try_cast("double"))
+
+    def with_columns(rows: DataFrame, of: str) -> DataFrame:
+        for suffix, as_name, value in ((f"{of}_labels", "label", whole), (f"{of}_attributes", "attributes", list_)):
+            more = column(suffix, as_name, value)
+            rows = rows if more is None else rows.join(more, "node", "left")
+        return rows
+
+    of = column("graph_indicator", "graph", F.trim("value").cast("long"))
     first = of.groupBy("graph").agg(F.min("node").alias("first"))
     of = of.join(first, "graph").select("node", "graph", (F.col("node") - F.col("first")).alias("vid"))
-    try:
-        labels = _numbered(spark, f"{base}_node_labels.txt").select((F.col("line") + 1).alias("node"), F.trim("value").cast("int").alias("label"))
-        vertices = of.join(labels, "node", "left").select("graph", "vid", "label")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        vertices = of.select("graph", "vid", F.lit(None).cast("int").alias("label"))
+    vertices = with_columns(of, "node")
+    if "label" not in vertices.columns:
+        vertices = vertices.withColumn("label", F.lit(None).cast("int"))
+    vertices = vertices.select("graph", "vid", "label", *(c for c in vertices.columns if c == "attributes"))
     ends = F.split("value", r"\s*,\s*")
-    edges = spark.read.text(f"{base}_A.txt").where(F.trim("value") != "").select(F.trim(ends[0]).cast("long").alias("a"), F.trim(ends[1]).cast("long").alias("b"))
+    edges = _numbered(spark, f"{base}_A.txt").where(F.trim("value") != "").select((F.col("line") + 1).alias("node"), F.trim(ends[0]).cast("long").alias("a"), F.trim(ends[1]).cast("long").alias("b"))
     left, right = of.select(F.col("node").alias("a"), "graph", F.col("vid").alias("src")), of.select(F.col("node").alias("b"), F.col("vid").alias("dst"))
-    edges = edges.join(left, "a").join(right, "b").select("graph", "src", "dst")
+    edges = with_columns(edges, "edge")
+    more = [c for c in edges.columns if c in ("label", "attributes")]
+    edges = edges.join(left, "a").join(right, "b").select("graph", "src", "dst", *more)
     if both_ways:
-        edges = edges.unionByName(edges.select("graph", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    targets = _numbered(spark, f"{base}_graph_labels.txt").select((F.col("line") + 1).alias("graph"), F.trim("value").cast("int").alias("target"))
+        back = edges.select("graph", F.col("dst").alias("src"), F.col("src").alias("dst"), *more)
+        edges = edges.unionByName(back).groupBy("graph", "src", "dst").agg(*(F.min(c).alias(c) for c in more)) if more else edges.unionByName(back).distinct()
+    targets = column("graph_labels", "target", whole).select(F.col("node").alias("graph"), "target")
     return vertices, edges, targets
 
 
