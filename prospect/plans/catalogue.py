@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prospect.functions.discretise import Entropy, Fixed, Frequency, Interval, Ranges, Uniform, bin_counts, entropy
 from prospect.functions.predicates import Attribute, Equals, Kind, Negate, Predicate, Prediciser, Ranged
-from prospect.operators import alignment, closed, graphs, ingest, kernels, language, learning, scores, search
+from prospect.operators import alignment, closed, graphs, ingest, kernels, language, learning, scores, search, spectra
 from prospect.sources.scratch import cut
 from prospect.sources.tables import customer_supplier_edges, embeddings_view, lineitem_view, orders_view, read, trade_edges, trade_vertices
 
@@ -487,6 +487,31 @@ def mmd_topk_search(spark, sf_dir):
     return spark.createDataFrame([(i + 1, ",".join(map(str, f.indices)), f.n, round(f.score, 6)) for i, f in enumerate(found.best)], "rank int, indices string, n long, score double")
 
 
+def _eigen(i: int, of: str) -> str:
+    """The leading eigenvalue and vector of a matrix (i, j, v): a power of it, by squaring twelve times, and the quotient of its largest row."""
+    return (
+        f"p{i} AS (SELECT 0 AS t, i, j, v / (SELECT sum(v) FROM {of} WHERE i = j) AS v FROM {of} UNION ALL SELECT t, i, j, v / sum(CASE WHEN i = j THEN v END) OVER () FROM (SELECT a.t + 1 AS t, a.i, b.j, sum(a.v * b.v) AS v FROM p{i} a JOIN p{i} b ON a.j = b.i WHERE a.t < 12 GROUP BY a.t, a.i, b.j)), "
+        f"x{i} AS (SELECT j AS i, v / sqrt(sum(v * v) OVER ()) AS v FROM p{i} WHERE t = 12 AND i = (SELECT arg_max(i, v) FROM p{i} WHERE t = 12 AND i = j)), l{i} AS (SELECT sum(a.v * m.v * b.v) AS value FROM {of} m JOIN x{i} a ON a.i = m.i JOIN x{i} b ON b.i = m.j), "
+        f"m{i} AS (SELECT m.i, m.j, m.v - value * a.v * b.v AS v FROM {of} m JOIN x{i} a ON a.i = m.i JOIN x{i} b ON b.i = m.j, l{i})"
+    )
+
+
+@query(
+    f"WITH RECURSIVE {_E}, d AS (SELECT vec_id, unnest(x) AS v, unnest(range(len(x))) AS i FROM e), m AS (SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM d a JOIN d b USING (vec_id) GROUP BY a.i, b.i), {_eigen(1, 'm')}, {_eigen(2, 'm1')} "
+    "SELECT CAST(1 AS INTEGER) AS rank, round(value, 6) AS value FROM l1 UNION ALL SELECT 2, round(value, 6) FROM l2"
+)
+def kernel_spectrum(spark, sf_dir):
+    values, _ = spectra.leading(embeddings_view(spark, sf_dir), "vec_id", "embedding", kernels.linear(), rank=2, block=32)
+    return spark.createDataFrame([(i + 1, round(float(v), 6)) for i, v in enumerate(values)], "rank int, value double")
+
+
+@query(f"WITH {_E} SELECT a.vec_id AS i, b.vec_id AS j, round(list_inner_product(a.x, b.x) - avg(list_inner_product(a.x, b.x)) OVER (PARTITION BY a.vec_id, b.label), 6) + 0.0 AS k FROM e a CROSS JOIN e b")
+def kernel_without_labels(spark, sf_dir):
+    e = embeddings_view(spark, sf_dir).withColumn("flags", F.array(*((F.col("label") == str(v)).cast("double") for v in range(10))))
+    found = spectra.without(e, "vec_id", "embedding", kernels.linear(), "flags", 10, kernels.gram(e, "vec_id", "embedding", kernels.linear()))
+    return found.select("i", "j", (F.round("k", 6) + F.lit(0.0)).alias("k"))
+
+
 @query(SQL["mmd_topk_search"])
 def mmd_topk_histogram(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
