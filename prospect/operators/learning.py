@@ -7,6 +7,7 @@ and no matrix is written before the final kernel.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -90,6 +91,56 @@ def best_widths(rated: DataFrame, features: dict[str, list[int]]) -> list[SubKer
     return [SubKernel(name, tuple(at), of[name]) for name, at in features.items() if name in of]
 
 
+def _surrogate(at: np.ndarray, seen: np.ndarray, places: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation at the places of a Gaussian process through what was seen."""
+    near = lambda a, b: np.exp(-((a[:, None] - b[None, :]) ** 2) / (2 * reach * reach))
+    centre, scale = seen.mean(), max(seen.std(), 1e-9)
+    solve = np.linalg.solve(near(at, at) + 1e-8 * np.eye(len(at)), np.column_stack([(seen - centre) / scale, near(at, places)]))
+    mean = near(places, at) @ solve[:, 0]
+    left = 1 - (near(places, at) * solve[:, 1:].T).sum(axis=1)
+    return centre + scale * mean, scale * np.sqrt(np.maximum(left, 0))
+
+
+def _propose(at: list[float], seen: list[float], low: float, high: float, batch: int, least: float) -> list[float]:
+    """The places where most is to be gained, one after another as if the surrogate's means had been seen; none if that is less than ``least``."""
+    places, at, seen, out = np.linspace(low, high, 201), list(at), list(seen), []
+    for _ in range(batch):
+        mean, spread = _surrogate(np.array(at), np.array(seen), places, (high - low) / 5)
+        z = (mean - max(seen)) / np.maximum(spread, 1e-12)
+        below = np.array([0.5 * (1 + math.erf(v / math.sqrt(2))) for v in z])
+        gain = np.where(spread > 1e-9, (mean - max(seen)) * below + spread * np.exp(-z * z / 2) / math.sqrt(2 * math.pi), 0.0)
+        best = int(np.argmax(gain))
+        if gain[best] < least:
+            break
+        out.append(float(places[best]))
+        at.append(out[-1])
+        seen.append(float(mean[best]))
+    return out
+
+
+def search_widths(
+    df: DataFrame, key: str, x: str, features: dict[str, list[int]], low: float, high: float, target: dict, batch: int = 2, rounds: int = 4, least: float = 1e-5
+) -> dict[str, dict[float, float]]:
+    """For each feature the widths that were tried, with their alignments.
+
+    A surrogate of the alignment over the width's logarithm proposes ``batch`` widths a feature and round;
+    those of all features are rated in one pass over pairs of blocks. A feature from which less than
+    ``least`` is to be gained rests. Three widths are tried at first, so 3 + ``batch`` * ``rounds`` at most.
+    """
+    a, b = math.log(low), math.log(high)
+    tried: dict[str, dict[float, float]] = {name: {} for name in features}
+    wanted = {name: [a + (b - a) * i / 6 for i in (1, 3, 5)] for name in features}
+    df = df.where(F.col(x).isNotNull())
+    for _ in range(rounds + 1):
+        parts = [SubKernel(name, tuple(features[name]), math.exp(p)) for name, places in wanted.items() for p in places]
+        if not parts:
+            break
+        for r in widths(df, key, x, parts, target).collect():  # a row for each width
+            tried[r["feature"]][r["sigma"]] = r["alignment"]
+        wanted = {name: _propose([math.log(s) for s in seen], list(seen.values()), a, b, batch, least) for name, seen in tried.items() if seen}
+    return tried
+
+
 def learn(df: DataFrame, key: str, x: str, features: dict[str, list[int]], sigmas: list[float], target: dict) -> list[SubKernel]:
     """A width and a weight for each feature; features whose kernels do not help have the weight 0. Rows without a vector are left out."""
     df = df.where(F.col(x).isNotNull())
