@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -82,6 +84,16 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             start = stop
 
 
+def release() -> None:
+    """Hand memory that earlier tasks of this worker have freed back to the system, where that is known how."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another system's library
+        pass
+
+
 class WordHashes(dict):
     """64-bit hashes of words; the commonest stay in this dictionary."""
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, release
 
 KINDS = ("assign", "access", "hex", "learned")
 #: The patterns, and the characters that a match (or its group) must have at least.
@@ -273,6 +273,7 @@ MARK = "[SECRET]"
 
 def _redact(net, where: int, count: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # a stage before this one may have left its worker large
         for batch, texts in chunks(batches):
             was = batch.column(where)
             out = []
