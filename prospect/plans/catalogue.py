@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from prospect.functions.discretise import Entropy, Fixed, Frequency, Interval, Ranges, Uniform, bin_counts, entropy
 from prospect.functions.predicates import Attribute, Equals, Kind, Negate, Predicate, Prediciser, Ranged
 from prospect.operators import alignment, closed, graphs, ingest, kernels, language, learning, scores, search, spectra
-from prospect.sources.scratch import cut
+from prospect.sources import database
+from prospect.sources.scratch import cut, shared_folder
 from prospect.sources.tables import customer_supplier_edges, embeddings_view, lineitem_view, orders_view, read, trade_edges, trade_vertices
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -610,6 +612,15 @@ def set_kernel_alignment(spark, sf_dir):
 # ingest
 
 
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal >= 5000 AND c_nationkey < 10 AND c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def database_scan(spark, sf_dir):
+    folder = f"{shared_folder(spark)}/database-{uuid.uuid4().hex}"
+    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"), F.col("c_nationkey").cast("long").alias("c_nationkey"), "c_mktsegment")
+    database.export(rows.repartitionByRange(4, "c_custkey"), folder, "customer", "c_custkey")
+    found = database.scan(spark, folder, "customer", "c_custkey").where("c_acctbal >= 5000.0 and c_nationkey < 10 and c_mktsegment in ('BUILDING', 'MACHINERY')")
+    return found.select("c_custkey", "c_name", "c_acctbal")
+
+
 _PARTS = "SELECT k.c_custkey, c_acctbal, n_orders FROM (SELECT c_custkey, c_acctbal FROM customer) AS k {how} JOIN (SELECT o_custkey AS c_custkey, count(*) AS n_orders FROM orders GROUP BY o_custkey) AS p USING (c_custkey)"
 
 
