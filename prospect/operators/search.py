@@ -227,12 +227,12 @@ def search(
         rows = [(list(c), mask(c, p), -1, mask(c, p), c[-1] if c else -1) for c in sorted({tuple(sorted(c)) for c in chosen})]
         return spark.createDataFrame(rows, "parent array<int>, own array<long>, j int, mask array<long>, last int")
 
-    level, siblings = 0, False
+    level, siblings, queued = 0, False, 0
     if resume:
         for f in resume.best:
             add(f)
         frontier, attainable = resume.frontier, resume.attainable
-        made = _open_children(frontier, p, closed, True) if frontier is not None else 0
+        made, queued = (_open_children(frontier, p, closed, True), frontier.count()) if frontier is not None else (0, 0)
         siblings = not closed
     else:
         frontier, attainable, made = None, -sign * float("inf"), 0
@@ -244,23 +244,22 @@ def search(
         # seeds are extended by predicates after their own
         after = F.coalesce(F.array_max("parent"), F.lit(-1)) if not closed else F.lit(-1)
         frontier = first.select("items", "mask", after.alias("last"), "bound")
-        made = _open_children(frontier, p, closed, False)
+        made, queued = _open_children(frontier, p, closed, False), max(1, len(seeds))
     aborted = False
     while made and level < depth:
         level += 1
         stats["levels"] = level
         stats["created"] += made
-        stats["expanded"] += frontier.count()
+        stats["expanded"] += queued
         rated = rate(_children(frontier, p, closed, siblings), made <= SENT)
         for r in _ranked(rated, sign, k + len(removed)).collect():
             add(found(r))
         open_ = F.col("_kept") & F.coalesce(expands(threshold(), F.col("bound")), F.lit(False))
         if keep_tree:
             levels.append(rated.where("_kept").select("parent", "items", open_.alias("expanded")))
-        furthest = F.min("bound") if minimise else F.max("bound")
-        c = rated.agg(F.count(F.lit(1)).alias("all"), F.count_if("_kept").alias("kept"), F.count_if(open_).alias("open")).first()
-        frontier = rated.where(open_).select("items", "mask", "last", "bound")
-        attainable = frontier.agg(furthest).first()[0]
+        furthest = (F.min if minimise else F.max)(F.when(open_, F.col("bound")))
+        c = rated.agg(F.count(F.lit(1)).alias("all"), F.count_if("_kept").alias("kept"), F.count_if(open_).alias("open"), furthest.alias("furthest")).first()
+        frontier, attainable, queued = rated.where(open_).select("items", "mask", "last", "bound"), c["furthest"], c["open"]
         stats["measured"] += c["all"]
         stats["ignored"] += c["all"] - c["kept"]
         stats["pruned"] += c["kept"] - c["open"]
@@ -274,7 +273,7 @@ def search(
             break
     exhausted = frontier is None or not made
     if not exhausted:
-        stats["deep"] = frontier.count()
+        stats["deep"] = queued
     return Result(best, stats, exhausted, -sign * float("inf") if attainable is None else attainable, None if exhausted else frontier, history, levels, aborted and not exhausted)
 
 
