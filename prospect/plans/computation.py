@@ -26,26 +26,35 @@ class Computation:
     removed: tuple[tuple[int, ...], ...] = ()
     result: search.Result | None = None
     kernel: dict = field(default_factory=kernels.linear)
+    edges: DataFrame | None = None
+    vid: str = "vid"
 
     def load_dataset(self, df: DataFrame, target: str | None = None, kinds: dict[str | None, Kind | str] | None = None, exclude: tuple[str, ...] = ()) -> Computation:
         """A frame, its target column (no attribute then), and kinds that override the columns' types."""
         skip = (*exclude, *([target] if target else []))
         return replace(self, df=df, target=target, of=tuple(attributes(df, kinds, skip)))
 
+    def load_graph(self, edges: DataFrame, vid: str = "vid") -> Computation:
+        """Edges (src, dst) between the rows, which ``vid`` names; measures of graphs need them, and ``vid`` is no attribute then."""
+        return replace(self, edges=edges, vid=vid, of=tuple(a for a in self.of if a.name != vid))
+
     def load_prediciser(self, cuts: int = 5, ranges: str = "SLABS_POSITIVE", negate: str = "BOOLEAN|CATEGORICAL|RANGED", discretiser: type[Discretiser] = Frequency) -> Computation:
         return replace(self, prediciser=Prediciser(discretiser(cuts, Ranges.parse(ranges)), Negate.parse(negate)))
 
     def load_language(self, name: str = "conjunctions") -> Computation:
-        """``conjunctions``, or ``closure-conjunctions`` for closed sets only."""
-        if name not in ("conjunctions", "closure-conjunctions"):
+        """``conjunctions``, or ``closure-conjunctions`` (``-restricted`` too: the same sets) for closed sets only."""
+        if name not in ("conjunctions", "closure-conjunctions", "closure-conjunctions-restricted"):
             raise KeyError(f"no language {name!r}")
-        return replace(self, closed=name == "closure-conjunctions")
+        return replace(self, closed=name != "conjunctions")
 
     def load_measure(self, name: str, **how) -> Computation:
         return replace(self, measure=scores.MEASURES[name](how.pop("target", self.target), **how))
 
     def load_optimistic_estimator(self, name: str, **how) -> Computation:
-        return replace(self, bound=scores.BOUNDS[name](how.pop("target", self.target), **how))
+        """By name; those whose bins or axes follow from the data read it once here."""
+        kind, target = scores.BOUNDS[name], how.pop("target", self.target)
+        made = kind.of(self.df, target, **how) if hasattr(kind, "of") else kind(target, **how)
+        return replace(self, bound=made)
 
     def load_kernel(self, name: str = "linear", **how) -> Computation:
         """The kernel between targets: ``linear``, or an ``rbf`` kind (``gaussian``, ``exp``, ``inv-quadratic``) with ``sigma``."""
@@ -64,9 +73,10 @@ class Computation:
     def remove_subgroup(self, what: str) -> Computation:
         return replace(self, removed=(*self.removed, parse(what, self.predicates())))
 
-    def optimise(self, k: int = 1, depth: int = 6, approximation_factor: float = 1.0, visit=None, resume: bool = False) -> Computation:
-        """Search; ``resume`` goes on from where this computation's last search stopped."""
-        found = search.search(self.df, self.predicates(), self.measure, self.bound, k, depth, approximation_factor, self.closed, self.removed, visit, self.result if resume else None)
+    def optimise(self, k: int = 1, depth: int = 6, approximation_factor: float = 1.0, visit=None, resume: bool = False, **how) -> Computation:
+        """Search; ``resume`` goes on from where this computation's last search stopped. ``how``: ``minimise``, ``seeds``, ``abort``, ``keep_tree``."""
+        graph = {} if self.edges is None else {"edges": self.edges, "vid": self.vid}
+        found = search.search(self.df, self.predicates(), self.measure, self.bound, k, depth, approximation_factor, self.closed, self.removed, visit, self.result if resume else None, **graph, **how)
         return replace(self, result=found)
 
     def summarise_to_json(self, indent: int = 4) -> str:
