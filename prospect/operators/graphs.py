@@ -12,6 +12,11 @@ def _cut(df: DataFrame) -> DataFrame:
     return cut(df, "graph")
 
 
+def _sorted(df: DataFrame) -> DataFrame:
+    """A side with a row for each vertex, to be joined by sorting: it grows with the graph, so it is never gathered and sent."""
+    return df.hint("merge")
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """Each edge once, as (src < dst), without loops."""
     return edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
@@ -29,7 +34,7 @@ def is_directed(edges: DataFrame) -> bool:
 
 def induced(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """The edges with both ends among the vertices (vid)."""
-    return edges.join(vertices.select(F.col("vid").alias("src")), "src", "left_semi").join(vertices.select(F.col("vid").alias("dst")), "dst", "left_semi").select(edges.columns)
+    return edges.join(_sorted(vertices.select(F.col("vid").alias("src"))), "src", "left_semi").join(_sorted(vertices.select(F.col("vid").alias("dst"))), "dst", "left_semi").select(edges.columns)
 
 
 def feature_density(edges: DataFrame, features: DataFrame) -> DataFrame:
@@ -43,15 +48,17 @@ def feature_density(edges: DataFrame, features: DataFrame) -> DataFrame:
 def coreness(edges: DataFrame) -> DataFrame:
     """(vid, core) of the vertices with edges: each takes the h-index of its neighbours' values until nothing changes."""
     both = _cut(symmetric(undirected(edges)))
-    core = both.groupBy(F.col("src").alias("vid")).agg(F.count(F.lit(1)).alias("core"))
+    core, left = _cut(both.groupBy(F.col("src").alias("vid")).agg(F.count(F.lit(1)).alias("core"))), None
     while True:
+        # values only ever fall: while their sum does, something changes
+        sum_ = core.agg(F.sum("core")).first()[0]
+        if sum_ == left:
+            return core
+        left = sum_
         # neighbours by value, so a hub has as many rows as there are values: the h-index is the greatest c with c or more neighbours of at least c
-        near = both.join(core, both["dst"] == core["vid"]).groupBy("src", "core").agg(F.count(F.lit(1)).alias("n"))
+        near = both.join(_sorted(core), both["dst"] == core["vid"]).select("src", "core").repartition("src").groupBy("src", "core").agg(F.count(F.lit(1)).alias("n"))
         down = Window.partitionBy("src").orderBy(F.desc("core")).rowsBetween(Window.unboundedPreceding, 0)
-        new = _cut(near.withColumn("n", F.sum("n").over(down)).groupBy(F.col("src").alias("vid")).agg(F.max(F.least("core", "n")).alias("core")))
-        if new.join(core.withColumnRenamed("core", "was"), "vid").where("core <> was").isEmpty():
-            return new
-        core = new
+        core = _cut(near.withColumn("n", F.sum("n").over(down)).groupBy(F.col("src").alias("vid")).agg(F.max(F.least("core", "n")).alias("core")))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -64,7 +71,7 @@ def vertex_columns(vertices: DataFrame, edges: DataFrame, vid: str, wanted: set[
     own = _cut(induced(undirected(edges), vertices.select(F.col(vid).alias("vid"))))
     for name, of in (("degree", degrees), ("core", coreness)):
         if name in wanted:
-            vertices = vertices.join(of(own).withColumnRenamed("vid", vid), vid, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("long")))
+            vertices = vertices.join(_sorted(of(own).withColumnRenamed("vid", vid)), vid, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("long")))
     return vertices
 
 
@@ -92,9 +99,9 @@ def group_measures(edges: DataFrame, members: DataFrame) -> DataFrame:
     total = F.broadcast(e.agg(F.count(F.lit(1)).cast("double").alias("total")))  # one row
     ends = symmetric(e)
     degree = ends.groupBy(F.col("src").alias("vid")).agg(F.count(F.lit(1)).alias("degree"))
-    volume = m.join(degree, "vid", "left").groupBy("group").agg(F.count(F.lit(1)).alias("n_vertices"), F.coalesce(F.sum("degree"), F.lit(0)).alias("volume"))
+    volume = m.join(_sorted(degree), "vid", "left").groupBy("group").agg(F.count(F.lit(1)).alias("n_vertices"), F.coalesce(F.sum("degree"), F.lit(0)).alias("volume"))
     a, b = m.select("group", F.col("vid").alias("src")), m.select("group", F.col("vid").alias("dst"))
-    inside = _cut(e.join(a, "src").join(b, ["group", "dst"]).select("group", "src", "dst"))
+    inside = _cut(e.join(_sorted(a), "src").join(_sorted(b), ["group", "dst"]).select("group", "src", "dst"))
     counts = inside.groupBy("group").agg(F.count(F.lit(1)).alias("n_edges"))
     # a vertex is another one in every group
     core = coreness(inside.select(F.struct("group", F.col("src").alias("v")).alias("src"), F.struct("group", F.col("dst").alias("v")).alias("dst")))
@@ -120,13 +127,13 @@ def wl_labels(edges: DataFrame, labels: DataFrame, rounds: int = 3) -> DataFrame
 
     The sum stands for the multiset and is taken before the shuffle, so a hub's neighbours never meet in one row.
     """
-    both = symmetric(edges)
+    both = _cut(symmetric(edges))  # read in every round
     now = _cut(labels.select("vid", F.col("label").cast("string").alias("label")))
     out = now.withColumn("round", F.lit(0))
     for r in range(1, rounds + 1):
-        near = both.join(now.select(F.col("vid").alias("dst"), F.col("label").alias("l")), "dst").groupBy("src").agg(F.sum(_digest(F.col("l"))).alias("near"))
+        near = both.join(_sorted(now.select(F.col("vid").alias("dst"), F.col("label").alias("l"))), "dst").groupBy("src").agg(F.sum(_digest(F.col("l"))).alias("near"))
         near = F.coalesce(F.col("near"), F.lit(0).cast("decimal(38,0)")).cast("string"), near
-        now = _cut(now.join(near[1], now["vid"] == near[1]["src"], "left").select("vid", F.md5(F.concat_ws(":", "label", near[0])).alias("label")))
+        now = _cut(now.join(_sorted(near[1]), now["vid"] == near[1]["src"], "left").select("vid", F.md5(F.concat_ws(":", "label", near[0])).alias("label")))
         out = out.unionByName(now.withColumn("round", F.lit(r)))
     return out.select("vid", "round", "label")
 
@@ -158,8 +165,8 @@ def wl_kernel(vertices: DataFrame, edges: DataFrame, graph: str, rounds: int = 3
     """
     of = vertices.select("vid", graph)
     a, b = of.select(F.col("vid").alias("src"), F.col(graph).alias("_a")), of.select(F.col("vid").alias("dst"), F.col(graph).alias("_b"))
-    inside = edges.join(a, "src").join(b, "dst").where("_a = _b").select("src", "dst")
-    labels = _cut(wl_labels(inside, vertices.select("vid", "label"), rounds).join(of, "vid"))
+    inside = edges.join(_sorted(a), "src").join(_sorted(b), "dst").where("_a = _b").select("src", "dst")
+    labels = _cut(wl_labels(inside, vertices.select("vid", "label"), rounds).join(_sorted(of), "vid"))
     found = label_distance(labels, graph).select("a", "b", F.exp(-F.lit(float(gamma)) * F.col("distance")).alias("k"))
     own = vertices.select(F.col(graph).alias("a")).distinct()
     return found.unionByName(own.select("a", F.col("a").alias("b"), F.lit(1.0).alias("k")))
