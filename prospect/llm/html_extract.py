@@ -9,17 +9,24 @@ nothing else is a teaser for another page, and as open as what is around it; so
 one of bare words, without a paragraph, heading or other block of its own. A page
 with a main block marks its article and has its text by that, whatever the lengths:
 what it says there is never taken for boilerplate, however many pages repeat it. On
-a page without one all blocks but chrome are its text, and
-there a host's suffix array decides: the token streams of all the host's pages,
-marked ones with all their blocks, are concatenated, substrings of
-``LEAST_TOKENS`` or more that occur on ``LEAST_PAGES`` or more distinct pages are
-found from the suffix array's common prefixes, the tokens they cover are
-boilerplate, and unique runs are kept. Blocks that repeat as a whole are too.
-
-No group is unbounded: a suffix array is made of hosts with up to ``HOST_TOKENS``
-tokens. On a larger one Spark counts the pages of each window of
-``LEAST_TOKENS``: such a substring is made of such windows, so that covers the
-same tokens.
+a page without one all blocks but chrome are its text, less what the host's suffix
+array finds.
+
+Every page with a host is in its host's suffix array: a marked one by all that
+stands outside of its article, one without by all blocks but chrome, and where a
+host has a page without, the articles of its other pages are in it too. The
+suffixes of the token streams are sorted; substrings of ``LEAST_TOKENS`` or
+more that occur on ``LEAST_PAGES`` or more distinct pages are found from the common
+prefixes of neighbours. The tokens they cover are boilerplate: unique runs
+are kept on pages without an article, and ``n_repeated`` says of any page how many
+of the tokens that its text leaves out are covered. Blocks that repeat as a whole are
+boilerplate too.
+
+No group is unbounded: the array of a host with up to ``HOST_TOKENS`` tokens is made
+by one task. Those of larger hosts are one sorted table, host by host, that Spark
+deals out by ranges, so a string that most pages have is many tasks; what neighbours
+have in common across two ranges is settled by their first and last runs. It is sorted
+``LEAST_TOKENS`` tokens deep, as longer common prefixes decide nothing.
 
 Edge cases: a null or empty page has the empty text; a page cut off anywhere, or
 very long, is read as far as it goes; a null or odd address names no host, so no other
@@ -34,15 +41,22 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, chunks, cut, encode, shingles
+from .common import chunks, cut, encode
 
-LEAST_TOKENS, LEAST_PAGES, HOST_TOKENS = 6, 3, 1 << 21
+LEAST_TOKENS, LEAST_PAGES = 6, 3
+#: Tokens of a host up to which one task makes its array, in less than 135 MB; both ways find the same.
+HOST_TOKENS = 1 << 18
+#: Words of more characters stand in the dealt array by their hash.
+LONG_WORD = 32
 
 #: Fixed values of HTML: elements whose content is no text, elements without content, elements that begin and end a block.
 RAW = "script|style|noscript|template|iframe|object|svg|select|textarea|title|canvas|audio|video"
@@ -185,11 +199,45 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [blocks(p) for p in pages]
         marked = [marks_article(b) for b in found]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array(["\n\n".join(t for k, t in b if k == "main") if m else None for b, m in zip(found, marked)], pa.string()), pa.array([None if m else [t for k, t in b if k != "chrome"] for b, m in zip(found, marked)], pa.list_(pa.string()))],
-            ["page_id", "url", "text", "blocks"],
+            [*(batch.column(c) for c in ("row", "page_id", "url")), pa.array(["\n\n".join(t for k, t in b if k == "main") if m else None for b, m in zip(found, marked)], pa.string()), pa.array([None if m else [t for k, t in b if k != "chrome"] for b, m in zip(found, marked)], pa.list_(pa.string()))],
+            ["row", "page_id", "url", "text", "blocks"],
         )
 
 
+def _streams(batches: Iterator[pa.RecordBatch], articles: bool) -> Iterator[pa.RecordBatch]:
+    """The blocks that are in the array: all of a page that marks an article, else all but chrome. An article's are null unless asked for."""
+    for batch, pages in chunks(batches, "html"):
+        found = [blocks(p) for p in pages]
+        plain = [not marks_article(b) for b in found]
+        own = [[k == "main" for k, _ in b if k != "chrome" or not p] for b, p in zip(found, plain)]
+        texts = [[t if articles or k != "main" else None for k, t in b if k != "chrome" or not p] for b, p in zip(found, plain)]
+        tokens = [sum(len(t.split()) for t in x if t) for x in texts]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "page", "host")), pa.array(plain), pa.array(texts, pa.list_(pa.string())), pa.array(own, pa.list_(pa.bool_())), pa.array(tokens, pa.int64())], ["row", "page", "host", "plain", "blocks", "article", "tokens"])
+
+
+def runs(blocks: list[str | None], article: list[bool]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Runs of tokens between articles that were left out: tokens, and the place of each among those outside of articles, -1 inside."""
+    words: list[str] = []
+    at: list[int] = []
+    n = 0
+    for t, inside in zip(chain(blocks, [None]), chain(article, [True])):
+        if t is None:
+            if words:
+                yield words, np.array(at)
+                words, at = [], []
+            continue
+        more = t.split()
+        words += more
+        at += [-1] * len(more) if inside else range(n, n + len(more))
+        n += 0 if inside else len(more)
+
+
+def places(at: np.ndarray, least: int = LEAST_TOKENS) -> np.ndarray:
+    """The place where each window of ``least`` tokens begins; -1 if it reaches into an article."""
+    first, last = at[: max(0, len(at) - least + 1)], at[least - 1 :]
+    return np.where((first >= 0) & (last - first == least - 1), first, -1)
+
+
 def suffix_array(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in order (prefix doubling) and the common prefix of each with the one before."""
     n = len(s)
@@ -220,8 +268,8 @@ def suffix_array(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
-def covered(streams: list[list[str]], pages: list, least: int = LEAST_TOKENS, least_pages: int = LEAST_PAGES) -> list[np.ndarray]:
-    """Which tokens of each stream stand in a substring of ``least`` tokens or more that ``least_pages`` distinct pages have."""
+def repeats(streams: list[list[str]], pages: list, least: int = LEAST_TOKENS, least_pages: int = LEAST_PAGES) -> list[np.ndarray]:
+    """Where in each stream a substring of ``least`` tokens begins that ``least_pages`` distinct pages have."""
     ids: dict[str, int] = {}
     parts, owner = [], []
     for i, words in enumerate(streams):
@@ -230,18 +278,27 @@ def covered(streams: list[list[str]], pages: list, least: int = LEAST_TOKENS, le
     if not parts:
         return []
     s, own = np.concatenate(parts), np.concatenate(owner)
-    marks = np.zeros(len(s) + 1, np.int64)
+    found = np.zeros(len(s), bool)
     order, common = suffix_array(s)
-    starts = np.flatnonzero(np.diff(np.concatenate([[0], (common >= least).astype(np.int8), [0]])) == 1)
-    stops = np.flatnonzero(np.diff(np.concatenate([[0], (common >= least).astype(np.int8), [0]])) == -1)
-    for a, b in zip(starts, stops):
+    edges = np.diff(np.concatenate([[0], (common >= least).astype(np.int8), [0]]))
+    for a, b in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)):
         group = order[a - 1 : b]  # suffixes that share at least ``least`` tokens
         if len({pages[i] for i in own[group].tolist()}) >= least_pages:
-            marks[group] += 1
-            marks[group + least] -= 1
-    inside = np.cumsum(marks[:-1]) > 0
-    cuts = np.cumsum([len(p) for p in parts])[:-1]
-    return [x[:-1] for x in np.split(inside, cuts)]
+            found[group] = True
+    return [x[:-1] for x in np.split(found, np.cumsum([len(p) for p in parts])[:-1])]
+
+
+def _cover(n: int, starts: np.ndarray, least: int = LEAST_TOKENS) -> np.ndarray:
+    """Which of ``n`` tokens the substrings of ``least`` tokens that begin at ``starts`` cover."""
+    marks = np.zeros(n + 1, np.int64)
+    np.add.at(marks, starts, 1)
+    np.subtract.at(marks, starts + least, 1)
+    return np.cumsum(marks[:-1]) > 0
+
+
+def covered(streams: list[list[str]], pages: list, least: int = LEAST_TOKENS, least_pages: int = LEAST_PAGES) -> list[np.ndarray]:
+    """Which tokens of each stream stand in a substring of ``least`` tokens or more that ``least_pages`` distinct pages have."""
+    return [_cover(len(x), np.flatnonzero(x), least) for x in repeats(streams, pages, least, least_pages)]
 
 
 def _kept(blocks: list[str], repeated: list[bool], marks: np.ndarray) -> str:
@@ -256,68 +313,129 @@ def _kept(blocks: list[str], repeated: list[bool], marks: np.ndarray) -> str:
     return "\n\n".join(kept)
 
 
-def _unique_runs(table: pa.Table) -> pa.Table:
-    """The pages of a host without marked article: their blocks without the tokens that repeated strings cover."""
-    rows = table.to_pydict()
-    order = sorted(range(len(rows["row"])), key=lambda i: rows["row"][i])
-    marks = covered([[w for t in rows["blocks"][i] for w in t.split()] for i in order], [rows["page_id"][i] for i in order])
-    out = [(rows["row"][i], _kept(rows["blocks"][i], rows["repeated"][i], m)) for i, m in zip(order, marks) if rows["plain"][i]]
-    return pa.table({"row": pa.array([r for r, _ in out], pa.string()), "text": pa.array([t for _, t in out], pa.string())})
+def _host_array(table: pa.Table) -> pa.Table:
+    """(row, pos) of the repeated substrings outside of articles, from the suffix array of one host."""
+    streams, at, rows, pages = [], [], [], []
+    for row, page, texts, article in zip(*(table.column(c).to_pylist() for c in ("row", "page", "blocks", "article"))):
+        for words, where in runs(texts, article):
+            streams.append(words)
+            at.append(places(where))
+            rows.append(row)
+            pages.append(page)
+    found = [p[x[: len(p)] & (p >= 0)] for p, x in zip(at, repeats(streams, pages))]
+    return pa.table({"row": pa.array(np.repeat(np.array(rows, np.int64), [len(x) for x in found]), pa.int64()), "pos": pa.array(np.concatenate([np.empty(0, np.int64), *found]).astype(np.int32))})
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = WordHashes()
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each suffix of ``LEAST_TOKENS`` or more: the tokens that it is sorted by, and its place."""
     for batch in batches:
-        found = [shingles(words.of([encode(w) for t in b for w in t.split()]), LEAST_TOKENS).view(np.int64) for b in batch.column("blocks").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "page_id", "host")), pa.array(found, pa.list_(pa.int64()))], ["row", "page_id", "host", "windows"])
-
-
-def _cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[str] = []
+        at, sizes = [np.empty(0, np.int64)], []
+        for texts, article in zip(*(batch.column(c).to_pylist() for c in ("blocks", "article"))):
+            before = len(keys)
+            for words, where in runs(texts, article):
+                words = [w if len(w) <= LONG_WORD else f"{w[:8]}\x1f{xxhash.xxh3_128_hexdigest(encode(w))}" for w in words]
+                keys.extend(" ".join(words[i : i + LEAST_TOKENS]) for i in range(len(words) - LEAST_TOKENS + 1))
+                at.append(places(where))
+            sizes.append(len(keys) - before)
+        again = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+        yield pa.RecordBatch.from_arrays([batch.column("host").take(again), pa.array(keys, pa.string()), batch.column("page").take(again), batch.column("row").take(again), pa.array(np.concatenate(at).astype(np.int32))], ["host", "key", "page", "row", "pos"])
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The repeated suffixes of a range of the sorted array, one run of equal prefixes after the other.
+
+    A run that begins or ends the range may go on beyond it: where it has too few pages
+    here its rows are handed on with their keys, else one row of each of enough pages.
+    """
+    held, first = None, True
     for batch in batches:
-        out = []
-        for blocks, repeated, starts in zip(*(batch.column(c).to_pylist() for c in ("blocks", "repeated", "starts"))):
-            marks = np.zeros(sum(len(t.split()) for t in blocks), bool)
-            for i in starts or []:
-                marks[i : i + LEAST_TOKENS] = True
-            out.append(_kept(blocks, repeated, marks))
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], ["row", "text"])
-
-
-def _all_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, pages in chunks(batches, "html"):
-        found = [blocks(p) for p in pages]
-        plain = [not marks_article(b) for b in found]
-        texts = [[t for k, t in b if k != "chrome" or not p] for b, p in zip(found, plain)]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(plain), pa.array(texts, pa.list_(pa.string())), pa.array([sum(len(t.split()) for t in x) for x in texts], pa.int64())], ["page_id", "url", "host", "plain", "blocks", "tokens"])
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+        host, key, page = (t.column(c) for c in ("host", "key", "page"))
+        n = t.num_rows
+        same = pc.and_(pc.equal(host.slice(1), host.slice(0, n - 1)), pc.equal(key.slice(1), key.slice(0, n - 1))).to_numpy(zero_copy_only=False)
+        begins = np.concatenate([[True], ~same])
+        ids = page.to_numpy()
+        other = begins | np.concatenate([[True], ids[1:] != ids[:-1]])
+        run = np.cumsum(begins) - 1
+        many = np.bincount(run, other) >= LEAST_PAGES
+        sure = many[run] & (t.column("pos").to_numpy() >= 0)
+        if sure.any():
+            yield _bare(t.filter(pa.array(sure)))
+
+        def told(r: int) -> pa.RecordBatch:
+            of = np.flatnonzero(run == r)
+            return t.take(pa.array(of[other[of]][:LEAST_PAGES] if many[r] else of))
+
+        last = int(run[-1])
+        if first and last:
+            yield told(0)
+            first = False
+        held = told(last)
+    if held is not None:
+        yield held
+
+
+def _bare(t: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows without what only runs across ranges need."""
+    return pa.RecordBatch.from_arrays([pa.nulls(t.num_rows, pa.string())] * 2 + [pa.nulls(t.num_rows, pa.int64()), t.column("row"), t.column("pos")], ["host", "key", "page", "row", "pos"])
+
+
+def _dealt_array(streams: DataFrame) -> DataFrame:
+    """(row, pos) as of ``_host_array``, from the arrays of hosts of any size as one sorted table."""
+    kinds = "host string, key string, page long, row long, pos int"
+    array = streams.select("host", "page", "row", "blocks", "article").mapInArrow(_suffixes, kinds).orderBy("host", "key", "page", "row", "pos")
+    # written once, as the ranges are sampled
+    found = cut(array.mapInArrow(_neighbours, kinds), "repeats")
+    across = found.where("key is not null")
+    often = across.groupBy("host", "key").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= LEAST_PAGES).select("host", "key")
+    return found.where("key is null").select("row", "pos").unionByName(across.where("pos >= 0").join(often, ["host", "key"], "left_semi").select("row", "pos"))
+
+
+def _unique_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts: the marked article, or the blocks without the tokens that repeated strings cover and without repeated blocks."""
+    for batch in batches:
+        out, sizes = [], []
+        for text, texts, starts, gone in zip(*(batch.column(c).to_pylist() for c in ("text", "blocks", "starts", "gone"))):
+            starts, out_of = np.array(starts or [], np.int64), set(gone or [])
+            marks = _cover(sum(len(t.split()) for t in texts) if text is None else int(starts.max(initial=0)) + LEAST_TOKENS, starts)
+            sizes.append(int(marks.sum()))
+            out.append(_kept(texts, [i in out_of for i in range(len(texts))], marks) if text is None else text)
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array(sizes, pa.int64())], ["page_id", "url", "text", "n_repeated"])
 
 
 def extract(pages: DataFrame, host_tokens: int = HOST_TOKENS) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row."""
+    """(page_id, url, text, n_chars, n_repeated) of every row."""
     pages = pages.select("page_id", "url", "html")
     kinds = dict(pages.dtypes)
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url").cast("string"), "^[a-zA-Z]+://([^/?#:]+)", 1)), F.lit(""))
-    parsed = pages.mapInArrow(_parse, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, blocks array<string>")
-    alone = host == ""
-    text = F.when(alone, F.coalesce("text", F.array_join("blocks", "\n\n"))).otherwise(F.col("text"))
-    parsed = cut(parsed.select("page_id", "url", text.alias("text"), (alone | F.col("blocks").isNull()).alias("marked")), "pages")
-    marked = parsed.where("marked").select("page_id", "url", "text")
-    hosts = cut(parsed.where("not marked").select(host.alias("host")).distinct(), "hosts")
-    if hosts.isEmpty():
-        return marked.withColumn("n_chars", F.length("text").cast("long"))
-    # hosts with pages that mark no article: all their pages bear witness
-    there = pages.withColumn("host", host).join(hosts, "host", "left_semi").select("page_id", "url", "html", "host")
-    rows = cut(there.mapInArrow(_all_blocks, f"page_id {kinds['page_id']}, url {kinds['url']}, host string, plain boolean, blocks array<string>, tokens long").withColumn("row", F.expr("uuid()")), "witnesses")
-    # whole blocks that several pages of the host have, by counting
-    each = rows.select("row", "page_id", "host", F.posexplode("blocks").alias("i", "t")).withColumn("h", F.xxhash64("t"))
-    many = each.select("host", "h", "page_id").distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES).select("host", "h").withColumn("on", F.lit(True))
-    flags = each.join(many, ["host", "h"], "left").groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("on", F.lit(False)).alias("on")))), lambda x: x["on"]).alias("repeated"))
-    rows = rows.join(flags, "row", "left").withColumn("repeated", F.coalesce("repeated", F.array().cast("array<boolean>")))
-    size = rows.groupBy("host").agg((F.sum("tokens") > host_tokens).alias("large"))
-    rows = cut(rows.join(size, "host"), "hosts")
-    runs = rows.where("not large").select("host", "row", "page_id", "blocks", "repeated", "plain").groupBy("host").applyInArrow(lambda t: _unique_runs(t.select(["row", "page_id", "blocks", "repeated", "plain"])), "row string, text string")
-    at = rows.where("large").select("row", "page_id", "host", "blocks").mapInArrow(_windows, f"row string, page_id {kinds['page_id']}, host string, windows array<long>").select("row", "page_id", "host", F.posexplode("windows").alias("i", "w"))
-    often = at.select("host", "w", "page_id").distinct().groupBy("host", "w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES).select("host", "w")
-    starts = at.join(often, ["host", "w"], "left_semi").groupBy("row").agg(F.collect_list("i").alias("starts"))
-    wide = rows.where("large and plain").join(starts, "row", "left").select("row", "blocks", "repeated", "starts").mapInArrow(_cover, "row string, text string")
-    found = rows.where("plain").select("row", "page_id", "url").join(runs.unionByName(wide), "row").select("page_id", "url", "text")
-    return marked.unionByName(found).withColumn("n_chars", F.length("text").cast("long"))
+    # rows are told apart by a hash of what is in them; equal ones get equal texts
+    row = F.xxhash64("page_id", F.col("page_id").isNull(), "url", F.col("url").isNull(), "html")
+    rows = pages.withColumn("row", row)
+    told = rows.where(host != "").select("row", F.xxhash64("page_id").alias("page"), host.alias("host"), "html")
+    shape = "row long, page long, host string, plain boolean, blocks array<string>, article array<boolean>, tokens long"
+    streams = cut(told.mapInArrow(lambda b: _streams(b, False), shape), "streams")
+    # hosts with pages that mark no article: what their other pages' articles say bears witness too
+    hosts = cut(streams.where("plain and tokens > 0").select("host").distinct(), "hosts")
+    mixed = not hosts.isEmpty()
+    if mixed:
+        whole = told.join(hosts, "host", "left_semi").select("row", "page", "host", "html").mapInArrow(lambda b: _streams(b, True), shape)
+        streams = cut(streams.join(hosts, "host", "left_anti").select(*whole.columns).unionByName(whole), "streams")
+    large = streams.groupBy("host").agg(F.sum("tokens").alias("n")).where(F.col("n") > host_tokens).select("host")
+    large = cut(large, "large")
+    small = streams.join(large, "host", "left_anti").select("host", "row", "page", "blocks", "article")
+    marks = small.groupBy("host").applyInArrow(lambda t: _host_array(t), "row long, pos int")
+    if not large.isEmpty():
+        marks = marks.unionByName(_dealt_array(streams.join(large, "host", "left_semi")))
+    marks = marks.withColumn("block", F.lit(None).cast("int"))
+    if mixed:
+        # whole blocks that several pages of the host have, by counting
+        each = streams.join(hosts, "host", "left_semi").select("row", "page", "host", "plain", F.posexplode("blocks").alias("block", "t")).withColumn("h", F.xxhash64("t"))
+        many = each.select("host", "h", "page").distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES).select("host", "h")
+        marks = marks.unionByName(each.where("plain").join(many, ["host", "h"], "left_semi").select("row", F.lit(None).cast("int").alias("pos"), "block"))
+    marks = marks.groupBy("row").agg(F.collect_list("pos").alias("starts"), F.collect_list("block").alias("gone"))
+    parsed = rows.mapInArrow(_parse, f"row long, page_id {kinds['page_id']}, url {kinds['url']}, text string, blocks array<string>")
+    found = parsed.join(marks, "row", "left").mapInArrow(_unique_runs, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_repeated long")
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated")

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from prospect.llm import components, decontam, dedup, html_extract, license_scan, packing, quality, secrets, token_counts, toxicity, warc
@@ -470,6 +471,70 @@ def test_html_a_teaser_is_no_article(spark):
         assert got == {1: f"read this too\n\n{text}", 2: f"{long} 2", 3: f"{long} 3"}
 
 
+def test_html_every_page_is_in_its_hosts_array(spark):
+    rng = random.Random(31)
+    lines = [prose(rng, 8) for _ in range(5)]
+    pages = []
+    for i in range(30):
+        before, after = f"{rng.choice(lines)} {prose(rng, 3)} {rng.choice(lines[:2])}", f"{lines[4]} {'x' * 40}{i % 3 // 2} {prose(rng, 4)}"
+        own = prose(rng, 12)
+        body = f"<nav>{before}</nav><article><p>{own} {lines[0]}</p></article><div class='footer'>{after}</div>"
+        if i >= 24:  # this host has pages without an article
+            body = f"<p>{own} {lines[0]}</p><div>{after}</div>" if i % 2 else body
+        pages.append((i % 29, f"http://{'abc'[i // 12]}.org/{i}", body))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    small, large = (sorted(map(tuple, html_extract.extract(df, n).collect()), key=lambda r: r[1]) for n in (1 << 21, 0))
+    assert small == large
+    got = {r[1]: r for r in small}
+    for host in "abc":
+        mine = [(i, u, html_extract.blocks(h)) for i, u, h in pages if u.startswith(f"http://{host}.")]
+        # windows that stand in one run of blocks outside of articles; where a host has a page without one, others' articles bear witness
+        open_ = any(not html_extract.marks_article(b) for _, _, b in mine)
+        where, at = {}, {}
+        for i, u, b in mine:
+            tokens = [(w, k == "main") for k, t in b for w in t.split()]
+            for k in range(len(tokens) - 5):
+                window = tokens[k : k + 6]
+                if open_ or not any(m for _, m in window):
+                    where.setdefault(tuple(w for w, _ in window), set()).add(i)
+                    if not any(m for _, m in window):
+                        at.setdefault(u, []).append((k, tuple(w for w, _ in window)))
+        for i, u, b in mine:
+            on = {j for k, w in at.get(u, []) if len(where[w]) >= 3 for j in range(k, k + 6)}
+            assert got[u][4] == len(on) > 0
+            if html_extract.marks_article(b):
+                assert got[u][2] == "\n\n".join(t for k, t in b if k == "main")
+            else:
+                words = [w for _, t in b for w in t.split()]
+                assert got[u][2].split() == [w for j, w in enumerate(words) if j not in on]
+
+
+def test_html_neighbours_across_ranges_and_batches():
+    rng = random.Random(33)
+    rows = sorted((h, f"{k:02d}", p, 100 * p + rng.randint(0, 1), rng.randint(-1, 9)) for h in "ab" for k in range(12) for p in rng.sample(range(40), rng.choice([1, 2, 3, 9, 30])) for _ in range(rng.choice([1, 1, 5])))
+    pages = {}
+    for h, k, p, _, _ in rows:
+        pages.setdefault((h, k), set()).add(p)
+    want = {(r, at) for h, k, _, r, at in rows if at >= 0 and len(pages[h, k]) >= html_extract.LEAST_PAGES}
+    for _ in range(60):
+        cuts = sorted(rng.sample(range(len(rows) + 1), rng.randint(0, 8)))
+        out = []
+        for a, b in zip([0, *cuts], [*cuts, len(rows)]):
+            step = rng.choice([1, 2, 7, 1000])
+            parts = [pa.RecordBatch.from_pylist([dict(zip(("host", "key", "page", "row", "pos"), r)) for r in rows[i : min(b, i + step)]], schema=SORTED) for i in range(a, b, step)]
+            out += [r for t in html_extract._neighbours(iter(parts)) for r in t.to_pylist()]
+        across = {}
+        for r in out:
+            if r["key"] is not None:
+                across.setdefault((r["host"], r["key"]), set()).add(r["page"])
+        assert len(across) <= 2 * (len(cuts) + 1)
+        got = {(r["row"], r["pos"]) for r in out if r["key"] is None or (r["pos"] >= 0 and len(across[r["host"], r["key"]]) >= html_extract.LEAST_PAGES)}
+        assert got == want
+
+
+SORTED = pa.schema([("host", pa.string()), ("key", pa.string()), ("page", pa.int64()), ("row", pa.int64()), ("pos", pa.int32())])
+
+
 def test_covered_tokens_against_all_substrings():
     rng = random.Random(10)
     streams = [[rng.choice("abc") for _ in range(40)] for _ in range(6)]
