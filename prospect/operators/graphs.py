@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prospect.operators import cores
 from prospect.sources.scratch import cut
 
 
@@ -47,8 +48,29 @@ def feature_density(edges: DataFrame, features: DataFrame) -> DataFrame:
 
 def coreness(edges: DataFrame) -> DataFrame:
     """(vid, core) of the vertices with edges: each takes the h-index of its neighbours' values until nothing changes."""
-    both = _cut(symmetric(undirected(edges)))
-    core, left = _cut(both.groupBy(F.col("src").alias("vid")).agg(F.count(F.lit(1)).alias("core"))), None
+    return _coreness(_cut(undirected(edges).select(F.lit(0).alias("g"), "src", "dst"))).select("vid", "core")
+
+
+def _coreness(edges: DataFrame) -> DataFrame:
+    """(g, vid, core) of written edges (g, src, dst), each of a graph g once and no loops."""
+    kind = dict(edges.dtypes)["src"]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        ends = edges.select(F.col("src").alias("vid")).union(edges.select("dst")).distinct()
+        ids = _cut(ends.withColumn("id", F.monotonically_increasing_id()))
+        of = edges
+        for end in ("src", "dst"):
+            of = of.join(_sorted(ids.select(F.col("vid").alias(end), F.col("id").alias(f"_{end}"))), end)
+        found = _coreness(_cut(of.select("g", F.col("_src").alias("src"), F.col("_dst").alias("dst"))))
+        return found.withColumnRenamed("vid", "id").join(_sorted(ids), "id").select("g", "vid", "core")
+    edges = edges.select("g", F.col("src").cast("long"), F.col("dst").cast("long"))
+    most = _degrees(edges).agg(F.max("degree")).first()[0] or 0
+    return (cores.cores if most <= cores.ENDS else _joined_coreness)(edges).select("g", F.col("vid").cast(kind), "core")
+
+
+def _joined_coreness(edges: DataFrame) -> DataFrame:
+    """The same by joins, where the neighbours of one vertex are too many for a block."""
+    both = _cut(_ends(edges))
+    core, left = _cut(both.groupBy("g", F.col("src").alias("vid")).agg(F.count(F.lit(1)).alias("core"))), None
     while True:
         # values only ever fall: while their sum does, something changes
         sum_ = core.agg(F.sum("core")).first()[0]
@@ -56,9 +78,19 @@ def coreness(edges: DataFrame) -> DataFrame:
             return core
         left = sum_
         # neighbours by value, so a hub has as many rows as there are values: the h-index is the greatest c with c or more neighbours of at least c
-        near = both.join(_sorted(core), both["dst"] == core["vid"]).select("src", "core").repartition("src").groupBy("src", "core").agg(F.count(F.lit(1)).alias("n"))
-        down = Window.partitionBy("src").orderBy(F.desc("core")).rowsBetween(Window.unboundedPreceding, 0)
-        core = _cut(near.withColumn("n", F.sum("n").over(down)).groupBy(F.col("src").alias("vid")).agg(F.max(F.least("core", "n")).alias("core")))
+        near = both.join(_sorted(core.withColumnRenamed("vid", "dst")), ["g", "dst"]).groupBy("g", "src", "core").agg(F.count(F.lit(1)).alias("n"))
+        down = Window.partitionBy("g", "src").orderBy(F.desc("core")).rowsBetween(Window.unboundedPreceding, 0)
+        core = _cut(near.withColumn("n", F.sum("n").over(down)).groupBy("g", F.col("src").alias("vid")).agg(F.max(F.least("core", "n")).alias("core")))
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    """(g, src, dst) in both directions, of edges that are there once."""
+    ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return edges.select("g", F.explode(ways).alias("w")).select("g", "w.src", "w.dst")
+
+
+def _degrees(edges: DataFrame) -> DataFrame:
+    return _ends(edges).groupBy("g", F.col("src").alias("vid")).agg(F.count(F.lit(1)).alias("degree"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -66,23 +98,29 @@ def degrees(edges: DataFrame) -> DataFrame:
     return symmetric(undirected(edges)).groupBy(F.col("src").alias("vid")).agg(F.count(F.lit(1)).alias("degree"))
 
 
-def vertex_columns(vertices: DataFrame, edges: DataFrame, vid: str, wanted: set[str]) -> DataFrame:
-    """``vertices`` with ``degree`` and ``core`` in the graph of the edges between them, as wanted; 0 for one without edges."""
-    own = _cut(induced(undirected(edges), vertices.select(F.col(vid).alias("vid"))))
-    for name, of in (("degree", degrees), ("core", coreness)):
+def vertex_columns(vertices: DataFrame, own: DataFrame, vid: str, wanted: set[str]) -> DataFrame:
+    """``vertices`` with ``degree`` and ``core``, as wanted, in the graph of written edges between them, each there once; 0 for one without edges."""
+    own = own.select(F.lit(0).alias("g"), "src", "dst")
+    for name, of in (("degree", _degrees), ("core", _coreness)):
         if name in wanted:
-            vertices = vertices.join(_sorted(of(own).withColumnRenamed("vid", vid)), vid, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("long")))
+            # read by the search again and again
+            found = _cut(of(own).select(F.col("vid").alias(vid), name))
+            vertices = vertices.join(_sorted(found), vid, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("long")))
     return vertices
 
 
+def shells_of(cored: DataFrame, group: Column) -> DataFrame:
+    """(group, shells): of each group of vertices (core, ...) how many with edges have which coreness, highest first."""
+    shells = cored.where("core > 0").groupBy(group.alias("group"), "core").agg(F.count(F.lit(1)).alias("n"))
+    return shells.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("core", "n")), asc=False).alias("shells"))
+
+
 def induced_shells(inside: DataFrame) -> DataFrame:
-    """(group, shells): of each group (group, src, dst) of edges how many vertices have which coreness, highest first.
+    """The shells of written groups (group, src, dst) of edges, each there once in its group.
 
     Groups may share vertices; a vertex is another one in each. All groups are one loop.
     """
-    core = coreness(inside.select(F.struct("group", F.col("src").alias("v")).alias("src"), F.struct("group", F.col("dst").alias("v")).alias("dst")))
-    shells = core.groupBy(F.col("vid.group").alias("group"), "core").agg(F.count(F.lit(1)).alias("n"))
-    return shells.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("core", "n")), asc=False).alias("shells"))
+    return shells_of(_coreness(inside.select(F.col("group").alias("g"), "src", "dst")), F.col("g"))
 
 
 def group_measures(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -97,16 +135,15 @@ def group_measures(edges: DataFrame, members: DataFrame) -> DataFrame:
     e = _cut(undirected(edges))
     m = members.select("group", "vid").distinct()
     total = F.broadcast(e.agg(F.count(F.lit(1)).cast("double").alias("total")))  # one row
-    ends = symmetric(e)
-    degree = ends.groupBy(F.col("src").alias("vid")).agg(F.count(F.lit(1)).alias("degree"))
+    degree = _degrees(e.withColumn("g", F.lit(0))).drop("g")
     volume = m.join(_sorted(degree), "vid", "left").groupBy("group").agg(F.count(F.lit(1)).alias("n_vertices"), F.coalesce(F.sum("degree"), F.lit(0)).alias("volume"))
     a, b = m.select("group", F.col("vid").alias("src")), m.select("group", F.col("vid").alias("dst"))
     inside = _cut(e.join(_sorted(a), "src").join(_sorted(b), ["group", "dst"]).select("group", "src", "dst"))
     counts = inside.groupBy("group").agg(F.count(F.lit(1)).alias("n_edges"))
     # a vertex is another one in every group
-    core = coreness(inside.select(F.struct("group", F.col("src").alias("v")).alias("src"), F.struct("group", F.col("dst").alias("v")).alias("dst")))
-    cores = core.groupBy(F.col("vid.group").alias("group")).agg(F.sum("core").alias("cores"), F.max("core").alias("max_core"))
-    rows = volume.join(counts, "group", "left").join(cores, "group", "left").fillna(0, ["n_edges", "cores", "max_core"]).join(total, F.lit(True))
+    core = _coreness(inside.select(F.col("group").alias("g"), "src", "dst"))
+    top = core.groupBy(F.col("g").alias("group")).agg(F.sum("core").alias("cores"), F.max("core").alias("max_core"))
+    rows = volume.join(counts, "group", "left").join(top, "group", "left").fillna(0, ["n_edges", "cores", "max_core"]).join(total, F.lit(True))
     side = F.least(F.col("volume"), 2 * F.col("total") - F.col("volume"))
     share = F.col("volume") / (2 * F.col("total"))
     return rows.select(

@@ -49,7 +49,7 @@ def trade_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_supplier_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst): each customer with each supplier of a line item of their orders, once."""
+    """(src, dst): each customer with each supplier of a line item of their orders, as often as they meet."""
     items, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
     pairs = items.join(orders, items["l_orderkey"] == orders["o_orderkey"])
-    return pairs.select((F.col("o_custkey").cast("long") * 2).alias("src"), (F.col("l_suppkey").cast("long") * 2 + 1).alias("dst")).distinct()
+    return pairs.select((F.col("o_custkey").cast("long") * 2).alias("src"), (F.col("l_suppkey").cast("long") * 2 + 1).alias("dst"))
