@@ -14,11 +14,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prospect.sources.scratch import cut, shared_folder
+from prospect.sources.scratch import cut, file_bytes, new_file, shared_folder
 
 #: Ends of edges that a block has, about: ``LEAST`` at first, and more as a graph grows that has ``GRID`` blocks, up to ``ENDS``. No vertex of a block has more of them.
 LEAST, GRID, ENDS = 1 << 18, 24, 1 << 21
@@ -29,20 +28,14 @@ SENT_GROUPS = 1 << 18
 
 
 def put(folder: str, **arrays: np.ndarray) -> str:
-    """The address of a new file with these arrays; one that no row names is read by nobody."""
-    system, path = fs.FileSystem.from_uri(folder)
-    system.create_dir(path, recursive=True)
-    name, held = f"{uuid.uuid4().hex}.npz", io.BytesIO()
+    """The address of a new file with these arrays."""
+    held = io.BytesIO()
     np.savez(held, **arrays)
-    with system.open_output_stream(f"{path}/{name}") as out:
-        out.write(held.getbuffer())
-    return f"{folder}/{name}"
+    return new_file(folder, ".npz", held.getbuffer())
 
 
 def get(uri: str):
-    system, path = fs.FileSystem.from_uri(uri)
-    with system.open_input_file(path) as f:
-        return np.load(io.BytesIO(f.read()))
+    return np.load(io.BytesIO(file_bytes(uri)))
 
 
 def _packed(values: np.ndarray) -> bytes:

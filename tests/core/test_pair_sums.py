@@ -71,3 +71,30 @@ def test_series_against_matrices(spark, monkeypatch, kernel):
     got = learning.set_sums(sets, "id", "x", "on", 3, parts).collect()
     assert len(got) == 4 * 16
     assert all(abs(r["s"] - full[:, r["a"]] @ of[r["part"]] @ full[:, r["b"]]) < 1e-8 for r in got)
+
+
+def test_rows_are_written_once_however_many_pairs(spark, monkeypatch):
+    # before, each row was shuffled to every pair of blocks with its own
+    import glob
+
+    from prospect.sources.scratch import shared_folder
+
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(4000, 16))
+    df = spark.createDataFrame([(i, v, [i % 7, 7 + i % 2]) for i, v in enumerate(x.tolist())], "id long, x array<double>, on array<int>")
+    for m in (kernels, spectra, alignment):
+        monkeypatch.setattr(m, "BLOCK", 100)
+    folder = shared_folder(spark).removeprefix("file://")
+    files = set(glob.glob(f"{folder}/blocks-*/*"))
+    for made, bytes_ in (
+        (lambda: kernels.gram(df, "id", "x", kernels.linear(), digits=6), x.nbytes), (lambda: kernels.gram(df, "id", "x", kernels.linear(), normalise=True, digits=6), x.nbytes), (lambda: kernels.gram(df, "id", "x", kernels.rbf(1.0), digits=6), x.nbytes),
+        (lambda: spectra.without(df.withColumn("n", kernels.F.array(kernels.F.lit(1.0))), "id", "x", kernels.linear(), "n", 1, digits=6), x.nbytes), (lambda: alignment.entity_similarity(df, "id", "on", digits=6), x.nbytes // 8),
+    ):
+        out = made()
+        new = set(glob.glob(f"{folder}/blocks-*/*")) - files
+        files |= new
+        assert len(new) == kernels.GRID and sum(len(open(f, "rb").read()) for f in new) < 1.5 * bytes_ + 4000 * 32 + 24 * 2000
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r["i"], r["j"]): r["k"] for r in kernels.gram(df.where("id < 900"), "id", "x", kernels.linear(), digits=6).where("i % 50 = 0").collect()}
+    assert len(got) == sum(900 - i for i in range(0, 900, 50)) and all(abs(v - x[i] @ x[j]) < 5.1e-7 for (i, j), v in got.items())
+    assert kernels.rounded(np.array([-1e-9, 0.0000015, -2.5, np.inf]), 6).tolist() == [0.0, 0.000002, -2.5, np.inf] and not np.signbit(kernels.rounded(np.array([-1e-9]), 6)[0])
